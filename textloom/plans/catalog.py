@@ -1,3 +1,607 @@
-"""The named queries of the catalogue."""
+"""The named queries: each operator on the documents table (or another driver table), with neutral demonstration terms.
 
-QUERIES = {}
+Slices are 1929 + doc_id % 3, consecutive and exact in any engine.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import stats
+from textloom.functions.text import capitalized, contains_any, edit_rate, space_tokens, stem_pattern, truncated, word_tokens
+from textloom.operators import collocations as co
+from textloom.operators import correction, density, frequency, keyness, kwic, metadata, ngrams, sections, tfidf, topics, windows
+from textloom.operators import sentences as sent
+from textloom.operators.corpus import corpus, distinct_texts, encoded_tokens, overview, with_slice, year_from_name
+from textloom.operators.report import yearly
+from textloom.sources.writers import with_total_row
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+SLICES = (1929, 1930, 1931)
+SEEDS = {"und": "link", "and": "link", "der": "article", "die": "article", "the": "article", "les": "article", "que": "relative"}
+STOPWORDS = ("the", "of", "and", "to", "in", "der", "die", "und", "de", "la", "que")
+STEMS = (("the", "article"), ("der", "article"), ("and", "link"), ("que", "relative"), ("ver", "prefix"))
+TARGETS = ("the", "der", "que")
+WEIGHTS = (("the", -0.5), ("and", 0.25), ("der", -0.25), ("que", 0.5), ("les", 0.75), ("in", -1.0))
+RULES = (("ae", "ae", "ä"), ("th-end", r"th([.,])", "t$1"), ("one", r"([0-9])[lI]", "$1"), ("same", "der", "der"), ("ss", "ss", "ß"))
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_slice(read(spark, sf_dir, "documents"), (F.lit(1929) + F.col("doc_id") % 3).cast("int"))
+
+
+def tokens(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return corpus(documents(spark, sf_dir), **options)
+
+
+def seed_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(SEEDS.items()), "term string, category string")
+
+
+def patterns() -> list[tuple[str, str, str]]:
+    return [(s, c, stem_pattern(s)) for s, c in STEMS]
+
+
+# Frequencies
+
+
+@query
+def freq_overall(spark, d):
+    return frequency.frequencies(tokens(spark, d))
+
+
+@query
+def freq_by_slice(spark, d):
+    return frequency.top_k(frequency.frequencies_by_slice(tokens(spark, d)), 20, ["slice"], [F.desc("abs"), "token"])
+
+
+@query
+def freq_scope_gsets(spark, d):
+    return frequency.scoped_frequencies(with_null_slice(spark, d))
+
+
+def with_null_slice(spark, d):
+    """Every seventh document has no slice: it counts in the total only."""
+    rows = documents(spark, d).withColumn("slice", F.when(F.col("doc_id") % 7 != 0, F.col("slice")))
+    return corpus(rows)
+
+
+@query
+def corpus_overview(spark, d):
+    return overview(tokens(spark, d))
+
+
+@query
+def corpus_filtered(spark, d):
+    rows = tokens(spark, d, stopwords=STOPWORDS, min_length=4, letters_only=True)
+    return rows.select("doc_id", "slice", "n_tokens", "n_raw_tokens", F.md5(encoded_tokens("tokens")).alias("tokens_md5"))
+
+
+@query
+def corpus_lemmatized(spark, d):
+    lemmas = spark.createDataFrame([("der", "die"), ("das", "die"), ("les", "le"), ("is", "be"), ("was", "be")], "form string, lemma string")
+    rows = tokens(spark, d, lemmas=lemmas)
+    return rows.select("doc_id", "n_tokens", F.md5(encoded_tokens("tokens")).alias("tokens_md5"))
+
+
+@query
+def seed_grid(spark, d):
+    return frequency.seed_grid(tokens(spark, d), seed_table(spark), SLICES)
+
+
+@query
+def seed_pivot(spark, d):
+    return frequency.pivoted(seed_grid(spark, d), ["term", "category"], "slice", SLICES, "abs")
+
+
+@query
+def seed_category_sums(spark, d):
+    return seed_grid(spark, d).groupBy("slice", "category").agg(F.sum("abs").alias("abs"), F.count_if(F.col("abs") > 0).alias("n_terms"))
+
+
+@query
+def pivot_mean(spark, d):
+    wide = seed_grid(spark, d).groupBy("category").pivot("slice", list(SLICES)).agg(F.avg("abs"))
+    return wide.select("category", *[F.round(F.col(f"`{s}`"), 4).alias(f"y{s}") for s in SLICES])
+
+
+@query
+def regex_freq(spark, d):
+    return frequency.pattern_frequencies(documents(spark, d), patterns())
+
+
+@query
+def coverage_pivot(spark, d):
+    return frequency.coverage(documents(spark, d), [(s, p) for s, _, p in patterns()], SLICES)
+
+
+@query
+def lookahead_count(spark, d):
+    return documents(spark, d).groupBy("slice").agg(F.sum(F.regexp_count("text", F.lit(r"(?iU)\bthe(?!r)\w*\b"))).alias("n"))
+
+
+@query
+def doc_seed_matrix(spark, d):
+    return frequency.document_matrix(documents(spark, d), list(SEEDS), r"[a-zäöüß]+")
+
+
+@query
+def method_comparison(spark, d):
+    by_term = frequency.frequencies_by_slice(tokens(spark, d))
+    mapping = spark.createDataFrame([("the", "the"), ("the", "then"), ("der", "der"), ("que", "que"), ("ver", "ver")], "stem string, token string")
+    return frequency.compare_methods(frequency.pattern_frequencies(documents(spark, d), patterns()), by_term, mapping)
+
+
+@query
+def stopword_anti(spark, d):
+    rows = tokens(spark, d).select(F.explode("tokens").alias("token"))
+    stop = spark.createDataFrame([(t,) for t in STOPWORDS], "token string")
+    return rows.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("abs")).where("abs >= 50")
+
+
+@query
+def default_category(spark, d):
+    counts = frequency.frequencies(tokens(spark, d)).where("abs >= 100").select(F.col("token").alias("term"), "abs")
+    return counts.join(F.broadcast(seed_table(spark)), "term", "left").select("term", "abs", F.coalesce("category", F.lit("other")).alias("category"))
+
+
+@query
+def union_parts(spark, d):
+    counts = frequency.frequencies_by_slice(tokens(spark, d))
+    parts = [counts.where(F.col("slice") == s).orderBy(F.desc("abs"), "token").limit(5).withColumn("part", F.lit(f"s{s}")) for s in SLICES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("part", "token", "abs", "per_million")
+
+
+@query
+def rollup_total(spark, d):
+    return with_total_row(overview(tokens(spark, d)).withColumn("slice", F.col("slice").cast("string")), "slice", "GESAMT", ["n_docs", "n_tokens", "n_types"])
+
+
+@query
+def doc_dedupe(spark, d):
+    return distinct_texts(documents(spark, d), "doc_id", "lang").select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@query
+def vocabulary_sets(spark, d):
+    sets = tokens(spark, d).groupBy("slice").agg(F.array_sort(F.collect_set(F.element_at("tokens", 1))).alias("v"))
+    wide = sets.groupBy().pivot("slice", list(SLICES)).agg(F.first("v"))
+    a, b = F.col("`1929`"), F.col("`1930`")
+    return wide.select(F.size(F.array_union(a, b)).alias("n_union"), F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only_a"), stats.jaccard(a, b).alias("jaccard"))
+
+
+# Keyness
+
+
+@query
+def keyness_pairs(spark, d):
+    return keyness.keyness(tokens(spark, d), [(1929, 1930), (1930, 1931)])
+
+
+@query
+def keyness_ranked(spark, d):
+    return keyness.ranked(keyness_pairs(spark, d)).select("transition", "token", "g2", "direction", "rank_rising", "rank_falling")
+
+
+@query
+def keyness_strongest(spark, d):
+    return keyness.strongest(keyness_pairs(spark, d)).select("transition", "direction", "rank", "token", "g2")
+
+
+# n-grams
+
+
+@query
+def ngram_top(spark, d):
+    return ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d)).where("scope = 'gesamt'"))
+
+
+@query
+def ngram_by_slice(spark, d):
+    return ngrams.with_seeds(ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d)).where("scope <> 'gesamt'")), SEEDS)
+
+
+@query
+def ngram_seeded(spark, d):
+    return ngrams.with_seeds(ngrams.ngram_counts(tokens(spark, d)), SEEDS).where("has_seed and abs >= 20 and scope <> 'gesamt'").drop("has_seed")
+
+
+@query
+def ngram_category_pivot(spark, d):
+    rows = ngram_seeded(spark, d).where("category not like '%,%'")
+    return frequency.pivoted(rows, ["category"], "scope", [str(s) for s in SLICES], "abs")
+
+
+@query
+def bigram_pmi(spark, d):
+    return ngrams.bigram_pmi(tokens(spark, d))
+
+
+# Collocations
+
+
+@query
+def colloc_all(spark, d):
+    return co.collocations(tokens(spark, d), TARGETS)
+
+
+@query
+def colloc_ll(spark, d):
+    return co.top_collocations(colloc_all(spark, d), "ll").select("scope", "target", "rank", "collocate", "cofreq", "ll")
+
+
+@query
+def colloc_pmi(spark, d):
+    return co.top_collocations(colloc_all(spark, d), "pmi", least=5).select("scope", "target", "rank", "collocate", "cofreq", "pmi")
+
+
+@query
+def colloc_year_compare(spark, d):
+    return co.compare_slices(colloc_all(spark, d), "der", SLICES)
+
+
+@query
+def colloc_tagged(spark, d):
+    rows = documents(spark, d).select("doc_id", F.transform(space_tokens("text"), tag).alias("tokens"))
+    return co.tagged_collocations(rows, "ver")
+
+
+def tag(t):
+    """A stand-in for a tagger: words with a capital are nouns, single letters have no tag."""
+    word = F.regexp_replace(t, r"[.,!?]+$", "")
+    kind = F.when(word.rlike(r"^[A-ZÄÖÜ]"), F.lit("NOUN")).when(F.char_length(word) > 3, F.lit("VERB")).when(F.char_length(word) > 1, F.lit("DET"))
+    return F.struct(t.alias("text"), F.lower(word).alias("lemma"), kind.alias("pos"), F.lower(word).isin(*STOPWORDS).alias("is_stop"))
+
+
+# Concordances and windows
+
+KWIC_TARGETS = (("thing", r"(?i)thing"), ("ver", "^[Vv]er"))
+
+
+@query
+def kwic_hits(spark, d):
+    return kwic.kwic(documents(spark, d), KWIC_TARGETS)
+
+
+@query
+def kwic_stats(spark, d):
+    return kwic.kwic_statistics(kwic_hits(spark, d), SLICES)
+
+
+@query
+def kwic_search(spark, d):
+    return kwic.kwic_search(kwic_hits(spark, d), "thing", 1930, "Ander").select("doc_id", "pos_in_doc", "keyword")
+
+
+@query
+def kwic_meta_join(spark, d):
+    meta = read(spark, d, "labels").select("doc_id", "quality")
+    hits = kwic_hits(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(meta, "doc_id", "left")
+
+
+@query
+def pattern_citations(spark, d):
+    return kwic.citations(documents(spark, d), [("thing", r"\bthing\w*"), ("ver", r"\bver\w*")])
+
+
+ANCHOR = r"(?iU)the|der|les"
+CATEGORIES = (("vowels", "[aeiou]n"), ("marks", "[.,]"), ("capitals", "[A-Z]"))
+
+
+@query
+def window_cooccur(spark, d):
+    return windows.category_counts(windows.anchor_windows(documents(spark, d), ANCHOR, 15), CATEGORIES)
+
+
+@query
+def window_terms(spark, d):
+    return windows.term_matrix(windows.anchor_windows(documents(spark, d), ANCHOR, 20), CATEGORIES, SLICES)
+
+
+CITED = (("ander", "ander"), ("reti", "reti"), ("enver", "enver"))
+
+
+def cited(spark, d):
+    return windows.window_citations(windows.anchor_windows(documents(spark, d), ANCHOR, 20), CITED)
+
+
+@query
+def window_citations(spark, d):
+    return cited(spark, d).select("slice", "doc_id", "pos", "labels", F.md5("context").alias("context_md5"))
+
+
+@query
+def citation_labels(spark, d):
+    return windows.label_counts(cited(spark, d))
+
+
+@query
+def citation_first(spark, d):
+    return windows.first_citations(cited(spark, d))
+
+
+# Sentences
+
+
+@query
+def sentence_split(spark, d):
+    return sent.sentence_rows(documents(spark, d), 10).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("sentence")).alias("chars"))
+
+
+LEVELS = ((1, "th"), (2, "ing"), (3, "tion"))
+
+
+def leveled(spark, d):
+    return sent.levels(sent.sentence_rows(documents(spark, d), 10), "an", LEVELS)
+
+
+@query
+def level_by_slice(spark, d):
+    return sent.level_shares(leveled(spark, d))
+
+
+@query
+def level_examples(spark, d):
+    return sent.level_examples(leveled(spark, d))
+
+
+def polarities(spark, d):
+    lexicon = spark.createDataFrame(list(WEIGHTS), "word string, weight double")
+    return sent.polarity(sent.sentence_rows(documents(spark, d), 15), lexicon, "an")
+
+
+@query
+def polarity_stats(spark, d):
+    return sent.polarity_statistics(polarities(spark, d))
+
+
+@query
+def polarity_extremes(spark, d):
+    return sent.extremes(polarities(spark, d))
+
+
+@query
+def lexicon_density(spark, d):
+    return density.lexicon_density(documents(spark, d), spark.createDataFrame(list(WEIGHTS), "word string, weight double"))
+
+
+@query
+def density_stats(spark, d):
+    return density.density_statistics(lexicon_density(spark, d))
+
+
+@query
+def known_share(spark, d):
+    vocabulary = read(spark, d, "benchmark").select(F.explode(word_tokens("text")).alias("word")).distinct()
+    return density.known_share(documents(spark, d), vocabulary)
+
+
+# Vectors and topics
+
+
+@query
+def tfidf_weights(spark, d):
+    return tfidf.weights(tokens(spark, d, min_length=2), "doc_id", "tokens", max_features=500, decimals=5)
+
+
+@query
+def tfidf_phrase(spark, d):
+    rows = windows.anchor_windows(documents(spark, d), ANCHOR, 20).withColumn("words", word_tokens("context"))
+    return tfidf.phrase_scores(tfidf.phrases(rows, "words", STOPWORDS))
+
+
+def topic_table(spark, d, n):
+    """The 15 most frequent tokens of document groups, as stand-ins for topics."""
+    rows = tokens(spark, d, min_length=3).withColumn("topic", (F.col("doc_id") % n).cast("int")).select("topic", F.explode("tokens").alias("term"))
+    best = frequency.top_k(rows.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")), 15, ["topic"], [F.desc("n"), "term"])
+    return best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+
+
+@query
+def topic_jaccard(spark, d):
+    return topics.compare_topics(topic_table(spark, d, 5), topic_table(spark, d, 7))
+
+
+def shares_of_embeddings(spark, d):
+    e = F.col("embedding")
+    rows = read(spark, d, "embeddings").where("embedding is not null and size(embedding) >= 4")
+    return rows.select(F.col("vec_id").alias("doc_id"), (F.lit(1929) + F.col("vec_id") % 3).cast("int").alias("slice"), *[F.abs(e[t].cast("double")).alias(f"topic_{t}") for t in range(4)])
+
+
+@query
+def topic_shares(spark, d):
+    return topics.slice_shares(shares_of_embeddings(spark, d), 4)
+
+
+@query
+def dominant_topic(spark, d):
+    return topics.with_dominant(shares_of_embeddings(spark, d), 4).select("doc_id", "dominant_topic")
+
+
+@query
+def inferred_topics(spark, d):
+    return topics.inferred_topics(topics.normalised_shares(shares_of_embeddings(spark, d), 4), 4, 0.3).select("doc_id", "topic", F.round("p", 6).alias("p"))
+
+
+@query
+def nmf_topics(spark, d):
+    rows = tokens(spark, d, stopwords=STOPWORDS, min_length=4)
+    found = topics.nmf(tfidf.weights(rows, "doc_id", "tokens", max_features=500), k=7, rounds=8)
+    return topics.topic_terms(found, spark, 15, list(SEEDS))
+
+
+@query
+def lda_topics(spark, d):
+    return topics.lda(tokens(spark, d, stopwords=STOPWORDS, min_length=4), k=5, rounds=5, vocabulary=500)[0]
+
+
+# Sections, names, headings
+
+
+SECTION_START, SECTION_END = "^(The|Th|Der|La)", "^(An|Die|Es|Re)"
+
+
+@query
+def section_lines(spark, d):
+    lines = sections.text_lines(read(spark, d, "documents"))
+    return sections.section_lines(lines, SECTION_START, SECTION_END).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+@query
+def bullet_names(spark, d):
+    part = read(spark, d, "part").select("p_partkey", F.concat_ws("", F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit("; "), F.col("p_brand"), F.lit(", rest")).alias("entry"))
+    return part.select("p_partkey", F.array_join(sections.bullet_names(F.col("entry")), "|").alias("a"), F.array_join(sections.bullet_names(F.concat(F.col("p_partkey").cast("string"), F.lit(": "), "entry")), "|").alias("b"))
+
+
+@query
+def name_score(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("pos"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("kind"), "o_custkey")
+    return sections.name_scores(rows.where("o_custkey % 3 = 0"), rows.where("o_custkey % 3 = 1").select("doc_id", "pos", "name", "kind"))
+
+
+@query
+def name_clean(spark, d):
+    rows = read(spark, d, "customer").select("c_custkey", sections.clean_name(F.concat(F.lit("• "), F.col("c_mktsegment"), F.lit(" ."))).alias("name"))
+    return rows
+
+
+@query
+def heading_extract(spark, d):
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    chars = rows.select(F.concat(F.lit("f"), F.col("l_orderkey").cast("string")).alias("file"), F.col("l_linenumber").cast("int").alias("page"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"), "l_quantity")
+    made = chars.select("file", "page", F.substring(F.lit("Handelsrat"), F.col("i") + 1, F.lit(1)).alias("text"), (F.col("l_quantity") / 2).alias("size"), F.lit("Serif-Bold").alias("fontname"), (F.col("i") * 0.1).alias("top"), F.col("i").cast("double").alias("x0"))
+    return sections.headings(sections.char_lines(made))
+
+
+# Correction
+
+
+@query
+def regex_fix(spark, d):
+    return correction.corrected(documents(spark, d), RULES).select("doc_id", F.md5("text").alias("text_md5"), *[f"n_{k}" for k in range(len(RULES))])
+
+
+@query
+def regex_fix_log(spark, d):
+    return correction.rule_log(correction.corrected(documents(spark, d), RULES), RULES)
+
+
+def ascii_pairs(spark, d):
+    plain = F.regexp_replace(F.left("text", F.lit(300)), r"[^\x00-\x7f]", "")
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("name"), plain.alias("reference"))
+    return rows.withColumn("text", F.regexp_replace("reference", "th", "t"))
+
+
+@query
+def cer_pairs(spark, d):
+    return ascii_pairs(spark, d).select("name", edit_rate(F.col("reference"), F.col("text")).alias("cer"))
+
+
+@query
+def wer_pairs(spark, d):
+    return correction.error_rates(ascii_pairs(spark, d), RULES, 300)
+
+
+@query
+def changed_sentences(spark, d):
+    docs = documents(spark, d)
+    return correction.changed_sentences(docs, correction.corrected(docs, RULES), 20)
+
+
+# Names, dates, metadata
+
+
+@query
+def year_from_names(spark, d):
+    rows = documents(spark, d).select("doc_id", F.concat(F.col("doc_id") % 40, F.lit(". Ausgabe "), F.lit(1925) + F.col("doc_id") % 20, F.lit("_x")).alias("name"))
+    return rows.select("doc_id", year_from_name("name").alias("year"), metadata.issue_number(F.col("name")).alias("issue"))
+
+
+@query
+def slice_policies(spark, d):
+    value = F.when(F.col("doc_id") % 7 != 0, F.lit(1929) + F.col("doc_id") % 3).cast("int")
+    docs = read(spark, d, "documents")
+    made = [with_slice(docs, value, p, f).groupBy(F.col("slice").cast("string").alias("slice")).agg(F.count(F.lit(1)).alias("n")).withColumn("policy", F.lit(p)) for p, f in (("keep_null", None), ("default", 1929), ("label", "unbekannt"), ("drop", None))]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]).select("policy", "slice", "n")
+
+
+def dated(spark, d):
+    day = F.col("o_orderdate").cast("date")
+    rows = read(spark, d, "orders").select("o_orderkey", day.alias("day"))
+    named = F.when(F.col("o_orderkey") % 2 == 0, metadata.long_date(F.col("day"))).otherwise(F.date_format("day", "dd.MM.yyyy"))
+    return rows.withColumn("text", F.concat(F.lit("Bote, Ausgabe vom "), named, F.lit(" in der Stadt")))
+
+
+@query
+def date_extract(spark, d):
+    found = metadata.date_in_text(F.col("text"), F.year("day"))
+    return dated(spark, d).select("o_orderkey", F.date_format(found, "yyyy-MM-dd").alias("date_iso"))
+
+
+@query
+def weekday(spark, d):
+    return dated(spark, d).groupBy(metadata.weekday_name(F.col("day")).alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def metadata_join(spark, d):
+    orders = read(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), (F.col("o_custkey") % 5).cast("int").alias("issue"))
+    quality = spark.createDataFrame([(y, i, y % 7 + i / 4, float(i)) for y in range(1990, 2010) for i in range(4)], "year int, issue int, cer double, wer double")
+    return metadata.composite_join(orders, quality).select("o_orderkey", "year", "issue", "cer", "wer")
+
+
+@query
+def tiered_join(spark, d):
+    docs = documents(spark, d).select(F.concat(F.lit("ausgabe-nummer-"), F.col("doc_id"), F.when(F.col("doc_id") % 4 == 0, F.lit("-2")).otherwise(F.lit(""))).alias("doc_id"), F.col("slice").alias("year"))
+    files = documents(spark, d).where("doc_id % 3 <> 1").select(F.concat(F.lit("/in/"), F.col("doc_id"), F.lit(".txt")).alias("path"), F.when(F.col("doc_id") % 2 == 0, F.col("slice")).alias("year"), F.concat(F.lit("ausgabe-nummer-"), F.col("doc_id")).alias("stem"))
+    return metadata.tiered_join(docs, files, prefix=18)
+
+
+@query
+def completeness(spark, d):
+    rows = documents(spark, d).join(read(spark, d, "labels"), "doc_id", "left").withColumn("source", F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.col("source")))
+    return metadata.completeness(rows, ["source", "quality", "toxic"])
+
+
+@query
+def first_turns(spark, d):
+    rows = read(spark, d, "conversations")
+    return metadata.first_match(rows, ["conv_id", "role"], ["turn", "text"]).select("conv_id", "role", "turn", F.md5("text").alias("text_md5"))
+
+
+@query
+def first_last_turn(spark, d):
+    rows = read(spark, d, "conversations")
+    return rows.groupBy("conv_id").agg(F.min_by("role", F.struct("turn", "role")).alias("first_role"), F.max_by("role", F.struct("turn", "role")).alias("last_role"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def text_search(spark, d):
+    rows = documents(spark, d).where(contains_any(["source", "lang"], "SRC1"))
+    return rows.select("doc_id", F.char_length(truncated(F.col("text"), 50)).alias("n"), capitalized(F.col("lang")).alias("lang"))
+
+
+@query
+def yearly_values(spark, d):
+    rows = read(spark, d, "events").select(F.concat(F.lit("doc_"), F.lit(1929) + F.col("user_id") % 3).alias("name"), F.col("value"))
+    return yearly(rows.withColumn("value", F.floor("value")), "name", "value")
+
+
+@query
+def change_labels(spark, d):
+    wide = seed_pivot(spark, d)
+    return wide.select("term", stats.change_label(F.col("y1929"), F.col("y1930")).alias("change_a"), stats.change_label(F.lit(0) * F.col("y1929"), F.col("y1931")).alias("change_b"))
