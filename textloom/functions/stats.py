@@ -21,12 +21,13 @@ def _cell(observed: Column, expected: Column) -> Column:
 
 def log_likelihood(o11: Column, o12: Column, o21: Column, o22: Column) -> Column:
     """Dunning's G2 of a 2 x 2 table, not rounded and without a sign."""
-    n = (o11 + o12 + o21 + o22).cast("double")
+    o11, o12, o21, o22 = (o.cast("double") for o in (o11, o12, o21, o22))
+    n = o11 + o12 + o21 + o22
     rows, columns = (o11 + o12, o21 + o22), (o11 + o21, o12 + o22)
     cells = ((o11, 0, 0), (o12, 0, 1), (o21, 1, 0), (o22, 1, 1))
     total = F.lit(0.0)
     for o, i, j in cells:
-        total = total + _cell(o.cast("double"), rows[i] * columns[j] / n)
+        total = total + _cell(o, rows[i] * columns[j] / n)
     return F.when(n > 0, 2 * total).otherwise(F.lit(0.0))
 
 

@@ -53,7 +53,7 @@ def date_in_text(text: Column, year_hint: Column, head: int = 3000, tolerance: i
 
 def weekday_name(day: Column, text: Column | None = None) -> Column:
     """The date's weekday; without a date the first name of the list that the text has (Sonnabend is Samstag)."""
-    named = F.element_at(F.lit(list(WEEKDAYS)), F.weekday(day) + 1)
+    named = F.when(day.isNotNull(), F.element_at(F.lit(list(WEEKDAYS)), F.weekday(day) + 1))
     if text is None:
         return named
     fallback = F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(w.lower())), F.lit(w)) for w in WEEKDAYS], F.when(F.contains(F.lower(text), F.lit("sonnabend")), F.lit("Samstag")))

@@ -101,7 +101,7 @@ def lda(corpus_df: DataFrame, k: int = 5, rounds: int = 30, vocabulary: int = 30
     from pyspark.ml.functions import vector_to_array
 
     rows = corpus_df.where("n_tokens > 0")
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=max_df).fit(rows)
+    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=max_df if max_df < 1 else float(2**53)).fit(rows)
     counted = counter.transform(rows)
     model = LDA(k=k, maxIter=rounds, seed=seed, optimizer=optimizer, featuresCol="features").fit(counted)
     words = F.lit(counter.vocabulary)
