@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lines are one from the start. A line's 64-bit SimHash
 over its words is cut into five blocks; lines within three bits agree on two blocks at least, so each of the ten pairs of blocks is
-a join key. Pairs within three bits are verified by edit similarity on the normalised lines, and of each connected group the first
-occurrence is kept. Lines of fewer than ``min_words`` words are left alone.
+a join key. A second, independent SimHash within eight bits and lengths that allow the wanted similarity sort out chance meetings,
+which would tie unrelated lines into large groups. What is left is verified by edit similarity on the normalised lines, and of each
+connected group the first occurrence is kept. Lines of fewer than ``min_words`` words are left alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Forest, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize
 from .shingles import SpanHasher, mix64, text_groups
 
-BITS = 3
+BITS, MORE_BITS = 3, 8
 BLOCKS = (13, 13, 13, 13, 12)
 
 
@@ -38,7 +39,7 @@ BYTES = _byte_map()
 
 
 def normalised(line: str) -> str:
-    return " ".join(line.lower().encode("utf-8", "surrogatepass").translate(BYTES).decode("utf-8", "surrogatepass").split(" ")).strip()
+    return " ".join(w for w in line.lower().encode("utf-8", "surrogatepass").translate(BYTES).decode("utf-8", "surrogatepass").split(" ") if w)
 
 
 def block_masks() -> list[int]:
@@ -52,7 +53,7 @@ def block_masks() -> list[int]:
 
 
 def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
-    """For all lines of the texts: (text, line number, words, hash of the words in order, SimHash)."""
+    """For all lines of the texts: (text, line number, words, characters, hash of the words in order, two SimHashes)."""
     raw = ("\n".join(t.lower() for t in texts) + "\n").encode("utf-8", "surrogatepass").translate(BYTES)
     data = np.frombuffer(raw, dtype=np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
@@ -70,7 +71,7 @@ def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
     some = np.flatnonzero(words)
     text, number, words, lo, hi = text[some], number[some], words[some], first[some], first[some + 1]
     if not len(some):
-        return text, number, words, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return text, number, words, words, *[np.zeros(0, np.uint64)] * 3
     order._grow(len(word) + 1)
     with np.errstate(over="ignore"):
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(word * order.power[: len(word)], dtype=np.uint64)]
@@ -79,13 +80,17 @@ def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
     parts = -(-words // 255)
     owner = np.repeat(np.arange(len(words)), parts)
     begin = lo[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    ones = np.empty((len(words), 8, 8), dtype=np.int64)
     by_line = np.searchsorted(owner, np.arange(len(words)))
-    for k in range(8):
-        lanes = np.add.reduceat((word >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
-        ones[:, :, k] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), by_line, axis=0)
-    sim = np.packbits(2 * ones.reshape(-1, 64) > words[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
-    return text, number, words, whole, sim
+    sims = []
+    for bits in (word, mix64(word ^ np.uint64(0x5851F42D4C957F2D))):
+        ones = np.empty((len(words), 8, 8), dtype=np.int64)
+        for k in range(8):
+            lanes = np.add.reduceat((bits >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
+            ones[:, :, k] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), by_line, axis=0)
+        sims.append(np.packbits(2 * ones.reshape(-1, 64) > words[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1))
+    letters = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
+    until = np.r_[0, np.cumsum(letters[stop] - letters[start])]
+    return text, number, words, until[hi] - until[lo] + words - 1, whole, *sims
 
 
 def edit_within(a: str, b: str, limit: int) -> bool:
@@ -135,40 +140,53 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         for pdf in frames:
             texts, keys, ths = pdf["text"].tolist(), pdf["key"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in text_groups(texts):
-                text, number, words, whole, sim = line_hashes(texts[lo:hi], hasher, order)
-                keep = words >= min_words
-                yield pd.DataFrame({"key": keys[lo:hi][text[keep]], "th": ths[lo:hi][text[keep]], "line": number[keep].astype(np.int32), "words": words[keep].astype(np.int32), "h": whole[keep].view(np.int64), "sim": sim[keep].view(np.int64)})
+                text, number, words, size, whole, sim, more = line_hashes(texts[lo:hi], hasher, order)
+                k = words >= min_words
+                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "size": size[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "more": more[k].view(np.int64)}
+                yield pd.DataFrame({"key": keys[lo:hi][text[k]], "th": ths[lo:hi][text[k]]} | columns)
 
-    lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, h long, sim long"))
+    lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, size int, h long, sim long, more long"))
     spot = F.struct("key", "line", "th")
-    distinct = materialize(lines.groupBy("h", "sim").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
+    distinct = materialize(lines.groupBy("h", "sim").agg(F.first("more").alias("more"), F.first("size").alias("size"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks())]))
     units = bucket_units(distinct.select("rid", "sim", keys.alias("block")), "block", "rid", 2000)
+    units = units.select("unit", "rid").join(distinct.select("rid", "sim", "more", "size"), "rid")
+
+    def close(pdf: pd.DataFrame):
+        """A function of index arrays: which pairs both SimHashes and the lengths let through."""
+        sim, more, size = pdf["sim"].to_numpy().view(np.uint64), pdf["more"].to_numpy().view(np.uint64), pdf["size"].to_numpy()
+
+        def test(i, j):
+            near = np.bitwise_count(sim[i] ^ sim[j]) <= BITS
+            near &= np.bitwise_count(more[i] ^ more[j]) <= MORE_BITS
+            return near & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+
+        return test
 
     def compare(pdf: pd.DataFrame):
-        bounds, rid, sim = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["sim"].to_numpy().view(np.uint64)
+        bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
         forest, a, b = Forest(len(pdf)), [], []
         for i, j in group_pairs(bounds):
-            near = np.bitwise_count(sim[i] ^ sim[j]) <= BITS
+            near = test(i, j)
             for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
                 if rid[x] != rid[y] and forest.join(x, y):
                     a.append(rid[x])
                     b.append(rid[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    groups = materialize(components(map_whole_groups(units.select("unit", "rid", "sim"), "unit", compare, "a long, b long")))
-    wanted = groups.join(distinct, groups.node == distinct.rid).select("rid", "root", "sim", "first.key", "first.line", "first.th")
+    groups = materialize(components(map_whole_groups(units, "unit", compare, "a long, b long")))
+    wanted = groups.join(distinct, groups.node == distinct.rid).select("rid", "root", "sim", "more", "size", "first.key", "first.line", "first.th")
     placed = bucket_units(wanted, "root", "rid", block)
     line = F.element_at(F.split("text", "\n", -1), F.col("line") + 1)
-    sent = placed.join(own, ["key", "th"]).select("unit", "rid", "sim", line.alias("text"))
+    sent = placed.join(own, ["key", "th"]).select("unit", "rid", "sim", "more", "size", line.alias("text"))
 
     def verify(pdf: pd.DataFrame):
         pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)
-        bounds, rid, sim = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["sim"].to_numpy().view(np.uint64)
+        bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
         text = [normalised(t) for t in pdf["text"]]
         forest, a, b = Forest(len(pdf)), [], []
         for i, j in group_pairs(bounds):
-            near = np.bitwise_count(sim[i] ^ sim[j]) <= BITS
+            near = test(i, j)
             for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
                 if forest.find(x) != forest.find(y):
                     longest = max(len(text[x]), len(text[y]))
@@ -205,12 +223,12 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the lines that near_lines doesn't keep taken out of text, and n_chars, if there is such a column, counted anew.
     A document that loses every line of ``min_words`` words or more goes; documents without such lines stay as they are."""
     found = near_lines(docs, **parameters)
-    marks = found.groupBy(F.col("key").alias("_key"), F.col("text_hash").alias("_th")).agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_drop"), F.max(F.col("kept").cast("int")).alias("_some")
+    marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_hash").alias("_tl_th")).agg(
+        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_tl_drop"), F.max(F.col("kept").cast("int")).alias("_tl_some")
     )
-    joined = docs.withColumn("_key", id_key()).withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["_key", "_th"], "left").where("_some is null or _some = 1")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i)), "\n")
-    out = joined.withColumn("text", F.when(F.size("_drop") > 0, rest).otherwise(F.col("text")))
+    joined = docs.withColumn("_tl_key", id_key()).withColumn("_tl_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["_tl_key", "_tl_th"], "left").where("_tl_some is null or _tl_some = 1")
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_tl_drop", i)), "\n")
+    out = joined.withColumn("text", F.when(F.size("_tl_drop") > 0, rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_drop") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_tl_drop") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
