@@ -191,7 +191,7 @@ def _links(a: list, b: list, na: list, nb: list) -> pd.DataFrame:
         forest = Forest(len(node))
         for x, y in zip(inverse[: len(a)].tolist(), inverse[len(a) :].tolist(), strict=True):
             forest.join(x, y)
-        root = np.array([forest.find(x) for x in range(len(node))])
+        root = np.array([forest.find(x) for x in range(len(node))], dtype=np.int64)
         other = np.flatnonzero(root != np.arange(len(node)))
         columns = {
             "a": np.r_[ends["a"], node[other]],
