@@ -81,17 +81,25 @@ def map_whole_groups(df: DataFrame, key: str, fn: Callable[[pd.DataFrame], Itera
 
 
 def bucket_units(rows: DataFrame, key: str, member: str, limit: int) -> DataFrame:
-    """Give rows of buckets with two or more members a column ``unit`` (long).
+    """Give rows of buckets with two or more members the columns ``unit`` (long) and ``half``.
 
     A bucket of at most ``limit`` members is one unit. A larger one is dealt into g blocks by the member's hash and every
-    pair of blocks is a unit, so all pairs still meet, in pieces of about 2 * limit rows; a member is sent to g units.
+    pair of blocks is a unit, so all pairs still meet, in pieces of about 2 * limit rows; a member is sent to g units. half is 0 where
+    a unit holds one block, else 1 or 2: pairs with halves 0, 0 or 1, 2 (see own_pairs) occur in one unit only.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     g = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
     block = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")
     placed = rows.join(sizes, key).withColumn("_g", g).withColumn("_b", F.when(F.col("_g") == 1, F.lit(0)).otherwise(block))
     other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
-    return placed.withColumn("_o", other).withColumn("unit", F.xxhash64(F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))).drop("_n", "_g", "_b", "_o")
+    half = F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2))
+    unit = F.xxhash64(F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))
+    return placed.withColumn("_o", other).withColumn("unit", unit).withColumn("half", half).drop("_n", "_g", "_b", "_o")
+
+
+def own_pairs(half: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs belong to the unit: all of a block's own, else those between its two blocks."""
+    return (half[i] + half[j]) % 3 == 0
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

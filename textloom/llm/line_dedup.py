@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize
+from .common import Forest, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize, own_pairs
 from .shingles import SpanHasher, mix64, text_groups
 
 BITS, MORE_BITS = 3, 8
@@ -150,14 +150,15 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     distinct = materialize(lines.groupBy("h", "sim").agg(F.first("more").alias("more"), F.first("size").alias("size"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks())]))
     units = bucket_units(distinct.select("rid", "sim", keys.alias("block")), "block", "rid", 2000)
-    units = units.select("unit", "rid").join(distinct.select("rid", "sim", "more", "size"), "rid")
+    units = units.select("unit", "half", "rid").join(distinct.select("rid", "sim", "more", "size"), "rid")
 
     def close(pdf: pd.DataFrame):
-        """A function of index arrays: which pairs both SimHashes and the lengths let through."""
+        """A function of index arrays: which pairs of the unit both SimHashes and the lengths let through."""
         sim, more, size = pdf["sim"].to_numpy().view(np.uint64), pdf["more"].to_numpy().view(np.uint64), pdf["size"].to_numpy()
+        half = pdf["half"].to_numpy()
 
         def test(i, j):
-            near = np.bitwise_count(sim[i] ^ sim[j]) <= BITS
+            near = own_pairs(half, i, j) & (np.bitwise_count(sim[i] ^ sim[j]) <= BITS)
             near &= np.bitwise_count(more[i] ^ more[j]) <= MORE_BITS
             return near & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
 
@@ -178,7 +179,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     wanted = groups.join(distinct, groups.node == distinct.rid).select("rid", "root", "sim", "more", "size", "first.key", "first.line", "first.th")
     placed = bucket_units(wanted, "root", "rid", block)
     line = F.element_at(F.split("text", "\n", -1), F.col("line") + 1)
-    sent = placed.join(own, ["key", "th"]).select("unit", "rid", "sim", "more", "size", line.alias("text"))
+    sent = placed.join(own, ["key", "th"]).select("unit", "half", "rid", "sim", "more", "size", line.alias("text"))
 
     def verify(pdf: pd.DataFrame):
         pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)

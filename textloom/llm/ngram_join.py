@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, binomial_tail_below, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize
+from .common import Forest, binomial_tail_below, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize, own_pairs
 from .shingles import SpanHasher, mix64, text_groups, words_of
 
 N_HASHES, BAND = 200, 5
@@ -116,10 +116,12 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     late = [(lo, hi, least_matches(threshold, tolerance, hi)) for lo, hi in ((0, FIRST), (FIRST, 128), (128, N_HASHES))]
 
     def compare(pdf: pd.DataFrame):
-        bounds, rid = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy()
+        bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), FIRST)
         forest, a, b = Forest(len(pdf)), [], []
         for i, j in group_pairs(bounds):
+            own = own_pairs(half, i, j)
+            i, j = i[own], j[own]
             kept = surviving(sig, i, j, early)
             for x, y in zip(i[kept].tolist(), j[kept].tolist(), strict=True):
                 if forest.join(x, y):
@@ -127,16 +129,17 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
                     b.append(rid[y])
         yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
-    short = units.join(texts.select("rid", F.substring("sig", 1, 2 * FIRST).alias("sig")), "rid").select("unit", "rid", "sig")
+    short = units.join(texts.select("rid", F.substring("sig", 1, 2 * FIRST).alias("sig")), "rid").select("unit", "half", "rid", "sig")
     groups = materialize(components(map_whole_groups(short, "unit", compare, "a long, b long")))
 
     full = groups.join(texts, groups.node == texts.rid).select("rid", "root", "digest", "first", "copies", "sig")
     placed = bucket_units(full, "root", "rid", block)
-    sent = placed.join(own.select(F.col("key").alias("first"), "digest", "text"), ["first", "digest"]).select("unit", "rid", "copies", "sig", "text")
+    sent = placed.join(own.select(F.col("key").alias("first"), "digest", "text"), ["first", "digest"]).select("unit", "half", "rid", "copies", "sig", "text")
 
     def verify(pdf: pd.DataFrame):
         pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)
         bounds, rid, copies = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["copies"].to_numpy()
+        half = pdf["half"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), N_HASHES)
         texts, hasher, sets = pdf["text"].tolist(), SpanHasher(), []
         for lo, hi in text_groups(texts):
@@ -147,7 +150,7 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             i, j = np.triu_indices(int(hi - lo), 1)
             i, j = i + lo, j + lo
-            fits = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
+            fits = own_pairs(half, i, j) & (np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
             i, j = i[fits], j[fits]
             kept = surviving(sig, i, j, late)
             i, j = i[kept], j[kept]
@@ -158,6 +161,8 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
             else:
                 both = overlaps(sets[lo:hi])[i - lo, j - lo]
             linked = both >= threshold * (size[i] + size[j] - both) - 1e-9
+            if not linked.any():
+                continue
             a.append(rid[i[linked]])
             b.append(rid[j[linked]])
             na.append(copies[i[linked]])
@@ -206,6 +211,6 @@ def _links(a: list, b: list, na: list, nb: list) -> pd.DataFrame:
 def one_per_class(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` less all but one of each class of near texts: the row of the least doc_id stays (of repeated rows with
     that id and an equal text, one)."""
-    found = near_texts(docs, **parameters).where("doc_id <=> class_id and doc_id <=> text_id").select(id_key().alias("_key")).distinct()
-    kept = docs.withColumn("_key", id_key()).join(found, "_key", "left_semi").withColumn("_digest", F.md5(F.col("text").cast("binary")))
-    return kept.dropDuplicates(["_key", "_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = near_texts(docs, **parameters).where("doc_id <=> class_id and doc_id <=> text_id").select(id_key().alias("_tl_key")).distinct()
+    kept = docs.withColumn("_tl_key", id_key()).join(found, "_tl_key", "left_semi").withColumn("_tl_digest", F.md5(F.col("text").cast("binary")))
+    return kept.dropDuplicates(["_tl_key", "_tl_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])
