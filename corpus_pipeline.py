@@ -13,7 +13,7 @@ from textloom.llm.common import scratch_dir, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 stay; the lexicon is learned from labelled training rows of these documents."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, "_score").where("_score < 0.5").select(*docs.columns)
+    return toxicity.with_score(docs, model, "_tl_score").where("_tl_score < 0.5").drop("_tl_score")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

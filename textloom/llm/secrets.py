@@ -91,16 +91,17 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``_spans``: array<struct<s, k, e>> of all rules' spans by start, rule, end. Texts are shuffled once, by id."""
-    keyed = docs.withColumn("key", id_key())
-    texts = keyed.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    """``docs`` with ``_tl_spans``: array<struct<s, k, e>> of all rules' spans by start, rule, end. Texts are shuffled once, by id."""
+    keyed = docs.withColumn("_tl_key", id_key())
+    texts = keyed.select(F.col("_tl_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = set().union(*(trigrams(trigram_query(r.pattern)) for r in rules))
-    joined = keyed.join(candidates(postings(texts, wanted), rules), "key", "left")
+    tried_rules = candidates(postings(texts, wanted), rules).withColumnsRenamed({"key": "_tl_key", "try": "_tl_try"})
+    joined = keyed.join(tried_rules, "_tl_key", "left")
     text, none, found = F.coalesce("text", F.lit("")), F.array().cast("array<struct<s:int,k:int,e:int>>"), []
     for k, rule in enumerate(rules):
-        tried = F.lit(True) if trigram_query(rule.pattern) is True else F.array_contains(F.coalesce("try", F.array().cast("array<int>")), k)
+        tried = F.lit(True) if trigram_query(rule.pattern) is True else F.array_contains(F.coalesce("_tl_try", F.array().cast("array<int>")), k)
         found.append(F.when(tried & text.rlike(rule.pattern), rule_spans(text, rule, k)).otherwise(none))
-    return joined.withColumn("_spans", F.array_sort(F.concat(*found))).drop("try")
+    return joined.withColumn("_tl_spans", F.array_sort(F.concat(*found))).drop("_tl_try")
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -119,11 +120,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     share an id, or have none, share their list of rules to try, which only ever tries more. Repeated rows each come back.
     """
     found = with_spans(docs.select("doc_id", "text"), rules)
-    base = F.filter("_spans", lambda x: x["k"] < BASE)
-    kinds = F.transform("_spans", lambda x: x["k"])
+    base = F.filter("_tl_spans", lambda x: x["k"] < BASE)
+    kinds = F.transform("_tl_spans", lambda x: x["k"])
     count = {r.kind: F.size(F.array_compact(F.transform(kinds, is_number(k)))).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(rules[:BASE])}
-    return found.select(from_key(F.col("key")).alias("doc_id"), "_spans").select(
-        "doc_id", *count.values(), F.sha2(written(base, rules).cast("binary"), 256).alias("base_sha256"), written(F.col("_spans"), rules).alias("spans"), F.size("_spans").alias("n_spans")
+    return found.select(from_key(F.col("_tl_key")).alias("doc_id"), "_tl_spans").select(
+        "doc_id", *count.values(), F.sha2(written(base, rules).cast("binary"), 256).alias("base_sha256"), written(F.col("_tl_spans"), rules).alias("spans"), F.size("_tl_spans").alias("n_spans")
     )
 
 
@@ -137,5 +138,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), text.alias("out"))
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1)))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", start, step, end)).otherwise(F.col("text"))
+    clean = F.when(F.size("_tl_spans") > 0, F.aggregate("_tl_spans", start, step, end)).otherwise(F.col("text"))
     return with_spans(docs, rules).withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -87,7 +87,7 @@ def cut_positions(sizes: list[int], capacity: int, shards: int) -> list[int]:
         want = ends[at] + (total - ends[at]) / (shards - k + 1)
         near = int(np.searchsorted(ends, want))
         near = near - 1 if near and want - ends[near - 1] <= ends[min(near, n)] - want else near
-        at = min(max(near, earliest[k - 1], at), most, n)
+        at = min(max(near, earliest[k - 1], at + 1), max(most, at), n)  # a shard has a group, as long as there are groups
         cuts.append(at)
     return cuts
 

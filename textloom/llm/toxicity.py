@@ -32,7 +32,7 @@ LOOK_ALIKES = str.maketrans(
 )
 # Digits and signs that stand for letters inside words.
 DIGITS = str.maketrans("0134578@$!|", "oieastbasil")
-_SUBSTITUTED = re.compile(r"(?<![^\W\d_])[0134578@$]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_])[0134578@$!|]{1,3}(?=[^\W\d_])|(?<=[^\W\d_])[01345780@$]{1,2}(?![\w@$!|])")
+_SUBSTITUTED = re.compile(r"(?<![^\W\d_])[0134578@$]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_])[0134578@$!|]{1,3}(?=[^\W\d_])|(?<=[^\W\d_]{2})[01345780@$]{1,2}(?![\w@$!|])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -42,7 +42,11 @@ def fold(text: str) -> str:
         text = text.lower().translate(LOOK_ALIKES)
     else:
         text = text.lower()
-    return _SUBSTITUTED.sub(lambda m: m[0].translate(DIGITS), text)
+    for _ in range(2):  # letters made first may make digits beside them letters
+        text, n = _SUBSTITUTED.subn(lambda m: m[0].translate(DIGITS), text)
+        if not n:
+            break
+    return text
 
 
 @dataclass(frozen=True)
