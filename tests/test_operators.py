@@ -192,3 +192,28 @@ def test_report_is_markdown(spark):
     df = spark.createDataFrame([("a", 1), (None, 2)], "term string, abs long")
     text = report.report({"Terms": df})
     assert "## Terms" in text and "| term | abs |" in text and "|---|---:|" in text and "|  | 2 |" in text
+
+
+def test_stages_make_what_they_need(docs):
+    from textloom.plans.stages import Run, Settings
+
+    run = Run(docs, Settings(min_length=1, slices=[1929, 1930, 1931], targets=["a"], kwic_targets=[("a", "^a$")]))
+    assert run.table("keyness").columns[0] == "transition" and "corpus" in run.tables
+    assert run.table("kwic").count() == 5 and "## Overview" in run.report(["overview"])
+    with pytest.raises(KeyError):
+        run.table("nothing")
+
+
+def test_plugins_load_a_model_and_may_skip(docs):
+    from textloom.operators import plugins
+
+    def scored(model, text):
+        if not text:
+            raise ValueError("nothing to score")
+        return float(len(text) * model)
+
+    found = plugins.annotated(docs, lambda: 2, scored, "double", "score", on_error="skip")
+    assert table(found.where("doc_id in (3, 4, 7)"), "doc_id", "score") == {(3, 2.0), (7, None)}
+    tagged = plugins.tagged(docs, lambda: None, lambda _, t: [{"text": w, "lemma": w.strip("."), "pos": None, "is_stop": w == "da."} for w in t.split()])
+    rows = {r["doc_id"]: r for r in plugins.lemma_corpus(tagged.where("text is not null") if "text" in tagged.columns else tagged, 3).collect()}
+    assert rows[5]["tokens"] == ["eins", "ist", "zwei", "folgt", "drei", "vier"] and rows[5]["n_raw_tokens"] == 8

@@ -79,3 +79,11 @@ def tagged_collocations(tagged: DataFrame, prefix: str, window: int = 5, content
     counts = kept.groupBy("collocate").agg(F.count(F.lit(1)).alias("n"), F.max_by("p", F.struct("doc_id", "i")).alias("pos_tag"))
     best = counts.crossJoin(counts.agg(F.sum("n").alias("all"))).orderBy(F.desc("n"), "collocate").limit(k).withColumn("_one", F.lit(1))
     return top_k(best, k, ["_one"], [F.desc("n"), "collocate"]).select("rank", "collocate", "pos_tag", "n", F.round(F.col("n") / F.col("all") * 100, 2).alias("share"))
+
+
+def word_forms(tagged: DataFrame, prefix: str, k: int = 20) -> DataFrame:
+    """rank, form, n, n_docs: the written forms of lemmas that begin with ``prefix``."""
+    hits = tagged.select("doc_id", F.explode("tokens").alias("t")).where(F.startswith(F.translate(F.lower("t.lemma"), "ſ", "s"), F.lit(prefix)))
+    counts = hits.groupBy(F.col("t.text").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    best = counts.orderBy(F.desc("n"), "form").limit(k).withColumn("_one", F.lit(1))
+    return top_k(best, k, ["_one"], [F.desc("n"), "form"]).select("rank", "form", "n", "n_docs")

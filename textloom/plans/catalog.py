@@ -17,6 +17,7 @@ from textloom.operators import correction, density, frequency, keyness, kwic, me
 from textloom.operators import sentences as sent
 from textloom.operators.corpus import corpus, distinct_texts, encoded_tokens, overview, with_slice, year_from_name
 from textloom.operators.report import yearly
+from textloom.plans import explore
 from textloom.sources.writers import with_total_row
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,3 +606,53 @@ def yearly_values(spark, d):
 def change_labels(spark, d):
     wide = seed_pivot(spark, d)
     return wide.select("term", stats.change_label(F.col("y1929"), F.col("y1930")).alias("change_a"), stats.change_label(F.lit(0) * F.col("y1929"), F.col("y1931")).alias("change_b"))
+
+
+# Questions on result tables
+
+
+@query
+def word_forms(spark, d):
+    rows = documents(spark, d).select("doc_id", F.transform(space_tokens("text"), tag).alias("tokens"))
+    return co.word_forms(rows, "ver")
+
+
+@query
+def explore_terms(spark, d):
+    return explore.find_terms(frequency.frequencies(tokens(spark, d)), "Ver", 25)
+
+
+@query
+def explore_seeds(spark, d):
+    return explore.top_seed_pivot(seed_grid(spark, d), SLICES, 3)
+
+
+@query
+def explore_keywords(spark, d):
+    return explore.keyword_table(keyness_pairs(spark, d), "1929→1930", keyness.RISING, 15).select("token", "g2", "pm_diff")
+
+
+@query
+def explore_keyword_seeds(spark, d):
+    return explore.keyword_seed_pivot(keyness_pairs(spark, d), list(SEEDS), ["1929→1930", "1930→1931"])
+
+
+@query
+def explore_ngrams(spark, d):
+    return explore.ngram_table(ngrams.ngram_counts(tokens(spark, d)), 2, "1930", 12)
+
+
+@query
+def explore_collocates(spark, d):
+    return explore.collocate_table(colloc_all(spark, d), "the", "1929", "pmi", 12).select("collocate", "cofreq", "pmi")
+
+
+@query
+def explore_topic_labels(spark, d):
+    rows = topic_table(spark, d, 5).select("topic", F.posexplode("terms").alias("rank", "term")).withColumn("rank", F.col("rank") + 1)
+    return explore.topic_labels(rows)
+
+
+@query
+def explore_share_map(spark, d):
+    return explore.share_heat_map(topic_shares(spark, d), SLICES)

@@ -289,3 +289,14 @@ SQL["first_turns"] = "SELECT conv_id, role, turn, md5(text) AS text_md5 FROM con
 SQL["first_last_turn"] = "SELECT conv_id, first(role ORDER BY turn, role) AS first_role, last(role ORDER BY turn, role) AS last_role, count(*) AS n FROM conversations GROUP BY 1"
 SQL["text_search"] = "SELECT doc_id, CASE WHEN length(text) > 50 THEN 51 ELSE length(text) END AS n, upper(left(lang, 1)) || lower(substr(lang, 2)) AS lang FROM documents WHERE contains(lower(source), 'src1') OR contains(lower(lang), 'src1')"
 SQL["yearly_values"] = "SELECT (1929 + user_id % 3)::VARCHAR AS slice, count(*) AS n, round(avg(floor(value)), 2) AS mean, min(floor(value)) AS min, max(floor(value)) AS max FROM events GROUP BY 1"
+
+SQL["word_forms"] = f"""WITH {SPACED}, f AS (SELECT token AS form, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM raw WHERE starts_with(replace(lower(regexp_replace(token, '[.,!?]+$', '')), 'ſ', 's'), 'ver') GROUP BY 1)
+SELECT row_number() OVER (ORDER BY n DESC, form) AS rank, form, n, n_docs FROM f QUALIFY rank <= 20"""
+SQL["explore_terms"] = f"WITH {TOKENS}, n AS (SELECT count(*) AS t FROM tok) SELECT token, count(*) AS abs, {ppm('count(*)', 'any_value(t)')} AS per_million FROM tok, n WHERE contains(token, 'ver') GROUP BY token ORDER BY abs DESC, token LIMIT 25"
+SQL["explore_seeds"] = f"WITH {GRID} SELECT term, {PIVOT} FROM grid GROUP BY 1 ORDER BY sum(abs) DESC, term LIMIT 3"
+SQL["explore_keywords"] = f"WITH {KEYNESS} SELECT token, g2, pm_diff FROM key WHERE transition = '1929→1930' AND direction = 'Aufsteiger' ORDER BY abs(g2) DESC, token LIMIT 15"
+SQL["explore_keyword_seeds"] = f"""WITH {KEYNESS}, {SEEDS} SELECT token, avg(g2) FILTER (transition = '1929→1930') AS t0, avg(g2) FILTER (transition = '1930→1931') AS t1 FROM key WHERE token IN (SELECT term FROM seeds) GROUP BY 1"""
+SQL["explore_ngrams"] = f"WITH {NGRAMS} SELECT * FROM ng WHERE n = 2 AND scope = '1930' ORDER BY abs DESC, ngram LIMIT 12"
+SQL["explore_collocates"] = f"WITH {COLLOC} SELECT collocate, cofreq, pmi FROM col WHERE target = 'the' AND scope = '1929' ORDER BY pmi DESC, collocate LIMIT 12"
+SQL["explore_topic_labels"] = f"WITH {TOKENS}, {topic_terms(5, 'a')} SELECT topic, terms[1] || ', ' || terms[2] || ', ' || terms[3] AS label FROM a"
+SQL["explore_share_map"] = f"WITH x AS ({SQL['topic_shares']}) SELECT topic, any_value(mean_share) FILTER (slice = 1929) AS y1929, any_value(mean_share) FILTER (slice = 1930) AS y1930, any_value(mean_share) FILTER (slice = 1931) AS y1931 FROM x GROUP BY 1"
