@@ -1,10 +1,10 @@
 """Byte-level BPE over a shuffle of distinct words.
 
-Documents are split into pre-tokens in chunks. A chunk keeps each document's positions as ranks into the chunk's own distinct
-words, and sends those words, dealt into buckets by hash, to where all chunks' words of a bucket meet: there each distinct word
-is encoded once. The ids go back to the chunk, where documents are put together by position, and are decoded through the table of
-token bytes. What is shuffled is one packed block for each chunk and bucket, so frequent words cost no more than rare ones and
-no key gathers rows.
+Documents are split into pre-tokens in chunks. A chunk's distinct words are dealt into buckets by hash; a bucket's block has the
+words and, in order of position, which of them stands there. All chunks' blocks of a bucket meet, and each distinct word is encoded
+once there. The ids go back with the positions to the chunk, where documents are put together, and are decoded through the table of
+token bytes. What is shuffled is one packed block for each chunk and bucket, so frequent words cost no more than rare ones and no
+key gathers rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_key, id_key, map_whole_groups, materialize
+from .common import from_key, id_key, map_whole_groups, repeatable
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -82,7 +82,9 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 def _chunks(frames, pattern: str, buckets: int, size: int):
-    """For each chunk of about ``size`` characters a row of documents (bucket null) and rows of distinct words (bucket set)."""
+    """For each chunk of about ``size`` characters a row of documents (keys set; numbers: the bucket of each pre-token, pre-tokens of
+    each document), dealt to a bucket beyond the others, and a row for each bucket (numbers: lengths of its words, words by rising
+    rank; places: the rank of each of its pre-tokens)."""
     import regex
     import zstandard
     from pyspark import TaskContext
@@ -102,23 +104,27 @@ def _chunks(frames, pattern: str, buckets: int, size: int):
 
     def rows():
         words = list(ranks)
-        # ranks by falling count, so that most positions are small numbers
-        flat = np.concatenate(positions) if positions else np.zeros(0, dtype=np.uint32)
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        place = np.empty(len(words), dtype=np.uint32)
-        place[order] = np.arange(len(words), dtype=np.uint32)
+        flat = np.concatenate(positions)
+        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # so that most ranks are small numbers
         raw = [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
         bucket = np.fromiter(map(zlib.crc32, raw), dtype=np.uint32, count=len(raw)) % np.uint32(buckets)
-        name = (partition << 32) + chunk
-        lengths = np.fromiter(map(len, positions), dtype=np.uint32, count=len(positions))
-        out = [(name, None, keys, _pack(place[flat], lengths, bucket), None)]
         by = np.argsort(bucket, kind="stable")
         bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        of_word, within = np.empty(len(words), dtype=np.uint16), np.empty(len(words), dtype=np.uint32)
+        of_word[order] = bucket
+        within[order[by]] = np.arange(len(words)) - bounds[bucket[by]]
+        of_token, rank = of_word[flat], within[flat]
+        name = (partition << 32) + chunk
+        lengths = np.fromiter(map(len, positions), dtype=np.uint32, count=len(positions))
+        yield (name, buckets + name % buckets, keys, _pack(of_token, lengths), None, None)
         for b in range(buckets):
             own = [raw[k] for k in by[bounds[b] : bounds[b + 1]].tolist()]
             if own:
-                out.append((name, b, None, _pack(np.fromiter(map(len, own), dtype=np.uint32, count=len(own))), zstandard.compress(b"".join(own), 3)))
-        return pd.DataFrame(out, columns=["chunk", "bucket", "keys", "numbers", "words"]).astype({"bucket": "Int64"})
+                sizes = np.fromiter(map(len, own), dtype=np.uint32, count=len(own))
+                yield (name, b, None, _pack(sizes), zstandard.compress(b"".join(own), 3), _pack(rank[of_token == b]))
+
+    def frame():
+        return pd.DataFrame(rows(), columns=["chunk", "bucket", "keys", "numbers", "words", "places"])
 
     for pdf in frames:
         for key, text in zip(pdf["key"].tolist(), pdf["text"].tolist(), strict=True):
@@ -126,77 +132,81 @@ def _chunks(frames, pattern: str, buckets: int, size: int):
             positions.append(np.fromiter(map(ranks.__getitem__, split(text)), dtype=np.uint32))
             held += len(text)
             if held >= size:
-                yield rows()
+                yield frame()
                 keys, positions, held, ranks, chunk = [], [], 0, rank(), chunk + 1
     if keys:
-        yield rows()
+        yield frame()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, chunk_chars: int = 16 << 20, render=None, schema: str = "ids array<int>, decoded binary") -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, chunk_chars: int = 24 << 20, render=None, schema: str = "ids array<int>, decoded binary") -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id and what ``render(ids, decoded)`` gives, by default the ids and the bytes
     they decode to. A null text is empty (no ids); null ids and repeated rows come back as they are.
 
     ranks_path names a file of base64 token and rank lines that workers can read. A document of any length is whole in one chunk.
     """
-    own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    own = repeatable(docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")))
     buckets = buckets or min(4096, max(64, 2 * own.rdd.getNumPartitions()))
-    chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, buckets, chunk_chars), "chunk long, bucket long, keys array<long>, numbers binary, words binary"))
+    chunks = own.mapInPandas(lambda frames: _chunks(frames, pattern, buckets, chunk_chars), "chunk long, bucket long, keys array<long>, numbers binary, words binary, places binary")
     render = render or (lambda ids, decoded: (ids.tolist(), decoded.tobytes()))
 
-    def encode(pdf: pd.DataFrame):
+    def encode(frames):
+        """Rows sorted by bucket; the words known so far are those of one bucket."""
         import zstandard
 
         single = encoder(rank_table(ranks_path), pattern)._encode_single_piece
-        out = []
-        for _, blocks in pdf.groupby("bucket", sort=False):
-            known: dict[bytes, list[int]] = {}
-            for chunk, bucket, numbers, packed in zip(blocks["chunk"], blocks["bucket"], blocks["numbers"], blocks["words"], strict=True):
-                data, ends = zstandard.decompress(packed), np.cumsum(_unpack(numbers)[0]).tolist()
-                ids, counts, start = [], [], 0
-                for end in ends:
+        now, known = None, {}
+        for pdf in frames:
+            out = []
+            for chunk, bucket, keys, numbers, packed, places in zip(*(pdf[c] for c in ("chunk", "bucket", "keys", "numbers", "words", "places")), strict=True):
+                if packed is None:
+                    out.append((chunk, bucket, keys, numbers, None))
+                    continue
+                if bucket != now:
+                    now, known = bucket, {}
+                data, ids, counts, start = zstandard.decompress(packed), [], [], 0
+                for end in np.cumsum(_unpack(numbers)[0]).tolist():
                     word, start = data[start:end], end
                     found = known.get(word)
                     if found is None:
                         found = known[word] = single(word)
                     ids += found
                     counts.append(len(found))
-                out.append((chunk, bucket, _pack(np.array(counts), np.array(ids))))
-        yield pd.DataFrame(out, columns=["chunk", "bucket", "numbers"])
+                out.append((chunk, bucket, None, _pack(np.array(counts), np.array(ids)), places))
+            yield pd.DataFrame(out, columns=["chunk", "bucket", "keys", "numbers", "places"])
 
-    words = chunks.where("bucket is not null").select("chunk", "bucket", "numbers", "words")
-    encoded = map_whole_groups(words, "bucket", encode, "chunk long, bucket long, numbers binary", 32)
-    pieces = chunks.where("bucket is null").select("chunk", "bucket", "keys", "numbers").unionByName(encoded.withColumn("keys", F.lit(None).cast("array<long>")))
+    encoded = chunks.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encode, "chunk long, bucket long, keys array<long>, numbers binary, places binary")
 
     def assemble(pdf: pd.DataFrame):
         table = token_bytes(rank_table(ranks_path))
         for _, rows in pdf.groupby("chunk", sort=False):
-            head = rows[rows["bucket"].isna()]
+            head = rows[rows["keys"].notna()]
             if len(head) != 1:
                 raise RuntimeError("a chunk's documents are missing or doubled")
             keys = head["keys"].iloc[0]
-            positions, lengths, bucket = _unpack(head["numbers"].iloc[0])
-            count, first, ids, total = np.zeros(len(bucket), dtype=np.int64), np.zeros(len(bucket), dtype=np.int64), [], 0
-            for b, numbers in zip(rows["bucket"], rows["numbers"], strict=True):
-                if not pd.isna(b):
+            bucket, lengths = _unpack(head["numbers"].iloc[0])
+            bucket = bucket.astype(np.uint16)
+            count, first, ids, total = np.zeros(len(bucket), dtype=np.int32), np.zeros(len(bucket), dtype=np.int64), [], 0
+            for b, numbers, places in zip(rows["bucket"], rows["numbers"], rows["places"], strict=True):
+                if places is not None:
                     counts, own = _unpack(numbers)
-                    at = np.flatnonzero(bucket == int(b))
-                    count[at] = counts
-                    first[at] = total + np.cumsum(counts) - counts
+                    (rank,) = _unpack(places)
+                    at = bucket == b
+                    count[at] = counts[rank]
+                    first[at] = (total + np.cumsum(counts, dtype=np.int64) - counts)[rank]
                     ids.append(own)
                     total += len(own)
             ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
             out, start = [], 0
             for key, n in zip(keys, lengths.tolist(), strict=True):
-                p = positions[start : start + n]
+                c, f = count[start : start + n].astype(np.int64), first[start : start + n]
                 start += n
-                c = count[p]
-                ends = np.cumsum(c)
-                own = ids[np.repeat(first[p] - (ends - c), c) + np.arange(ends[-1])] if n else ids[:0]
+                stop = np.cumsum(c)
+                own = ids[np.repeat(f - (stop - c), c) + np.arange(stop[-1])] if n else ids[:0]
                 out.append((key, *render(own, table(own))))
             yield pd.DataFrame(out, columns=["key", *names])
 
     names = [c.strip().split()[0] for c in schema.split(",")]
-    whole = map_whole_groups(pieces, "chunk", assemble, f"key long, {schema}", 1)
+    whole = map_whole_groups(encoded, "chunk", assemble, f"key long, {schema}", 1)
     return whole.select(from_key(F.col("key")).alias("doc_id"), *names)
 
 
