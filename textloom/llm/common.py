@@ -16,7 +16,16 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Arrow batches have at most so many rows, unless the session has another number than Spark's own: whole texts make
+    large batches, of which a worker holds several copies."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,11 +45,19 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_dir(spark)}/textloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """df itself where its rows come from files in the same order each time; else written first, so that a task that runs again
+    after a lost executor sees the rows it saw before."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df) if "Exchange" in plan or "Scan ExistingRDD" in plan else df
+
+
 def id_key(column: str = "doc_id"):
     """doc_id as a join key that also holds for null."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
@@ -116,7 +133,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def star(df, large: bool):
         both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else df
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        moved = both.join(least, "a")
+        # the key is made anew, so that both sides of the join are shuffled and a node with very many links can be split
+        moved = both.join(least.select(F.col("a").bitwiseXOR(F.lit(0)).alias("_a"), "m"), F.col("a") == F.col("_a"))
         if large:
             out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -158,6 +176,12 @@ class Forest:
         self.up[y] = x
         return True
 
+    def stars(self, names: np.ndarray) -> pd.DataFrame:
+        """(a, b): each tree as links from its root to its other members, so that components settle in few rounds."""
+        root = np.fromiter(map(self.find, range(len(self.up))), dtype=np.int64, count=len(self.up))
+        other = np.flatnonzero(root != np.arange(len(root)))
+        return pd.DataFrame({"a": names[root[other]], "b": names[other]}, dtype="int64")
+
 
 def group_bounds(keys: np.ndarray) -> np.ndarray:
     """Start of each run of equal keys, and the length at the end."""

@@ -166,14 +166,12 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
 
     def compare(pdf: pd.DataFrame):
         bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
-        forest, a, b = Forest(len(pdf)), [], []
+        forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
             near = test(i, j)
             for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                if rid[x] != rid[y] and forest.join(x, y):
-                    a.append(rid[x])
-                    b.append(rid[y])
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+                forest.join(x, y)
+        yield forest.stars(rid)
 
     groups = materialize(components(map_whole_groups(units, "unit", compare, "a long, b long")))
     wanted = groups.join(distinct, groups.node == distinct.rid).select("rid", "root", "sim", "more", "size", "first.key", "first.line", "first.th")
@@ -185,7 +183,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)
         bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
         text = [normalised(t) for t in pdf["text"]]
-        forest, a, b = Forest(len(pdf)), [], []
+        forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
             near = test(i, j)
             for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
@@ -193,9 +191,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
                     longest = max(len(text[x]), len(text[y]))
                     if edit_within(text[x], text[y], int((1 - similarity) * longest + 1e-9)):
                         forest.join(x, y)
-                        a.append(rid[x])
-                        b.append(rid[y])
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+        yield forest.stars(rid)
 
     roots = components(map_whole_groups(sent, "unit", verify, "a long, b long", 256))
     named = distinct.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))

@@ -118,16 +118,14 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     def compare(pdf: pd.DataFrame):
         bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), FIRST)
-        forest, a, b = Forest(len(pdf)), [], []
+        forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
             own = own_pairs(half, i, j)
             i, j = i[own], j[own]
             kept = surviving(sig, i, j, early)
             for x, y in zip(i[kept].tolist(), j[kept].tolist(), strict=True):
-                if forest.join(x, y):
-                    a.append(rid[x])
-                    b.append(rid[y])
-        yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+                forest.join(x, y)
+        yield forest.stars(rid)
 
     short = units.join(texts.select("rid", F.substring("sig", 1, 2 * FIRST).alias("sig")), "rid").select("unit", "half", "rid", "sig")
     groups = materialize(components(map_whole_groups(short, "unit", compare, "a long, b long")))
