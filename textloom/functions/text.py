@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]+"
@@ -16,6 +16,20 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def unnested(df: DataFrame, array: Column | str, name: str, *keep: str) -> DataFrame:
+    """keep and a row for each element of ``array``, none of which is null.
+
+    An outer explode: for the inner one Spark infers a filter on the array's size, which computes the whole array once more, and
+    inside other lambdas once for every element.
+    """
+    return df.select(*keep, F.explode_outer(as_column(array)).alias(name)).where(F.col(name).isNotNull())
+
+
+def unnested_at(df: DataFrame, array: Column | str, position: str, name: str, *keep: str) -> DataFrame:
+    """As unnested, with the element's position from 0."""
+    return df.select(*keep, F.posexplode_outer(as_column(array)).alias(position, name)).where(F.col(name).isNotNull())
+
+
 def word_tokens(text: Column | str, pattern: str = WORD) -> Column:
     """Lower-cased matches of ``pattern``; empty for null."""
     return F.coalesce(F.regexp_extract_all(F.lower(as_column(text)), F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import log_likelihood, pmi
+from textloom.functions.text import unnested
 from textloom.operators.frequency import scoped, scoped_totals, top_k
 
 
@@ -25,8 +26,8 @@ def window_rows(corpus_df: DataFrame, targets: Sequence[str], window: int) -> Da
     Windows are slices of the document's own array, so nothing is shuffled; only hits carry one."""
     wanted = F.lit(list(targets))
     hits = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda x: F.array_contains(wanted, x["t"]))
-    each = corpus_df.select("slice", "tokens", F.explode(hits).alias("h"))
-    return each.select("slice", F.col("h.t").alias("target"), F.explode(around(F.col("tokens"), F.col("h.i"), window)).alias("collocate")).where("collocate <> target")
+    each = unnested(corpus_df, hits, "h", "slice", "tokens")
+    return each.select("slice", F.col("h.t").alias("target"), F.explode_outer(around(F.col("tokens"), F.col("h.i"), window)).alias("collocate")).where("collocate <> target")
 
 
 def collocations(corpus_df: DataFrame, targets: Sequence[str], window: int = 5, least: int = 3) -> DataFrame:
@@ -36,7 +37,7 @@ def collocations(corpus_df: DataFrame, targets: Sequence[str], window: int = 5,
     negative cell are left out.
     """
     co = scoped(window_rows(corpus_df, targets, window), ["target", "collocate"], {"cofreq": F.count(F.lit(1))}).where(F.col("cofreq") >= least)
-    single = scoped(corpus_df.select("slice", F.explode("tokens").alias("w")), ["w"], {"n": F.count(F.lit(1))})
+    single = scoped(unnested(corpus_df, "tokens", "w", "slice"), ["w"], {"n": F.count(F.lit(1))})
     totals = scoped_totals(corpus_df).withColumnRenamed("total", "n_total")
     of_target = single.where(F.col("w").isin(list(targets))).select("scope", F.col("w").alias("target"), F.col("n").alias("freq_target"))
     of_other = single.select("scope", F.col("w").alias("collocate"), F.col("n").alias("freq_collocate"))
@@ -73,8 +74,8 @@ def tagged_collocations(tagged: DataFrame, prefix: str, window: int = 5, content
     word = lambda x: F.translate(F.lower(x["lemma"]), "ſ", "s")
     rows = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), word(t).alias("w"), t["pos"].alias("p"), t["is_stop"].alias("s")))
     base = tagged.select("doc_id", rows.alias("x"))
-    hits = base.select("doc_id", "x", F.explode(F.filter("x", lambda r: F.startswith(r["w"], F.lit(prefix)))).alias("h"))
-    near = hits.select("doc_id", F.explode(around(F.col("x"), F.col("h.i"), window)).alias("c")).select("doc_id", F.col("c.i").alias("i"), F.regexp_replace("c.w", "[^a-zäöüß]", "").alias("collocate"), F.col("c.p").alias("p"), F.col("c.s").alias("s"))
+    hits = unnested(base, F.filter("x", lambda r: F.startswith(r["w"], F.lit(prefix))), "h", "doc_id", "x")
+    near = hits.select("doc_id", F.explode_outer(around(F.col("x"), F.col("h.i"), window)).alias("c")).select("doc_id", F.col("c.i").alias("i"), F.regexp_replace("c.w", "[^a-zäöüß]", "").alias("collocate"), F.col("c.p").alias("p"), F.col("c.s").alias("s"))
     kept = near.where((F.col("p").isNull() | F.col("p").isin(list(content))) & ~F.coalesce("s", F.lit(False)) & (F.col("collocate") != "") & ~F.startswith("collocate", F.lit(prefix)))
     counts = kept.groupBy("collocate").agg(F.count(F.lit(1)).alias("n"), F.max_by("p", F.struct("doc_id", "i")).alias("pos_tag"))
     best = counts.crossJoin(counts.agg(F.sum("n").alias("all"))).orderBy(F.desc("n"), "collocate").limit(k).withColumn("_one", F.lit(1))
@@ -83,7 +84,7 @@ def tagged_collocations(tagged: DataFrame, prefix: str, window: int = 5, content
 
 def word_forms(tagged: DataFrame, prefix: str, k: int = 20) -> DataFrame:
     """rank, form, n, n_docs: the written forms of lemmas that begin with ``prefix``."""
-    hits = tagged.select("doc_id", F.explode("tokens").alias("t")).where(F.startswith(F.translate(F.lower("t.lemma"), "ſ", "s"), F.lit(prefix)))
+    hits = unnested(tagged, "tokens", "t", "doc_id").where(F.startswith(F.translate(F.lower("t.lemma"), "ſ", "s"), F.lit(prefix)))
     counts = hits.groupBy(F.col("t.text").alias("form")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
     best = counts.orderBy(F.desc("n"), "form").limit(k).withColumn("_one", F.lit(1))
     return top_k(best, k, ["_one"], [F.desc("n"), "form"]).select("rank", "form", "n", "n_docs")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import as_column, word_tokens
+from textloom.functions.text import as_column, unnested_at, word_tokens
 
 
 def year_from_name(name: Column | str) -> Column:
@@ -54,14 +54,14 @@ def lemmatized(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
     """tokens with each form replaced by its lemma where there is one. Tokens travel by form; a document's come back in order."""
     keyed = rows.withColumn("_row", F.monotonically_increasing_id())
     forms = lemmas.select(F.lower("form").alias("_t"), F.lower("lemma").alias("_l")).dropDuplicates(["_t"])
-    tokens = keyed.select("_row", F.posexplode("tokens").alias("_p", "_t")).join(forms, "_t", "left")
+    tokens = unnested_at(keyed, "tokens", "_p", "_t", "_row").join(forms, "_t", "left")
     back = tokens.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_l", "_t").alias("_l")))).alias("_x"))
     return keyed.join(back, "_row", "left").withColumn("tokens", F.coalesce(F.transform("_x", lambda x: x["_l"]), F.array().cast("array<string>"))).drop("_x", "_row")
 
 
 def token_rows(corpus_df: DataFrame, *keys: str) -> DataFrame:
     """One row per token: doc_id, slice, pos (from 0), token."""
-    return corpus_df.select("doc_id", "slice", *keys, F.posexplode("tokens").alias("pos", "token"))
+    return unnested_at(corpus_df, "tokens", "pos", "token", "doc_id", "slice", *keys)
 
 
 def overview(corpus_df: DataFrame) -> DataFrame:

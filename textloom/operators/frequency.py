@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import change_label, per_million
-from textloom.functions.text import word_tokens
+from textloom.functions.text import unnested, word_tokens
 
 TOTAL = "gesamt"
 
@@ -25,14 +25,14 @@ def totals(corpus_df: DataFrame, *by: str) -> DataFrame:
 
 def frequencies(corpus_df: DataFrame) -> DataFrame:
     """token, abs, per_million over all documents."""
-    counts = corpus_df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("abs"))
+    counts = unnested(corpus_df, "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("abs"))
     return counts.crossJoin(totals(corpus_df)).select("token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
 def frequencies_by_slice(corpus_df: DataFrame) -> DataFrame:
     """slice, token, abs, per_million of the slice's tokens; documents without slice are left out."""
     kept = corpus_df.where("slice is not null")
-    counts = kept.select("slice", F.explode("tokens").alias("token")).groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
+    counts = unnested(kept, "tokens", "token", "slice").groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
     return counts.join(totals(kept, "slice"), "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
@@ -50,7 +50,7 @@ def scoped_totals(corpus_df: DataFrame) -> DataFrame:
 
 def scoped_frequencies(corpus_df: DataFrame) -> DataFrame:
     """scope, token, abs, per_million."""
-    counts = scoped(corpus_df.select("slice", F.explode("tokens").alias("token")), ["token"], {"abs": F.count(F.lit(1))})
+    counts = scoped(unnested(corpus_df, "tokens", "token", "slice"), ["token"], {"abs": F.count(F.lit(1))})
     return counts.join(scoped_totals(corpus_df), "scope").select("scope", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 

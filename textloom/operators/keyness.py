@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import per_million, signed_keyness
+from textloom.functions.text import unnested
 
 FALLING, RISING = "Absteiger", "Aufsteiger"
 
@@ -22,7 +23,7 @@ def keyness(corpus_df: DataFrame, transitions: Sequence[tuple], least: int = 5)
     slices = sorted({s for pair in transitions for s in pair})
     kept = corpus_df.where(F.col("slice").isin(slices))
     count = lambda s: F.count_if(F.col("slice") == F.lit(s))
-    terms = kept.select("slice", F.explode("tokens").alias("token")).groupBy("token").agg(*[count(s).alias(f"n{s}") for s in slices])
+    terms = unnested(kept, "tokens", "token", "slice").groupBy("token").agg(*[count(s).alias(f"n{s}") for s in slices])
     sizes = kept.agg(*[F.coalesce(F.sum(F.when(F.col("slice") == F.lit(s), F.col("n_tokens"))), F.lit(0)).alias(f"t{s}") for s in slices])
     pairs = F.array(*[F.struct(F.lit(f"{a}→{b}").alias("transition"), F.col(f"n{a}").alias("abs_a"), F.col(f"n{b}").alias("abs_b"), F.col(f"t{a}").alias("total_a"), F.col(f"t{b}").alias("total_b")) for a, b in transitions])
     rows = terms.crossJoin(sizes).select("token", F.explode(pairs).alias("p")).select("token", "p.*").where(F.col("abs_a") + F.col("abs_b") >= least)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import per_million, pmi
+from textloom.functions.text import unnested
 from textloom.operators.frequency import scoped, scoped_totals, top_k
 
 
@@ -20,7 +21,7 @@ def ngram_array(tokens: Column, n: int) -> Column:
 def ngram_counts(corpus_df: DataFrame, sizes: Sequence[int] = (2, 3)) -> DataFrame:
     """scope, ngram, n, abs, per_million, for every slice and all documents."""
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngram_array(F.col("tokens"), n).alias("g")) for n in sizes])).alias("k")
-    rows = corpus_df.select("slice", kinds).select("slice", "k.n", F.explode("k.g").alias("ngram"))
+    rows = unnested(corpus_df.select("slice", kinds).select("slice", "k.n", "k.g"), "g", "ngram", "slice", "n")
     counts = scoped(rows, ["ngram", "n"], {"abs": F.count(F.lit(1))})
     return counts.join(scoped_totals(corpus_df), "scope").select("scope", "ngram", "n", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
@@ -40,9 +41,9 @@ def top_ngrams(counts: DataFrame, k: int = 30) -> DataFrame:
 
 def bigram_pmi(corpus_df: DataFrame, least: int = 5, k: int = 20) -> DataFrame:
     """rank, word1, word2, pmi, abs: the adjacent pairs of ``least`` or more occurrences with the highest PMI."""
-    grams = corpus_df.select(F.explode(ngram_array(F.col("tokens"), 2)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("abs")).where(F.col("abs") >= least)
+    grams = unnested(corpus_df, ngram_array(F.col("tokens"), 2), "g").groupBy("g").agg(F.count(F.lit(1)).alias("abs")).where(F.col("abs") >= least)
     pairs = grams.select(F.split("g", " ")[0].alias("word1"), F.split("g", " ")[1].alias("word2"), "abs")
-    words = corpus_df.select(F.explode("tokens").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    words = unnested(corpus_df, "tokens", "w").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     joined = pairs.join(words.select(F.col("w").alias("word1"), F.col("n").alias("n1")), "word1").join(words.select(F.col("w").alias("word2"), F.col("n").alias("n2")), "word2")
     scored = joined.crossJoin(corpus_df.agg(F.sum("n_tokens").alias("total"))).withColumn("pmi", F.round(pmi(F.col("abs"), F.col("total"), F.col("n1"), F.col("n2")), 4))
     best = scored.orderBy(F.desc("pmi"), F.desc("abs"), "word1", "word2").limit(k)

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import edge_stripped
+from textloom.functions.text import edge_stripped, unnested, unnested_at
 
 
 def text_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, pos, line (trimmed)."""
-    return docs.select("doc_id", F.posexplode(F.split(text, r"\R")).alias("pos", "line")).withColumn("line", F.trim("line"))
+    return unnested_at(docs, F.split(text, r"\R"), "pos", "line", "doc_id").withColumn("line", F.trim("line"))
 
 
 def section_lines(lines: DataFrame, start: str, end: str) -> DataFrame:
@@ -81,7 +81,7 @@ def char_lines(chars: DataFrame, gap: float = 2.0) -> DataFrame:
         cell = F.struct(line.alias("line"), x["x0"].alias("x0"), x["text"].alias("text"), x["size"].alias("size"), x["bold"].alias("bold"))
         return F.struct(line.alias("line"), F.when(new, x["top"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(cell)).alias("out"))
 
-    cells = pages.select("file", "page", F.explode(F.aggregate("c", zero, step, lambda a: a["out"])).alias("x")).select("file", "page", "x.*")
+    cells = unnested(pages, F.aggregate("c", zero, step, lambda a: a["out"]), "x", "file", "page").select("file", "page", "x.*")
     grouped = cells.groupBy("file", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("t"), F.max("size").alias("size"), F.max("bold").alias("bold"))
     return grouped.select("file", "page", F.col("line").alias("line_no"), F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("text"), "size", "bold")
 

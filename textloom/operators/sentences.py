@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import sentences, word_tokens
+from textloom.functions.text import sentences, unnested_at, word_tokens
 from textloom.operators.frequency import top_k
 
 
 def sentence_rows(docs: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, slice, pos, sentence; the position is among the sentences that are long enough."""
-    return docs.select("doc_id", "slice", F.posexplode(sentences("text", least)).alias("pos", "sentence"))
+    return unnested_at(docs, sentences("text", least), "pos", "sentence", "doc_id", "slice")
 
 
 def levels(rows: DataFrame, anchor: str, patterns: Sequence[tuple[int, str]]) -> DataFrame:

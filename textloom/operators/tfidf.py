@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import unnested
 from textloom.operators.frequency import top_k
 from textloom.operators.ngrams import ngram_array
 
@@ -17,15 +18,16 @@ from textloom.operators.ngrams import ngram_array
 def weights(rows: DataFrame, key: str, terms: str, min_df: int = 3, max_df: float = 0.9, max_features: int | None = 5000, sublinear: bool = False, decimals: int = 6) -> DataFrame:
     """(key, term, weight) of rows (key, terms array<string>). max_df is a share of the rows; documents without any term of the
     vocabulary have no rows."""
-    counts = rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = unnested(rows, terms, "term", key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     size = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).crossJoin(size)
     vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(max_features)
     idf = (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")
+    small = F.broadcast if max_features is not None and max_features <= 20_000 else lambda x: x  # its size is then bounded
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocabulary.select("term", idf), "term").withColumn("w", tf * F.col("idf"))
+    raw = counts.join(small(vocabulary.select("term", idf)), "term").withColumn("w", tf * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select(key, "term", F.round(F.col("w") / F.col("norm"), decimals).alias("weight"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import edge_stripped, full_match, space_tokens
+from textloom.functions.text import edge_stripped, full_match, space_tokens, unnested
 from textloom.operators.collocations import around
 from textloom.operators.frequency import top_k
 
@@ -17,7 +17,7 @@ def anchor_windows(docs: DataFrame, anchor: str, window: int) -> DataFrame:
     context holds the anchor and raw punctuation."""
     rows = docs.select("slice", "doc_id", space_tokens("text").alias("t"))
     hits = F.filter(F.transform("t", lambda x, i: F.struct(i.alias("i"), full_match(edge_stripped(x), anchor).alias("m"))), lambda x: x["m"])
-    each = rows.select("slice", "doc_id", "t", F.explode(hits).alias("h"))
+    each = unnested(rows, hits, "h", "slice", "doc_id", "t")
     return each.select("slice", "doc_id", F.col("h.i").alias("pos"), F.array_join(around(F.col("t"), F.col("h.i"), window, inclusive=True), " ").alias("context"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import stats
-from textloom.functions.text import capitalized, contains_any, edit_rate, space_tokens, stem_pattern, truncated, word_tokens
+from textloom.functions.text import capitalized, contains_any, edit_rate, space_tokens, stem_pattern, truncated, unnested, word_tokens
 from textloom.operators import collocations as co
 from textloom.operators import correction, density, frequency, keyness, kwic, metadata, ngrams, sections, tfidf, topics, windows
 from textloom.operators import sentences as sent
@@ -148,7 +148,7 @@ def method_comparison(spark, d):
 
 @query
 def stopword_anti(spark, d):
-    rows = tokens(spark, d).select(F.explode("tokens").alias("token"))
+    rows = unnested(tokens(spark, d), "tokens", "token")
     stop = spark.createDataFrame([(t,) for t in STOPWORDS], "token string")
     return rows.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("abs")).where("abs >= 50")
 
@@ -407,7 +407,7 @@ def tfidf_phrase(spark, d):
 
 def topic_table(spark, d, n):
     """The 15 most frequent tokens of document groups, as stand-ins for topics."""
-    rows = tokens(spark, d, min_length=3).withColumn("topic", (F.col("doc_id") % n).cast("int")).select("topic", F.explode("tokens").alias("term"))
+    rows = unnested(tokens(spark, d, min_length=3).withColumn("topic", (F.col("doc_id") % n).cast("int")), "tokens", "term", "topic")
     best = frequency.top_k(rows.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n")), 15, ["topic"], [F.desc("n"), "term"])
     return best.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
 

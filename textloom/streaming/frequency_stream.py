@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import word_tokens
+from textloom.functions.text import unnested, word_tokens
 
 
 def document_stream(spark: SparkSession, path: str, schema: str = "doc_id long, text string, slice int", files_per_trigger: int = 100) -> DataFrame:
@@ -15,7 +15,7 @@ def document_stream(spark: SparkSession, path: str, schema: str = "doc_id long,
 def term_counts(stream: DataFrame) -> DataFrame:
     """slice, token, abs: counts merge, so the same aggregation serves batches and streams (complete or update mode). The state has a
     row for each slice and token."""
-    return stream.where("slice is not null").select("slice", F.explode(word_tokens("text")).alias("token")).groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
+    return unnested(stream.where("slice is not null"), word_tokens("text"), "token", "slice").groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
 
 
 def to_table(counts: DataFrame, name: str, checkpoint: str, mode: str = "complete"):
