@@ -29,6 +29,13 @@ def with_slice(df: DataFrame, value: Column, policy: str = "keep_null", fallback
     raise ValueError(f"unknown policy {policy!r}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where it has fewer partitions than twice their number: a Parquet row group is read by one task, so a
+    small file would keep one core busy. Larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def corpus(docs: DataFrame, stopwords: Sequence[str] = (), min_length: int = 1, letters_only: bool = False, lemmas: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, slice, tokens (kept), n_tokens, n_raw_tokens from docs (doc_id, slice, text).
 

@@ -15,13 +15,14 @@ def lexicon_density(docs: DataFrame, lexicon: DataFrame, pattern: str = r"[a-zä
 
     Documents without words are left out. Only words found in the lexicon go on, so what is grouped by document is small.
     """
-    rows = docs.select("doc_id", "slice", word_tokens("text", pattern).alias("w")).withColumn("n_words", F.size("w")).where("n_words > 0")
+    rows = docs.select("doc_id", "slice", word_tokens("text", pattern).alias("w")).withColumn("n_words", F.size("w"))
     words = lexicon.select("word").distinct()
     hits = unnested(rows, "w", "word", "doc_id").join(F.broadcast(words), "word", "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     sums = hits.groupBy("doc_id").agg(F.sum("n").alias("n_hits"))
     best = top_k(hits, forms, ["doc_id"], [F.desc("n"), F.asc("word")])
     listed = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("word", F.lit("("), "n", F.lit(")")).alias("f")))).alias("f"))
     joined = rows.drop("w").join(sums, "doc_id", "left").join(listed, "doc_id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
+    joined = joined.where(F.col("n_words") + F.col("n_hits") > 0)  # on both sides of the join, so that it isn't computed again at the scan
     return joined.select("doc_id", "slice", rate(F.col("n_hits"), F.col("n_words"), 1000, 2).alias("density"), "n_hits", "n_words", F.coalesce(F.array_join(F.transform("f", lambda x: x["f"]), ", "), F.lit("")).alias("top_words"))
 
 

@@ -23,17 +23,22 @@ def totals(corpus_df: DataFrame, *by: str) -> DataFrame:
     return corpus_df.groupBy(*by).agg(F.sum("n_tokens").alias("total"))
 
 
+def summed(counts: DataFrame, by: str, count: str = "abs", name: str = "total") -> DataFrame:
+    """Totals from counts of all terms: the shuffled counts are read again instead of the texts."""
+    return counts.groupBy(by).agg(F.sum(count).alias(name))
+
+
 def frequencies(corpus_df: DataFrame) -> DataFrame:
     """token, abs, per_million over all documents."""
     counts = unnested(corpus_df, "tokens", "token").groupBy("token").agg(F.count(F.lit(1)).alias("abs"))
-    return counts.crossJoin(totals(corpus_df)).select("token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
+    return counts.crossJoin(counts.agg(F.sum("abs").alias("total"))).select("token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
 def frequencies_by_slice(corpus_df: DataFrame) -> DataFrame:
     """slice, token, abs, per_million of the slice's tokens; documents without slice are left out."""
     kept = corpus_df.where("slice is not null")
     counts = unnested(kept, "tokens", "token", "slice").groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
-    return counts.join(totals(kept, "slice"), "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
+    return counts.join(summed(counts, "slice"), "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
 def scoped(rows: DataFrame, keys: Sequence[str], measures: Mapping[str, object], slice_column: str = "slice") -> DataFrame:
@@ -51,7 +56,7 @@ def scoped_totals(corpus_df: DataFrame) -> DataFrame:
 def scoped_frequencies(corpus_df: DataFrame) -> DataFrame:
     """scope, token, abs, per_million."""
     counts = scoped(unnested(corpus_df, "tokens", "token", "slice"), ["token"], {"abs": F.count(F.lit(1))})
-    return counts.join(scoped_totals(corpus_df), "scope").select("scope", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
+    return counts.join(summed(counts, "scope"), "scope").select("scope", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
 def seed_grid(corpus_df: DataFrame, seeds: DataFrame, slices: Sequence) -> DataFrame:

@@ -15,7 +15,7 @@ from textloom.functions.text import capitalized, contains_any, edit_rate, space_
 from textloom.operators import collocations as co
 from textloom.operators import correction, density, frequency, keyness, kwic, metadata, ngrams, sections, tfidf, topics, windows
 from textloom.operators import sentences as sent
-from textloom.operators.corpus import corpus, distinct_texts, encoded_tokens, overview, with_slice, year_from_name
+from textloom.operators.corpus import corpus, distinct_texts, encoded_tokens, overview, spread, with_slice, year_from_name
 from textloom.operators.report import yearly
 from textloom.plans import explore
 from textloom.sources.writers import with_total_row
@@ -41,7 +41,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_slice(read(spark, sf_dir, "documents"), (F.lit(1929) + F.col("doc_id") % 3).cast("int"))
+    return with_slice(spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")), (F.lit(1929) + F.col("doc_id") % 3).cast("int"))
 
 
 def tokens(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
