@@ -27,6 +27,7 @@ def test_quality_holds_out(labelled):
 def test_folding():
     assert toxicity.fold("1d10t Mоrоn stúpid l0ser $cum pаthetic") == "idiot moron stupid loser scum pathetic"
     assert toxicity.fold("in 2010 a1 99") == "in 2010 a1 99"
+    assert toxicity.fold("c10wn 5tup1d", toxicity.DIGITS_L) == "clown stupld" and toxicity.fold("c10wn 5tup1d") == "ciown stupid"
     assert toxicity.fold("mo​ron") == "moron"
 
 
@@ -80,3 +81,9 @@ def test_features_are_defined_everywhere():
     for text in ("", " ", "\n", "a", "!!", "🙂 " * 5, "A" * 100_000):
         f = quality.features(text)
         assert len(f) == len(quality.FEATURES) and np.isfinite(f).all()
+
+
+def test_ones_may_be_either_letter():
+    found = toxicity._automaton(dict.fromkeys(toxicity.SEEDS, 4.0), ())
+    assert toxicity.density("c10wn 5tup1d", found) == pytest.approx(toxicity.density("clown stupid", found))
+    assert toxicity.density("clown stupid", found) > 0

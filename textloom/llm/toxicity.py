@@ -30,20 +30,23 @@ LOOK_ALIKES = str.maketrans(
     "авеікмнорстухѕјԁԛԝһӏүɡɩαβεικνορτυχωıł",
     "abeikmhopctyxsjdqwhlygiabeikvoptuxwil",
 )
-# Digits and signs that stand for letters inside words.
+# Digits and signs that stand for letters inside words; some may stand for i or l.
 DIGITS = str.maketrans("0134578@$!|", "oieastbasil")
+DIGITS_L = str.maketrans("0134578@$!|", "oleastbasll")
 _SUBSTITUTED = re.compile(r"(?<![^\W\d_])[0134578@$]{1,2}(?=[^\W\d_]{2})|(?<=[^\W\d_])[0134578@$!|]{1,3}(?=[^\W\d_])|(?<=[^\W\d_]{2})[01345780@$]{1,2}(?![\w@$!|])")
+_AMBIGUOUS = re.compile(r"1|(?<=[^\W\d_])[!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str) -> str:
+def fold(text: str, digits: dict = DIGITS) -> str:
+    """Folded text; after removal of marks and zero-width characters every character keeps its place."""
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and c not in "​‌‍⁠﻿­")
         text = text.lower().translate(LOOK_ALIKES)
     else:
         text = text.lower()
     for _ in range(2):  # letters made first may make digits beside them letters
-        text, n = _SUBSTITUTED.subn(lambda m: m[0].translate(DIGITS), text)
+        text, n = _SUBSTITUTED.subn(lambda m: m[0].translate(digits), text)
         if not n:
             break
     return text
@@ -88,6 +91,8 @@ def density(text: str, automaton) -> float:
     """Summed weight of the found entries per root of the number of words."""
     folded = fold(text)
     found = spans(folded, automaton)
+    if _AMBIGUOUS.search(text) and (other := fold(text, DIGITS_L)) != folded:
+        found = list({s: (s, e, w) for s, e, w in [*spans(other, automaton), *found]}.values())
     return sum(w for *_, w in found) / math.sqrt(folded.count(" ") + folded.count("\n") + 1) if found else 0.0
 
 
