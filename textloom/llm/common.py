@@ -107,7 +107,8 @@ def bucket_units(rows: DataFrame, key: str, member: str, limit: int) -> DataFram
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
     g = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
     block = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")
-    placed = rows.join(sizes, key).withColumn("_g", g).withColumn("_b", F.when(F.col("_g") == 1, F.lit(0)).otherwise(block))
+    # the sizes are the far smaller side, so they are hashed and the rows needn't be sorted
+    placed = rows.join(sizes.hint("shuffle_hash"), key).withColumn("_g", g).withColumn("_b", F.when(F.col("_g") == 1, F.lit(0)).otherwise(block))
     other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
     half = F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2))
     unit = F.xxhash64(F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))

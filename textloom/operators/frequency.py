@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.stats import change_label, per_million
-from textloom.functions.text import unnested, word_tokens
+from textloom.functions.text import unnested, unnested_at, word_tokens
 
 TOTAL = "gesamt"
 
@@ -126,3 +126,12 @@ def compare_methods(by_pattern: DataFrame, by_term: DataFrame, mapping: DataFram
     left = by_pattern.select("slice", F.col("term").alias("stem"), F.col("abs").alias("n_pattern")).join(F.broadcast(stems), "stem", "left_semi")
     joined = left.join(summed, ["slice", "stem"], "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
     return joined.select("slice", "stem", "n_pattern", "n_terms", change_label(F.col("n_terms"), F.col("n_pattern")).alias("change"))
+
+
+def most_common(corpus_df: DataFrame, k: int = 20) -> DataFrame:
+    """rank, token, abs of the k most frequent tokens, ties in order of first occurrence (by doc_id, then place)."""
+    places = unnested_at(corpus_df, "tokens", "pos", "token", "doc_id")
+    counts = places.groupBy("token").agg(F.count(F.lit(1)).alias("abs"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    order = [F.desc("abs"), F.asc("first")]
+    best = counts.orderBy(*order).limit(k).withColumn("_one", F.lit(1))
+    return top_k(best, k, ["_one"], order).select("rank", "token", "abs")

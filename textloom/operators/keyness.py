@@ -34,9 +34,21 @@ def keyness(corpus_df: DataFrame, transitions: Sequence[tuple], least: int = 5)
 
 
 def ranked(scored: DataFrame) -> DataFrame:
-    """With rank_rising and rank_falling by g2 in each transition; ties share the least rank."""
+    """With rank_rising and rank_falling by g2 in each transition; ties share the least rank.
+
+    A transition's terms don't meet in one task: they are ranked within steps of the root of g2, and a step's first rank is the
+    number of terms in the steps before it.
+    """
+    step = (F.signum("g2") * F.floor(F.sqrt(F.abs("g2")) * 256)).cast("long")
+    rows = scored.withColumn("_s", step)
+    counts = rows.groupBy("transition", "_s").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy("transition")
-    return scored.withColumn("rank_rising", F.rank().over(by.orderBy("g2"))).withColumn("rank_falling", F.rank().over(by.orderBy(F.desc("g2"))))
+    before = lambda order: F.coalesce(F.sum("_n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("transition", "_s", before(F.asc("_s")).alias("_below"), before(F.desc("_s")).alias("_above"))
+    within = Window.partitionBy("transition", "_s")
+    inner = rows.withColumn("_up", F.rank().over(within.orderBy("g2"))).withColumn("_down", F.rank().over(within.orderBy(F.desc("g2"))))
+    joined = inner.join(offsets, ["transition", "_s"])
+    return joined.withColumn("rank_rising", F.col("_below") + F.col("_up")).withColumn("rank_falling", F.col("_above") + F.col("_down")).drop("_s", "_up", "_down", "_below", "_above")
 
 
 def strongest(scored: DataFrame, k: int = 10) -> DataFrame:

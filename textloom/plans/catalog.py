@@ -69,6 +69,17 @@ def freq_by_slice(spark, d):
     return frequency.top_k(frequency.frequencies_by_slice(tokens(spark, d)), 20, ["slice"], [F.desc("abs"), "token"])
 
 
+@query
+def freq_first_seen(spark, d):
+    return frequency.most_common(tokens(spark, d), 200)
+
+
+@query
+def overview_report(spark, d):
+    o = overview(tokens(spark, d))
+    return o.select(F.col("slice").alias("Jahrgang"), F.format_number("n_tokens", 0).alias("Tokens"), F.format_number("n_types", 0).alias("Typen"), F.format_string("%.1f", F.col("n_tokens") / F.col("n_docs")).alias("je Dokument"))
+
+
 @query
 def freq_scope_gsets(spark, d):
     return frequency.scoped_frequencies(with_null_slice(spark, d))

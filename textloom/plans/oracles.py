@@ -300,3 +300,7 @@ SQL["explore_ngrams"] = f"WITH {NGRAMS} SELECT * FROM ng WHERE n = 2 AND scope =
 SQL["explore_collocates"] = f"WITH {COLLOC} SELECT collocate, cofreq, pmi FROM col WHERE target = 'the' AND scope = '1929' ORDER BY pmi DESC, collocate LIMIT 12"
 SQL["explore_topic_labels"] = f"WITH {TOKENS}, {topic_terms(5, 'a')} SELECT topic, terms[1] || ', ' || terms[2] || ', ' || terms[3] AS label FROM a"
 SQL["explore_share_map"] = f"WITH x AS ({SQL['topic_shares']}) SELECT topic, any_value(mean_share) FILTER (slice = 1929) AS y1929, any_value(mean_share) FILTER (slice = 1930) AS y1930, any_value(mean_share) FILTER (slice = 1931) AS y1931 FROM x GROUP BY 1"
+
+SQL["freq_first_seen"] = f"""WITH {TOKENS}, c AS (SELECT token, count(*) AS abs, min(struct_pack(d := doc_id, p := pos)) AS f FROM tok GROUP BY 1)
+SELECT row_number() OVER (ORDER BY abs DESC, f) AS rank, token, abs FROM c QUALIFY rank <= 200"""
+SQL["overview_report"] = f"""WITH {OVERVIEW} SELECT slice AS Jahrgang, format('{{:,}}', n_tokens) AS Tokens, format('{{:,}}', n_types) AS Typen, printf('%.1f', n_tokens / n_docs) AS "je Dokument" FROM sizes JOIN types USING (slice)"""
