@@ -58,12 +58,14 @@ def corpus(docs: DataFrame, stopwords: Sequence[str] = (), min_length: int = 1,
 
 
 def lemmatized(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """tokens with each form replaced by its lemma where there is one. Tokens travel by form; a document's come back in order."""
-    keyed = rows.withColumn("_row", F.monotonically_increasing_id())
-    forms = lemmas.select(F.lower("form").alias("_t"), F.lower("lemma").alias("_l")).dropDuplicates(["_t"])
-    tokens = unnested_at(keyed, "tokens", "_p", "_t", "_row").join(forms, "_t", "left")
-    back = tokens.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_l", "_t").alias("_l")))).alias("_x"))
-    return keyed.join(back, "_row", "left").withColumn("tokens", F.coalesce(F.transform("_x", lambda x: x["_l"]), F.array().cast("array<string>"))).drop("_x", "_row")
+    """tokens with each form replaced by its lemma where there is one. Tokens travel by form; a token list comes back in order by
+    its hashes, so equal lists (copies) are looked up together and nothing depends on the order of rows."""
+    keyed = rows.withColumn("_a", F.xxhash64("tokens")).withColumn("_b", F.xxhash64(F.lit(1), "tokens"))
+    forms = lemmas.select(F.lower("form").alias("_t"), F.lower("lemma").alias("_l")).groupBy("_t").agg(F.min("_l").alias("_l"))
+    tokens = unnested_at(keyed, "tokens", "_p", "_t", "_a", "_b").join(forms, "_t", "left")
+    back = tokens.groupBy("_a", "_b").agg(F.array_sort(F.collect_set(F.struct("_p", F.coalesce("_l", "_t").alias("_l")))).alias("_x"))
+    joined = keyed.join(back, ["_a", "_b"], "left")
+    return joined.withColumn("tokens", F.coalesce(F.transform("_x", lambda x: x["_l"]), F.array().cast("array<string>"))).drop("_x", "_a", "_b")
 
 
 def token_rows(corpus_df: DataFrame, *keys: str) -> DataFrame:
