@@ -97,12 +97,12 @@ def density(text: str, automaton) -> float:
 
 
 def _candidates(frames):
-    """Document counts by label of word beginnings of 4 to 7 letters, for each batch."""
+    """Document counts by label of word beginnings of 4 to 10 letters, for each batch."""
     for pdf in frames:
         count = {0: Counter(), 1: Counter()}
         for text, label in zip(pdf["text"], pdf["label"], strict=True):
             words = set(_WORD.findall(fold(text)))
-            count[int(label)].update({w[:k] for w in words for k in (4, 5, 6, 7) if len(w) >= k})
+            count[int(label)].update({w[:k] for w in words for k in range(4, 11) if len(w) >= k})
         entries = [(w, count[1][w], count[0][w]) for w in count[1]] + [(w, 0, n) for w, n in count[0].items() if w not in count[1]]
         yield pd.DataFrame(entries, columns=["entry", "toxic", "clean"])
 
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, l
         counts = rows.mapInPandas(_candidates, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         least = max(3, round(0.015 * toxic))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-        found = counts.where(F.col("toxic") >= least).withColumn("weight", odds).where("weight >= 3.5").orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(8 * entries).collect()
+        found = counts.where(F.col("toxic") >= least).withColumn("weight", odds).where("weight >= 3").orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(8 * entries).collect()
         kept: dict[str, tuple[int, float]] = {}
         for r in found:  # a longer beginning is kept only where no shorter one says as much
             if len(kept) < entries and not any(r["entry"][:k] in kept for k in range(4, len(r["entry"]))):
