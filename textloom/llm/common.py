@@ -43,11 +43,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write df as Parquet into the shared folder and read it back."""
+    """Cut lineage: write df as Parquet into the shared folder and read it back. What is kept so is mostly hashes, which compress
+    little; without a codec, readers hold no native memory that only a garbage collection gives back."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{scratch_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
