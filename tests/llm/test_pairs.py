@@ -200,3 +200,31 @@ def test_repeats_go(spark):
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.without_repeats(df).collect()}
     assert found[1] == (rows[0][1], 0) and found[2] == ("short\nsecond own line in the other document", 43)
     assert 3 not in found and found[4] == ("a b", 0) and found[5] == (None, 0)
+
+
+def test_one_replaced_word_is_found_in_lines_of_any_length(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(6))
+    rows = []
+    for i in range(60):
+        line = [word() for _ in range((8, 15, 30, 60)[i % 4])]
+        other = list(line)
+        other[rng.randrange(len(line))] = word()
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
+    found = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), bits=None).collect()
+    assert sum(r["doc_id"] % 2 == 1 and r["keep_doc_id"] == r["doc_id"] - 1 for r in found) >= 57
+
+
+def test_recall_against_edit_similarity_alone(spark, data):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    lines = sorted({n for _, t in rows for x in (t or "").split("\n") if len((n := line_dedup.normalised(x)).split()) >= 5})
+    found = {}
+    for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bits=None).collect():
+        found[r["doc_id"]] = r["keep_doc_id"]
+    near = []
+    for i, j in combinations(range(len(lines)), 2):
+        a, b = lines[i], lines[j]
+        longest = max(len(a), len(b))
+        if 5 * abs(len(a) - len(b)) <= longest and len(set(a.split()) & set(b.split())) >= 3 and line_dedup.edit_within(a, b, int(0.2 * longest + 1e-9)):
+            near.append((i, j))
+    assert len(near) > 20 and np.mean([found[i] == found[j] for i, j in near]) > 0.97

@@ -1,16 +1,14 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one occurrence kept per connected group.
+"""Fuzzy line deduplication: MinHash bands of word pairs, edit similarity, one occurrence kept per connected group.
 
-Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lines are one from the start. A line's 64-bit SimHash
-over its words is cut into five blocks; lines within three bits agree on two blocks at least, so each of the ten pairs of blocks is
-a join key. A second, independent SimHash within eight bits and lengths that allow the wanted similarity sort out chance meetings,
-which would tie unrelated lines into large groups. What is left is verified by edit similarity on the normalised lines, and of each
-connected group the first occurrence is kept. Lines of fewer than ``min_words`` words are left alone.
+Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lines are one from the start. Of a line's word pairs
+(with its beginning and end as words) come MinHash values, three to a band; lines that agree on a band meet, whatever else they are,
+and edit similarity of the normalised lines alone decides whether they are near. It is looked at inside the bands' own units, so that
+chance meetings tie nothing together; bounds on two SimHashes may be laid on pairs besides. Of each connected group the first occurrence is kept. Lines of fewer than ``min_words`` words
+are left alone.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +17,11 @@ from pyspark.sql import functions as F
 from .common import Forest, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize, own_pairs
 from .shingles import SpanHasher, mix64, text_groups
 
+#: Bands, MinHash values of a band, and bytes of a band's key.
+BANDS, ROWS, WIDTH = 20, 3, 5
+ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: SimHash bounds that near_lines lays on pairs unless told not to; the queries lay none.
 BITS, MORE_BITS = 3, 8
-BLOCKS = (13, 13, 13, 13, 12)
 
 
 def _byte_map() -> bytes:
@@ -42,18 +43,25 @@ def normalised(line: str) -> str:
     return " ".join(w for w in line.lower().encode("utf-8", "surrogatepass").translate(BYTES).decode("utf-8", "surrogatepass").split(" ") if w)
 
 
-def block_masks() -> list[int]:
-    """Masks of every pair of blocks, as signed 64-bit numbers."""
-    at, single = 0, []
-    for n in BLOCKS:
-        single.append(((1 << n) - 1) << at)
-        at += n
-    masks = [a | b for a, b in combinations(single, 2)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
-    """For all lines of the texts: (text, line number, words, characters, hash of the words in order, two SimHashes)."""
+def line_bands(word: np.ndarray, lo: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of the bands of each line, as rows of bytes; line i has the words from lo[i] on."""
+    at = lo + np.arange(len(lo))
+    padded = np.zeros(len(word) + len(lo) + 1, dtype=np.uint64)
+    padded[np.arange(len(word)) + 1 + np.repeat(np.arange(len(lo)), words)] = word
+    with np.errstate(over="ignore"):
+        pairs = (mix64(padded[:-1] * np.uint64(0x9E3779B97F4A7C15) + padded[1:]) >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(lo), BANDS, WIDTH), dtype=np.uint8)
+        for k in range(BANDS):
+            key = np.zeros(len(lo), dtype=np.uint64)
+            for odd in ODD[k]:
+                key = mix64(key + np.minimum.reduceat(pairs * odd, at).astype(np.uint64) + np.uint64(1))
+            out[:, k] = key.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+    return out.reshape(len(lo), -1)
+
+
+def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher, bands: bool = False):
+    """For all lines of the texts: (text, line number, words, characters, hash of the words in order, two SimHashes); with ``bands``
+    the keys of line_bands stand in place of the second SimHash."""
     raw = ("\n".join(t.lower() for t in texts) + "\n").encode("utf-8", "surrogatepass").translate(BYTES)
     data = np.frombuffer(raw, dtype=np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
@@ -71,7 +79,8 @@ def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
     some = np.flatnonzero(words)
     text, number, words, lo, hi = text[some], number[some], words[some], first[some], first[some + 1]
     if not len(some):
-        return text, number, words, words, *[np.zeros(0, np.uint64)] * 3
+        none = np.zeros(0, np.uint64)
+        return text, number, words, words, none, none, np.zeros((0, BANDS * WIDTH), np.uint8) if bands else none
     order._grow(len(word) + 1)
     with np.errstate(over="ignore"):
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(word * order.power[: len(word)], dtype=np.uint64)]
@@ -82,12 +91,14 @@ def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher):
     begin = lo[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
     by_line = np.searchsorted(owner, np.arange(len(words)))
     sims = []
-    for bits in (word, mix64(word ^ np.uint64(0x5851F42D4C957F2D))):
+    for bits in (word,) if bands else (word, mix64(word ^ np.uint64(0x5851F42D4C957F2D))):
         ones = np.empty((len(words), 8, 8), dtype=np.int64)
         for k in range(8):
             lanes = np.add.reduceat((bits >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
             ones[:, :, k] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), by_line, axis=0)
         sims.append(np.packbits(2 * ones.reshape(-1, 64) > words[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1))
+    if bands:
+        sims.append(line_bands(word, lo, words))
     letters = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
     until = np.r_[0, np.cumsum(letters[stop] - letters[start])]
     return text, number, words, until[hi] - until[lo] + words - 1, whole, *sims
@@ -126,12 +137,13 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
-def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300) -> DataFrame:
+def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, bits: tuple[int, int] | None = (BITS, MORE_BITS)) -> DataFrame:
     """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
     keep_* name the first occurrence (by id, line) of the line's group, n_lines counts the group's lines; kept marks that
     occurrence. Lines are parted by line feeds. A null text has no lines; null ids sort first; repeated rows with an id and an equal
-    text stand for one occurrence and share their marks.
+    text stand for one occurrence and share their marks. ``bits``: how many bits two near lines' SimHashes may differ in; with None,
+    edit similarity decides alone.
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -140,57 +152,46 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         for pdf in frames:
             texts, keys, ths = pdf["text"].tolist(), pdf["key"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in text_groups(texts):
-                text, number, words, size, whole, sim, more = line_hashes(texts[lo:hi], hasher, order)
+                text, number, words, _, whole, sim, bands = line_hashes(texts[lo:hi], hasher, order, True)
                 k = words >= min_words
-                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "size": size[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "more": more[k].view(np.int64)}
+                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "bands": [x.tobytes() for x in bands[k]]}
                 yield pd.DataFrame({"key": keys[lo:hi][text[k]], "th": ths[lo:hi][text[k]]} | columns)
 
-    lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, size int, h long, sim long, more long"))
+    lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, h long, sim long, bands binary"))
     spot = F.struct("key", "line", "th")
-    distinct = materialize(lines.groupBy("h", "sim").agg(F.first("more").alias("more"), F.first("size").alias("size"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("sim").bitwiseAND(F.lit(m))) for k, m in enumerate(block_masks())]))
-    units = bucket_units(distinct.select("rid", "sim", keys.alias("block")), "block", "rid", 2000)
-    units = units.select("unit", "half", "rid").join(distinct.select("rid", "sim", "more", "size"), "rid")
-
-    def close(pdf: pd.DataFrame):
-        """A function of index arrays: which pairs of the unit both SimHashes and the lengths let through."""
-        sim, more, size = pdf["sim"].to_numpy().view(np.uint64), pdf["more"].to_numpy().view(np.uint64), pdf["size"].to_numpy()
-        half = pdf["half"].to_numpy()
-
-        def test(i, j):
-            near = own_pairs(half, i, j) & (np.bitwise_count(sim[i] ^ sim[j]) <= BITS)
-            near &= np.bitwise_count(more[i] ^ more[j]) <= MORE_BITS
-            return near & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
-
-        return test
-
-    def compare(pdf: pd.DataFrame):
-        bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
-        forest = Forest(len(pdf))
-        for i, j in group_pairs(bounds):
-            near = test(i, j)
-            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                forest.join(x, y)
-        yield forest.stars(rid)
-
-    groups = materialize(components(map_whole_groups(units, "unit", compare, "a long, b long")))
-    wanted = groups.join(distinct, groups.node == distinct.rid).select("rid", "root", "sim", "more", "size", "first.key", "first.line", "first.th")
-    placed = bucket_units(wanted, "root", "rid", block)
+    distinct = materialize(lines.groupBy("h", "sim").agg(F.first("bands").alias("bands"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("bands", WIDTH * k + 1, WIDTH)) for k in range(BANDS)]))
+    units = bucket_units(distinct.select("rid", keys.alias("block")), "block", "rid", block)
+
+    def name(pdf: pd.DataFrame):
+        """Units named after their members, so that those of several bands with the same members are one."""
+        rid, half, bounds = pdf["rid"].to_numpy(), pdf["half"].to_numpy(), group_bounds(pdf["unit"].to_numpy())
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(mix64(mix64(rid.view(np.uint64)) + half.astype(np.uint64)), bounds[:-1])
+        yield pd.DataFrame({"unit": np.repeat(mix64(sums).view(np.int64), np.diff(bounds)), "half": half.astype(np.int32), "rid": rid})
+
+    placed = map_whole_groups(units.select("unit", "half", "rid"), "unit", name, "unit long, half int, rid long").distinct()
     line = F.element_at(F.split("text", "\n", -1), F.col("line") + 1)
-    sent = placed.join(own, ["key", "th"]).select("unit", "half", "rid", "sim", "more", "size", line.alias("text"))
+    named_units = materialize(placed)
+    texts = named_units.select("rid").distinct().join(distinct.select("rid", "first.key", "first.line", "first.th"), "rid").join(own.dropDuplicates(["key", "th"]), ["key", "th"]).select("rid", line.alias("text"))
+    sent = named_units.join(texts, "rid")
 
     def verify(pdf: pd.DataFrame):
-        pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)
-        bounds, rid, test = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), close(pdf)
+        bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
         text = [normalised(t) for t in pdf["text"]]
+        size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
+        if bits:
+            *_, sim, more = line_hashes(["\n".join(text)], SpanHasher(), SpanHasher())
         forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
-            near = test(i, j)
-            for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True):
-                if forest.find(x) != forest.find(y):
-                    longest = max(len(text[x]), len(text[y]))
-                    if edit_within(text[x], text[y], int((1 - similarity) * longest + 1e-9)):
-                        forest.join(x, y)
+            longest = np.maximum(size[i], size[j])
+            limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+            near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
+            if bits:
+                near &= (np.bitwise_count(sim[i] ^ sim[j]) <= bits[0]) & (np.bitwise_count(more[i] ^ more[j]) <= bits[1])
+            for x, y, most in zip(i[near].tolist(), j[near].tolist(), limit[near].tolist(), strict=True):
+                if forest.find(x) != forest.find(y) and edit_within(text[x], text[y], most):
+                    forest.join(x, y)
         yield forest.stars(rid)
 
     roots = components(map_whole_groups(sent, "unit", verify, "a long, b long", 256))
