@@ -8,6 +8,7 @@ import pytest
 
 from textloom.llm import line_dedup, ngram_join
 from textloom.llm.common import Forest, binomial_tail_below, bucket_units, components
+from textloom.llm.queries import op5_line_dedup
 from textloom.llm.shingles import SpanHasher, words_of
 
 
@@ -228,3 +229,10 @@ def test_recall_against_edit_similarity_alone(spark, data):
         if 5 * abs(len(a) - len(b)) <= longest and len(set(a.split()) & set(b.split())) >= 3 and line_dedup.edit_within(a, b, int(0.2 * longest + 1e-9)):
             near.append((i, j))
     assert len(near) > 20 and np.mean([found[i] == found[j] for i, j in near]) > 0.97
+
+
+def test_short_lines_are_grouped_where_equal(spark, tmp_path):
+    rows = [(1, "All rights reserved.\n\nall right reserved\na line of more than five words"), (2, "all rights RESERVED"), (3, "own")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"], r["n_lines"], r["kept"]) for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {(1, 0): (1, 0, 2, True), (1, 2): (1, 2, 1, True), (1, 3): (1, 3, 1, True), (2, 0): (1, 0, 2, False), (3, 0): (3, 0, 1, True)}

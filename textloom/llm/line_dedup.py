@@ -4,7 +4,7 @@ Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lin
 (with its beginning and end as words) come MinHash values, three to a band; lines that agree on a band meet, whatever else they are,
 and edit similarity of the normalised lines alone decides whether they are near. It is looked at inside the bands' own units, so that
 chance meetings tie nothing together; bounds on two SimHashes may be laid on pairs besides. Of each connected group the first occurrence is kept. Lines of fewer than ``min_words`` words
-are left alone.
+are left alone, or grouped where they are equal.
 """
 
 from __future__ import annotations
@@ -137,13 +137,14 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
-def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, bits: tuple[int, int] | None = (BITS, MORE_BITS)) -> DataFrame:
+def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, bits: tuple[int, int] | None = (BITS, MORE_BITS), short: bool = False) -> DataFrame:
     """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
     keep_* name the first occurrence (by id, line) of the line's group, n_lines counts the group's lines; kept marks that
     occurrence. Lines are parted by line feeds. A null text has no lines; null ids sort first; repeated rows with an id and an equal
     text stand for one occurrence and share their marks. ``bits``: how many bits two near lines' SimHashes may differ in; with None,
-    edit similarity decides alone.
+    edit similarity decides alone. ``short``: lines of 1 to ``min_words`` - 1 words have rows, too, and are grouped where they are equal
+    once normalised.
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
@@ -153,15 +154,15 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
             texts, keys, ths = pdf["text"].tolist(), pdf["key"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in text_groups(texts):
                 text, number, words, _, whole, sim, bands = line_hashes(texts[lo:hi], hasher, order, True)
-                k = words >= min_words
-                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "bands": [x.tobytes() for x in bands[k]]}
+                k = words >= (1 if short else min_words)
+                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "bands": [x.tobytes() if n >= min_words else None for x, n in zip(bands[k], words[k].tolist(), strict=True)]}
                 yield pd.DataFrame({"key": keys[lo:hi][text[k]], "th": ths[lo:hi][text[k]]} | columns)
 
     lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, h long, sim long, bands binary"))
     spot = F.struct("key", "line", "th")
     distinct = materialize(lines.groupBy("h", "sim").agg(F.first("bands").alias("bands"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("bands", WIDTH * k + 1, WIDTH)) for k in range(BANDS)]))
-    units = bucket_units(distinct.select("rid", keys.alias("block")), "block", "rid", block)
+    units = bucket_units(distinct.where("bands is not null").select("rid", keys.alias("block")), "block", "rid", block)
 
     def name(pdf: pd.DataFrame):
         """Units named after their members, so that those of several bands with the same members are one."""

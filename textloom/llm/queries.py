@@ -27,7 +27,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"), bits=None)
+    return line_dedup.report(table(spark, sf_dir, "documents"), bits=None, short=True)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
