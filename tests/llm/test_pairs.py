@@ -236,3 +236,10 @@ def test_short_lines_are_grouped_where_equal(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"], r["n_lines"], r["kept"]) for r in op5_line_dedup(spark, str(tmp_path)).collect()}
     assert found == {(1, 0): (1, 0, 2, True), (1, 2): (1, 2, 1, True), (1, 3): (1, 3, 1, True), (2, 0): (1, 0, 2, False), (3, 0): (3, 0, 1, True)}
+
+
+def test_short_own_lines_outlive_a_repeated_line(spark):
+    line = "this very line stands in two of the documents here"
+    rows = [(1, line), (2, f"milk\n{line}\nbrown bread\n"), (3, f" \n{line}\n ")]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=None).collect()}
+    assert found == {1: line, 2: "milk\nbrown bread\n"}

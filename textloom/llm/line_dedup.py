@@ -220,14 +220,15 @@ def report(docs: DataFrame, **parameters) -> DataFrame:
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the lines that near_lines doesn't keep taken out of text, and n_chars, if there is such a column, counted anew.
-    A document that loses every line of ``min_words`` words or more goes; documents without such lines stay as they are."""
+    A document goes if it loses lines and nothing but white space is left; documents that lose no line stay as they are."""
     found = near_lines(docs, **parameters)
     marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_hash").alias("_tl_th")).agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_tl_drop"), F.max(F.col("kept").cast("int")).alias("_tl_some")
+        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_tl_drop")
     )
-    joined = docs.withColumn("_tl_key", id_key()).withColumn("_tl_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["_tl_key", "_tl_th"], "left").where("_tl_some is null or _tl_some = 1")
+    joined = docs.withColumn("_tl_key", id_key()).withColumn("_tl_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["_tl_key", "_tl_th"], "left")
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_tl_drop", i)), "\n")
     out = joined.withColumn("text", F.when(F.size("_tl_drop") > 0, rest).otherwise(F.col("text")))
+    out = out.where(F.col("_tl_drop").isNull() | (F.size("_tl_drop") == 0) | F.col("text").rlike(r"(?U)\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_tl_drop") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
