@@ -21,7 +21,7 @@ def sha(data):
 @pytest.mark.parametrize("chunk", [32 << 20, 500])
 def test_bpe_on_awkward_rows(awkward, awkward_rows, chunk):
     library = bpe.encoder(bpe.rank_table(RANKS), PATTERN)
-    found = bpe.encode_documents(awkward, RANKS, PATTERN, buckets=5, chunk_chars=chunk).collect()
+    found = bpe.encode_documents(awkward, RANKS, PATTERN, chunk_chars=chunk).collect()
     want = [(i, library.encode_ordinary(t or ""), (t or "").encode()) for i, t in awkward_rows]
     assert sorted((repr(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in found) == sorted((repr(i), a, b) for i, a, b in want)
 
@@ -79,14 +79,36 @@ def test_sequences_interleave(spark):
     html = f'<h1>T&amp;</h1>lead<script>no</script><figure><img src="media:sha256/{d}"><img src="u.png"><figcaption>both <b>here</b></figcaption></figure><p>end<img src="v.png" alt="own">x<p><figure><figcaption>alone</figcaption>'
     items = media.parse(html)
     assert [(i["kind"], i["text"] or i["src"], i["caption"]) for i in items] == [
-        ("text", "T&", None), ("text", "lead", None), ("media", f"media:sha256/{d}", "both here"), ("media", "u.png", "both here"), ("text", "end", None), ("media", "v.png", "own"), ("text", "x", None),
+        ("text", "T&", None), ("text", "lead", None), ("media", f"media:sha256/{d}", "both here"), ("media", "u.png", "both here"), ("text", "end", None), ("media", "v.png", "own"), ("text", "x", None), ("text", "alone", None),
     ]
-    assert [i["pos"] for i in items] == list(range(7)) and items[2]["digest"] == d and items[3]["digest"] is None
+    assert [i["pos"] for i in items] == list(range(8)) and items[2]["digest"] == d and items[3]["digest"] is None
     pages = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "<p")], "page_id long, html string")
     parsed = media.sequences(pages, "page_id", "html")
-    assert {r["key"]: len(r["items"]) for r in parsed.collect()} == {1: 7, 2: 0, 3: 0, 4: 1}
+    assert {r["key"]: len(r["items"]) for r in parsed.collect()} == {1: 8, 2: 0, 3: 0, 4: 1}
     features = spark.createDataFrame([(d, 5)], "digest string, size int")
-    assert sorted((r["pos"], r["size"]) for r in media.resolve(parsed, features).collect() if r["size"]) == [(2, 5)]
+    assert sorted((r["pos"], r["size"]) for r in media.resolve(media.references(parsed), features).collect() if r["size"]) == [(2, 5)]
+
+
+def test_a_caption_without_end_swallows_nothing():
+    page = "<figure><img src=a.png><figcaption>seen</figure><p>after</p><figure><img src=b.png><figcaption>last"
+    assert [(i["kind"], i["text"] or i["src"], i["caption"]) for i in media.parse(page)] == [("media", "a.png", "seen"), ("text", "after", None), ("media", "b.png", "last")]
+
+
+def test_document_pages_hold_the_text():
+    text = "first <b> & line\n\nsecond line"
+    items = media.parse(media.page_of(text))
+    assert [i["kind"] for i in items] == ["text", "media", "text"]
+    assert [i["text"] for i in items if i["kind"] == "text"] == ["first <b> & line", "second line"] and items[1]["caption"] == f"text, {len(text)} characters"
+
+
+def test_real_pages(spark, data):
+    from textloom.llm.queries import media_pages
+
+    rows = media_pages(spark, data).collect()
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    assert {r["page_id"] for r in rows} == set(pages) and any(r["n_text"] for r in rows)
+    for r in rows:
+        assert r["n_items"] == r["n_text"] + r["n_media"] == len(media.parse(pages[r["page_id"]]))
 
 
 BASE = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16)]

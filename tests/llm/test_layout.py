@@ -69,26 +69,26 @@ def test_json_ranks_encode_as_the_library():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
-    own = packing.encoder(packing.json_ranks(JSON), public_tokenizers.PATTERN)
+    own = packing.file_encoder(JSON, public_tokenizers.PATTERN)
     rng = random.Random(8)
     pieces = ["the ", "a's", " 12", "\n\n", "  ", "\t", "ß", "é", "漢字", "🙂", "don't", "<|endoftext|>", " ", "!!", "x" * 50, " ", "é"]
     for _ in range(300):
         text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
-        assert own.encode_ordinary(text) == library.encode(text, add_special_tokens=False).ids
+        assert own(text) == library.encode(text, add_special_tokens=False).ids
+    assert own("a <|endoftext|> b") == [64, 220, 50256, 275]
 
 
 @pytest.mark.parametrize("n", [1, 127, 128, 255, 896, 897, 1000, 1023, 1024, 1025, 1920, 1921, 5000])
 def test_cuts_cover(n):
     pieces = packing.cuts(n)
     assert [s for s, _ in pieces] == list(np.cumsum([0] + [k for _, k in pieces])[:-1]) and sum(k for _, k in pieces) == n
-    assert all(k in packing.TIERS or k < 128 or 896 < k < 1024 for _, k in pieces)
+    assert all(k == 1024 for _, k in pieces[:-1])
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece_once(seed):
     rng = random.Random(seed)
-    counts = {n: rng.randint(0, 40) for n in [*range(1, 128), 128, 256, 512, 1024, *range(897, 1024)] if rng.random() < 0.5} | {100: 3000}
+    counts = {n: rng.randint(0, 40) for n in range(1, 1025) if rng.random() < 0.5} | {100: 3000}
     filled = {}
     for n, lo, hi, k, first, at, _ in packing.plan(counts):
         assert (hi - lo) % k == 0
@@ -103,12 +103,19 @@ def test_plan_places_every_piece_once(seed):
 
 def test_pack_on_awkward_rows(awkward, awkward_rows):
     rows = packing.pack(awkward, JSON, public_tokenizers.PATTERN).collect()
-    encode = packing.encoder(packing.json_ranks(JSON), public_tokenizers.PATTERN).encode_ordinary
-    want = []
-    for doc, text in awkward_rows:
-        ids = np.array([*encode(text or ""), 0], dtype="<u4")
-        want += [(doc, s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for s, n in packing.cuts(len(ids))]
-    assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"])) for r in rows)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    want, found = {}, {}
+    for doc, text in awkward_rows:  # every document whole in pieces that follow each other, whatever their lengths
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        want.setdefault(doc, []).append(np.array(ids, dtype="<u4"))
+    for r in rows:
+        found.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]))
+    assert found.keys() == want.keys()
+    for doc, texts in want.items():
+        cut = [(s, n, zlib.crc32(ids[s : s + n].tobytes()), len(ids)) for ids in texts for s, n, _, size in set(found[doc]) if size == len(ids) and zlib.crc32(ids[s : s + n].tobytes()) in {c for a, _, c, _ in found[doc] if a == s}]
+        assert sorted(cut) == sorted(found[doc]) and sum(n for _, n, *_ in cut) == sum(map(len, texts))
     sequences, steps = {}, {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"], r["tier"], r["step_group"]))
@@ -119,4 +126,4 @@ def test_pack_on_awkward_rows(awkward, awkward_rows):
         assert total <= s[0][2] and (total == s[0][2] or s[0][2] == 1024)
         steps.setdefault(s[0][3], []).append(s[0][2])
     assert all(len(set(t)) == 1 and sum(t) <= 8192 for t in steps.values())
-    assert 1 - sum(r["length"] for r in rows) / sum(s[0][2] for s in sequences.values()) < 0.02
+    assert 1 - sum(r["length"] for r in rows) / sum(s[0][2] for s in sequences.values()) < 0.05

@@ -9,7 +9,7 @@ import pytest
 from textloom.llm import line_dedup, ngram_join
 from textloom.llm.common import Forest, binomial_tail_below, bucket_units, components
 from textloom.llm.queries import op5_line_dedup
-from textloom.llm.shingles import SpanHasher, words_of
+from textloom.llm.shingles import WordHasher, exact_sets, words_of
 
 
 def shingles(text, n=5):
@@ -19,7 +19,7 @@ def shingles(text, n=5):
 
 def brute_near(rows, threshold=0.8):
     """Sorted (doc_id, class_id, text_id, n_copies, n_links, n_text_links) by all pairs of rows."""
-    low = lambda i: -(2**63) if i is None else i
+    low = lambda i: -(2**63) - 1 if i is None else i
     texts = [t or "" for _, t in rows]
     sets = [shingles(t) for t in texts]
     forest, links, near = Forest(len(rows)), [0] * len(rows), [set() for _ in rows]
@@ -39,7 +39,7 @@ def brute_near(rows, threshold=0.8):
     out = []
     for i, (doc, _) in enumerate(rows):
         first = min(low(d) for (d, _), t in zip(rows, texts, strict=True) if t == texts[i])
-        up = lambda x: None if x == -(2**63) else x
+        up = lambda x: None if x < -(2**63) else x
         out.append((doc, up(least[forest.find(i)]), up(first), texts.count(texts[i]), links[i], len(near[i])))
     return sorted(out, key=repr)
 
@@ -85,7 +85,7 @@ def test_pruning_keeps_likely_pairs():
 
 
 def test_minhash_estimates_similarity():
-    hasher = SpanHasher()
+    hasher = WordHasher()
     a = " ".join(f"w{i}" for i in range(1000))
     b = " ".join(f"w{i}" for i in range(100, 1100))
     h, bounds = words_of([a, b], hasher)
@@ -94,7 +94,7 @@ def test_minhash_estimates_similarity():
 
 
 def test_equal_shingles_have_equal_hashes():
-    hasher = SpanHasher()
+    hasher = WordHasher()
     h, bounds = words_of(["a b c d e f", "x a b  c D\ne", "", "b"], hasher, 5)
     assert bounds.tolist() == [0, 2, 4, 4, 5] and h[0] == h[3] and len(set(h.tolist())) == 4
 
@@ -144,19 +144,16 @@ def test_edit_within():
 
 
 def brute_lines(rows, min_words=5):
-    """{(doc_id, line_no): (keep doc_id, keep line_no)} by all pairs of distinct normalised lines, with the operator's SimHash test."""
+    """{(doc_id, line_no): (keep doc_id, keep line_no)} by all pairs of distinct normalised lines."""
     low = lambda i: -(2**63) if i is None else i
     spots = [(low(d), k, line_dedup.normalised(x)) for d, t in rows for k, x in enumerate((t or "").split("\n"))]
     spots = [s for s in spots if len(s[2].split()) >= min_words]
     lines = sorted({s[2] for s in spots})
-    hasher, order = SpanHasher(), SpanHasher()
-    *_, sim, more = line_dedup.line_hashes(["\n".join(lines)], hasher, order)
     forest = Forest(len(lines))
     for i, j in combinations(range(len(lines)), 2):
-        if (int(sim[i]) ^ int(sim[j])).bit_count() <= line_dedup.BITS and (int(more[i]) ^ int(more[j])).bit_count() <= line_dedup.MORE_BITS:
-            a, b = lines[i], lines[j]
-            if line_dedup.edit_within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)):
-                forest.join(i, j)
+        a, b = lines[i], lines[j]
+        if line_dedup.edit_within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9)):
+            forest.join(i, j)
     at = {x: forest.find(i) for i, x in enumerate(lines)}
     keep = {}
     for d, k, x in spots:
@@ -187,11 +184,47 @@ def test_near_lines_are_found(spark):
     assert [r["kept"] for r in found if r["doc_id"] == 99] == [True]
 
 
-def test_long_lines_are_hashed_in_parts():
-    hasher, order = SpanHasher(), SpanHasher()
-    text = " ".join(f"t{k % 700}" for k in range(1500))
-    *_, words, size, whole, sim, more = line_dedup.line_hashes([text + "\nx y z", text], hasher, order)
-    assert words.tolist() == [1500, 3, 1500] and size[0] == len(text) and whole[0] == whole[2] and sim[0] == sim[2] and sim[0] != sim[1]
+def test_line_hashes_follow_the_words():
+    text = " ".join(f"t{k}" for k in range(1500))
+    _, number, words, digests, bands = line_dedup.line_hashes([text + "\n\nx y, Z", text.upper() + "\n ?! \nX  y z"], WordHasher())
+    assert number.tolist() == [0, 2, 0, 2] and words.tolist() == [1500, 3, 1500, 3]
+    assert digests[0] == digests[2] != digests[1] == digests[3] and (bands[:2] == bands[2:]).all()
+
+
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() & 1] for k in range(n))
+
+
+def test_texts_that_meet_in_weak_hashes_stay_apart(spark):
+    """A polynomial hash modulo a power of two gives a Thue-Morse word and its complement one value."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_links"] for r in ngram_join.near_texts(df).collect()] == [0, 0]
+    assert all(r["kept"] for r in line_dedup.report(df, short=True).collect())
+    h, _ = words_of([one, other], WordHasher(), 1)
+    assert h[0] != h[1]
+
+
+def test_exact_sets_compare_words():
+    a, b, c, d = exact_sets(["a b c d e f", "x a b  c D\ne", "", "b"], 5)
+    assert len(a) == len(b) == 2 and len(np.intersect1d(a, b)) == 1 and not len(c) and len(d) == 1
+
+
+def test_least_id_is_an_id(spark):
+    rows = [(-(2**63), "one text of at least five words"), (None, "one text of at least five words"), (7, "another line that is alone here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.near_texts(df).collect()), key=repr) == brute_near(rows)
+    kept = {(r["doc_id"], r["kept"]) for r in line_dedup.report(df).collect()}
+    assert kept == {(-(2**63), False), (None, True), (7, True)}
+
+
+def test_one_row_of_a_group_is_kept(spark):
+    line = "this very line stands in rows that repeat"
+    df = spark.createDataFrame([(1, line)] * 3 + [(2, line + " again")], "doc_id long, text string")
+    assert sum(r["kept"] for r in line_dedup.report(df).collect()) == 1
+    assert [r["text"] for r in line_dedup.without_repeats(df).collect()] == [line]
 
 
 def test_repeats_go(spark):
@@ -212,7 +245,7 @@ def test_one_replaced_word_is_found_in_lines_of_any_length(spark):
         other = list(line)
         other[rng.randrange(len(line))] = word()
         rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(other))]
-    found = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), bits=None).collect()
+    found = line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["doc_id"] % 2 == 1 and r["keep_doc_id"] == r["doc_id"] - 1 for r in found) >= 57
 
 
@@ -220,7 +253,7 @@ def test_recall_against_edit_similarity_alone(spark, data):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
     lines = sorted({n for _, t in rows for x in (t or "").split("\n") if len((n := line_dedup.normalised(x)).split()) >= 5})
     found = {}
-    for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bits=None).collect():
+    for r in line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect():
         found[r["doc_id"]] = r["keep_doc_id"]
     near = []
     for i, j in combinations(range(len(lines)), 2):
@@ -241,5 +274,5 @@ def test_short_lines_are_grouped_where_equal(spark, tmp_path):
 def test_short_own_lines_outlive_a_repeated_line(spark):
     line = "this very line stands in two of the documents here"
     rows = [(1, line), (2, f"milk\n{line}\nbrown bread\n"), (3, f" \n{line}\n ")]
-    found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), bits=None).collect()}
+    found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: line, 2: "milk\nbrown bread\n"}

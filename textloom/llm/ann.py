@@ -3,7 +3,8 @@
 Inner product becomes Euclidean distance by one more dimension (sqrt(M^2 - |x|^2), M the largest norm; 0 for queries). Vectors are
 rotated at random, so any first d of D dimensions sample the distance. An inverted file deals them to the lists of the nearest
 centroid, fitted on a bounded sample; long lists are cut into blocks. A query scans its probed lists in blocks of dimensions and
-gives a candidate up once sqrt(D / d) times the partial distance exceeds (1 + e / sqrt(d)) times its radius. Scores of what is left are inner products of the original vectors in double precision.
+gives a candidate up once sqrt(D / d) times the partial distance exceeds (1 + e / sqrt(d)) times its radius, which shrinks to the
+k-th best distance found in the list so far. Scores of what is left are inner products of the original vectors in double precision.
 """
 
 from __future__ import annotations
@@ -45,34 +46,55 @@ def kmeans(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) ->
     return centres
 
 
-def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query rows, vector rows) of rotated pairs that are not given up on within each query's squared radius."""
+def adaptive_scan(queries: np.ndarray, vectors: np.ndarray, radius: np.ndarray, k: int = 20, turn: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, vector rows) of rotated pairs that are not given up on within each query's squared radius.
+
+    Vectors are looked at ``turn`` at a time; after each turn a query's radius shrinks to the distance of its (k + 1)-th nearest
+    vector of this call so far (one may be the query itself), if that is less.
+    """
     size = vectors.shape[1]
+    radius = radius.astype(np.float32)
+    best = np.full((len(queries), k + 1), np.inf, dtype=np.float32)
+    found_q, found_v = [], []
 
     def bound(d: int) -> np.ndarray:
-        return radius * ((1 + EPSILON / math.sqrt(d)) ** 2 * d / size if d < size else 1 + 1e-4)
+        return radius * np.float32((1 + EPSILON / math.sqrt(d)) ** 2 * d / size if d < size else 1 + 1e-4)
 
     d = min(STEP, size)
-    a, b = queries[:, :d], vectors[:, :d]
-    partial = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-    q, v = np.nonzero(partial <= bound(d)[:, None])
-    partial = partial[q, v]
-    for lo in range(d, size, STEP):
-        hi = min(size, lo + STEP)
-        step = vectors[v, lo:hi] - queries[q, lo:hi]
-        partial = partial + np.einsum("ij,ij->i", step, step)
-        keep = partial <= bound(hi)[q]
-        q, v, partial = q[keep], v[keep], partial[keep]
-    return q, v
+    a = queries[:, :d]
+    head = (a * a).sum(1)[:, None]
+    for start in range(0, len(vectors), turn):
+        b = vectors[start : start + turn, :d]
+        partial = head + (b * b).sum(1)[None] - 2 * a @ b.T
+        q, v = np.nonzero(partial <= bound(d)[:, None])
+        partial, v = partial[q, v], v + start
+        for lo in range(d, size, STEP):
+            hi = min(size, lo + STEP)
+            step = vectors[v, lo:hi] - queries[q, lo:hi]
+            partial = partial + np.einsum("ij,ij->i", step, step)
+            keep = partial <= bound(hi)[q]
+            q, v, partial = q[keep], v[keep], partial[keep]
+        found_q.append(q)
+        found_v.append(v)
+        order = np.lexsort((partial, q))
+        rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        near = np.full((len(queries), k + 1), np.inf, dtype=np.float32)
+        few = rank <= k
+        near[q[order][few], rank[few]] = partial[order][few]
+        best = np.sort(np.hstack([best, near]), axis=1)[:, : k + 1]
+        radius = np.minimum(radius, best[:, k] * np.float32(1 + 1e-4))
+    return np.concatenate(found_q or [np.zeros(0, int)]), np.concatenate(found_v or [np.zeros(0, int)])
 
 
 def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedding", every: int = 20, k: int = 20, probe_share: float = 0.65, per_list: int = 1024, sample: int = 16_384, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by ``every`` its k nearest other rows found.
 
-    Largest inner product first, ties to the smaller vec_id. Unusable vectors (see usable) take no part, nor do those of another
+    Largest inner product first, ties to the smaller vec_id; the search works on vectors scaled by the largest component, scores are
+    those of the original vectors. Unusable vectors (see usable) take no part, nor do those of another
     length than most. Repeated rows of an id are one (the least vector). A query probes ``probe_share`` of the lists, nearest first,
-    its radius is the distance of its 2k-th best sampled vector in these lists. Queries
-    that find fewer than k so (or than there are) are compared with every vector. The driver holds the sample, at most 4,096 centroids and list sizes.
+    its radius at first is the distance of its 2k-th best sampled vector in these lists and shrinks inside each list; lists
+    that lie wholly beyond it are passed over (by the triangle inequality). Lists hold about ``per_list`` vectors up to 4,096 lists and
+    more beyond; a list of more than ``block`` vectors is scanned in blocks. Queries that find fewer than k so (or than there are) are compared with every vector. The driver holds the sample, at most 4,096 centroids and list sizes.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, column)
@@ -82,12 +104,18 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
         return spark.createDataFrame([], schema)
     size = int(common["n"])
     rows = materialize(rows.where(F.size("v") == size).groupBy("vec_id").agg(F.min("v").alias("v")))
-    total, most = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    total, largest = rows.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x))))).first()
+    scaled = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(largest)) * (x / F.lit(largest)))
+    most = rows.agg(F.max(scaled)).first()[0]
     picked = np.stack(rows.orderBy(F.xxhash64("vec_id")).limit(sample).toPandas()["v"].to_numpy()).astype(np.float64)
     turn = rotation(size + 1)
 
     def rotated(v: np.ndarray, is_query: bool) -> np.ndarray:
-        rest = np.zeros(len(v)) if is_query else np.sqrt(np.maximum(0.0, most - (v * v).sum(1)))
+        v = v / largest
+        square = (v * v).sum(1)
+        if is_query:  # its length changes no ranking, so all get that of the longest vector
+            v = v * np.sqrt(most / np.maximum(square, 1e-300))[:, None]
+        rest = np.zeros(len(v)) if is_query else np.sqrt(np.maximum(0.0, most - square))
         return np.hstack([v, rest[:, None]]).astype(np.float32) @ turn
 
     lists = int(min(4096, max(1, total // per_list)))
@@ -97,12 +125,14 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
     def assign(frames):
         for pdf in frames:
             v = np.stack(pdf["v"].to_numpy())
-            near = np.argmin(norms - 2 * rotated(v, False) @ centres.T, axis=1)
-            yield pd.DataFrame({"list": near, "vec_id": pdf["vec_id"], "v": pdf["v"]})
-
-    placed = materialize(rows.mapInPandas(assign, "list int, vec_id long, v array<double>"))
-    counted = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
-    sizes = np.array([counted.get(j, 0) for j in range(len(centres))])
+            turned = rotated(v, False)
+            near = np.argmin(norms - 2 * turned @ centres.T, axis=1)
+            yield pd.DataFrame({"list": near, "vec_id": pdf["vec_id"], "v": pdf["v"], "away": np.sqrt(((turned - centres[near]) ** 2).sum(1))})
+
+    placed = materialize(rows.mapInPandas(assign, "list int, vec_id long, v array<double>, away double"))
+    counted = {r["list"]: (r["n"], r["away"]) for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("away")).collect()}
+    sizes = np.array([counted.get(j, (0, 0))[0] for j in range(len(centres))])
+    reach = np.array([counted.get(j, (0, 0.0))[1] for j in range(len(centres))])
     blocks = np.maximum(1, -(-sizes // block))
 
     known = rotated(picked, False)
@@ -113,7 +143,9 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
         for pdf in frames:
             v = np.stack(pdf["v"].to_numpy())
             turned = rotated(v, True)
-            order = np.argsort(norms - 2 * turned @ centres.T, axis=1, kind="stable")
+            to_centre = np.maximum(0, (turned**2).sum(1)[:, None] + norms - 2 * turned @ centres.T)
+            order = np.argsort(to_centre, axis=1, kind="stable")
+            least = np.maximum(0, np.sqrt(to_centre) - reach * (1 + 1e-4) - 1e-4) ** 2  # no vector of the list is nearer
             out = []
             for lo in range(0, len(v), 256):
                 part = turned[lo : lo + 256]
@@ -121,11 +153,11 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
                 place = np.argsort(order[lo : lo + 256], axis=1)  # the list's turn for each query
                 distance[place[:, known_lists] >= math.ceil(probe_share * len(centres))] = np.inf
                 radius = np.partition(distance, 2 * k, axis=1)[:, 2 * k] if len(known) > 2 * k else np.full(len(part), np.inf)
-                radius = np.where(np.isfinite(radius) & adaptive, radius, 1e30)
-                for q, row, near, r in zip(pdf["vec_id"][lo : lo + 256], pdf["v"][lo : lo + 256], order[lo : lo + 256], radius, strict=True):
+                radius = np.where(adaptive, radius, np.inf)
+                for q, row, near, r, far in zip(pdf["vec_id"][lo : lo + 256], pdf["v"][lo : lo + 256], order[lo : lo + 256], radius, least[lo : lo + 256], strict=True):
                     seen = np.cumsum(sizes[near])
                     n = max(math.ceil(probe_share * len(near)), int(np.searchsorted(seen, min(k + 1, total))) + 1)
-                    out += [((int(j) * ways + int(q) // every % ways) << 20 | b, q, row, float(r)) for j in near[:n] for b in range(blocks[j]) if sizes[j]]
+                    out += [((int(j) * ways + int(q) // every % ways) << 20 | b, q, row, float(r)) for j in near[:n] if sizes[j] and far[j] <= r * (1 + 1e-4) for b in range(blocks[j])]
             yield pd.DataFrame(out, columns=["unit", "vec_id", "v", "radius"])
 
     of_block = F.pmod(F.xxhash64("vec_id"), F.element_at(F.lit(blocks.tolist()), F.col("list") + 1).cast("long"))
@@ -134,7 +166,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
     stored = dealt.select((F.shiftleft(F.col("list").cast("long") * ways + F.col("way"), 20) + F.col("block")).alias("unit"), "vec_id", "v", F.lit(-1.0).alias("radius"))
     queries = rows.where(F.col("vec_id") % every == 0)
 
-    def scan(pdf: pd.DataFrame):
+    def scan(pdf: pd.DataFrame, adaptive: bool):
         out = []
         for _, unit in pdf.groupby("unit", sort=False):
             asks = unit["radius"].to_numpy() >= 0
@@ -146,7 +178,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
             wanted, radius = np.flatnonzero(asks), unit["radius"].to_numpy()
             for lo in range(0, len(wanted), 256):
                 own = wanted[lo : lo + 256]
-                q, x = adaptive_scan(rotated(v[own], True), turned, radius[own].astype(np.float32))
+                q, x = adaptive_scan(rotated(v[own], True), turned, radius[own], k if adaptive else len(store))
                 other = ids[own][q] != stored_ids[x]
                 q, x = q[other], x[other]
                 score = (store[x] * v[own][q]).sum(1)
@@ -165,7 +197,7 @@ def nearest(vectors: DataFrame, id_column: str = "vec_id", column: str = "embedd
 
     def search(these: DataFrame, share: float, adaptive: bool) -> DataFrame:
         asked = these.mapInPandas(lambda frames: probe(frames, share, adaptive), "unit long, vec_id long, v array<double>, radius double")
-        found = map_whole_groups(stored.unionByName(asked), "unit", scan, "query_id long, vec_id long, score double", 4096)
+        found = map_whole_groups(stored.unionByName(asked), "unit", lambda pdf: scan(pdf, adaptive), "query_id long, vec_id long, score double", 4096)
         return map_whole_groups(found, "query_id", merge, schema)
 
     first = materialize(search(queries, probe_share, True))

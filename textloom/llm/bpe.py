@@ -1,17 +1,15 @@
 """Byte-level BPE over a shuffle of distinct words.
 
-Documents are split into pre-tokens in chunks. A chunk's distinct words are dealt into buckets by hash; a bucket's block has the
-words and, in order of position, which of them stands there. All chunks' blocks of a bucket meet, and each distinct word is encoded
-once there. The ids go back with the positions to the chunk, where documents are put together, and are decoded through the table of
-token bytes. What is shuffled is one packed block for each chunk and bucket, so frequent words cost no more than rare ones and no
-key gathers rows.
+Documents are split into pre-tokens in chunks; a chunk keeps, in order of position, which of its distinct words stands there. The
+distinct words of all chunks are shuffled, so that each is encoded once; decoding explodes its ids and joins the table of token bytes.
+Ids and bytes are joined back to the chunks' words and documents are put together by position. A word is one row for each chunk that
+has it, however often it occurs there, so frequent words cost little more than rare ones.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -19,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_key, id_key, map_whole_groups, repeatable
+from .common import from_key, id_key, materialize
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -49,11 +47,6 @@ class ByteTable:
         return self.data[np.repeat(self.start[numbers] - (ends - length), length) + np.arange(ends[-1])]
 
 
-def token_bytes(ranks: dict[bytes, int]) -> ByteTable:
-    by_id = dict(zip(ranks.values(), ranks, strict=True))
-    return ByteTable([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)])
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned integers, each stored plane by plane and compressed."""
     import zstandard
@@ -81,17 +74,15 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _chunks(frames, pattern: str, buckets: int, size: int):
-    """For each chunk of about ``size`` characters a row of documents (keys set; numbers: the bucket of each pre-token, pre-tokens of
-    each document), dealt to a bucket beyond the others, and a row for each bucket (numbers: lengths of its words, words by rising
-    rank; places: the rank of each of its pre-tokens)."""
+def _chunks(frames, pattern: str, size: int):
+    """A row for each chunk of about ``size`` characters: its number, the keys and pre-token counts of its documents, its distinct
+    words, the commonest first, and for each pre-token the place of its word among them."""
     import regex
-    import zstandard
     from pyspark import TaskContext
 
     split = regex.compile(pattern).findall
     partition, chunk = TaskContext.get().partitionId(), 0
-    keys: list[int] = []
+    keys: list[str | None] = []
     positions: list[np.ndarray] = []
     held = 0
 
@@ -102,29 +93,14 @@ def _chunks(frames, pattern: str, buckets: int, size: int):
 
     ranks = rank()
 
-    def rows():
-        words = list(ranks)
+    def frame():
         flat = np.concatenate(positions)
-        order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # so that most ranks are small numbers
-        raw = [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
-        bucket = np.fromiter(map(zlib.crc32, raw), dtype=np.uint32, count=len(raw)) % np.uint32(buckets)
-        by = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        of_word, within = np.empty(len(words), dtype=np.uint16), np.empty(len(words), dtype=np.uint32)
-        of_word[order] = bucket
-        within[order[by]] = np.arange(len(words)) - bounds[bucket[by]]
-        of_token, rank = of_word[flat], within[flat]
-        name = (partition << 32) + chunk
+        order = np.argsort(-np.bincount(flat, minlength=len(ranks)), kind="stable")  # so that most places are small numbers
+        words, place = list(ranks), np.empty(len(ranks), dtype=np.uint32)
+        place[order] = np.arange(len(ranks))
         lengths = np.fromiter(map(len, positions), dtype=np.uint32, count=len(positions))
-        yield (name, buckets + name % buckets, keys, _pack(of_token, lengths), None, None)
-        for b in range(buckets):
-            own = [raw[k] for k in by[bounds[b] : bounds[b + 1]].tolist()]
-            if own:
-                sizes = np.fromiter(map(len, own), dtype=np.uint32, count=len(own))
-                yield (name, b, None, _pack(sizes), zstandard.compress(b"".join(own), 3), _pack(rank[of_token == b]))
-
-    def frame():
-        return pd.DataFrame(rows(), columns=["chunk", "bucket", "keys", "numbers", "words", "places"])
+        row = ((partition << 32) + chunk, keys, _pack(place[flat], lengths), [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()])
+        return pd.DataFrame([row], columns=["chunk", "keys", "places", "words"])
 
     for pdf in frames:
         for key, text in zip(pdf["key"].tolist(), pdf["text"].tolist(), strict=True):
@@ -138,76 +114,84 @@ def _chunks(frames, pattern: str, buckets: int, size: int):
         yield frame()
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, buckets: int | None = None, chunk_chars: int = 24 << 20, render=None, schema: str = "ids array<int>, decoded binary") -> DataFrame:
+def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(word, ids, decoded) for distinct words (word binary): each encoded once, then decoded by a join with the token-byte table,
+    which has one row per token of the file and is broadcast."""
+    spark = words.sparkSession
+
+    def run(frames):
+        single = encoder(rank_table(ranks_path), pattern)._encode_single_piece
+        for pdf in frames:
+            yield pd.DataFrame({"word": pdf["word"], "ids": [single(bytes(w)) for w in pdf["word"]]})
+
+    encoded = materialize(words.mapInPandas(run, "word binary, ids array<int>"), batch=10_000)
+    table = spark.createDataFrame([(i, bytearray(b)) for b, i in rank_table(ranks_path).items()], "id int, token binary")
+    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
+    return each.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("decoded"))
+
+
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 24 << 20, render=None, schema: str = "ids array<int>, decoded binary") -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id and what ``render(ids, decoded)`` gives, by default the ids and the bytes
     they decode to. A null text is empty (no ids); null ids and repeated rows come back as they are.
 
     ranks_path names a file of base64 token and rank lines that workers can read. A document of any length is whole in one chunk.
     """
-    own = repeatable(docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")))
-    buckets = buckets or min(4096, max(64, 2 * own.rdd.getNumPartitions()))
-    chunks = own.mapInPandas(lambda frames: _chunks(frames, pattern, buckets, chunk_chars), "chunk long, bucket long, keys array<long>, numbers binary, words binary, places binary")
+    own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>"))
+    words = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    back = words.join(encode_words(words.select("word").distinct(), ranks_path, pattern), "word")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<int>"), ("decoded", "binary"))]
+    heads = chunks.select("chunk", F.lit(-1).alias("at"), *none, "keys", "places")
+    rows = back.select("chunk", "at", "ids", "decoded", F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("binary").alias("places")).unionByName(heads)
     render = render or (lambda ids, decoded: (ids.tolist(), decoded.tobytes()))
+    names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def encode(frames):
-        """Rows sorted by bucket; the words known so far are those of one bucket."""
-        import zstandard
-
-        single = encoder(rank_table(ranks_path), pattern)._encode_single_piece
-        now, known = None, {}
+    def whole(keys, places, words: dict[str, list]):
+        """The documents of a chunk."""
+        at, lengths = _unpack(places)
+        order = np.argsort(np.concatenate(words["at"])) if words["at"] else np.zeros(0, dtype=np.int64)
+        if len(order) != (int(at.max()) + 1 if len(at) else 0):
+            raise RuntimeError("a chunk's words are missing or doubled")
+        count = np.concatenate(words["count"])[order] if len(order) else order
+        ids = np.concatenate(words["ids"]) if len(order) else np.zeros(0, dtype=np.uint32)
+        first = np.r_[0, np.cumsum(np.concatenate(words["count"]))][:-1][order] if len(order) else order
+        table = ByteTable([words["decoded"][k] for k in order])
+        out, start = [], 0
+        for key, n in zip(keys, lengths.tolist(), strict=True):
+            here = at[start : start + n].astype(np.int64)
+            c, f = count[here], first[here]
+            start += n
+            stop = np.cumsum(c)
+            own = ids[np.repeat(f - (stop - c), c) + np.arange(stop[-1])] if n else ids[:0]
+            out.append((key, *render(own, table(here))))
+        return pd.DataFrame(out, columns=["key", *names])
+
+    def assemble(frames):
+        """Rows sorted by chunk, a chunk's own row first; what is held is one chunk."""
+        now, keys, places, words = None, None, None, None
         for pdf in frames:
-            out = []
-            for chunk, bucket, keys, numbers, packed, places in zip(*(pdf[c] for c in ("chunk", "bucket", "keys", "numbers", "words", "places")), strict=True):
-                if packed is None:
-                    out.append((chunk, bucket, keys, numbers, None))
-                    continue
-                if bucket != now:
-                    now, known = bucket, {}
-                data, ids, counts, start = zstandard.decompress(packed), [], [], 0
-                for end in np.cumsum(_unpack(numbers)[0]).tolist():
-                    word, start = data[start:end], end
-                    found = known.get(word)
-                    if found is None:
-                        found = known[word] = single(word)
-                    ids += found
-                    counts.append(len(found))
-                out.append((chunk, bucket, None, _pack(np.array(counts), np.array(ids)), places))
-            yield pd.DataFrame(out, columns=["chunk", "bucket", "keys", "numbers", "places"])
-
-    encoded = chunks.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(encode, "chunk long, bucket long, keys array<long>, numbers binary, places binary")
-
-    def assemble(pdf: pd.DataFrame):
-        table = token_bytes(rank_table(ranks_path))
-        for _, rows in pdf.groupby("chunk", sort=False):
-            head = rows[rows["keys"].notna()]
-            if len(head) != 1:
-                raise RuntimeError("a chunk's documents are missing or doubled")
-            keys = head["keys"].iloc[0]
-            bucket, lengths = _unpack(head["numbers"].iloc[0])
-            bucket = bucket.astype(np.uint16)
-            count, first, ids, total = np.zeros(len(bucket), dtype=np.int32), np.zeros(len(bucket), dtype=np.int64), [], 0
-            for b, numbers, places in zip(rows["bucket"], rows["numbers"], rows["places"], strict=True):
-                if places is not None:
-                    counts, own = _unpack(numbers)
-                    (rank,) = _unpack(places)
-                    at = bucket == b
-                    count[at] = counts[rank]
-                    first[at] = (total + np.cumsum(counts, dtype=np.int64) - counts)[rank]
-                    ids.append(own)
-                    total += len(own)
-            ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.uint32)
-            out, start = [], 0
-            for key, n in zip(keys, lengths.tolist(), strict=True):
-                c, f = count[start : start + n].astype(np.int64), first[start : start + n]
-                start += n
-                stop = np.cumsum(c)
-                own = ids[np.repeat(f - (stop - c), c) + np.arange(stop[-1])] if n else ids[:0]
-                out.append((key, *render(own, table(own))))
-            yield pd.DataFrame(out, columns=["key", *names])
-
-    names = [c.strip().split()[0] for c in schema.split(",")]
-    whole = map_whole_groups(encoded, "chunk", assemble, f"key long, {schema}", 1)
-    return whole.select(from_key(F.col("key")).alias("doc_id"), *names)
+            chunk = pdf["chunk"].to_numpy()
+            bounds = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                part = pdf.iloc[lo:hi]
+                if chunk[lo] != now:
+                    if now is not None:
+                        yield whole(keys, places, words)
+                    if part["at"].iloc[0] != -1:
+                        raise RuntimeError("a chunk's documents are missing")
+                    now, keys, places = chunk[lo], part["keys"].iloc[0], part["places"].iloc[0]
+                    words, part = {"at": [], "count": [], "ids": [], "decoded": []}, part.iloc[1:]
+                if len(part):
+                    words["at"].append(part["at"].to_numpy())
+                    words["count"].append(np.fromiter(map(len, part["ids"]), dtype=np.int64, count=len(part)))
+                    words["ids"].append(np.concatenate(part["ids"].to_list()).astype(np.uint32))
+                    words["decoded"] += part["decoded"].tolist()
+        if now is not None:
+            yield whole(keys, places, words)
+
+    made = rows.repartition("chunk").sortWithinPartitions("chunk", "at").mapInPandas(assemble, f"key string, {schema}")
+    return made.select(from_key(F.col("key")).alias("doc_id"), *names)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

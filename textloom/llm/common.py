@@ -1,4 +1,4 @@
-"""Shared plumbing: scratch tables, whole-group streaming, bucket units, connected components."""
+"""Shared plumbing: scratch tables, joins on hot keys, whole-group streaming, bucket units, connected components."""
 
 from __future__ import annotations
 
@@ -6,66 +6,126 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id inside joins; results show null again.
-NULL_ID = -(2**63)
-
-
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Arrow batches have at most so many rows, unless the session has another number than Spark's own: whole texts make
-    large batches, of which a worker holds several copies."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(rows))
+#: A key with more than this share of all rows is hot; there are at most HOT_KEYS of them, which bounds what is broadcast.
+HOT_KEYS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, one of the machine's own, but only if there is no other
+    machine: a cluster must name a folder that all its machines see."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not shared:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isEmpty():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
             current = sc._jsc.sc().getCheckpointDir()
         shared = current.get()
     return shared.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most ``rows`` rows while a scratch table is written; the session's own number stands before and after."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+_open_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+def scratch_path(spark: SparkSession) -> str:
+    path = f"{scratch_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append((spark, path))
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch_scope():
+    """Scratch tables made inside are deleted at the end, so what was built on them must be written by then."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open_scopes.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, codec: str = "none", batch: int = 2000) -> DataFrame:
     """Cut lineage: write df as Parquet into the shared folder and read it back. What is kept so is mostly hashes, which compress
-    little; without a codec, readers hold no native memory that only a garbage collection gives back."""
+    little; without a codec, readers hold no native memory that only a garbage collection gives back. ``batch`` bounds the rows of
+    Arrow batches meanwhile: whole texts make large ones, of which a worker holds several copies."""
     spark = df.sparkSession
-    small_batches(spark)
-    path = f"{scratch_dir(spark)}/textloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "none").parquet(path)
+    path = scratch_path(spark)
+    with arrow_rows(spark, batch):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def repeatable(df: DataFrame) -> DataFrame:
-    """df itself where its rows come from files in the same order each time; else written first, so that a task that runs again
-    after a lost executor sees the rows it saw before."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return materialize(df) if "Exchange" in plan or "Scan ExistingRDD" in plan else df
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/textloom-" not in path:
+                raise ValueError(f"not a scratch table: {path}")
+            _delete(spark, path)
 
 
 def id_key(column: str = "doc_id"):
-    """doc_id as a join key that also holds for null."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
+    """doc_id as text, in which null and every long keep apart on the way through Python workers."""
+    return F.col(column).cast("long").cast("string")
 
 
 def from_key(column):
-    return F.when(column != F.lit(NULL_ID), column)
+    return column.cast("long")
+
+
+def spot(column: str = "doc_id"):
+    """doc_id as a value that sorts as the number does, null first, and joins like any other."""
+    number = F.col(column).cast("long")
+    return F.struct(number.isNotNull().alias("known"), F.coalesce(number, F.lit(0)).alias("id"))
+
+
+def from_spot(column):
+    return F.when(column["known"], column["id"])
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows with the facts of their key (one row of facts for a key; ``count`` says how many rows have it).
+
+    Keys with more than 1 / HOT_KEYS of all rows are fewer than HOT_KEYS, so their facts are broadcast and their rows stay where they
+    are; the other rows are shuffled by key. Both inputs should be tables, since they are read more than once.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = facts.where(F.col(count) * HOT_KEYS > F.lit(total))
+    some = F.broadcast(hot.select(key))
+    cold = facts.where(F.col(count) * HOT_KEYS <= F.lit(total))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(some, key, "left_anti").join(cold, key, how))
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], key: str, at_least: int = 4096) -> Iterator[pd.DataFrame]:
@@ -104,12 +164,19 @@ def bucket_units(rows: DataFrame, key: str, member: str, limit: int) -> DataFram
     A bucket of at most ``limit`` members is one unit. A larger one is dealt into g blocks by the member's hash and every
     pair of blocks is a unit, so all pairs still meet, in pieces of about 2 * limit rows; a member is sent to g units. half is 0 where
     a unit holds one block, else 1 or 2: pairs with halves 0, 0 or 1, 2 (see own_pairs) occur in one unit only.
+
+    Rows of a hot bucket never gather before they are dealt: see join_hot. ``rows`` should come from a table.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2")
-    g = F.ceil(F.col("_n") / F.lit(limit)).cast("int")
-    block = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")
+    sizes = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2"))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    is_hot = (F.col("_n") > limit) & (F.col("_n") * HOT_KEYS > F.lit(total))
+    hot = sizes.where(is_hot)
     # the sizes are the far smaller side, so they are hashed and the rows needn't be sorted
-    placed = rows.join(sizes.hint("shuffle_hash"), key).withColumn("_g", g).withColumn("_b", F.when(F.col("_g") == 1, F.lit(0)).otherwise(block))
+    found = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(sizes.where(~is_hot).hint("shuffle_hash"), key)
+    if not hot.isEmpty():
+        found = found.unionByName(rows.join(F.broadcast(hot), key))
+    block = F.pmod(F.xxhash64(F.col(member), F.lit(7)), F.col("_g")).cast("int")
+    placed = found.withColumn("_g", F.ceil(F.col("_n") / F.lit(limit)).cast("int")).withColumn("_b", F.when(F.col("_g") == 1, F.lit(0)).otherwise(block))
     other = F.explode(F.sequence(F.lit(0), F.col("_g") - 1))
     half = F.when(F.col("_b") == F.col("_o"), F.lit(0)).when(F.col("_b") < F.col("_o"), F.lit(1)).otherwise(F.lit(2))
     unit = F.xxhash64(F.col(key), F.least("_b", "_o"), F.greatest("_b", "_o"))
@@ -121,11 +188,12 @@ def own_pairs(half: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (half[i] + half[j]) % 3 == 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a long, b long): (node, root), root the least node.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014); each round is a minimum per node and a join, its
-    result a table in the shared folder, so neither links nor labels come to the driver. Stops when a round changes no edge.
+    result a table in the shared folder, so neither links nor labels come to the driver. Stops when a round changes no edge; rounds grow
+    with the logarithm of the largest component.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -144,15 +212,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return out.where("a <> b").distinct()
 
     before = stats(now)
-    if before[0]:
-        for _ in range(max_rounds):
-            now = materialize(star(star(now, True), False))
-            after = stats(now)
-            if tuple(after) == tuple(before):
-                break
-            before = after
-        else:
-            raise RuntimeError("components did not settle")
+    while before[0]:
+        last, now = now, materialize(star(star(now, True), False))
+        drop_scratch(last)
+        after = stats(now)
+        if tuple(after) == tuple(before):
+            break
+        before = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of doc_id as text, modulo ``folds``; null for a null id."""
@@ -14,7 +16,8 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, limit: int) -> DataFrame:
     """(text, label) of at most about ``limit`` labelled documents outside the held-out fold, the first by a hash of their id.
 
-    ``limit`` bounds the narrow side, so it is broadcast. Rows with a null id or label are not used; of repeated labels of an
+    ``limit`` bounds the narrow side, so it is broadcast, and the rows, which are written as a table: fitting reads them more than
+    once, the documents once. Rows with a null id or label are not used; of repeated labels of an
     id the least counts.
     """
     chosen = (
@@ -27,4 +30,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
         .limit(limit)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return materialize(rows.join(F.broadcast(chosen), "doc_id").select("text", "label"), "zstd")

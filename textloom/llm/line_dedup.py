@@ -3,25 +3,27 @@
 Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lines are one from the start. Of a line's word pairs
 (with its beginning and end as words) come MinHash values, three to a band; lines that agree on a band meet, whatever else they are,
 and edit similarity of the normalised lines alone decides whether they are near. It is looked at inside the bands' own units, so that
-chance meetings tie nothing together; bounds on two SimHashes may be laid on pairs besides. Of each connected group the first occurrence is kept. Lines of fewer than ``min_words`` words
-are left alone, or grouped where they are equal.
+chance meetings tie nothing together. Of each connected group the first occurrence is kept.
+
+The method asked for blocks of a SimHash. It can't find near lines: one replaced word of six turns about a fifth of a SimHash's bits,
+and no choice of blocks that finds such pairs keeps unrelated lines apart (figures in the README).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize, own_pairs
-from .shingles import SpanHasher, mix64, text_groups
+from .common import Forest, bucket_units, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot
+from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
 BANDS, ROWS, WIDTH = 20, 3, 5
 ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: SimHash bounds that near_lines lays on pairs unless told not to; the queries lay none.
-BITS, MORE_BITS = 3, 8
 
 
 def _byte_map() -> bytes:
@@ -59,9 +61,8 @@ def line_bands(word: np.ndarray, lo: np.ndarray, words: np.ndarray) -> np.ndarra
     return out.reshape(len(lo), -1)
 
 
-def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher, bands: bool = False):
-    """For all lines of the texts: (text, line number, words, characters, hash of the words in order, two SimHashes); with ``bands``
-    the keys of line_bands stand in place of the second SimHash."""
+def line_hashes(texts: list[str], hasher: WordHasher):
+    """For all lines of the texts that have words: (text, line number, words, digests of the normalised lines, keys of line_bands)."""
     raw = ("\n".join(t.lower() for t in texts) + "\n").encode("utf-8", "surrogatepass").translate(BYTES)
     data = np.frombuffer(raw, dtype=np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
@@ -71,37 +72,14 @@ def line_hashes(texts: list[str], hasher: SpanHasher, order: SpanHasher, bands:
     total = int(lines.sum())
     real = stop > start
     start, stop, line = start[real], stop[real], line[real]
-    word = hasher(data, start, stop)
     words = np.bincount(line, minlength=total)
     first = np.r_[0, np.cumsum(words)]
     text = np.repeat(np.arange(len(texts)), lines)
     number = np.arange(total) - np.repeat(np.cumsum(lines) - lines, lines)
     some = np.flatnonzero(words)
-    text, number, words, lo, hi = text[some], number[some], words[some], first[some], first[some + 1]
-    if not len(some):
-        none = np.zeros(0, np.uint64)
-        return text, number, words, words, none, none, np.zeros((0, BANDS * WIDTH), np.uint8) if bands else none
-    order._grow(len(word) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.r_[np.zeros(1, np.uint64), np.cumsum(word * order.power[: len(word)], dtype=np.uint64)]
-        whole = mix64((sums[hi] - sums[lo]) * order.inverse[lo] + words.astype(np.uint64))
-    # eight counters in each 64-bit number, for at most 255 words at a time
-    parts = -(-words // 255)
-    owner = np.repeat(np.arange(len(words)), parts)
-    begin = lo[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
-    by_line = np.searchsorted(owner, np.arange(len(words)))
-    sims = []
-    for bits in (word,) if bands else (word, mix64(word ^ np.uint64(0x5851F42D4C957F2D))):
-        ones = np.empty((len(words), 8, 8), dtype=np.int64)
-        for k in range(8):
-            lanes = np.add.reduceat((bits >> np.uint64(k)) & np.uint64(0x0101010101010101), begin)
-            ones[:, :, k] = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), by_line, axis=0)
-        sims.append(np.packbits(2 * ones.reshape(-1, 64) > words[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1))
-    if bands:
-        sims.append(line_bands(word, lo, words))
-    letters = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
-    until = np.r_[0, np.cumsum(letters[stop] - letters[start])]
-    return text, number, words, until[hi] - until[lo] + words - 1, whole, *sims
+    digests = [hashlib.md5(b" ".join(w)).digest() for x in raw.split(b"\n") if (w := x.split())]
+    bands = line_bands(hasher(data, start, stop), first[some], words[some]) if len(some) else np.zeros((0, BANDS * WIDTH), np.uint8)
+    return text[some], number[some], words[some], digests, bands
 
 
 def edit_within(a: str, b: str, limit: int) -> bool:
@@ -137,30 +115,41 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
-def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, bits: tuple[int, int] | None = (BITS, MORE_BITS), short: bool = False) -> DataFrame:
-    """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
+def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, short: bool = False) -> DataFrame:
+    """One row per line of ``min_words`` words or more: key, text_digest, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
     keep_* name the first occurrence (by id, line) of the line's group, n_lines counts the group's lines; kept marks that
-    occurrence. Lines are parted by line feeds. A null text has no lines; null ids sort first; repeated rows with an id and an equal
-    text stand for one occurrence and share their marks. ``bits``: how many bits two near lines' SimHashes may differ in; with None,
-    edit similarity decides alone. ``short``: lines of 1 to ``min_words`` - 1 words have rows, too, and are grouped where they are equal
+    occurrence, one row of the group. Lines are parted by line feeds. A null text has no lines; null ids sort first; of repeated rows
+    one holds the occurrence. ``short``: lines of 1 to ``min_words`` - 1 words have rows, too, and are grouped where they are equal
     once normalised.
     """
-    own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    own = docs.select(spot().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.unhex(F.md5(F.col("text").cast("binary"))))
+    flat = own.select("key.known", "key.id", "th", "text")
 
     def lines_of(frames):
-        hasher, order = SpanHasher(), SpanHasher()
+        from pyspark import TaskContext
+
+        hasher, row, seen = WordHasher(), TaskContext.get().partitionId() << 36, set()
         for pdf in frames:
-            texts, keys, ths = pdf["text"].tolist(), pdf["key"].to_numpy(), pdf["th"].to_numpy()
+            texts, known, ids, ths = pdf["text"].tolist(), pdf["known"].to_numpy(), pdf["id"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in text_groups(texts):
-                text, number, words, _, whole, sim, bands = line_hashes(texts[lo:hi], hasher, order, True)
-                k = words >= (1 if short else min_words)
-                columns = {"line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": whole[k].view(np.int64), "sim": sim[k].view(np.int64), "bands": [x.tobytes() if n >= min_words else None for x, n in zip(bands[k], words[k].tolist(), strict=True)]}
-                yield pd.DataFrame({"key": keys[lo:hi][text[k]], "th": ths[lo:hi][text[k]]} | columns)
-
-    lines = materialize(own.mapInPandas(lines_of, "key long, th long, line int, words int, h long, sim long, bands binary"))
-    spot = F.struct("key", "line", "th")
-    distinct = materialize(lines.groupBy("h", "sim").agg(F.first("bands").alias("bands"), F.min(spot).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()))
+                text, number, words, digests, bands = line_hashes(texts[lo:hi], hasher)
+                k = np.flatnonzero(words >= (1 if short else min_words))
+                digests = [digests[x] for x in k]
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                keys = []  # those of a line's first occurrence are enough
+                for d, x, n in zip(digests, bands[k], words[k].tolist(), strict=True):
+                    keys.append(x.tobytes() if n >= min_words and d not in seen else None)
+                    seen.add(d)
+                at = text[k] + lo
+                yield pd.DataFrame({"known": known[at], "id": ids[at], "th": ths[at], "row": row + np.arange(len(k)), "line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": digests, "bands": keys})
+                row += len(k)
+
+    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th binary, row long, line int, words int, h binary, bands binary"))
+    distinct = materialize(
+        lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id())
+    )
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("bands", WIDTH * k + 1, WIDTH)) for k in range(BANDS)]))
     units = bucket_units(distinct.where("bands is not null").select("rid", keys.alias("block")), "block", "rid", block)
 
@@ -171,61 +160,68 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
             sums = np.add.reduceat(mix64(mix64(rid.view(np.uint64)) + half.astype(np.uint64)), bounds[:-1])
         yield pd.DataFrame({"unit": np.repeat(mix64(sums).view(np.int64), np.diff(bounds)), "half": half.astype(np.int32), "rid": rid})
 
-    placed = map_whole_groups(units.select("unit", "half", "rid"), "unit", name, "unit long, half int, rid long").distinct()
-    line = F.element_at(F.split("text", "\n", -1), F.col("line") + 1)
-    named_units = materialize(placed)
-    texts = named_units.select("rid").distinct().join(distinct.select("rid", "first.key", "first.line", "first.th"), "rid").join(own.dropDuplicates(["key", "th"]), ["key", "th"]).select("rid", line.alias("text"))
-    sent = named_units.join(texts, "rid")
+    named_units = materialize(map_whole_groups(units.select("unit", "half", "rid"), "unit", name, "unit long, half int, rid long").distinct())
+    wanted = named_units.select("rid").distinct().join(distinct.select("rid", "first"), "rid").groupBy("first.known", "first.id", "first.th").agg(F.collect_list("rid").alias("rids"), F.collect_list("first.line").alias("at"))
+
+    def cut(frames):
+        """The wanted lines of a document, split once."""
+        for pdf in frames:
+            out = []
+            for text, rids, at in zip(pdf["text"], pdf["rids"], pdf["at"], strict=True):
+                lines = text.split("\n")
+                out += [(r, normalised(lines[k])) for r, k in zip(rids, at, strict=True)]
+            yield pd.DataFrame(out, columns=["rid", "text"])
+
+    found_lines = wanted.join(flat, ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
+    sent = named_units.join(found_lines.dropDuplicates(["rid"]), "rid")
 
     def verify(pdf: pd.DataFrame):
         bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
-        text = [normalised(t) for t in pdf["text"]]
+        text = pdf["text"].tolist()
         size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
-        if bits:
-            *_, sim, more = line_hashes(["\n".join(text)], SpanHasher(), SpanHasher())
         forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
             longest = np.maximum(size[i], size[j])
             limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
             near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
-            if bits:
-                near &= (np.bitwise_count(sim[i] ^ sim[j]) <= bits[0]) & (np.bitwise_count(more[i] ^ more[j]) <= bits[1])
             for x, y, most in zip(i[near].tolist(), j[near].tolist(), limit[near].tolist(), strict=True):
                 if forest.find(x) != forest.find(y) and edit_within(text[x], text[y], most):
                     forest.join(x, y)
         yield forest.stars(rid)
 
     roots = components(map_whole_groups(sent, "unit", verify, "a long, b long", 256))
-    named = distinct.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    named = distinct.select("h", "first", "n", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
-    classes = named.join(kept, "root").select("h", "sim", "keep", "lines")
-    found = lines.join(classes, ["h", "sim"])
+    classes = materialize(named.join(kept, "root").select("h", "keep", "lines", "n"))
+    found = join_hot(lines.drop("bands"), classes, "h", "n")
     return found.select(
-        "key",
-        F.col("th").alias("text_hash"),
+        F.struct("known", "id").alias("key"),
+        F.col("th").alias("text_digest"),
         F.col("line").alias("line_no"),
         F.col("words").alias("n_words"),
-        F.col("keep.key").alias("keep_key"),
+        F.struct("keep.known", "keep.id").alias("keep_key"),
         F.col("keep.line").alias("keep_line_no"),
         F.col("lines").alias("n_lines"),
-        ((F.col("keep.key") == F.col("key")) & (F.col("keep.line") == F.col("line")) & (F.col("keep.th") == F.col("th"))).alias("kept"),
+        (F.col("keep.row") == F.col("row")).alias("kept"),
     )
 
 
 def report(docs: DataFrame, **parameters) -> DataFrame:
     """near_lines with ids: doc_id, line_no, n_words, keep_doc_id, keep_line_no, n_lines, kept."""
     found = near_lines(docs, **parameters)
-    return found.select(from_key(F.col("key")).alias("doc_id"), "line_no", "n_words", from_key(F.col("keep_key")).alias("keep_doc_id"), "keep_line_no", "n_lines", "kept")
+    return found.select(from_spot(F.col("key")).alias("doc_id"), "line_no", "n_words", from_spot(F.col("keep_key")).alias("keep_doc_id"), "keep_line_no", "n_lines", "kept")
 
 
 def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with the lines that near_lines doesn't keep taken out of text, and n_chars, if there is such a column, counted anew.
-    A document goes if it loses lines and nothing but white space is left; documents that lose no line stay as they are."""
+    A document goes if it loses lines and nothing but white space is left; documents that lose no line stay as they are. Of rows
+    that repeat id and text one keeps the kept lines."""
     found = near_lines(docs, **parameters)
-    marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_hash").alias("_tl_th")).agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line_no"))).alias("_tl_drop")
-    )
-    joined = docs.withColumn("_tl_key", id_key()).withColumn("_tl_th", F.xxhash64(F.coalesce("text", F.lit("")))).join(marks, ["_tl_key", "_tl_th"], "left")
+    marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_digest").alias("_tl_th")).agg(F.collect_set("line_no").alias("_tl_all"), F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias("_tl_kept"))
+    keyed = docs.withColumn("_tl_key", spot()).withColumn("_tl_th", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    turn = F.row_number().over(Window.partitionBy("_tl_key", "_tl_th").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    drop = F.when(F.col("_tl_turn") == 1, F.array_except("_tl_all", "_tl_kept")).otherwise(F.col("_tl_all"))
+    joined = keyed.withColumn("_tl_turn", turn).join(marks, ["_tl_key", "_tl_th"], "left").withColumn("_tl_drop", drop)
     rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_tl_drop", i)), "\n")
     out = joined.withColumn("text", F.when(F.size("_tl_drop") > 0, rest).otherwise(F.col("text")))
     out = out.where(F.col("_tl_drop").isNull() | (F.size("_tl_drop") == 0) | F.col("text").rlike(r"(?U)\S"))

@@ -3,7 +3,7 @@
 Equal texts are one class from the start. Each distinct text gets ``n_hashes`` MinHash values (low 16 bits kept) over its
 five-word shingles. Texts that agree on all values of a band are candidates; values are then compared ``step`` at a time and a
 pair is dropped once P(similarity >= threshold | matches so far), under a uniform prior, falls below ``tolerance``. What is left
-is verified exactly on the shingle sets.
+is verified on the shingles themselves, no hashes.
 
 With 40 bands of 5, a pair at similarity 0.8 shares no band with probability 1e-7. The first 64 values are compared inside the
 band buckets and give groups of texts that are connected; each text then travels once to its group (large groups are dealt
@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, binomial_tail_below, bucket_units, components, from_key, group_bounds, group_pairs, id_key, map_whole_groups, materialize, own_pairs
-from .shingles import SpanHasher, mix64, text_groups, words_of
+from .common import Forest, binomial_tail_below, bucket_units, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot
+from .shingles import WordHasher, exact_sets, mix64, text_groups, words_of
 
 N_HASHES, BAND = 200, 5
 FIRST = 64
@@ -60,7 +60,7 @@ def surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, steps: list[tuple[i
 
 
 def _signatures(frames, n: int, n_hashes: int):
-    hasher = SpanHasher()
+    hasher = WordHasher()
     for pdf in frames:
         texts, sigs = pdf["text"].tolist(), []
         for lo, hi in text_groups(texts):
@@ -71,7 +71,7 @@ def _signatures(frames, n: int, n_hashes: int):
                 for k, row in zip(some, minhashes(h, np.r_[bounds[some], bounds[-1]], n_hashes), strict=True):
                     own[k] = row.tobytes()
             sigs += own
-        yield pd.DataFrame({"digest": pdf["digest"], "key": pdf["key"], "sig": sigs})
+        yield pd.DataFrame({"digest": pdf["digest"], "known": pdf["known"], "id": pdf["id"], "sig": sigs})
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -102,11 +102,11 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     texts. class_id is the least doc_id reachable by links. A null text counts as empty; a text without words has no links but
     to its copies. Null ids take part and sort first; repeated rows each come back. Other columns are not touched.
     """
-    spark = docs.sparkSession
-    own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    signed = own.mapInPandas(lambda frames: _signatures(frames, n, N_HASHES), "digest binary, key long, sig binary")
+    own = docs.select(spot().alias("first"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    flat = own.select("digest", "first.known", "first.id", "text")
+    signed = materialize(flat.mapInPandas(lambda frames: _signatures(frames, n, N_HASHES), "digest binary, known boolean, id long, sig binary"))
     texts = materialize(
-        signed.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("rid", F.monotonically_increasing_id())
+        signed.groupBy("digest").agg(F.min(F.struct("known", "id")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig")).withColumn("rid", F.monotonically_increasing_id())
     )
     bands = texts.where("sig is not null").select(
         "rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(N_HASHES // BAND - 1)), lambda i: F.substring("sig", i * 2 * BAND + 1, F.lit(2 * BAND)))).alias("band", "part")
@@ -130,19 +130,17 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     short = units.join(texts.select("rid", F.substring("sig", 1, 2 * FIRST).alias("sig")), "rid").select("unit", "half", "rid", "sig")
     groups = materialize(components(map_whole_groups(short, "unit", compare, "a long, b long")))
 
-    full = groups.join(texts, groups.node == texts.rid).select("rid", "root", "digest", "first", "copies", "sig")
-    placed = bucket_units(full, "root", "rid", block)
-    sent = placed.join(own.select(F.col("key").alias("first"), "digest", "text"), ["first", "digest"]).select("unit", "half", "rid", "copies", "sig", "text")
+    full = materialize(groups.join(texts, groups.node == texts.rid).select("rid", "root", "digest", "first", "copies", "sig"))
+    placed = bucket_units(full.select("rid", "root", "copies", "sig"), "root", "rid", block)
+    wanted = full.select("rid", "first", "digest").join(own, ["first", "digest"]).select("rid", "text")
+    sent = placed.join(wanted.dropDuplicates(["rid"]), "rid").select("unit", "half", "rid", "copies", "sig", "text")
 
     def verify(pdf: pd.DataFrame):
         pdf = pdf.drop_duplicates(["unit", "rid"]).reset_index(drop=True)
         bounds, rid, copies = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["copies"].to_numpy()
         half = pdf["half"].to_numpy()
         sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(len(pdf), N_HASHES)
-        texts, hasher, sets = pdf["text"].tolist(), SpanHasher(), []
-        for lo, hi in text_groups(texts):
-            h, at = words_of(texts[lo:hi], hasher, n)
-            sets += [np.unique(h[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+        sets = exact_sets(pdf["text"].tolist(), n)
         size = np.array([len(s) for s in sets], dtype=np.int64)
         a, b, na, nb = [], [], [], []
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
@@ -173,10 +171,11 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     classes = texts.select("rid", "digest", "first", "copies").join(roots.withColumnRenamed("node", "rid"), "rid", "left").join(counted, "rid", "left")
     least = classes.where("root is not null").groupBy("root").agg(F.min("first").alias("class"))
     named = classes.join(least, "root", "left").select("digest", "first", "copies", F.coalesce("class", "first").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(0)).alias("near"))
-    return own.select("key", "digest").join(named, "digest").select(
-        from_key(F.col("key")).alias("doc_id"),
-        from_key(F.col("class")).alias("class_id"),
-        from_key(F.col("first")).alias("text_id"),
+    found = join_hot(signed.select(F.struct("known", "id").alias("key"), "digest"), materialize(named), "digest", "copies")
+    return found.select(
+        from_spot(F.col("key")).alias("doc_id"),
+        from_spot(F.col("class")).alias("class_id"),
+        from_spot(F.col("first")).alias("text_id"),
         F.col("copies").alias("n_copies"),
         (F.col("links") + F.col("copies") - 1).alias("n_links"),
         F.col("near").alias("n_text_links"),
@@ -209,6 +208,6 @@ def _links(a: list, b: list, na: list, nb: list) -> pd.DataFrame:
 def one_per_class(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` less all but one of each class of near texts: the row of the least doc_id stays (of repeated rows with
     that id and an equal text, one)."""
-    found = near_texts(docs, **parameters).where("doc_id <=> class_id and doc_id <=> text_id").select(id_key().alias("_tl_key")).distinct()
-    kept = docs.withColumn("_tl_key", id_key()).join(found, "_tl_key", "left_semi").withColumn("_tl_digest", F.md5(F.col("text").cast("binary")))
+    found = near_texts(docs, **parameters).where("doc_id <=> class_id and doc_id <=> text_id").select(spot().alias("_tl_key")).distinct()
+    kept = docs.withColumn("_tl_key", spot()).join(found, "_tl_key", "left_semi").withColumn("_tl_digest", F.md5(F.col("text").cast("binary")))
     return kept.dropDuplicates(["_tl_key", "_tl_digest"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,7 +27,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"), bits=None, short=True)
+    return line_dedup.report(table(spark, sf_dir, "documents"), short=True)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(table(spark, sf_dir, "documents"))
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interleaved sequences of the web pages, summed up."""
+    return media.page_summary(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,7 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_nearest, op2_toxicity, op3_ngram_join, op4_quality, op5_line_dedup, op6_sharding, op7_media, op8_bpe, op9_secrets, op10_packing)
+    found = (op1_nearest, op2_toxicity, op3_ngram_join, op4_quality, op5_line_dedup, op6_sharding, op7_media, media_pages, op8_bpe, op9_secrets, op10_packing)
     return {f.__name__: f for f in found}
 
 

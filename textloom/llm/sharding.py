@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_key, id_key, materialize
+from .common import from_spot, materialize, spot
 
 
 def _feasible(sizes, atomic, capacity, shards, whole) -> bool:
@@ -129,7 +129,7 @@ def by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     divides evenly. With fewer groups than shards some shards are empty. Slots number a shard's rows from 0. grown_shard is null under this law. Null ids take part; repeated rows each get a slot.
     """
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = materialize(docs.select(id_key().alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("order")))
+    rows = materialize(docs.select(spot().alias("key"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("order")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     large = [r[0] for r in rows.groupBy("order").agg(F.sum("size").alias("n")).where(F.col("n") * shards > total).orderBy("order").select("order").collect()]
     for k, order in enumerate(large):
@@ -137,7 +137,7 @@ def by_bytes(docs: DataFrame, shards: int = 24) -> DataFrame:
     starts, _ = boundaries(rows, shards)
     placed = rows.withColumn("shard", sum(((F.col("order") >= F.lit(s)) & F.lit(s < 2**63 - 1)).cast("int") for s in starts) if starts else F.lit(0))
     slotted = with_rank(placed, ["shard"], F.shiftright("order", 54).cast("int"), ["order", "key"], "slot")
-    return slotted.select(from_key(F.col("key")).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("order").alias("group_order"))
+    return slotted.select(from_spot(F.col("key")).alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("order").alias("group_order"))
 
 
 def with_rank(rows: DataFrame, within: list[str], part: Column, order: list[str], column: str, salts: int = 32) -> DataFrame:

@@ -6,10 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finalizer on uint64."""
     h = h ^ (h >> np.uint64(33))
@@ -19,28 +15,29 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class SpanHasher:
-    """Polynomial prefix hashes modulo 2**64: the hash of any byte range in O(1) after one pass."""
+class WordHasher:
+    """64-bit hashes of byte ranges (words) by tabulation: each byte at each place of a word adds a number of its own, drawn at
+    random, so that no pattern in texts makes different words meet."""
+
+    PLACES = 32
 
     def __init__(self):
-        self.power = self.inverse = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.power) < n:
-            n = max(n, 2 * len(self.power))
-            with np.errstate(over="ignore"):
-                one = np.full(n, _BASE, dtype=np.uint64)
-                one[0] = 1
-                self.power = np.multiply.accumulate(one)
-                one[1:] = np.uint64(pow(_BASE, -1, 1 << 64))
-                self.inverse = np.multiply.accumulate(one)
+        self.numbers = np.random.default_rng(20).integers(0, 1 << 64, 256 * self.PLACES, dtype=np.uint64)
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
+        """Hashes of the ranges start to end, none empty, in rising order."""
+        length = end - start
+        if not len(length):
+            return np.zeros(0, dtype=np.uint64)
+        first = np.r_[0, np.cumsum(length)[:-1]]
+        place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
+        byte = data[place + np.repeat(start, length)].astype(np.int64)
+        number = self.numbers[(place % self.PLACES) * 256 + byte]
+        far = np.flatnonzero(place >= self.PLACES)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)], out=sums[1:])
-            return mix64((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+            if len(far):
+                number[far] = mix64(number[far] ^ mix64((place[far] // self.PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            return mix64(np.add.reduceat(number, first) + length.astype(np.uint64))
 
 
 def text_groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -55,23 +52,49 @@ def text_groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, in
         yield lo, len(texts)
 
 
-def words_of(texts: list[str], hasher: SpanHasher, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): hashes of the n-word shingles of each text, text i's being bounds[i]:bounds[i + 1].
-
-    Words are the white-space-separated parts of the lower-cased text. A text of 1 to n - 1 words has one shingle, all of
-    it; a text without words has none.
-    """
+def _words(texts: list[str], hasher: WordHasher) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words of each text)."""
     data = np.frombuffer(("\n".join(" ".join(t.lower().split()) for t in texts) + "\n").encode("utf-8", "surrogatepass"), dtype=np.uint8)
     stop = np.flatnonzero((data == 32) | (data == 10))
     start = np.r_[0, stop[:-1] + 1]
     line = np.r_[0, np.cumsum(data[stop] == 10)[:-1]]
     real = stop > start
-    start, stop, line = start[real], stop[real], line[real]
-    words = np.bincount(line, minlength=len(texts))
+    return hasher(data, start[real], stop[real]), np.bincount(line[real], minlength=len(texts))
+
+
+def _spans(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, bounds) of the shingles of texts with so many words."""
     first = np.r_[0, np.cumsum(words)[:-1]]
     count = np.where(words == 0, 0, np.maximum(1, words - n + 1))
     bounds = np.r_[0, np.cumsum(count)]
-    owner = np.repeat(np.arange(len(texts)), count)
-    head = first[owner] + (np.arange(bounds[-1]) - bounds[owner])
-    tail = np.minimum(head + n - 1, first[owner] + words[owner] - 1)
-    return hasher(data, start[head], stop[tail]), bounds
+    owner = np.repeat(np.arange(len(words)), count)
+    return first[owner] + (np.arange(bounds[-1]) - bounds[owner]), np.minimum(words, n)[owner], bounds
+
+
+def words_of(texts: list[str], hasher: WordHasher, n: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): hashes of the n-word shingles of each text, text i's being bounds[i]:bounds[i + 1].
+
+    Words are the white-space-separated parts of the lower-cased text. A text of 1 to n - 1 words has one shingle, all of
+    it; a text without words has none.
+    """
+    word, words = _words(texts, hasher)
+    head, length, bounds = _spans(words, n)
+    out = np.zeros(len(head), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            here = np.flatnonzero(length > k)
+            out[here] = mix64(out[here] * np.uint64(0x9E3779B97F4A7C15) + word[head[here] + k])
+    return out, bounds
+
+
+def exact_sets(texts: list[str], n: int) -> list[np.ndarray]:
+    """The set of n-word shingles of each text as sorted numbers, equal only where the shingles' words are."""
+    names: dict[str, int] = {}
+    split = [t.lower().split() for t in texts]
+    word = np.fromiter((names.setdefault(w, len(names) + 1) for s in split for w in s), dtype=np.int64, count=sum(map(len, split)))
+    head, length, bounds = _spans(np.fromiter(map(len, split), dtype=np.int64, count=len(split)), n)
+    code = np.zeros(len(head), dtype=np.int64)
+    for k in range(n):  # the code of the words so far and the next word, numbered anew
+        there = length > k
+        code = np.unique(code * (len(names) + 1) + np.where(there, word[np.where(there, head + k, 0)] if len(word) else 0, 0), return_inverse=True)[1]
+    return [np.unique(code[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]

@@ -84,7 +84,14 @@ def spans(text: str, automaton) -> list[tuple[int, int, float]]:
             hits[start] = (last + 1, weight)
         elif last + 1 == len(text) or not text[last + 1].isalpha():
             safe.append((start, last + 1))
-    return [(s, e, w) for s, (e, w) in sorted(hits.items()) if not any(a <= s and e <= b for a, b in safe)]
+    out, at, until = [], 0, -1
+    safe.sort()
+    for s, (e, w) in sorted(hits.items()):
+        while at < len(safe) and safe[at][0] <= s:  # until: the furthest end of the phrases that begin at s or before
+            until, at = max(until, safe[at][1]), at + 1
+        if e > until:
+            out.append((s, e, w))
+    return out
 
 
 def density(text: str, automaton) -> float:
@@ -96,33 +103,35 @@ def density(text: str, automaton) -> float:
     return sum(w for *_, w in found) / math.sqrt(folded.count(" ") + folded.count("\n") + 1) if found else 0.0
 
 
-def _candidates(frames):
-    """Document counts by label of word beginnings of 4 to 10 letters, for each batch."""
+def _candidates(frames, letters: tuple[int, int]):
+    """Document counts by label of word beginnings of so many letters, for each batch."""
     for pdf in frames:
         count = {0: Counter(), 1: Counter()}
         for text, label in zip(pdf["text"], pdf["label"], strict=True):
             words = set(_WORD.findall(fold(text)))
-            count[int(label)].update({w[:k] for w in words for k in range(4, 11) if len(w) >= k})
+            count[int(label)].update({w[:k] for w in words for k in range(letters[0], letters[1] + 1) if len(w) >= k})
         entries = [(w, count[1][w], count[0][w]) for w in count[1]] + [(w, 0, n) for w, n in count[0].items() if w not in count[1]]
         yield pd.DataFrame(entries, columns=["entry", "toxic", "clean"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = 12_000, entries: int = 1000, exceptions: tuple[str, ...] = EXCEPTIONS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, limit: int = 12_000, entries: int = 1000, exceptions: tuple[str, ...] = EXCEPTIONS, letters: tuple[int, int] = (3, 10), least_weight: float = 3.0) -> ToxicityModel:
     """Learn weights and calibration from at most ``limit`` labelled documents (see training_rows); what comes to the driver is at
-    most 8 * ``entries`` counts and ``limit`` densities."""
+    most 8 * ``entries`` counts and ``limit`` densities. The lexicon has at most ``entries`` learned word beginnings of ``letters``
+    letters (least, most; a longer word is met by its beginning) with log odds of ``least_weight`` or more, the commonest in
+    documents labelled 1 first."""
     rows = training_rows(docs, labels, "toxic", folds, held_out, limit)
     total = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = total.get(1, 0), total.get(0, 0)
     base = 4.0
     weights = dict.fromkeys(SEEDS, base)
     if toxic and clean:
-        counts = rows.mapInPandas(_candidates, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        counts = rows.mapInPandas(lambda frames: _candidates(frames, letters), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         least = max(3, round(0.015 * toxic))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-        found = counts.where(F.col("toxic") >= least).withColumn("weight", odds).where("weight >= 3").orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(8 * entries).collect()
+        found = counts.where(F.col("toxic") >= least).withColumn("weight", odds).where(F.col("weight") >= least_weight).orderBy(F.desc("toxic"), F.length("entry"), "entry").limit(8 * entries).collect()
         kept: dict[str, tuple[int, float]] = {}
         for r in found:  # a longer beginning is kept only where no shorter one says as much
-            if len(kept) < entries and not any(r["entry"][:k] in kept for k in range(4, len(r["entry"]))):
+            if len(kept) < entries and not any(r["entry"][:k] in kept for k in range(letters[0], len(r["entry"]))):
                 kept[r["entry"]] = (r["toxic"], min(8.0, r["weight"]))
         weights |= {w: x for w, (_, x) in kept.items()}
     found_densities = rows.mapInPandas(lambda frames: _densities(frames, weights, exceptions), "label int, x double").toPandas()
