@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import line_dedup, ngram_join, packing, secrets, toxicity
-from textloom.llm.common import scratch_dir, table
+from textloom.llm.common import arrow_rows, scratch_dir, scratch_scope, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each group of near lines stays in its document."""
-    return line_dedup.without_repeats(docs, bits=None)
+    return line_dedup.without_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +46,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Learned scores, SimHash and byte-level BPE aren't SQL; tests/llm compares run() with a brute-force version.
+#: Learned scores, fuzzy lines and byte-level BPE aren't SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each written as Parquet and read again as the next one's input."""
+    """All stages on ``documents``, each written as Parquet and read again as the next one's input. What a stage keeps in scratch
+    tables is deleted once its result is written; the results stay."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch_scope(), arrow_rows(spark, 2000):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
