@@ -1,9 +1,10 @@
 """Byte-level BPE over a shuffle of distinct words.
 
-Documents are split into pre-tokens in chunks; a chunk keeps, in order of position, which of its distinct words stands there. The
-distinct words of all chunks are shuffled, so that each is encoded once; decoding explodes its ids and joins the table of token bytes.
-Ids and bytes are joined back to the chunks' words and documents are put together by position. A word is one row for each chunk that
-has it, however often it occurs there, so frequent words cost little more than rare ones.
+Documents are split into pre-tokens in chunks; a chunk's table row keeps, in order of position, which of its distinct words stands
+there. The distinct words of all chunks, one row for each chunk that has the word, are shuffled by word, so that each word is encoded
+once, and its ids decoded through the table of token bytes, of which every task holds the whole (one row per token of the file). Ids
+and bytes go back to the chunks, packed, and documents are put together by position. Frequent words cost no more than rare ones, and
+positions never leave their chunk.
 """
 
 from __future__ import annotations
@@ -34,10 +35,13 @@ def encoder(ranks: dict[bytes, int], pattern: str):
 class ByteTable:
     """Byte strings by number, gathered for many numbers at once."""
 
-    def __init__(self, values: list[bytes]):
-        self.length = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
-        self.start = np.r_[0, np.cumsum(self.length)]
-        self.data = np.frombuffer(b"".join(values), dtype=np.uint8)
+    def __init__(self, data: np.ndarray, length: np.ndarray, start: np.ndarray):
+        self.data, self.length, self.start = data, length, start
+
+    @classmethod
+    def of(cls, values: list[bytes]) -> ByteTable:
+        length = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        return cls(np.frombuffer(b"".join(values), dtype=np.uint8), length, np.cumsum(length) - length)
 
     def __call__(self, numbers: np.ndarray) -> np.ndarray:
         length = self.length[numbers]
@@ -114,21 +118,37 @@ def _chunks(frames, pattern: str, size: int):
         yield frame()
 
 
-def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(word, ids, decoded) for distinct words (word binary): each encoded once, then decoded by a join with the token-byte table,
-    which has one row per token of the file and is broadcast."""
-    spark = words.sparkSession
+def encode_words(words: DataFrame, ranks_path: str, pattern: str, held: int = 1 << 18) -> DataFrame:
+    """(chunk, answers) for rows (chunk, at, word) of the distinct words of chunks: for each chunk packed answers, which hold the places,
+    id counts, ids, byte counts and bytes of some of its words. About ``held`` words are gathered before answers are sent."""
 
     def run(frames):
-        single = encoder(rank_table(ranks_path), pattern)._encode_single_piece
+        ranks = rank_table(ranks_path)
+        single, token = encoder(ranks, pattern)._encode_single_piece, {i: b for b, i in ranks.items()}
+        last, ids, decoded = None, [], b""
+        found, n = defaultdict(list), 0
+
+        def answers():
+            out = []
+            for chunk, rows in found.items():
+                at, counts, flat = [r[0] for r in rows], [len(r[1]) for r in rows], [i for r in rows for i in r[1]]
+                sizes = [len(r[2]) for r in rows]
+                out.append((chunk, _pack(*map(np.array, (at, counts, flat, sizes)), np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8))))
+            return pd.DataFrame(out, columns=["chunk", "answers"])
+
         for pdf in frames:
-            yield pd.DataFrame({"word": pdf["word"], "ids": [single(bytes(w)) for w in pdf["word"]]})
+            for chunk, at, word in zip(pdf["chunk"].tolist(), pdf["at"].tolist(), pdf["word"].tolist(), strict=True):
+                if word != last:
+                    last, ids = word, single(bytes(word))
+                    decoded = b"".join([token[i] for i in ids])
+                found[chunk].append((at, ids, decoded))
+            n += len(pdf)
+            if n >= held:
+                yield answers()
+                found, n = defaultdict(list), 0
+        yield answers()
 
-    encoded = materialize(words.mapInPandas(run, "word binary, ids array<int>"), batch=10_000)
-    table = spark.createDataFrame([(i, bytearray(b)) for b, i in rank_table(ranks_path).items()], "id int, token binary")
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(table), "id")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"])
-    return each.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"), F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x)).alias("decoded"))
+    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "chunk long, answers binary")
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 24 << 20, render=None, schema: str = "ids array<int>, decoded binary") -> DataFrame:
@@ -139,24 +159,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>"))
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    back = words.join(encode_words(words.select("word").distinct(), ranks_path, pattern), "word")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<int>"), ("decoded", "binary"))]
-    heads = chunks.select("chunk", F.lit(-1).alias("at"), *none, "keys", "places")
-    rows = back.select("chunk", "at", "ids", "decoded", F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("binary").alias("places")).unionByName(heads)
+    back = encode_words(chunks.select("chunk", F.posexplode("words").alias("at", "word")), ranks_path, pattern)
+    heads = chunks.select("chunk", F.lit(None).cast("binary").alias("answers"), "keys", "places")
+    rows = back.withColumn("keys", F.lit(None).cast("array<string>")).withColumn("places", F.lit(None).cast("binary")).unionByName(heads)
     render = render or (lambda ids, decoded: (ids.tolist(), decoded.tobytes()))
     names = [c.strip().split()[0] for c in schema.split(",")]
 
-    def whole(keys, places, words: dict[str, list]):
+    def whole(keys, places, answers: list[bytes]):
         """The documents of a chunk."""
         at, lengths = _unpack(places)
-        order = np.argsort(np.concatenate(words["at"])) if words["at"] else np.zeros(0, dtype=np.int64)
-        if len(order) != (int(at.max()) + 1 if len(at) else 0):
+        where, count, ids, size, data = (np.concatenate(x) for x in zip(*map(_unpack, answers), strict=True)) if answers else [np.zeros(0, dtype=np.int64)] * 5
+        if len(where) != (int(at.max()) + 1 if len(at) else 0):
             raise RuntimeError("a chunk's words are missing or doubled")
-        count = np.concatenate(words["count"])[order] if len(order) else order
-        ids = np.concatenate(words["ids"]) if len(order) else np.zeros(0, dtype=np.uint32)
-        first = np.r_[0, np.cumsum(np.concatenate(words["count"]))][:-1][order] if len(order) else order
-        table = ByteTable([words["decoded"][k] for k in order])
+        order, count, size = np.argsort(where), count.astype(np.int64), size.astype(np.int64)
+        count, first = count[order], (np.cumsum(count) - count)[order]
+        table = ByteTable(data.astype(np.uint8), size[order], (np.cumsum(size) - size)[order])
         out, start = [], 0
         for key, n in zip(keys, lengths.tolist(), strict=True):
             here = at[start : start + n].astype(np.int64)
@@ -169,28 +186,21 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
 
     def assemble(frames):
         """Rows sorted by chunk, a chunk's own row first; what is held is one chunk."""
-        now, keys, places, words = None, None, None, None
+        now, keys, places, answers = None, None, None, []
         for pdf in frames:
-            chunk = pdf["chunk"].to_numpy()
-            bounds = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                part = pdf.iloc[lo:hi]
-                if chunk[lo] != now:
+            for chunk, answer, own, at in zip(pdf["chunk"], pdf["answers"], pdf["keys"], pdf["places"], strict=True):
+                if at is not None:
                     if now is not None:
-                        yield whole(keys, places, words)
-                    if part["at"].iloc[0] != -1:
-                        raise RuntimeError("a chunk's documents are missing")
-                    now, keys, places = chunk[lo], part["keys"].iloc[0], part["places"].iloc[0]
-                    words, part = {"at": [], "count": [], "ids": [], "decoded": []}, part.iloc[1:]
-                if len(part):
-                    words["at"].append(part["at"].to_numpy())
-                    words["count"].append(np.fromiter(map(len, part["ids"]), dtype=np.int64, count=len(part)))
-                    words["ids"].append(np.concatenate(part["ids"].to_list()).astype(np.uint32))
-                    words["decoded"] += part["decoded"].tolist()
+                        yield whole(keys, places, answers)
+                    now, keys, places, answers = chunk, own, at, []
+                elif chunk != now:
+                    raise RuntimeError("a chunk's documents are missing")
+                else:
+                    answers.append(answer)
         if now is not None:
-            yield whole(keys, places, words)
+            yield whole(keys, places, answers)
 
-    made = rows.repartition("chunk").sortWithinPartitions("chunk", "at").mapInPandas(assemble, f"key string, {schema}")
+    made = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("places").isNull()).mapInPandas(assemble, f"key string, {schema}")
     return made.select(from_key(F.col("key")).alias("doc_id"), *names)
 
 
@@ -200,7 +210,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def render(ids: np.ndarray, decoded: np.ndarray):
         if not held:
-            held.append(ByteTable([b"%d " % i for i in range(1 << 17)]))
+            held.append(ByteTable.of([b"%d " % i for i in range(1 << 17)]))
         return len(ids), hashlib.sha256(held[0](ids).tobytes()[:-1]).hexdigest(), hashlib.sha256(decoded.tobytes()).hexdigest()
 
     return encode_documents(docs, ranks_path, pattern, render=render, schema="n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,7 +3,7 @@
 Lines are normalised (lower case, ASCII marks to spaces, digits to 0). Equal lines are one from the start. Of a line's word pairs
 (with its beginning and end as words) come MinHash values, three to a band; lines that agree on a band meet, whatever else they are,
 and edit similarity of the normalised lines alone decides whether they are near. It is looked at inside the bands' own units, so that
-chance meetings tie nothing together. Of each connected group the first occurrence is kept.
+chance meetings tie nothing together, and only in the first band in which a pair meets. Of each connected group the first occurrence is kept.
 
 The method asked for blocks of a SimHash. It can't find near lines: one replaced word of six turns about a fifth of a SimHash's bits,
 and no choice of blocks that finds such pairs keeps unrelated lines apart (figures in the README).
@@ -23,6 +23,8 @@ from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
 BANDS, ROWS, WIDTH = 20, 3, 5
+#: Buckets of the bit table that says which texts may have wanted lines.
+BITS = 1 << 20
 ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -94,8 +96,10 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     while k < n and a[-1 - k] == b[-1 - k]:
         k += 1
     a, b = a[: len(a) - k], b[: len(b) - k]
+    if max(len(a), len(b)) <= limit:
+        return True
     if not a or not b:
-        return max(len(a), len(b)) <= limit
+        return False
     if len(a) < len(b):
         a, b = b, a
     full, top, at = (1 << len(b)) - 1, 1 << (len(b) - 1), {}
@@ -116,14 +120,14 @@ def edit_within(a: str, b: str, limit: int) -> bool:
 
 
 def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, short: bool = False) -> DataFrame:
-    """One row per line of ``min_words`` words or more: key, text_digest, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
+    """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
     keep_* name the first occurrence (by id, line) of the line's group, n_lines counts the group's lines; kept marks that
     occurrence, one row of the group. Lines are parted by line feeds. A null text has no lines; null ids sort first; of repeated rows
     one holds the occurrence. ``short``: lines of 1 to ``min_words`` - 1 words have rows, too, and are grouped where they are equal
     once normalised.
     """
-    own = docs.select(spot().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.unhex(F.md5(F.col("text").cast("binary"))))
+    own = docs.select(spot().alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     flat = own.select("key.known", "key.id", "th", "text")
 
     def lines_of(frames):
@@ -146,21 +150,22 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
                 yield pd.DataFrame({"known": known[at], "id": ids[at], "th": ths[at], "row": row + np.arange(len(k)), "line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": digests, "bands": keys})
                 row += len(k)
 
-    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th binary, row long, line int, words int, h binary, bands binary"))
+    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th long, row long, line int, words int, h binary, bands binary"))
     distinct = materialize(
         lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id())
     )
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.substring("bands", WIDTH * k + 1, WIDTH)) for k in range(BANDS)]))
+    keys = F.explode(F.array(*[F.xxhash64(F.substring("bands", WIDTH * k + 1, WIDTH)).bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(k)) for k in range(BANDS)]))
     units = bucket_units(distinct.where("bands is not null").select("rid", keys.alias("block")), "block", "rid", block)
 
     def name(pdf: pd.DataFrame):
-        """Units named after their members, so that those of several bands with the same members are one."""
+        """Units named after their members, so that those of several bands with the same members are one, of the first such band."""
         rid, half, bounds = pdf["rid"].to_numpy(), pdf["half"].to_numpy(), group_bounds(pdf["unit"].to_numpy())
         with np.errstate(over="ignore"):
             sums = np.add.reduceat(mix64(mix64(rid.view(np.uint64)) + half.astype(np.uint64)), bounds[:-1])
-        yield pd.DataFrame({"unit": np.repeat(mix64(sums).view(np.int64), np.diff(bounds)), "half": half.astype(np.int32), "rid": rid})
+        yield pd.DataFrame({"unit": np.repeat(mix64(sums).view(np.int64), np.diff(bounds)), "half": half.astype(np.int32), "rid": rid, "band": pdf["band"]})
 
-    named_units = materialize(map_whole_groups(units.select("unit", "half", "rid"), "unit", name, "unit long, half int, rid long").distinct())
+    met = units.select("unit", "half", "rid", F.col("block").bitwiseAND(F.lit(31)).cast("int").alias("band"))
+    named_units = materialize(map_whole_groups(met, "unit", name, "unit long, half int, rid long, band int").groupBy("unit", "half", "rid").agg(F.min("band").alias("band")))
     wanted = named_units.select("rid").distinct().join(distinct.select("rid", "first"), "rid").groupBy("first.known", "first.id", "first.th").agg(F.collect_list("rid").alias("rids"), F.collect_list("first.line").alias("at"))
 
     def cut(frames):
@@ -172,18 +177,27 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
                 out += [(r, normalised(lines[k])) for r, k in zip(rids, at, strict=True)]
             yield pd.DataFrame(out, columns=["rid", "text"])
 
-    found_lines = wanted.join(flat, ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
+    # a bit table of bounded size keeps most texts without wanted lines out of the shuffle
+    bit = F.pmod("th", F.lit(BITS))
+    some = named_units.select("rid").distinct().join(distinct.select("rid", "first.th"), "rid").select(bit.alias("_bit")).distinct()
+    found_lines = wanted.join(flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit"), ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
     sent = named_units.join(found_lines.dropDuplicates(["rid"]), "rid")
 
     def verify(pdf: pd.DataFrame):
         bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
         text = pdf["text"].tolist()
-        size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
+        size, band = np.fromiter(map(len, text), dtype=np.int64, count=len(text)), pdf["band"].to_numpy()
+        bands = line_hashes(["\n".join(text)], WordHasher())[4].reshape(len(text), BANDS, WIDTH)
+        keys = np.zeros((len(text), BANDS, 8), dtype=np.uint8)
+        keys[:, :, :WIDTH] = bands
+        keys = keys.view(np.uint64)[:, :, 0]
         forest = Forest(len(pdf))
         for i, j in group_pairs(bounds):
             longest = np.maximum(size[i], size[j])
             limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
             near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
+            i, j, limit = i[near], j[near], limit[near]
+            near = np.argmax(keys[i] == keys[j], axis=1) == band[i]  # a pair is looked at in the first band it meets in
             for x, y, most in zip(i[near].tolist(), j[near].tolist(), limit[near].tolist(), strict=True):
                 if forest.find(x) != forest.find(y) and edit_within(text[x], text[y], most):
                     forest.join(x, y)
@@ -196,7 +210,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     found = join_hot(lines.drop("bands"), classes, "h", "n")
     return found.select(
         F.struct("known", "id").alias("key"),
-        F.col("th").alias("text_digest"),
+        F.col("th").alias("text_hash"),
         F.col("line").alias("line_no"),
         F.col("words").alias("n_words"),
         F.struct("keep.known", "keep.id").alias("keep_key"),
@@ -217,8 +231,8 @@ def without_repeats(docs: DataFrame, **parameters) -> DataFrame:
     A document goes if it loses lines and nothing but white space is left; documents that lose no line stay as they are. Of rows
     that repeat id and text one keeps the kept lines."""
     found = near_lines(docs, **parameters)
-    marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_digest").alias("_tl_th")).agg(F.collect_set("line_no").alias("_tl_all"), F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias("_tl_kept"))
-    keyed = docs.withColumn("_tl_key", spot()).withColumn("_tl_th", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    marks = found.groupBy(F.col("key").alias("_tl_key"), F.col("text_hash").alias("_tl_th")).agg(F.collect_set("line_no").alias("_tl_all"), F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias("_tl_kept"))
+    keyed = docs.withColumn("_tl_key", spot()).withColumn("_tl_th", F.xxhash64(F.coalesce("text", F.lit(""))))
     turn = F.row_number().over(Window.partitionBy("_tl_key", "_tl_th").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
     drop = F.when(F.col("_tl_turn") == 1, F.array_except("_tl_all", "_tl_kept")).otherwise(F.col("_tl_all"))
     joined = keyed.withColumn("_tl_turn", turn).join(marks, ["_tl_key", "_tl_th"], "left").withColumn("_tl_drop", drop)

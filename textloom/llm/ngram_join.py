@@ -22,6 +22,8 @@ from .shingles import WordHasher, exact_sets, mix64, text_groups, words_of
 
 N_HASHES, BAND = 200, 5
 FIRST = 64
+#: Buckets of the bit table that says which texts may be in a group.
+BITS = 1 << 20
 
 
 def hash_seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
     bands = texts.where("sig is not null").select(
         "rid", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(N_HASHES // BAND - 1)), lambda i: F.substring("sig", i * 2 * BAND + 1, F.lit(2 * BAND)))).alias("band", "part")
     )
-    units = bucket_units(bands.select("rid", F.xxhash64("band", "part").alias("band")), "band", "rid", 1000)
+    units = bucket_units(bands.select("rid", F.xxhash64("band", "part").alias("band")), "band", "rid", 500)
     early = [(lo, hi, least_matches(threshold, tolerance, hi)) for lo, hi in ((0, 16), (16, 32), (32, FIRST))]
     late = [(lo, hi, least_matches(threshold, tolerance, hi)) for lo, hi in ((0, FIRST), (FIRST, 128), (128, N_HASHES))]
 
@@ -132,7 +134,9 @@ def near_texts(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: f
 
     full = materialize(groups.join(texts, groups.node == texts.rid).select("rid", "root", "digest", "first", "copies", "sig"))
     placed = bucket_units(full.select("rid", "root", "copies", "sig"), "root", "rid", block)
-    wanted = full.select("rid", "first", "digest").join(own, ["first", "digest"]).select("rid", "text")
+    bit = F.pmod(F.xxhash64("digest"), F.lit(BITS))  # a bit table of bounded size keeps most texts that no group has out of the shuffle
+    some = full.select(bit.alias("_bit")).distinct()
+    wanted = full.select("rid", "first", "digest").join(own.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi"), ["first", "digest"]).select("rid", "text")
     sent = placed.join(wanted.dropDuplicates(["rid"]), "rid").select("unit", "half", "rid", "copies", "sig", "text")
 
     def verify(pdf: pd.DataFrame):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,28 +17,30 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of byte ranges (words) by tabulation: each byte at each place of a word adds a number of its own, drawn at
-    random, so that no pattern in texts makes different words meet."""
+    """64-bit hashes of byte ranges (words), eight bytes at a time, each eight mixed into what came before by a bijection: words of
+    one length of at most eight bytes never meet, and no pattern in texts makes others meet. Words of more than LONG bytes are
+    hashed by blake2b."""
 
-    PLACES = 32
-
-    def __init__(self):
-        self.numbers = np.random.default_rng(20).integers(0, 1 << 64, 256 * self.PLACES, dtype=np.uint64)
+    LONG = 64
+    MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the ranges start to end, none empty, in rising order."""
+        """Hashes of the ranges start to end, none empty."""
+        raw = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        eights = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
         length = end - start
-        if not len(length):
-            return np.zeros(0, dtype=np.uint64)
-        first = np.r_[0, np.cumsum(length)[:-1]]
-        place = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-        byte = data[place + np.repeat(start, length)].astype(np.int64)
-        number = self.numbers[(place % self.PLACES) * 256 + byte]
-        far = np.flatnonzero(place >= self.PLACES)
         with np.errstate(over="ignore"):
-            if len(far):
-                number[far] = mix64(number[far] ^ mix64((place[far] // self.PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            return mix64(np.add.reduceat(number, first) + length.astype(np.uint64))
+            out = mix64(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+            out = mix64(out ^ (eights[start] & self.MASKS[np.minimum(length, 8)]))
+            rest = np.flatnonzero(length > 8)
+            for at in range(8, self.LONG, 8):
+                if not len(rest):
+                    break
+                out[rest] = mix64(out[rest] ^ (eights[start[rest] + at] & self.MASKS[np.minimum(length[rest] - at, 8)]))
+                rest = rest[length[rest] > at + 8]
+        for k in rest:
+            out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def text_groups(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
