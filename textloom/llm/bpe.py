@@ -2,8 +2,8 @@
 
 Documents are split into pre-tokens in chunks; a chunk's table row keeps, in order of position, which of its distinct words stands
 there. The distinct words of all chunks, one row for each chunk that has the word, are shuffled by word, so that each word is encoded
-once, and its ids decoded through the table of token bytes, of which every task holds the whole (one row per token of the file). Ids
-and bytes go back to the chunks, packed, and documents are put together by position. Frequent words cost no more than rare ones, and
+once. The ids go back to the chunks, packed, where documents are put together by position and decoded through the table of token
+bytes, of which every task holds the whole (one row per token of the file). Frequent words cost no more than rare ones, and
 positions never leave their chunk.
 """
 
@@ -51,6 +51,11 @@ class ByteTable:
         return self.data[np.repeat(self.start[numbers] - (ends - length), length) + np.arange(ends[-1])]
 
 
+def token_bytes(ranks: dict[bytes, int]) -> ByteTable:
+    by_id = dict(zip(ranks.values(), ranks, strict=True))
+    return ByteTable.of([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)])
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of unsigned integers, each stored plane by plane and compressed."""
     import zstandard
@@ -103,7 +108,7 @@ def _chunks(frames, pattern: str, size: int):
         words, place = list(ranks), np.empty(len(ranks), dtype=np.uint32)
         place[order] = np.arange(len(ranks))
         lengths = np.fromiter(map(len, positions), dtype=np.uint32, count=len(positions))
-        row = ((partition << 32) + chunk, keys, _pack(place[flat], lengths), [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()])
+        row = ((partition << 14) + chunk, keys, _pack(place[flat], lengths), [words[k].encode("utf-8", "surrogatepass") for k in order.tolist()])
         return pd.DataFrame([row], columns=["chunk", "keys", "places", "words"])
 
     for pdf in frames:
@@ -118,35 +123,43 @@ def _chunks(frames, pattern: str, size: int):
         yield frame()
 
 
+#: Bits of a word's place in the number of (chunk, place).
+PLACE = 28
+
+
 def encode_words(words: DataFrame, ranks_path: str, pattern: str, held: int = 1 << 18) -> DataFrame:
-    """(chunk, answers) for rows (chunk, at, word) of the distinct words of chunks: for each chunk packed answers, which hold the places,
-    id counts, ids, byte counts and bytes of some of its words. About ``held`` words are gathered before answers are sent."""
+    """(chunk, answers) for rows (place, word) of the distinct words of chunks, place being the chunk's number and, in the last PLACE
+    bits, the word's place: for each chunk packed answers, which hold steps from place to place, id counts and ids of some of its
+    words. About ``held`` words are gathered before answers are sent."""
 
     def run(frames):
-        ranks = rank_table(ranks_path)
-        single, token = encoder(ranks, pattern)._encode_single_piece, {i: b for b, i in ranks.items()}
-        last, ids, decoded = None, [], b""
-        found, n = defaultdict(list), 0
+        single = encoder(rank_table(ranks_path), pattern)._encode_single_piece
+        last, ids, places, lists = None, [], [], []
 
         def answers():
-            out = []
-            for chunk, rows in found.items():
-                at, counts, flat = [r[0] for r in rows], [len(r[1]) for r in rows], [i for r in rows for i in r[1]]
-                sizes = [len(r[2]) for r in rows]
-                out.append((chunk, _pack(*map(np.array, (at, counts, flat, sizes)), np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8))))
+            place, count = np.concatenate(places), np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat, first = np.fromiter((i for x in lists for i in x), dtype=np.int64, count=int(count.sum())), np.cumsum(count) - count
+            order, out = np.argsort(place), []
+            chunk = place[order] >> PLACE
+            bounds = np.r_[0, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                own = order[lo:hi]
+                at, c = place[own] & ((1 << PLACE) - 1), count[own]
+                stop = np.cumsum(c)
+                out.append((chunk[lo], _pack(np.diff(at, prepend=0), c, flat[np.repeat(first[own] - (stop - c), c) + np.arange(stop[-1])])))
             return pd.DataFrame(out, columns=["chunk", "answers"])
 
         for pdf in frames:
-            for chunk, at, word in zip(pdf["chunk"].tolist(), pdf["at"].tolist(), pdf["word"].tolist(), strict=True):
+            places.append(pdf["place"].to_numpy())
+            for word in pdf["word"].tolist():
                 if word != last:
                     last, ids = word, single(bytes(word))
-                    decoded = b"".join([token[i] for i in ids])
-                found[chunk].append((at, ids, decoded))
-            n += len(pdf)
-            if n >= held:
+                lists.append(ids)
+            if len(lists) >= held:
                 yield answers()
-                found, n = defaultdict(list), 0
-        yield answers()
+                places, lists = [], []
+        if lists:
+            yield answers()
 
     return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "chunk long, answers binary")
 
@@ -158,22 +171,25 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     ranks_path names a file of base64 token and rank lines that workers can read. A document of any length is whole in one chunk.
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>"))
-    back = encode_words(chunks.select("chunk", F.posexplode("words").alias("at", "word")), ranks_path, pattern)
+    chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>"), "zstd")
+    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).select((F.shiftleft("chunk", PLACE) + F.col("at")).alias("place"), "word")
+    back = encode_words(words, ranks_path, pattern)
     heads = chunks.select("chunk", F.lit(None).cast("binary").alias("answers"), "keys", "places")
     rows = back.withColumn("keys", F.lit(None).cast("array<string>")).withColumn("places", F.lit(None).cast("binary")).unionByName(heads)
     render = render or (lambda ids, decoded: (ids.tolist(), decoded.tobytes()))
     names = [c.strip().split()[0] for c in schema.split(",")]
+    table: ByteTable | None = None
 
     def whole(keys, places, answers: list[bytes]):
         """The documents of a chunk."""
         at, lengths = _unpack(places)
-        where, count, ids, size, data = (np.concatenate(x) for x in zip(*map(_unpack, answers), strict=True)) if answers else [np.zeros(0, dtype=np.int64)] * 5
+        steps, count, ids = zip(*map(_unpack, answers), strict=True) if answers else ([], [], [])
+        none = [np.zeros(0, dtype=np.int64)]
+        where, count, ids = np.concatenate([*map(np.cumsum, steps), *none]), np.concatenate([*count, *none]).astype(np.int64), np.concatenate([*ids, *none]).astype(np.uint32)
         if len(where) != (int(at.max()) + 1 if len(at) else 0):
             raise RuntimeError("a chunk's words are missing or doubled")
-        order, count, size = np.argsort(where), count.astype(np.int64), size.astype(np.int64)
+        order = np.argsort(where)
         count, first = count[order], (np.cumsum(count) - count)[order]
-        table = ByteTable(data.astype(np.uint8), size[order], (np.cumsum(size) - size)[order])
         out, start = [], 0
         for key, n in zip(keys, lengths.tolist(), strict=True):
             here = at[start : start + n].astype(np.int64)
@@ -181,11 +197,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
             start += n
             stop = np.cumsum(c)
             own = ids[np.repeat(f - (stop - c), c) + np.arange(stop[-1])] if n else ids[:0]
-            out.append((key, *render(own, table(here))))
+            out.append((key, *render(own, table(own))))
         return pd.DataFrame(out, columns=["key", *names])
 
     def assemble(frames):
         """Rows sorted by chunk, a chunk's own row first; what is held is one chunk."""
+        nonlocal table
+        table = table or token_bytes(rank_table(ranks_path))
         now, keys, places, answers = None, None, None, []
         for pdf in frames:
             for chunk, answer, own, at in zip(pdf["chunk"], pdf["answers"], pdf["keys"], pdf["places"], strict=True):
