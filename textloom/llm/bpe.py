@@ -178,9 +178,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     rows = back.withColumn("keys", F.lit(None).cast("array<string>")).withColumn("places", F.lit(None).cast("binary")).unionByName(heads)
     render = render or (lambda ids, decoded: (ids.tolist(), decoded.tobytes()))
     names = [c.strip().split()[0] for c in schema.split(",")]
-    table: ByteTable | None = None
 
-    def whole(keys, places, answers: list[bytes]):
+    def whole(keys, places, answers: list[bytes], table: ByteTable):
         """The documents of a chunk."""
         at, lengths = _unpack(places)
         steps, count, ids = zip(*map(_unpack, answers), strict=True) if answers else ([], [], [])
@@ -202,21 +201,20 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
 
     def assemble(frames):
         """Rows sorted by chunk, a chunk's own row first; what is held is one chunk."""
-        nonlocal table
-        table = table or token_bytes(rank_table(ranks_path))
+        table = token_bytes(rank_table(ranks_path))
         now, keys, places, answers = None, None, None, []
         for pdf in frames:
             for chunk, answer, own, at in zip(pdf["chunk"], pdf["answers"], pdf["keys"], pdf["places"], strict=True):
                 if at is not None:
                     if now is not None:
-                        yield whole(keys, places, answers)
+                        yield whole(keys, places, answers, table)
                     now, keys, places, answers = chunk, own, at, []
                 elif chunk != now:
                     raise RuntimeError("a chunk's documents are missing")
                 else:
                     answers.append(answer)
         if now is not None:
-            yield whole(keys, places, answers)
+            yield whole(keys, places, answers, table)
 
     made = rows.repartition("chunk").sortWithinPartitions("chunk", F.col("places").isNull()).mapInPandas(assemble, f"key string, {schema}")
     return made.select(from_key(F.col("key")).alias("doc_id"), *names)
