@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_key, id_key, materialize
+from .common import from_key, id_key, repeatable
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -168,11 +168,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     """One row per row of ``docs`` (doc_id, text): doc_id and what ``render(ids, decoded)`` gives, by default the ids and the bytes
     they decode to. A null text is empty (no ids); null ids and repeated rows come back as they are.
 
+    Texts are split twice, once for their words and once for the places, which is less than keeping the places would write.
     ranks_path names a file of base64 token and rank lines that workers can read. A document of any length is whole in one chunk.
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = materialize(own.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>"), "zstd")
-    words = chunks.select("chunk", F.posexplode("words").alias("at", "word")).select((F.shiftleft("chunk", PLACE) + F.col("at")).alias("place"), "word")
+    chunks = repeatable(own).mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>")
+    words = chunks.select("chunk", F.posexplode_outer("words").alias("at", "word")).where("word is not null").select((F.shiftleft("chunk", PLACE) + F.col("at")).alias("place"), "word")
     back = encode_words(words, ranks_path, pattern)
     heads = chunks.select("chunk", F.lit(None).cast("binary").alias("answers"), "keys", "places")
     rows = back.withColumn("keys", F.lit(None).cast("array<string>")).withColumn("places", F.lit(None).cast("binary")).unionByName(heads)
