@@ -87,10 +87,9 @@ def _chunks(frames, pattern: str, size: int):
     """A row for each chunk of about ``size`` characters: its number, the keys and pre-token counts of its documents, its distinct
     words, the commonest first, and for each pre-token the place of its word among them."""
     import regex
-    from pyspark import TaskContext
 
     split = regex.compile(pattern).findall
-    partition, chunk = TaskContext.get().partitionId(), 0
+    partition, chunk = 0, 0
     keys: list[str | None] = []
     positions: list[np.ndarray] = []
     held = 0
@@ -112,7 +111,7 @@ def _chunks(frames, pattern: str, size: int):
         return pd.DataFrame([row], columns=["chunk", "keys", "places", "words"])
 
     for pdf in frames:
-        for key, text in zip(pdf["key"].tolist(), pdf["text"].tolist(), strict=True):
+        for partition, key, text in zip(pdf["part"].tolist(), pdf["key"].tolist(), pdf["text"].tolist(), strict=True):
             keys.append(key)
             positions.append(np.fromiter(map(ranks.__getitem__, split(text)), dtype=np.uint32))
             held += len(text)
@@ -172,7 +171,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars
     ranks_path names a file of base64 token and rank lines that workers can read. A document of any length is whole in one chunk.
     """
     own = docs.select(id_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = repeatable(own).mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>")
+    numbered = repeatable(own).withColumn("part", F.spark_partition_id())  # the same in both readings
+    chunks = numbered.mapInPandas(lambda frames: _chunks(frames, pattern, chunk_chars), "chunk long, keys array<string>, places binary, words array<binary>")
     words = chunks.select("chunk", F.posexplode_outer("words").alias("at", "word")).where("word is not null").select((F.shiftleft("chunk", PLACE) + F.col("at")).alias("place"), "word")
     back = encode_words(words, ranks_path, pattern)
     heads = chunks.select("chunk", F.lit(None).cast("binary").alias("answers"), "keys", "places")
