@@ -143,6 +143,20 @@ def test_edit_within():
         assert line_dedup.edit_within(a, b, limit) == (edit(a, b) <= limit)
 
 
+def test_bounds_of_the_edit_distance():
+    rng = random.Random(5)
+    for _ in range(400):
+        a = "".join(rng.choice("abcé d") for _ in range(rng.randint(0, 60)))
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            b[rng.randint(0, len(b)) : rng.randint(0, len(b))] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        true = edit(a, b)
+        assert line_dedup.cost_at_most(a, b) >= true
+        counts = line_dedup.pair_counts([a, b], np.array([len(a), len(b)]))
+        assert line_dedup.may_be_within(counts, np.array([0]), np.array([1]), np.array([true]))[0]
+
+
 def brute_lines(rows, min_words=5):
     """{(doc_id, line_no): (keep doc_id, keep line_no)} by all pairs of distinct normalised lines."""
     low = lambda i: -(2**63) if i is None else i

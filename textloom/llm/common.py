@@ -100,7 +100,7 @@ def repeatable(df: DataFrame) -> DataFrame:
     """df itself where its rows come from files in the same order each time; else written first, so that what reads it twice, or a
     task that runs again after a lost executor, sees the same rows in the same places."""
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return materialize(df, "zstd") if "Exchange" in plan or "Scan ExistingRDD" in plan or "InMemory" in plan else df
+    return materialize(df, "zstd") if "Exchange" in plan or "Scan ExistingRDD" in plan or "InMemoryTableScan" in plan else df
 
 
 def id_key(column: str = "doc_id"):

@@ -119,6 +119,38 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
+def cost_at_most(a: str, b: str, depth: int = 4, piece: int = 12) -> int:
+    """An upper bound of the edit distance: common ends aside, a piece from the middle that both have parts the rest in two."""
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    j, n = 0, n - k
+    while j < n and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[k : len(a) - j], b[k : len(b) - j]
+    if depth and len(a) > 2 * piece and len(b) > piece:
+        for mid in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+            lo = mid - piece // 2
+            if (at := b.find(a[lo : lo + piece])) >= 0:
+                return cost_at_most(a[:lo], b[:at], depth - 1) + cost_at_most(a[lo + piece :], b[at + piece :], depth - 1)
+    return max(len(a), len(b))
+
+
+def pair_counts(texts: list[str], size: np.ndarray, buckets: int = 256) -> np.ndarray:
+    """How often each bucket's pairs of neighbouring characters occur in each text (int16 suffices for a bound: counts are cut)."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), size)
+    inside = row[1:] == row[:-1]
+    gram = (code[:-1][inside].astype(np.int64) * 31 + code[1:][inside]) % buckets
+    return np.minimum(np.bincount(row[1:][inside] * buckets + gram, minlength=len(texts) * buckets), 32_000).reshape(len(texts), buckets).astype(np.int16)
+
+
+def may_be_within(counts: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """Which pairs may have an edit distance within limit: an edit changes at most two pairs of characters on each side."""
+    parts = [np.abs(counts[i[lo : lo + chunk]] - counts[j[lo : lo + chunk]]).sum(1, dtype=np.int64) <= 4 * limit[lo : lo + chunk] for lo in range(0, len(i), chunk)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
+
+
 def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, short: bool = False) -> DataFrame:
     """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
@@ -191,15 +223,17 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         keys = np.zeros((len(text), BANDS, 8), dtype=np.uint8)
         keys[:, :, :WIDTH] = bands
         keys = keys.view(np.uint64)[:, :, 0]
-        forest = Forest(len(pdf))
+        forest, counts = Forest(len(pdf)), pair_counts(text, size)
         for i, j in group_pairs(bounds):
             longest = np.maximum(size[i], size[j])
             limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
             near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
             i, j, limit = i[near], j[near], limit[near]
             near = np.argmax(keys[i] == keys[j], axis=1) == band[i]  # a pair is looked at in the first band it meets in
+            i, j, limit = i[near], j[near], limit[near]
+            near = may_be_within(counts, i, j, limit)
             for x, y, most in zip(i[near].tolist(), j[near].tolist(), limit[near].tolist(), strict=True):
-                if forest.find(x) != forest.find(y) and edit_within(text[x], text[y], most):
+                if forest.find(x) != forest.find(y) and (cost_at_most(text[x], text[y]) <= most or edit_within(text[x], text[y], most)):
                     forest.join(x, y)
         yield forest.stars(rid)
 
