@@ -1,5 +1,7 @@
 """Operators on micro corpora: edges of documents, overlaps, empty and null values, ties."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,7 +142,7 @@ def test_dates(spark):
     day = metadata.date_in_text(F.col("t"), F.lit(1930))
     found = df.select(F.date_format(day, "yyyy-MM-dd"), metadata.weekday_name(day, F.col("t")), metadata.long_date(day)).collect()
     assert found[0] == ("1930-05-03", "Samstag", "3. Mai 1930") and found[2][0] == "1931-04-30"
-    assert found[3][0] == "1930-06-05" and found[4][0] is None and found[4][1] is None
+    assert found[1][0] is None and found[3][:2] == (None, "Mittwoch") and found[4][0] is None and found[4][1] is None
 
 
 def test_tiers_fall_back_in_order(spark):
@@ -204,6 +206,67 @@ def test_stages_make_what_they_need(docs):
         run.table("nothing")
 
 
+def test_consolidated_report(docs):
+    from textloom.plans.stages import STAGES, Run, Settings
+
+    rich = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 200))
+    settings = Settings(
+        min_length=1, slices=[1929, 1930, 1931], targets=["a"], kwic_targets=[("a", "^a$")], seeds={"a": "x", "über": "y"}, stems=[("a", "x")], lexicon=[("eins", -1.0)],
+        rules=[("b", "b", "c")], vocabulary=["a", "ist"], n_topics=2, topic_rounds=3,
+    )
+    run = Run(rich, settings)
+    text = run.report()
+    for title in ("Corpus", "Seed terms", "Keywords", "n-grams with seed terms", "n-grams by category", "Collocates", "Topics", "Topics by slice", "Concordances", "Quotations", "Text quality", "Lexicon density", "Summary"):
+        assert f"## {title}\n" in text
+    assert all(run.table(s).columns for s in STAGES)
+    held = run.table("corpus")
+    assert held.storageLevel.useDisk and run.table("corpus") is held
+    run.close()
+    assert not run.tables
+
+
+def test_token_rates_with_very_many_tokens(spark):
+    from textloom.functions.text import token_edit_rate
+
+    words = [f"w{i}" for i in range(40_000)]
+    other = words[:-1] + ["other"]
+    df = spark.createDataFrame([(" ".join(words), " ".join(other)), (" ".join(words[:10]), " ".join(words[30:40]))], "a string, b string")
+    assert [r[0] for r in df.select(token_edit_rate(F.col("a"), F.col("b"), 4)).collect()] == [0.0025, 100.0]
+
+
+def test_edit_rates_equal_brute_force(spark):
+    import random
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, d in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (c != d))
+        return row[-1]
+
+    rng = random.Random(2)
+    rows = []
+    for n in range(12):
+        a = "".join(rng.choice("aeß th.19l ") for _ in range(rng.randint(0, 300)))
+        rows.append((str(n), a, a.replace("th", "t")[: rng.randint(1, 300)]))
+    rules = [("ae", "ae", "ä"), ("one", "([0-9])l", "$1")]
+    found = {r["name"]: r for r in correction.error_rates(spark.createDataFrame(rows, "name string, reference string, text string"), rules).collect()}
+    for name, a, b in rows:
+        after = re.sub("([0-9])l", r"\1", b.replace("ae", "ä"))
+        for column, other in (("before", b), ("after", after)):
+            assert found[name][f"cer_{column}"] == pytest.approx(100 * distance(a, other) / max(1, len(a)), abs=0.0051)
+            x, y = a.lower().split(), other.lower().split()
+            assert found[name][f"wer_{column}"] == pytest.approx(100 * distance(x, y) / max(1, len(x)), abs=0.0051)
+
+
+def test_citations_find_words_beside_matches(spark):
+    text = "one two abc3 four-abcd five  six abc"
+    df = spark.createDataFrame([(1, 1930, text)], "doc_id long, slice int, text string")
+    found = kwic.citations(df, [("abc", "abc")], 2).orderBy("start").collect()
+    assert [(r["start"], r["context"]) for r in found] == [(8, "one two [TREFFER] abc [/TREFFER] 3 four-abcd"), (18, "abc3 four- [TREFFER] abc [/TREFFER] d five"), (33, "five six [TREFFER] abc [/TREFFER]")]
+
+
 def test_plugins_load_a_model_and_may_skip(docs):
     from textloom.operators import plugins
 

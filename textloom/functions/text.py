@@ -8,8 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.distance import token_distance
+
 WORD = r"[\p{L}\p{N}_]+"
+# Where sentences end, with and without a look at what follows, and the years of the corpora.
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"
+ANY_SENTENCE_END = r"(?<=[.!?])\s+"
+YEAR = "(192[0-9]|193[0-9])"
 
 
 def as_column(c: Column | str) -> Column:
@@ -90,19 +95,22 @@ def composed(text: Column) -> Column:
     return text
 
 
-def edit_rate(reference: Column, other: Column, decimals: int = 2) -> Column:
-    """Character error rate in percent of the reference's length (at least 1)."""
-    return F.round(F.levenshtein(reference, other) / F.greatest(F.char_length(reference), F.lit(1)) * 100, decimals)
+def edit_distance(a: Column, b: Column) -> Column:
+    """The edit distance of whole texts: within bands that widen until one holds it, so that texts with few differences take time in
+    proportion to length and differences."""
+    out = F.levenshtein(a, b)
+    for band in (4096, 512, 64):
+        within = F.levenshtein(a, b, band)
+        out = F.when(within >= 0, within).otherwise(out)
+    return out
 
 
-def _coded(tokens: Column, vocabulary: Column) -> Column:
-    """Each token as one code point, by its place in the vocabulary (20,000 distinct tokens fit)."""
-    one = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(vocabulary, t) + F.lit(19967)), 4, "0")), "UTF-16BE")
-    return F.array_join(F.transform(tokens, one), "")
+def edit_rate(reference: Column, other: Column, decimals: int = 2) -> Column:
+    """Character error rate in percent of the reference's length (at least 1)."""
+    return F.round(edit_distance(reference, other) / F.greatest(F.char_length(reference), F.lit(1)) * 100, decimals)
 
 
 def token_edit_rate(reference: Column, other: Column, decimals: int = 2) -> Column:
-    """Word error rate in percent: the edit distance on tokens, here on strings with a code point for each distinct token."""
+    """Word error rate in percent of the reference's tokens (at least 1): the edit distance on whole token lists."""
     a, b = space_tokens(F.lower(reference)), space_tokens(F.lower(other))
-    vocabulary = F.array_distinct(F.concat(a, b))
-    return F.round(F.levenshtein(_coded(a, vocabulary), _coded(b, vocabulary)) / F.greatest(F.size(a), F.lit(1)) * 100, decimals)
+    return F.round(token_distance(a, b) / F.greatest(F.size(a), F.lit(1)) * 100, decimals)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.stats import log_likelihood, pmi
 from textloom.functions.text import unnested
-from textloom.operators.frequency import scoped, summed, top_k
+from textloom.operators.frequency import scoped, scoped_totals, top_k
 
 
 def around(tokens: Column, i: Column, window: int, inclusive: bool = False) -> Column:
@@ -38,8 +38,9 @@ def collocations(corpus_df: DataFrame, targets: Sequence[str], window: int = 5,
     """
     co = scoped(window_rows(corpus_df, targets, window), ["target", "collocate"], {"cofreq": F.count(F.lit(1))}).where(F.col("cofreq") >= least)
     single = scoped(unnested(corpus_df, "tokens", "w", "slice"), ["w"], {"n": F.count(F.lit(1))})
-    totals = summed(single, "scope", "n", "n_total")
-    of_target = single.where(F.col("w").isin(list(targets))).select("scope", F.col("w").alias("target"), F.col("n").alias("freq_target"))
+    totals = scoped_totals(corpus_df).withColumnRenamed("total", "n_total")
+    targeted = corpus_df.select("slice", F.filter("tokens", lambda t: t.isin(list(targets))).alias("t"))
+    of_target = scoped(unnested(targeted, "t", "target", "slice"), ["target"], {"freq_target": F.count(F.lit(1))})
     of_other = single.select("scope", F.col("w").alias("collocate"), F.col("n").alias("freq_collocate"))
     joined = co.join(of_other, ["scope", "collocate"]).join(F.broadcast(of_target), ["scope", "target"]).join(F.broadcast(totals), "scope")
     o11, o12, o21 = F.col("cofreq"), F.col("freq_target") - F.col("cofreq"), F.col("freq_collocate") - F.col("cofreq")

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import as_column, unnested_at, word_tokens
+from textloom.functions.text import YEAR, as_column, unnested_at, word_tokens
 
 
 def year_from_name(name: Column | str) -> Column:
     """The first 192x or 193x in a name, or null."""
-    return F.regexp_extract(as_column(name), "(192[0-9]|193[0-9])", 1).try_cast("int")
+    return F.regexp_extract(as_column(name), YEAR, 1).try_cast("int")
 
 
 def with_slice(df: DataFrame, value: Column, policy: str = "keep_null", fallback: int | str | None = None, column: str = "slice") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import SENTENCE_END, composed, edit_rate, token_edit_rate
+from textloom.functions.text import ANY_SENTENCE_END, composed, edit_rate, space_tokens, token_edit_rate
 
 TOTAL = "GESAMT"
 
@@ -31,13 +31,12 @@ def rule_log(corrections: DataFrame, rules: Sequence[tuple[str, str, str]]) -> D
     return grouped.unionByName(grouped.agg(F.lit(TOTAL).alias("label"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))).orderBy((F.col("label") == TOTAL).asc(), F.desc("n"), "label")
 
 
-def error_rates(pairs: DataFrame, rules: Sequence[tuple[str, str, str]], cut: int | None = None) -> DataFrame:
+def error_rates(pairs: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """name, cer_before, cer_after, cer_delta, wer_before, wer_after, wer_delta, and a row with the means of the rounded values.
 
-    pairs: (name, reference, text). Edit distances take the product of the lengths, so ``cut`` bounds both texts.
+    pairs: (name, reference, text), compared whole.
     """
-    short = (lambda c: F.left(c, F.lit(cut))) if cut else (lambda c: F.col(c))
-    ready = pairs.select("name", short("reference").alias("reference"), short("text").alias("before")).withColumn("text", F.col("before"))
+    ready = pairs.select("name", "reference", F.col("text").alias("before")).withColumn("text", F.col("before"))
     fixed = corrected(ready, rules).select("name", "reference", "before", F.col("text").alias("after"))
     rates = fixed.select("name", *[f(F.col("reference"), F.col(c)).alias(f"{n}_{c}") for n, f in (("cer", edit_rate), ("wer", token_edit_rate)) for c in ("before", "after")])
     columns = ["name", "cer_before", "cer_after", "cer_delta", "wer_before", "wer_after", "wer_delta"]
@@ -46,9 +45,10 @@ def error_rates(pairs: DataFrame, rules: Sequence[tuple[str, str, str]], cut: in
     return made.unionByName(mean)
 
 
-def changed_sentences(before: DataFrame, after: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, pos, before, after: sentences aligned by place, up to the shorter text, that differ; the first k."""
-    cut = lambda c: F.split(c, SENTENCE_END)
+def changed_sentences(before: DataFrame, after: DataFrame, k: int = 5, least: int = 5) -> DataFrame:
+    """doc_id, pos, before, after: sentences aligned by place, up to the shorter text, that differ and have ``least`` words; the
+    first k. Here a sentence ends at a stop and white space, whatever follows."""
+    cut = lambda c: F.split(c, ANY_SENTENCE_END)
     joined = before.select("doc_id", cut("text").alias("b")).join(after.select("doc_id", cut("text").alias("a")), "doc_id")
-    pairs = joined.select("doc_id", F.posexplode(F.arrays_zip("b", "a")).alias("pos", "x")).where("x.b is not null and x.a is not null and x.b <> x.a")
+    pairs = joined.select("doc_id", F.posexplode(F.arrays_zip("b", "a")).alias("pos", "x")).where("x.b is not null and x.a is not null and x.b <> x.a").where(F.size(space_tokens("x.b")) >= least)
     return pairs.select("doc_id", "pos", F.col("x.b").alias("before"), F.col("x.a").alias("after")).orderBy("doc_id", "pos").limit(k)

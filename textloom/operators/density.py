@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.joins import small
 from textloom.functions.stats import rate
 from textloom.functions.text import unnested, word_tokens
 from textloom.operators.frequency import top_k
@@ -17,7 +18,7 @@ def lexicon_density(docs: DataFrame, lexicon: DataFrame, pattern: str = r"[a-zä
     """
     rows = docs.select("doc_id", "slice", word_tokens("text", pattern).alias("w")).withColumn("n_words", F.size("w"))
     words = lexicon.select("word").distinct()
-    hits = unnested(rows, "w", "word", "doc_id").join(F.broadcast(words), "word", "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    hits = unnested(rows, "w", "word", "doc_id").join(small(words), "word", "left_semi").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     sums = hits.groupBy("doc_id").agg(F.sum("n").alias("n_hits"))
     best = top_k(hits, forms, ["doc_id"], [F.desc("n"), F.asc("word")])
     listed = best.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("word", F.lit("("), "n", F.lit(")")).alias("f")))).alias("f"))
@@ -34,5 +35,6 @@ def density_statistics(densities: DataFrame, unknown: str = "unbekannt") -> Data
 def known_share(docs: DataFrame, vocabulary: DataFrame, decimals: int = 4) -> DataFrame:
     """doc_id, n_words, score: the share of a document's words found in vocabulary (word), 0 without words."""
     rows = docs.select("doc_id", word_tokens("text").alias("w"))
-    hits = unnested(rows, "w", "word", "doc_id").join(vocabulary.select("word").distinct(), "word", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = unnested(rows, "w", "word", "doc_id").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))  # a document's word once
+    hits = counts.join(small(vocabulary.select("word").distinct()), "word", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n"))
     return rows.select("doc_id", F.size("w").alias("n_words")).join(hits, "doc_id", "left").select("doc_id", "n_words", rate(F.coalesce("n", F.lit(0)), F.col("n_words"), 1, decimals).alias("score"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.joins import small
 from textloom.functions.stats import change_label, per_million
 from textloom.functions.text import unnested, unnested_at, word_tokens
 
@@ -41,12 +42,17 @@ def frequencies_by_slice(corpus_df: DataFrame) -> DataFrame:
     return counts.join(summed(counts, "slice"), "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 
-def scoped(rows: DataFrame, keys: Sequence[str], measures: Mapping[str, object], slice_column: str = "slice") -> DataFrame:
-    """Measures by keys for every slice and, in the same pass, for all documents (scope gesamt, which includes the null slice)."""
-    grouped = rows.groupingSets([[F.col(slice_column), *map(F.col, keys)], [F.col(k) for k in keys]], F.col(slice_column), *map(F.col, keys))
-    made = grouped.agg(F.grouping(slice_column).alias("_all"), *[m.alias(n) for n, m in measures.items()])
-    label = F.when(F.col("_all") == 1, F.lit(TOTAL)).otherwise(F.col(slice_column).cast("string"))
-    return made.where((F.col("_all") == 1) | F.col(slice_column).isNotNull()).select(label.alias("scope"), *keys, *measures)
+def scoped(rows: DataFrame, keys: Sequence[str], measures: Mapping[str, object], slice_column: str = "slice", scopes: str = "both") -> DataFrame:
+    """Measures by keys for every slice and for all documents (scope gesamt, which includes the null slice). Measures are counts or
+    sums: rows are counted once by slice, and the total adds these up. scopes: both, slices or total."""
+    if scopes == "total":
+        return rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()]).select(F.lit(TOTAL).alias("scope"), *keys, *measures)
+    by_slice = rows.groupBy(slice_column, *keys).agg(*[m.alias(n) for n, m in measures.items()])
+    slices = by_slice.where(F.col(slice_column).isNotNull()).select(F.col(slice_column).cast("string").alias("scope"), *keys, *measures)
+    if scopes == "slices":
+        return slices
+    total = by_slice.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures]).select(F.lit(TOTAL).alias("scope"), *keys, *measures)
+    return slices.unionByName(total)
 
 
 def scoped_totals(corpus_df: DataFrame) -> DataFrame:
@@ -63,7 +69,11 @@ def seed_grid(corpus_df: DataFrame, seeds: DataFrame, slices: Sequence) -> DataF
     """slice, term, category, abs, per_million for every seed term in every slice, 0 where absent. seeds: (term, category)."""
     spark = corpus_df.sparkSession
     grid = seeds.crossJoin(spark.createDataFrame([(s,) for s in slices], corpus_df.select("slice").schema))
-    found = frequencies_by_slice(corpus_df).join(F.broadcast(seeds.select(F.col("term").alias("token")).distinct()), "token", "left_semi")
+    terms = [r["term"] for r in seeds.select("term").distinct().collect()]  # the caller's list
+    hits = corpus_df.where("slice is not null").select("slice", "n_tokens", F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
+    counts = unnested(hits, "hits", "token", "slice").groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
+    sizes = hits.groupBy("slice").agg(F.sum("n_tokens").alias("total"))
+    found = counts.join(sizes, "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
     joined = grid.join(found.withColumnRenamed("token", "term"), ["term", "slice"], "left")
     return joined.select("slice", "term", "category", F.coalesce("abs", F.lit(0)).alias("abs"), F.coalesce("per_million", F.lit(0.0)).alias("per_million"))
 
@@ -121,9 +131,9 @@ def _equal_or_null(term: str):
 def compare_methods(by_pattern: DataFrame, by_term: DataFrame, mapping: DataFrame) -> DataFrame:
     """slice, stem, n_pattern, n_terms, change: pattern counts (slice, term, abs) against summed term counts (slice, token, abs)
     through mapping (stem, token)."""
-    summed = by_term.join(F.broadcast(mapping), "token").groupBy("slice", "stem").agg(F.sum("abs").alias("n_terms"))
+    summed = by_term.join(small(mapping), "token").groupBy("slice", "stem").agg(F.sum("abs").alias("n_terms"))
     stems = mapping.select("stem").distinct()
-    left = by_pattern.select("slice", F.col("term").alias("stem"), F.col("abs").alias("n_pattern")).join(F.broadcast(stems), "stem", "left_semi")
+    left = by_pattern.select("slice", F.col("term").alias("stem"), F.col("abs").alias("n_pattern")).join(small(stems), "stem", "left_semi")
     joined = left.join(summed, ["slice", "stem"], "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
     return joined.select("slice", "stem", "n_pattern", "n_terms", change_label(F.col("n_terms"), F.col("n_pattern")).alias("change"))
 

@@ -36,19 +36,18 @@ def keyness(corpus_df: DataFrame, transitions: Sequence[tuple], least: int = 5)
 def ranked(scored: DataFrame) -> DataFrame:
     """With rank_rising and rank_falling by g2 in each transition; ties share the least rank.
 
-    A transition's terms don't meet in one task: they are ranked within steps of the root of g2, and a step's first rank is the
-    number of terms in the steps before it.
+    Ranks are found on the distinct scores, whose counts are summed up within steps of the root of g2 and then over the steps, so no
+    task holds a transition's terms, and equal scores, however many terms share one, are one row.
     """
     step = (F.signum("g2") * F.floor(F.sqrt(F.abs("g2")) * 256)).cast("long")
-    rows = scored.withColumn("_s", step)
-    counts = rows.groupBy("transition", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy("transition")
-    before = lambda order: F.coalesce(F.sum("_n").over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("transition", "_s", before(F.asc("_s")).alias("_below"), before(F.desc("_s")).alias("_above"))
-    within = Window.partitionBy("transition", "_s")
-    inner = rows.withColumn("_up", F.rank().over(within.orderBy("g2"))).withColumn("_down", F.rank().over(within.orderBy(F.desc("g2"))))
-    joined = inner.join(offsets, ["transition", "_s"])
-    return joined.withColumn("rank_rising", F.col("_below") + F.col("_up")).withColumn("rank_falling", F.col("_above") + F.col("_down")).drop("_s", "_up", "_down", "_below", "_above")
+    scores = scored.groupBy("transition", "g2").agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", step)
+    counts = scores.groupBy("transition", "_s").agg(F.sum("_n").alias("_n"))
+    by, within = Window.partitionBy("transition"), Window.partitionBy("transition", "_s")
+    before = lambda w, order: F.coalesce(F.sum("_n").over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("transition", "_s", before(by, F.asc("_s")).alias("_below"), before(by, F.desc("_s")).alias("_above"))
+    inner = scores.select("transition", "g2", "_s", before(within, F.asc("g2")).alias("_up"), before(within, F.desc("g2")).alias("_down"))
+    ranks = inner.join(offsets, ["transition", "_s"]).select("transition", "g2", (F.col("_below") + F.col("_up") + 1).alias("rank_rising"), (F.col("_above") + F.col("_down") + 1).alias("rank_falling"))
+    return scored.join(ranks, ["transition", "g2"])
 
 
 def strongest(scored: DataFrame, k: int = 10) -> DataFrame:

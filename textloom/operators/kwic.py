@@ -64,20 +64,26 @@ CITATION = "doc_id long, slice int, pattern string, start int, end int, match st
 def citations(docs: DataFrame, patterns: Sequence[tuple[str, str]], words: int = 15) -> DataFrame:
     """Every match of every pattern (label, Python regex) with ``words`` words on both sides of it; [TREFFER] marks it.
 
-    Offsets of all matches have no Spark expression, so this runs in Arrow batches; rows are found per document.
+    Offsets of all matches have no Spark expression for Python patterns, so this runs in Arrow batches; a text is parted into words
+    once, and the words beside a match are found by their places.
     """
     marks = list(patterns)
 
     def run(frames: Iterator[pd.DataFrame]):
         import re
+        from bisect import bisect_left, bisect_right
 
-        compiled = [(label, re.compile(p, re.IGNORECASE)) for label, p in marks]
+        compiled, word = [(label, re.compile(p, re.IGNORECASE)) for label, p in marks], re.compile(r"\S+")
         for pdf in frames:
             out = []
             for doc, part, text in zip(pdf["doc_id"], pdf["slice"], pdf["text"], strict=True):
+                spans = [m.span() for m in word.finditer(text)]
+                starts, ends = [a for a, _ in spans], [b for _, b in spans]
                 for label, pattern in compiled:
                     for m in pattern.finditer(text):
-                        left, right = " ".join(text[: m.start()].split()[-words:]), " ".join(text[m.end() :].split()[:words])
+                        before, after = bisect_left(starts, m.start()), bisect_right(ends, m.end())
+                        left = " ".join(text[a : min(b, m.start())] for a, b in spans[max(0, before - words) : before])
+                        right = " ".join(text[max(a, m.end()) : b] for a, b in spans[after : after + words])
                         out.append((doc, part, label, m.start(), m.end(), m[0], f"{left} [TREFFER] {m[0]} [/TREFFER] {right}".strip()))
             yield pd.DataFrame(out, columns=["doc_id", "slice", "pattern", "start", "end", "match", "context"])
 

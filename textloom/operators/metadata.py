@@ -8,18 +8,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import java_literal
 from textloom.operators.corpus import year_from_name
 
-# German names of months and of weekdays from Monday.
-MONTHS = {"januar": 1, "jänner": 1, "jan": 1, "februar": 2, "feber": 2, "feb": 2, "märz": 3, "mär": 3, "april": 4, "apr": 4, "mai": 5, "juni": 6, "jun": 6, "juli": 7, "jul": 7, "august": 8, "aug": 8, "september": 9, "sept": 9, "sep": 9, "oktober": 10, "okt": 10, "november": 11, "nov": 11, "dezember": 12, "dez": 12}
+# German names of months with their usual short forms, weekdays from Monday, how the weekdays are looked for in texts
+# (in this order; Sonnabend is another name of Samstag), and the forms in which names carry the number of an issue.
+MONTHS = {"januar": 1, "februar": 2, "märz": 3, "april": 4, "mai": 5, "juni": 6, "juli": 7, "august": 8, "september": 9, "oktober": 10, "november": 11, "dezember": 12, "jan": 1, "feb": 2, "mär": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "okt": 10, "nov": 11, "dez": 12}
 WEEKDAYS = ("Montag", "Dienstag", "Mittwoch", "Donnerstag", "Freitag", "Samstag", "Sonntag")
+WRITTEN_WEEKDAYS = (("Montag", "Montag"), ("Dienstag", "Dienstag"), ("Mittwoch", "Mittwoch"), ("Donnerstag", "Donnerstag"), ("Freitag", "Freitag"), ("Samstag", "Samstag"), ("Sonnabend", "Samstag"), ("Sonntag", "Sonntag"))
 MONTH_NAMES = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember")
+ISSUE_FORMS = (r"(?U)^OCR\s+(\d+)", r"(?iU)^(\d+)[a-z]?[.\s]")
 
 
 def issue_number(name: Column) -> Column:
-    """The issue in a name: "12. Ausgabe", "Nr. 12", a trailing number; a range 25_26 as its first."""
-    patterns = (r"(?iU)\b(\d{1,3})\.?\s*Ausgabe", r"(?iU)(?:Ausgabe|Nr)\.?[\s_]*(\d{1,3})", r"(?U)\b(\d{1,2})_\d{1,2}\b", r"(\d{1,3})(?:\.[a-z]+)?$")
-    return F.coalesce(*[F.regexp_extract(name, p, 1).try_cast("int") for p in patterns])
+    """The issue a name begins with: "OCR 10 1929", "12. Ausgabe", "34a 1930"; else null."""
+    return F.coalesce(*[F.regexp_extract(name, p, 1).try_cast("int") for p in ISSUE_FORMS])
 
 
 def issue_range(name: Column) -> Column:
@@ -32,32 +35,36 @@ def _made_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
 
 
-def date_in_text(text: Column, year_hint: Column, head: int = 3000, tolerance: int = 2) -> Column:
-    """The first valid date in the first ``head`` characters: patterns in order, an impossible date or a year away from the hint by
-    more than ``tolerance`` passes to the next. Day and month without a year take the hint."""
+def _dated_forms(place: str) -> tuple[tuple[str, bool], ...]:
+    """(pattern with day, month and year as groups, whether the month is a word), from special to general."""
+    day_month = r"(\d{1,2})\.\s+(\w+)\s+(\d{4})"
+    weekdays = "|".join(w for w, _ in WRITTEN_WEEKDAYS)
+    # What stands before a date, and the years of a date in figures.
+    before = (rf"(?:{weekdays}),\s+den\s+", rf"{java_literal(place)},\s+den\s+", r"vom\s+", r"[–\-]\s+")
+    return tuple((rf"(?iU){b}{day_month}", True) for b in before) + ((r"(\d{1,2})\.\s*(\d{1,2})\.\s*(19[23]\d)", False),)
+
+
+def date_in_text(text: Column, year_hint: Column, head: int = 3000, tolerance: int = 2, place: str = "Osnabrück") -> Column:
+    """The date in the first ``head`` characters, as mastheads give it: forms are tried in order, each at its first occurrence; an
+    unknown month, an impossible date or a year away from the hint by more than ``tolerance`` passes to the next form."""
     start = F.left(text, F.lit(head))
-    month_words = "|".join(sorted(MONTHS, key=len, reverse=True))
     months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
-    named, days = rf"(?iU)(\d{{1,2}})\.\s*({month_words})\.?", "|".join((*WEEKDAYS, "Sonnabend"))
     found = []
-    for pattern, year_group in ((rf"(?iU)(?:{days}),?\s*(?:den\s+)?" + named[5:] + r"\s*(\d{4})", 3), (named + r"\s*(\d{4})", 3), (r"(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})", 3), (r"(\d{4})-(\d{2})-(\d{2})", 1), (named, None)):
+    for pattern, word in _dated_forms(place):
         part = lambda g, p=pattern: F.regexp_extract(start, p, g)
-        iso = year_group == 1
-        year = year_hint if year_group is None else part(year_group).try_cast("int")
-        month = part(2).try_cast("int") if iso or r"(\d{1,2})\.\s*(\d{1,2})" in pattern else F.element_at(months, F.lower(part(2)))
-        day = part(3 if iso else 1).try_cast("int")
+        month = F.try_element_at(months, F.lower(part(2))) if word else part(2).try_cast("int")
+        year = part(3).try_cast("int")
         near = year_hint.isNull() | (F.abs(year - year_hint) <= tolerance)
-        found.append(F.when(near, _made_date(year, month, day)))
+        found.append(F.when(near, _made_date(year, month, part(1).try_cast("int"))))
     return F.coalesce(*found)
 
 
 def weekday_name(day: Column, text: Column | None = None) -> Column:
-    """The date's weekday; without a date the first name of the list that the text has (Sonnabend is Samstag)."""
+    """The date's weekday; without a date the first name of WRITTEN_WEEKDAYS that the text has as a word."""
     named = F.when(day.isNotNull(), F.element_at(F.lit(list(WEEKDAYS)), F.weekday(day) + 1))
     if text is None:
         return named
-    fallback = F.coalesce(*[F.when(F.contains(F.lower(text), F.lit(w.lower())), F.lit(w)) for w in WEEKDAYS], F.when(F.contains(F.lower(text), F.lit("sonnabend")), F.lit("Samstag")))
-    return F.coalesce(named, fallback)
+    return F.coalesce(named, *[F.when(text.rlike(rf"(?iU)\b{written}\b"), F.lit(name)) for written, name in WRITTEN_WEEKDAYS])
 
 
 def long_date(day: Column) -> Column:
@@ -73,11 +80,12 @@ def tiered_join(docs: DataFrame, files: DataFrame, prefix: int = 15) -> DataFram
     """
     bare = F.regexp_replace("doc_id", r"-\d+$", "")
     left = docs.select("doc_id", "year")
+    least = F.min("path").alias("path")  # one file for a key before any join
     tiers = [
-        left.join(files.select("path", "year", F.col("stem").alias("doc_id")), ["doc_id", "year"]).withColumn("tier", F.lit(1)),
-        left.join(files.where("year is null").select("path", F.col("stem").alias("doc_id")), "doc_id").withColumn("tier", F.lit(2)),
-        left.withColumn("stem", bare).where("stem <> doc_id").join(files.select("path", "stem"), "stem").withColumn("tier", F.lit(3)),
-        left.withColumn("p", F.left("doc_id", F.lit(prefix))).join(files.select("path", F.left("stem", F.lit(prefix)).alias("p")), "p").withColumn("tier", F.lit(4)),
+        left.join(files.where("year is not null").groupBy("year", F.col("stem").alias("doc_id")).agg(least), ["doc_id", "year"]).withColumn("tier", F.lit(1)),
+        left.join(files.where("year is null").groupBy(F.col("stem").alias("doc_id")).agg(least), "doc_id").withColumn("tier", F.lit(2)),
+        left.withColumn("stem", bare).where("stem <> doc_id").join(files.groupBy("stem").agg(least), "stem").withColumn("tier", F.lit(3)),
+        left.withColumn("p", F.rtrim(F.left("doc_id", F.lit(prefix)))).join(files.groupBy(F.rtrim(F.left("stem", F.lit(prefix))).alias("p")).agg(least), "p").withColumn("tier", F.lit(4)),
     ]
     found = reduce(DataFrame.unionByName, [t.select("doc_id", "path", "tier") for t in tiers])
     best = found.groupBy("doc_id").agg(F.min(F.struct("tier", "path")).alias("x")).select("doc_id", "x.path", "x.tier")

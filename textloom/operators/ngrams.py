@@ -18,11 +18,12 @@ def ngram_array(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
-def ngram_counts(corpus_df: DataFrame, sizes: Sequence[int] = (2, 3)) -> DataFrame:
-    """scope, ngram, n, abs, per_million, for every slice and all documents."""
+def ngram_counts(corpus_df: DataFrame, sizes: Sequence[int] = (2, 3), scopes: str = "both", seeds: Sequence[str] | None = None) -> DataFrame:
+    """scope, ngram, n, abs, per_million, for every slice and all documents (see scoped); with ``seeds`` those that hold one."""
     kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), ngram_array(F.col("tokens"), n).alias("g")) for n in sizes])).alias("k")
-    rows = unnested(corpus_df.select("slice", kinds).select("slice", "k.n", "k.g"), "g", "ngram", "slice", "n")
-    counts = scoped(rows, ["ngram", "n"], {"abs": F.count(F.lit(1))})
+    grams = F.col("k.g") if seeds is None else F.filter("k.g", lambda g: F.arrays_overlap(F.split(g, " "), F.lit(list(seeds))))
+    rows = unnested(corpus_df.select("slice", kinds).select("slice", "k.n", grams.alias("g")), "g", "ngram", "slice", "n")
+    counts = scoped(rows, ["ngram", "n"], {"abs": F.count(F.lit(1))}, scopes=scopes)
     return counts.join(scoped_totals(corpus_df), "scope").select("scope", "ngram", "n", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
 
 

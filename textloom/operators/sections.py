@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import edge_stripped, unnested, unnested_at
+from textloom.functions.text import unnested, unnested_at
 
 
 def text_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -34,18 +34,22 @@ def bullet_names(entry: Column) -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-#: Names that no business carries; the rules apply in this order.
-REJECTED = (r"^\P{L}*$", r"\d{3,}", r"(?U)^\w$", r"[=<>{}|]", r"(?i)^(str|straße|platz|weg|nr|tel)\.?$", r"^[a-zäöüß]", r"(.)\1{3,}")
+# Marks at the edges of names, function words that are no names, and endings of street names.
+NAME_EDGES = " .,-;:●•"
+FUNCTION_WORDS = ("der", "die", "das", "ein", "eine", "und", "oder", "für", "bei", "mit", "vom", "von", "zu", "an", "in", "auf", "als", "nach", "seit", "unter", "über", "vor", "durch")
+STREET_ENDINGS = ("straße", "str\\.", "gasse", "weg", "platz", "allee")
+#: What no name looks like: figures and marks only, exclamations and questions, a small first letter, streets, short abbreviations.
+REJECTED = (r"^[\d\s.\-,/:()\[\]!?&|]+$", "[!?]", r"^\P{Lu}", rf"(?iU)({'|'.join(STREET_ENDINGS)})\s*\d*$", r"^[A-Za-z]{1,3}\.$")
 
 
 def clean_name(name: Column, least: int = 3, most: int = 55, blacklist: Sequence[str] = (), rejected: Sequence[str] = REJECTED) -> Column:
-    """The name without punctuation at its edges and with single spaces, or null where a rule rejects it."""
-    tidy = edge_stripped(F.regexp_replace(F.trim(name), r"(?U)\s+", " "), " .,;:!?\"'()[]•●*-–")
-    bad = ~F.char_length(tidy).between(least, most)
+    """The name without a bracketed address at its end, with single spaces and without marks at its edges, or null where its length,
+    a pattern, a function word or the caller's blacklist rejects it."""
+    bare = F.regexp_replace(name, r"(?U)\s*\([^)]*\)\s*$", "")
+    tidy = F.btrim(F.regexp_replace(bare, r"(?U)\s+", " "), F.lit(NAME_EDGES))
+    bad = ~F.char_length(tidy).between(least, most) | F.lower(tidy).isin([*FUNCTION_WORDS, *(b.lower() for b in blacklist)])
     for pattern in rejected:
         bad = bad | tidy.rlike(pattern)
-    if blacklist:
-        bad = bad | F.lower(tidy).isin([b.lower() for b in blacklist])
     return F.when(~bad, tidy)
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.joins import small
 from textloom.functions.text import sentences, unnested_at, word_tokens
 from textloom.operators.frequency import top_k
 
@@ -42,9 +43,10 @@ def polarity(rows: DataFrame, lexicon: DataFrame, anchor: str | None = None, cut
     """
     kept = rows if anchor is None else rows.where(F.col("sentence").rlike(anchor))
     kept = kept.withColumn("sentence", F.left("sentence", F.lit(cut)))
-    words = kept.select("doc_id", "slice", "pos", "sentence", F.explode_outer(word_tokens("sentence")).alias("word"))
-    scored = words.join(F.broadcast(lexicon.select("word", "weight")), "word", "left")
-    return scored.groupBy("doc_id", "slice", "pos", "sentence").agg(F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 6).alias("polarity"))
+    words = kept.select("doc_id", "slice", "pos", "sentence", F.xxhash64("sentence").alias("_h"), F.explode_outer(word_tokens("sentence")).alias("word"))
+    scored = words.join(small(lexicon.select("word", "weight")), "word", "left")
+    made = scored.groupBy("doc_id", "slice", "pos", "_h").agg(F.first("sentence").alias("sentence"), F.round(F.coalesce(F.avg("weight"), F.lit(0.0)), 6).alias("polarity"))
+    return made.drop("_h")
 
 
 def polarity_statistics(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import unnested
@@ -15,10 +15,11 @@ from textloom.operators.frequency import top_k
 from textloom.operators.ngrams import ngram_array
 
 
-def weights(rows: DataFrame, key: str, terms: str, min_df: int = 3, max_df: float = 0.9, max_features: int | None = 5000, sublinear: bool = False, decimals: int = 6) -> DataFrame:
-    """(key, term, weight) of rows (key, terms array<string>). max_df is a share of the rows; documents without any term of the
+def weights(rows: DataFrame, key: str | Sequence[str], terms: str, min_df: int = 3, max_df: float = 0.9, max_features: int | None = 5000, sublinear: bool = False, decimals: int = 6) -> DataFrame:
+    """(key, term, weight) of rows (key, terms array<string>); a key may have several columns. max_df is a share of the rows; documents without any term of the
     vocabulary have no rows."""
-    counts = unnested(rows, terms, "term", key).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    keys = [key] if isinstance(key, str) else list(key)
+    counts = unnested(rows, terms, "term", *keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     size = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).crossJoin(size)
     vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
@@ -28,8 +29,9 @@ def weights(rows: DataFrame, key: str, terms: str, min_df: int = 3, max_df: floa
     small = F.broadcast if max_features is not None and max_features <= 20_000 else lambda x: x  # its size is then bounded
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     raw = counts.join(small(vocabulary.select("term", idf)), "term").withColumn("w", tf * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", F.round(F.col("w") / F.col("norm"), decimals).alias("weight"))
+    # a document's terms come together once: a window over the exchange that the sums need
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.select(*keys, "term", F.round(F.col("w") / norm, decimals).alias("weight"))
 
 
 def phrases(windows: DataFrame, tokens: str, stopwords: Sequence[str], sizes: Sequence[int] = (2, 3)) -> DataFrame:
@@ -42,9 +44,9 @@ def phrases(windows: DataFrame, tokens: str, stopwords: Sequence[str], sizes: Se
 def phrase_scores(windows: DataFrame, k: int = 20, min_df: int = 3, max_df: float = 0.85) -> DataFrame:
     """slice, rank, term, score: the phrases with the highest mean weight over a slice's windows (those without it count as 0).
     windows: (slice, terms)."""
-    keyed = windows.where("slice is not null").withColumn("_row", F.xxhash64("slice", "doc_id", "pos"))
-    found = weights(keyed, "_row", "terms", min_df, max_df, None, sublinear=True, decimals=12)
+    keyed = windows.where("slice is not null")
+    found = weights(keyed, ("slice", "doc_id", "pos"), "terms", min_df, max_df, None, sublinear=True, decimals=12)
     sizes = keyed.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    sums = found.join(keyed.select("_row", "slice"), "_row").groupBy("slice", "term").agg(F.sum("weight").alias("w"))
+    sums = found.groupBy("slice", "term").agg(F.sum("weight").alias("w"))
     scored = sums.join(F.broadcast(sizes), "slice").select("slice", "term", F.round(F.col("w") / F.col("n"), 5).alias("score"))
     return top_k(scored, k, ["slice"], [F.desc("score"), "term"]).select("slice", "rank", "term", "score")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.joins import small
 from textloom.functions.stats import jaccard
 from textloom.operators.frequency import top_k
 
@@ -140,7 +141,7 @@ def slice_shares(shares: DataFrame, k: int, decimals: int = 4) -> DataFrame:
 def compare_topics(left: DataFrame, right: DataFrame) -> DataFrame:
     """For each topic of left (topic, terms array) the topic of right with the greatest Jaccard overlap, the first of ties: topic,
     best_topic, jaccard, overlap. Both sides are topics, a handful of rows."""
-    pairs = left.select(F.col("topic"), F.col("terms").alias("a")).crossJoin(F.broadcast(right.select(F.col("topic").alias("best_topic"), F.col("terms").alias("b"))))
+    pairs = left.select(F.col("topic"), F.col("terms").alias("a")).crossJoin(small(right.select(F.col("topic").alias("best_topic"), F.col("terms").alias("b")), 10_000))
     scored = pairs.withColumn("jaccard", jaccard(F.col("a"), F.col("b")))
     best = top_k(scored, 1, ["topic"], [F.desc("jaccard"), "best_topic"])
     return best.select("topic", "best_topic", "jaccard", F.array_join(F.array_sort(F.array_intersect("a", "b")), ", ").alias("overlap"))

@@ -16,9 +16,10 @@ from textloom.operators import collocations as co
 from textloom.operators import correction, density, frequency, keyness, kwic, metadata, ngrams, sections, tfidf, topics, windows
 from textloom.operators import sentences as sent
 from textloom.operators.corpus import corpus, distinct_texts, encoded_tokens, overview, spread, with_slice, year_from_name
-from textloom.operators.report import yearly
+from textloom.operators.report import numbered, strongest_seeds, yearly
 from textloom.plans import explore
-from textloom.sources.writers import with_total_row
+from textloom.sources import readers
+from textloom.sources.writers import shared_folder, with_total_row, write_csv, write_parquet, write_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -161,12 +162,12 @@ def method_comparison(spark, d):
 def stopword_anti(spark, d):
     rows = unnested(tokens(spark, d), "tokens", "token")
     stop = spark.createDataFrame([(t,) for t in STOPWORDS], "token string")
-    return rows.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("abs")).where("abs >= 50")
+    return rows.join(F.broadcast(stop), "token", "left_anti").groupBy("token").agg(F.count(F.lit(1)).alias("abs"))
 
 
 @query
 def default_category(spark, d):
-    counts = frequency.frequencies(tokens(spark, d)).where("abs >= 100").select(F.col("token").alias("term"), "abs")
+    counts = frequency.frequencies(tokens(spark, d)).select(F.col("token").alias("term"), "abs")
     return counts.join(F.broadcast(seed_table(spark)), "term", "left").select("term", "abs", F.coalesce("category", F.lit("other")).alias("category"))
 
 
@@ -189,10 +190,10 @@ def doc_dedupe(spark, d):
 
 @query
 def vocabulary_sets(spark, d):
-    sets = tokens(spark, d).groupBy("slice").agg(F.array_sort(F.collect_set(F.element_at("tokens", 1))).alias("v"))
-    wide = sets.groupBy().pivot("slice", list(SLICES)).agg(F.first("v"))
-    a, b = F.col("`1929`"), F.col("`1930`")
-    return wide.select(F.size(F.array_union(a, b)).alias("n_union"), F.size(F.array_intersect(a, b)).alias("n_both"), F.size(F.array_except(a, b)).alias("n_only_a"), stats.jaccard(a, b).alias("jaccard"))
+    rows = unnested(tokens(spark, d), "tokens", "token", "slice")
+    held = rows.groupBy("token").agg(F.bool_or(F.col("slice") == 1929).alias("a"), F.bool_or(F.col("slice") == 1930).alias("b")).where("a or b")
+    n = held.agg(F.count(F.lit(1)).alias("n_union"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") & ~F.col("b")).alias("n_only_a"))
+    return n.withColumn("jaccard", F.round(F.col("n_both") / F.col("n_union"), 4))
 
 
 # Keyness
@@ -218,22 +219,22 @@ def keyness_strongest(spark, d):
 
 @query
 def ngram_top(spark, d):
-    return ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d)).where("scope = 'gesamt'"))
+    return ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d), scopes="total"))
 
 
 @query
 def ngram_by_slice(spark, d):
-    return ngrams.with_seeds(ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d)).where("scope <> 'gesamt'")), SEEDS)
+    return ngrams.with_seeds(ngrams.top_ngrams(ngrams.ngram_counts(tokens(spark, d), scopes="slices")), SEEDS)
 
 
 @query
 def ngram_seeded(spark, d):
-    return ngrams.with_seeds(ngrams.ngram_counts(tokens(spark, d)), SEEDS).where("has_seed and abs >= 20 and scope <> 'gesamt'").drop("has_seed")
+    return ngrams.with_seeds(ngrams.ngram_counts(tokens(spark, d), seeds=list(SEEDS)), SEEDS).drop("has_seed")
 
 
 @query
 def ngram_category_pivot(spark, d):
-    rows = ngram_seeded(spark, d).where("category not like '%,%'")
+    rows = ngram_seeded(spark, d)
     return frequency.pivoted(rows, ["category"], "scope", [str(s) for s in SLICES], "abs")
 
 
@@ -307,7 +308,7 @@ def kwic_meta_join(spark, d):
 
 @query
 def pattern_citations(spark, d):
-    return kwic.citations(documents(spark, d), [("thing", r"\bthing\w*"), ("ver", r"\bver\w*")])
+    return kwic.citations(documents(spark, d), [("thing", "thing[a-z]*"), ("ver", " ver[a-z]*")])
 
 
 ANCHOR = r"(?iU)the|der|les"
@@ -407,7 +408,7 @@ def known_share(spark, d):
 
 @query
 def tfidf_weights(spark, d):
-    return tfidf.weights(tokens(spark, d, min_length=2), "doc_id", "tokens", max_features=500, decimals=5)
+    return tfidf.weights(tokens(spark, d, min_length=2), "doc_id", "tokens", decimals=5)
 
 
 @query
@@ -451,14 +452,38 @@ def inferred_topics(spark, d):
 
 @query
 def nmf_topics(spark, d):
+    return topics.topic_terms(fitted_nmf(spark, d), spark, 15, list(SEEDS))
+
+
+def fitted_nmf(spark, d):
     rows = tokens(spark, d, stopwords=STOPWORDS, min_length=4)
-    found = topics.nmf(tfidf.weights(rows, "doc_id", "tokens", max_features=500), k=7, rounds=8)
-    return topics.topic_terms(found, spark, 15, list(SEEDS))
+    return topics.nmf(tfidf.weights(rows, "doc_id", "tokens"), k=7, rounds=500)
+
+
+def nmf_document_shares(spark, d):
+    """Each document's slice and topic shares, as the fitted model has them."""
+    return fitted_nmf(spark, d).shares.withColumn("slice", (F.lit(1929) + F.col("doc_id") % 3).cast("int"))
+
+
+@query
+def nmf_dominant(spark, d):
+    return topics.with_dominant(nmf_document_shares(spark, d), 7)
+
+
+@query
+def nmf_slice_shares(spark, d):
+    return topics.slice_shares(nmf_document_shares(spark, d), 7)
 
 
 @query
 def lda_topics(spark, d):
-    return topics.lda(tokens(spark, d, stopwords=STOPWORDS, min_length=4), k=5, rounds=5, vocabulary=500)[0]
+    return topics.lda(tokens(spark, d, stopwords=STOPWORDS, min_length=4), k=5)[0]
+
+
+@query
+def lda_inferred(spark, d):
+    """Topics of 0.1 or more that the fitted LDA infers for each document."""
+    return topics.inferred_topics(topics.lda(tokens(spark, d, stopwords=STOPWORDS, min_length=4), k=5)[1], 5)
 
 
 # Sections, names, headings
@@ -482,13 +507,24 @@ def bullet_names(spark, d):
 @query
 def name_score(spark, d):
     rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("pos"), F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("kind"), "o_custkey")
-    return sections.name_scores(rows.where("o_custkey % 3 = 0"), rows.where("o_custkey % 3 = 1").select("doc_id", "pos", "name", "kind"))
+    return sections.name_scores(rows.where("o_custkey % 3 = 0"), rows.where("o_custkey % 3 <> 0").select("doc_id", "pos", "name", "kind"))
 
 
 @query
 def name_clean(spark, d):
-    rows = read(spark, d, "customer").select("c_custkey", sections.clean_name(F.concat(F.lit("• "), F.col("c_mktsegment"), F.lit(" ."))).alias("name"))
-    return rows
+    name, k = F.col("c_name"), F.col("c_custkey") % 12
+    made = (F.concat(F.lit("● "), name, F.lit("  (Weg 3)")), F.concat(name, F.lit(" !")), F.lit("Durch"), F.concat(F.lit("Lange Straße "), F.col("c_custkey")), F.lit("Fa."), F.lower(name), F.concat(F.col("c_custkey"), F.lit(" - 2")), F.repeat(name, F.lit(4)), F.concat(name, F.lit("  und  Sohn;")), F.lit("- ab -"), F.concat(F.lit("Hof (alt) "), name), name)
+    entry = F.element_at(F.array(*made), (k + 1).cast("int"))
+    return read(spark, d, "customer").select("c_custkey", sections.clean_name(entry, blacklist=["customer#000000011"]).alias("name"))
+
+
+@query
+def section_entries(spark, d):
+    """Bullet entries of a section, cut into names and cleaned, from lines that are made of the customers."""
+    number = F.col("c_custkey")
+    line = F.when(number % 50 == 0, F.lit("ANZEIGEN")).when(number % 50 == 40, F.lit("ENDE")).otherwise(F.concat(F.lit("● "), F.when(number % 2 == 0, F.concat("c_mktsegment", F.lit(": "), "c_name", F.lit(", Weg 9; Haus "), "c_mktsegment")).otherwise(F.concat("c_name", F.lit(", Berg 4: Text, mehr")))))
+    lines = read(spark, d, "customer").select((number % 7).alias("doc_id"), number.alias("pos"), line.alias("line"))
+    return sections.section_names(sections.section_lines(lines, "^ANZEIGEN", "^ENDE"))
 
 
 @query
@@ -512,20 +548,20 @@ def regex_fix_log(spark, d):
     return correction.rule_log(correction.corrected(documents(spark, d), RULES), RULES)
 
 
-def ascii_pairs(spark, d):
-    plain = F.regexp_replace(F.left("text", F.lit(300)), r"[^\x00-\x7f]", "")
-    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("name"), plain.alias("reference"))
+def text_pairs(spark, d):
+    """Whole texts beside themselves with a letter lost in places."""
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("reference"))
     return rows.withColumn("text", F.regexp_replace("reference", "th", "t"))
 
 
 @query
 def cer_pairs(spark, d):
-    return ascii_pairs(spark, d).select("name", edit_rate(F.col("reference"), F.col("text")).alias("cer"))
+    return text_pairs(spark, d).select("name", edit_rate(F.col("reference"), F.col("text")).alias("cer"))
 
 
 @query
 def wer_pairs(spark, d):
-    return correction.error_rates(ascii_pairs(spark, d), RULES, 300)
+    return correction.error_rates(text_pairs(spark, d), RULES)
 
 
 @query
@@ -539,8 +575,24 @@ def changed_sentences(spark, d):
 
 @query
 def year_from_names(spark, d):
-    rows = documents(spark, d).select("doc_id", F.concat(F.col("doc_id") % 40, F.lit(". Ausgabe "), F.lit(1925) + F.col("doc_id") % 20, F.lit("_x")).alias("name"))
-    return rows.select("doc_id", year_from_name("name").alias("year"), metadata.issue_number(F.col("name")).alias("issue"))
+    return issue_names(spark, d).select("doc_id", year_from_name("name").alias("year"), metadata.issue_number(F.col("name")).alias("issue"))
+
+
+def issue_names(spark, d):
+    """Documents with names in the forms that issues have."""
+    n, year = F.col("doc_id") % 40, F.lit(1925) + F.col("doc_id") % 20
+    forms = (F.concat(n, F.lit(". Ausgabe "), year, F.lit("_x")), F.concat(F.lit("OCR "), n, F.lit(". "), year), F.concat(F.lit("ocr "), n), F.concat(n, F.lit("A "), year, F.lit("-2")), F.concat(F.lit("Ausgabe "), n, F.lit(" "), year), F.concat(n, F.lit("ab "), year), F.concat(F.lit("OCR "), n, F.lit(" "), year, F.lit(" x")))
+    return read(spark, d, "documents").select("doc_id", "text", F.element_at(F.array(*forms), (F.col("doc_id") % 7 + 1).cast("int")).alias("name"))
+
+
+@query
+def issue_table(spark, d):
+    """The metadata of issues, from names, mastheads, token counts, pages and a table of error rates."""
+    docs = issue_names(spark, d).withColumn("text", F.concat(F.element_at(F.array(F.lit("Sonntag, den 7. Juli 1929"), F.lit("Bote – 28. April 1930"), F.lit("am sonnabend"), F.lit("16.02.1930"), F.lit("vom 31. Februar 1930")), (F.col("doc_id") % 5 + 1).cast("int")), F.lit("\n")))
+    made = corpus(with_slice(docs, year_from_name("name")))
+    pages = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"))
+    quality = spark.createDataFrame([(y, i, y % 7 + i / 4, float(i)) for y in range(1925, 1940) for i in range(40)], "year int, issue int, cer double, wer double")
+    return metadata.issue_table(docs, made, pages, quality)
 
 
 @query
@@ -552,16 +604,18 @@ def slice_policies(spark, d):
 
 
 def dated(spark, d):
-    day = F.col("o_orderdate").cast("date")
+    """Mastheads with dates of the 1930s in every form, one without a date and one of another year."""
+    day, k = F.add_months(F.col("o_orderdate").cast("date"), -66 * 12), F.col("o_orderkey") % 8
     rows = read(spark, d, "orders").select("o_orderkey", day.alias("day"))
-    named = F.when(F.col("o_orderkey") % 2 == 0, metadata.long_date(F.col("day"))).otherwise(F.date_format("day", "dd.MM.yyyy"))
-    return rows.withColumn("text", F.concat(F.lit("Bote, Ausgabe vom "), named, F.lit(" in der Stadt")))
+    long, figures = metadata.long_date(F.col("day")), F.date_format("day", "d. M. yyyy")
+    forms = (F.concat(F.lit("Sonnabend, den "), long), F.concat(F.lit("OSNABRÜCK,  den "), long), F.concat(F.lit("Ausgabe Vom "), long), F.concat(F.lit("Bote – "), long), figures, F.concat(F.lit("vom 3. Unmonat 1930; "), F.date_format("day", "dd.MM.yyyy")), F.lit("am sonnabend oder Sonntag, ohne Datum"), F.concat(F.lit("vom 3. Mai 1899, am 4.5.1920, "), F.lit("Montags")))
+    return rows.withColumn("text", F.concat(F.lit("Bote. "), F.element_at(F.array(*forms), (k + 1).cast("int")), F.lit(" in der Stadt")))
 
 
 @query
 def date_extract(spark, d):
     found = metadata.date_in_text(F.col("text"), F.year("day"))
-    return dated(spark, d).select("o_orderkey", F.date_format(found, "yyyy-MM-dd").alias("date_iso"))
+    return dated(spark, d).select("o_orderkey", F.date_format(found, "yyyy-MM-dd").alias("date_iso"), metadata.weekday_name(found, F.col("text")).alias("weekday"))
 
 
 @query
@@ -601,6 +655,91 @@ def first_last_turn(spark, d):
     return rows.groupBy("conv_id").agg(F.min_by("role", F.struct("turn", "role")).alias("first_role"), F.max_by("role", F.struct("turn", "role")).alias("last_role"), F.count(F.lit(1)).alias("n"))
 
 
+@query
+def report_seeds(spark, d):
+    return strongest_seeds(seed_grid(spark, d), 3)
+
+
+@query
+def report_quotations(spark, d):
+    return numbered(kwic_hits(spark, d), "slice", ["doc_id", "pos_in_doc", "target"], F.concat_ws(": ", F.col("doc_id").cast("string"), "concordance"), cut=150)
+
+
+# Sources and sinks, through files in a folder that all machines see
+
+
+@query
+def csv_nations(spark, d):
+    """Written as CSV, read back by schema."""
+    path = shared_folder(spark, "csv")
+    write_csv(read(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return readers.csv(spark, path, "n_nationkey long, n_name string")
+
+
+@query
+def parquet_slices(spark, d):
+    """Written by slice, two columns read back."""
+    path = shared_folder(spark, "parquet")
+    write_parquet(documents(spark, d).select("doc_id", "slice", "lang", "source"), path, by=["slice"])
+    return readers.parquet(spark, path, ["doc_id", "slice", "lang"])
+
+
+@query
+def text_tree(spark, d):
+    """A text for each nation in a folder of its region, read back with folder, name and the year in it."""
+    path = shared_folder(spark, "texts")
+    n = read(spark, d, "nation")
+    write_texts(n.select((F.lit(1925) + F.col("n_regionkey")).alias("folder"), F.col("n_name").alias("name"), F.concat_ws("\n", F.concat(F.lit("Über "), "n_name"), F.lit("# note"), F.lit("end")).alias("text")), path)
+    files = readers.text_files(spark, path, recursive=True, comments="#", glob="*.txt")
+    named = F.regexp_extract("path", "/name=([^/]+)/", 1)
+    return files.select(F.replace(named, F.lit("%20"), F.lit(" ")).alias("name"), F.regexp_extract("path", "/folder=([^/]+)/", 1).alias("folder"), F.replace(F.regexp_replace("text", r"\n+$", ""), F.lit("\n"), F.lit("|")).alias("text"))
+
+
+@query
+def lexicon_file(spark, d):
+    """A weighted lexicon of lemma|tag, weight and forms, read back by form."""
+    path = shared_folder(spark, "lexicon")
+    rows = read(spark, d, "part").select(F.concat_ws("\t", F.concat("p_brand", F.lit("|NN")), F.format_string("%.2f", -(F.col("p_partkey") % 7) / 4), F.concat_ws(",", F.concat("p_brand", F.lit("s")), F.concat(F.lit("X"), F.col("p_partkey") % 5))))
+    rows.toDF("value").write.text(path)
+    return readers.weighted_lexicon(spark, path)
+
+
+@query
+def word_file(spark, d):
+    """A word list with comments and blank lines, read back as distinct lower-cased words."""
+    path = shared_folder(spark, "words")
+    n = read(spark, d, "nation").select(F.explode(F.array(F.concat(F.lit(" "), "n_name"), F.lower("n_name"), F.lit("# note"), F.lit(""))).alias("value"))
+    n.write.text(path)
+    return readers.word_list(spark, path)
+
+
+@query
+def topic_files(spark, d):
+    """Keys and document shares of a topic model's files, joined with the dominant topic."""
+    keys, shares = shared_folder(spark, "keys"), shared_folder(spark, "shares")
+    r = read(spark, d, "region")
+    r.select(F.concat_ws("\t", F.col("r_regionkey").cast("string"), F.concat(F.lit("0,"), F.col("r_regionkey") + 1), F.concat(F.lit("alpha  "), F.lower("r_name")))).toDF("value").write.text(keys)
+    n = read(spark, d, "nation")
+    share = lambda t: F.when(F.col("n_regionkey") == t, F.lit("0.6")).otherwise(F.lit("0.1"))
+    n.select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), F.concat(F.lit("file:/in/doc"), F.col("n_nationkey"), F.lit(".txt")), *[share(t) for t in range(4)]).alias("value")).write.text(shares)
+    found = topics.with_dominant(readers.document_topics(spark, shares, 5), 5).select("doc_id", "topic_0", "topic_4", F.col("dominant_topic").alias("topic"))
+    return found.join(readers.topic_keys(spark, keys), "topic").select("doc_id", "topic", "topic_0", "topic_4", F.round("weight", 2).alias("weight"), F.array_join("terms", " ").alias("terms"))
+
+
+@query
+def joined_pages(spark, d):
+    """The turns of conversations as pages of a document."""
+    turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
+    return readers.joined_pages(turns).select("doc_id", "n_pages", F.md5("text").alias("text_md5"))
+
+
+@query
+def paired_names(spark, d):
+    """Rows that two tables share by name."""
+    n = read(spark, d, "nation")
+    return readers.paired(n.select(F.lower("n_name").alias("name"), "n_regionkey"), read(spark, d, "region").select(F.lower("r_name").alias("name"), "r_regionkey").unionByName(n.where("n_nationkey < 9").select(F.lower("n_name").alias("name"), F.lit(None).cast("long").alias("r_regionkey"))))
+
+
 @query
 def text_search(spark, d):
     rows = documents(spark, d).where(contains_any(["source", "lang"], "SRC1"))
@@ -650,7 +789,7 @@ def explore_keyword_seeds(spark, d):
 
 @query
 def explore_ngrams(spark, d):
-    return explore.ngram_table(ngrams.ngram_counts(tokens(spark, d)), 2, "1930", 12)
+    return explore.ngram_table(ngrams.ngram_counts(tokens(spark, d), (2,), "slices"), 2, "1930", 12)
 
 
 @query

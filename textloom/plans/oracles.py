@@ -95,11 +95,11 @@ SELECT slice, stem, n_pattern, n_terms, {change("n_terms", "n_pattern")} AS chan
 
 _matrix = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS \"{t}\", {ppm(f'''len(list_filter(w, lambda x: x = '{t}'))''', 'len(w)')} AS \"{t}_ppm\"" for t in ("und", "and", "der", "die", "the", "les", "que"))
 SQL["doc_seed_matrix"] = f"WITH d AS (SELECT doc_id, {SLICE} AS slice, regexp_extract_all(lower(text), '[a-zäöüß]+') AS w FROM documents) SELECT doc_id, slice, len(w) AS n_words, {_matrix} FROM d"
-SQL["stopword_anti"] = f"WITH {TOKENS} SELECT token, count(*) AS abs FROM tok WHERE token NOT IN {STOP} GROUP BY 1 HAVING count(*) >= 50"
-SQL["default_category"] = f"WITH {TOKENS}, {SEEDS}, c AS (SELECT token AS term, count(*) AS abs FROM tok GROUP BY 1 HAVING count(*) >= 100) SELECT term, abs, coalesce(category, 'other') AS category FROM c LEFT JOIN seeds USING (term)"
+SQL["stopword_anti"] = f"WITH {TOKENS} SELECT token, count(*) AS abs FROM tok WHERE token NOT IN {STOP} GROUP BY 1"
+SQL["default_category"] = f"WITH {TOKENS}, {SEEDS}, c AS (SELECT token AS term, count(*) AS abs FROM tok GROUP BY 1) SELECT term, abs, coalesce(category, 'other') AS category FROM c LEFT JOIN seeds USING (term)"
 SQL["union_parts"] = f"WITH {BY_SLICE} SELECT 's' || slice AS part, token, abs, per_million FROM freq QUALIFY row_number() OVER (PARTITION BY slice ORDER BY abs DESC, token) <= 5"
 SQL["doc_dedupe"] = "SELECT min(doc_id) AS doc_id, arg_min(lang, doc_id) AS lang, md5(text) AS text_md5 FROM documents GROUP BY text"
-SQL["vocabulary_sets"] = f"""WITH {TOKENS}, v AS (SELECT DISTINCT slice, token FROM tok WHERE pos = 0), a AS (SELECT token FROM v WHERE slice = 1929), b AS (SELECT token FROM v WHERE slice = 1930),
+SQL["vocabulary_sets"] = f"""WITH {TOKENS}, v AS (SELECT DISTINCT slice, token FROM tok), a AS (SELECT token FROM v WHERE slice = 1929), b AS (SELECT token FROM v WHERE slice = 1930),
 n AS (SELECT (SELECT count(*) FROM (SELECT token FROM a UNION SELECT token FROM b)) AS n_union, (SELECT count(*) FROM a JOIN b USING (token)) AS n_both, (SELECT count(*) FROM a) AS n_a)
 SELECT n_union, n_both, n_a - n_both AS n_only_a, round(n_both / n_union, 4) AS jaccard FROM n"""
 
@@ -140,10 +140,18 @@ SQL["ngram_by_slice"] = f"""WITH {NGRAMS.replace("ng AS (", "ng0 AS (")}, ng AS
 {SEEDED.replace("{source}", "ng")[len(NGRAMS):]}
 SELECT ng.scope, ng.ngram, n, abs, per_million, rank, seed_terms IS NOT NULL AS has_seed, coalesce(seed_terms, '') AS seed_terms, coalesce(category, '') AS category
 FROM ng LEFT JOIN terms_ USING (scope, ngram) LEFT JOIN cats USING (scope, ngram)"""
-SEEDED_ALL = SEEDED.replace("{source}", "(SELECT * FROM ng WHERE abs >= 20 AND scope <> 'gesamt')")
-SQL["ngram_seeded"] = f"WITH {SEEDED_ALL} SELECT ng.scope, ng.ngram, n, abs, per_million, seed_terms, category FROM ng JOIN terms_ USING (scope, ngram) JOIN cats USING (scope, ngram)"
+SEEDED_ALL = f"""{TOKENS}, {SEEDS}, sizes AS (SELECT slice::VARCHAR AS scope, count(*) AS t FROM tok GROUP BY 1 UNION ALL SELECT 'gesamt', count(*) FROM tok),
+led AS (SELECT slice, token AS a, lead(token) OVER w AS b, lead(token, 2) OVER w AS c FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+hit AS (SELECT slice, a, b, c, x.category AS ca, y.category AS cb, z.category AS cc FROM led LEFT JOIN seeds x ON x.term = a LEFT JOIN seeds y ON y.term = b LEFT JOIN seeds z ON z.term = c WHERE b IS NOT NULL),
+g AS (SELECT slice, 2 AS n, a || ' ' || b AS ngram, [CASE WHEN ca IS NOT NULL THEN a END, CASE WHEN cb IS NOT NULL THEN b END] AS t, [ca, cb] AS k FROM hit WHERE ca IS NOT NULL OR cb IS NOT NULL
+UNION ALL SELECT slice, 3, a || ' ' || b || ' ' || c, [CASE WHEN ca IS NOT NULL THEN a END, CASE WHEN cb IS NOT NULL THEN b END, CASE WHEN cc IS NOT NULL THEN c END], [ca, cb, cc] FROM hit WHERE c IS NOT NULL AND (ca IS NOT NULL OR cb IS NOT NULL OR cc IS NOT NULL)),
+n AS (SELECT slice, n, ngram, any_value(t) AS t, any_value(k) AS k, count(*) AS abs FROM g GROUP BY 1, 2, 3),
+sc AS (SELECT slice::VARCHAR AS scope, n, ngram, t, k, abs FROM n UNION ALL SELECT 'gesamt', n, ngram, any_value(t), any_value(k), sum(abs)::BIGINT FROM n GROUP BY 2, 3),
+first_ AS (SELECT *, list_filter(t, lambda x, i: x IS NOT NULL AND list_position(t, x) = i) AS tt, list_filter(k, lambda x, i: x IS NOT NULL AND list_position(k, x) = i) AS kk FROM sc),
+seeded AS (SELECT scope, ngram, n, abs, {ppm("abs", "sizes.t")} AS per_million, array_to_string(tt, ', ') AS seed_terms, array_to_string(kk, ', ') AS category FROM first_ JOIN sizes USING (scope))"""
+SQL["ngram_seeded"] = f"WITH {SEEDED_ALL} SELECT * FROM seeded"
 SQL["ngram_category_pivot"] = f"""WITH {SEEDED_ALL} SELECT category, coalesce(sum(abs) FILTER (scope = '1929'), 0)::BIGINT AS y1929, coalesce(sum(abs) FILTER (scope = '1930'), 0)::BIGINT AS y1930,
-coalesce(sum(abs) FILTER (scope = '1931'), 0)::BIGINT AS y1931 FROM ng JOIN terms_ USING (scope, ngram) JOIN cats USING (scope, ngram) WHERE category NOT LIKE '%,%' GROUP BY 1"""
+coalesce(sum(abs) FILTER (scope = '1931'), 0)::BIGINT AS y1931 FROM seeded GROUP BY 1"""
 SQL["bigram_pmi"] = f"""WITH {TOKENS}, led AS (SELECT token AS a, lead(token) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM tok),
 bi AS (SELECT a, b, count(*) AS n FROM led WHERE b IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 5), u AS (SELECT token, count(*) AS n FROM tok GROUP BY 1), t AS (SELECT count(*) AS t FROM tok),
 s AS (SELECT a AS word1, b AS word2, round(log2((bi.n / t) / ((x.n / t) * (y.n / t))), 4) AS pmi, bi.n AS abs FROM bi JOIN u x ON x.token = a JOIN u y ON y.token = b, t)
@@ -226,7 +234,7 @@ SQL["known_share"] = f"""WITH {TOKENS}, v AS (SELECT DISTINCT unnest({WORDS}) AS
 SELECT doc_id, len(l) AS n_words, CASE WHEN len(l) > 0 THEN round(coalesce(n, 0) / len(l) * 1.0, 4) ELSE 0.0 END AS score FROM lists LEFT JOIN h USING (doc_id)"""
 
 SQL["tfidf_weights"] = f"""WITH {TOKENS}, c AS (SELECT doc_id, token AS term, count(*) AS tf FROM tok WHERE length(token) >= 2 GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
-v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c, n GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.9 * any_value(n) ORDER BY total DESC, term LIMIT 500),
+v AS (SELECT term, count(*) AS df, sum(tf) AS total FROM c, n GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.9 * any_value(n) ORDER BY total DESC, term LIMIT 5000),
 w AS (SELECT doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), n), z AS (SELECT doc_id, sqrt(sum(w * w)) AS z FROM w GROUP BY 1)
 SELECT doc_id, term, round(w / z, 5) AS weight FROM w JOIN z USING (doc_id)"""
 SQL["tfidf_phrase"] = f"""WITH {anchored(20)}, k AS (SELECT slice, doc_id, pos, list_filter(regexp_extract_all(lower(context), '[\\p{{L}}\\p{{N}}_]+'), lambda t: t NOT IN {STOP}) AS l FROM win),
@@ -255,10 +263,13 @@ e AS (SELECT doc_id, pos, CASE WHEN regexp_matches(line, '^(The|Th|Der|La)') THE
 s AS (SELECT doc_id, pos, e, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e)
 SELECT doc_id, count(*) AS n, min(pos) AS first, max(pos) AS last FROM s WHERE s = 1 AND e IS NULL GROUP BY 1"""
 SQL["bullet_names"] = "SELECT p_partkey, trim(p_name) AS a, trim(p_name) || '|' || trim(p_brand) AS b FROM part"
-SQL["name_score"] = """WITH r AS (SELECT o_orderpriority AS name, 1 AS b, 0 AS r, NULL AS kind, o_orderkey AS k FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT o_orderpriority, 0, 1, o_orderstatus, o_orderkey FROM orders WHERE o_custkey % 3 = 1),
+SQL["name_score"] = """WITH r AS (SELECT o_orderpriority AS name, 1 AS b, 0 AS r, NULL AS kind, o_orderkey AS k FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT o_orderpriority, 0, 1, o_orderstatus, o_orderkey FROM orders WHERE o_custkey % 3 <> 0),
 g AS (SELECT name, sum(b)::BIGINT AS n_bullets, sum(r)::BIGINT AS n_recognised, coalesce(arg_max(kind, k) FILTER (kind IS NOT NULL), '') AS kind FROM r GROUP BY 1), s AS (SELECT *, 2 * n_bullets + n_recognised AS score FROM g)
 SELECT row_number() OVER (ORDER BY score DESC, name) AS rank, name, kind, score, n_bullets, n_recognised FROM s QUALIFY rank <= 50"""
-SQL["name_clean"] = "SELECT c_custkey, c_mktsegment AS name FROM customer"
+SQL["name_clean"] = """SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN c_name WHEN 8 THEN c_name || ' und Sohn' WHEN 10 THEN 'Hof (alt) ' || c_name WHEN 11 THEN nullif(c_name, 'Customer#000000011') END AS name FROM customer"""
+SQL["section_entries"] = """WITH l AS (SELECT c_custkey % 7 AS doc_id, c_custkey AS pos, c_custkey % 50 AS k, c_name, c_mktsegment FROM customer),
+e AS (SELECT *, CASE k WHEN 0 THEN 1 WHEN 40 THEN 0 END AS e FROM l), s AS (SELECT *, last_value(e IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM e),
+n AS (SELECT doc_id, pos, unnest(CASE WHEN pos % 2 = 0 THEN [c_name, 'Haus ' || c_mktsegment] ELSE [c_name] END) AS name FROM s WHERE s = 1 AND e IS NULL) SELECT * FROM n"""
 SQL["heading_extract"] = """SELECT DISTINCT ON (l_orderkey) 'f' || l_orderkey AS file, l_linenumber::INT AS page, 0 AS line_no, 'Handelsrat' AS text, CASE WHEN l_quantity / 2 >= 18 THEN 'haupttitel' WHEN l_quantity / 2 >= 12.5 THEN 'artikel' ELSE 'fallback' END AS kind
 FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) ORDER BY l_orderkey, l_linenumber"""
 
@@ -267,15 +278,23 @@ x3 AS (SELECT doc_id, regexp_replace(t, '([0-9])[lI]', '\1', 'g') AS t, n_0, n_1
 fixed AS (SELECT doc_id, replace(t, 'ss', 'ß') AS t, n_0, n_1, n_2, n_3, len(regexp_extract_all(t, 'ss')) AS n_4 FROM x4)"""
 SQL["regex_fix"] = f"WITH {FIXED} SELECT doc_id, md5(t) AS text_md5, n_0, n_1, n_2, n_3, n_4 FROM fixed"
 SQL["regex_fix_log"] = f"""WITH {FIXED}, s AS (SELECT unnest(['ae','th-end','one','same','ss']) AS label, unnest([sum(n_0), sum(n_1), sum(n_2), sum(n_3), sum(n_4)])::BIGINT AS n FROM fixed) SELECT * FROM s UNION ALL SELECT 'GESAMT', sum(n)::BIGINT FROM s"""
-SQL["cer_pairs"] = r"""WITH p AS (SELECT doc_id::VARCHAR AS name, regexp_replace(left(text, 300), '[^\x00-\x7f]', '', 'g') AS r FROM documents) SELECT name, round(levenshtein(r, replace(r, 'th', 't')) / greatest(length(r), 1) * 100, 2) AS cer FROM p"""
-SQL["changed_sentences"] = f"""WITH {FIXED}, cut AS (SELECT a.doc_id, string_split(regexp_replace(text, '([.!?])\\s+([A-ZÄÖÜ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS b, string_split(regexp_replace(t, '([.!?])\\s+([A-ZÄÖÜ])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS a FROM documents a JOIN fixed USING (doc_id)),
-e AS (SELECT doc_id, unnest(b) AS before, unnest(a) AS after, generate_subscripts(b, 1) - 1 AS pos FROM cut) SELECT doc_id, pos, before, after FROM e WHERE before <> after AND before IS NOT NULL AND after IS NOT NULL ORDER BY doc_id, pos LIMIT 20"""
-
-SQL["year_from_names"] = "SELECT doc_id, CASE WHEN 1925 + doc_id % 20 BETWEEN 1920 AND 1939 THEN (1925 + doc_id % 20)::INT END AS year, (doc_id % 40)::INT AS issue FROM documents"
+SQL["cer_pairs"] = r"""WITH p AS (SELECT doc_id::VARCHAR AS name, text AS r FROM documents) SELECT name, round((length(r) - length(replace(r, 'th', 't'))) / greatest(length(r), 1) * 100, 2) AS cer FROM p"""
+SQL["changed_sentences"] = f"""WITH {FIXED}, cut AS (SELECT a.doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS b, string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM documents a JOIN fixed USING (doc_id)),
+e AS (SELECT doc_id, unnest(b) AS before, unnest(a) AS after, generate_subscripts(b, 1) - 1 AS pos FROM cut) SELECT doc_id, pos, before, after FROM e WHERE before <> after AND before IS NOT NULL AND after IS NOT NULL AND len(list_filter(regexp_split_to_array(before, '\\s+'), lambda x: x <> '')) >= 5 ORDER BY doc_id, pos LIMIT 20"""
+
+NAMED = """named AS (SELECT doc_id, CASE WHEN 1925 + doc_id % 20 BETWEEN 1920 AND 1939 AND doc_id % 7 <> 2 THEN (1925 + doc_id % 20)::INT END AS year, CASE WHEN doc_id % 7 IN (0, 1, 3, 6) THEN (doc_id % 40)::INT END AS issue FROM documents)"""
+SQL["year_from_names"] = f"WITH {NAMED} SELECT * FROM named"
+SQL["issue_table"] = f"""WITH {NAMED}, d AS (SELECT doc_id, year, issue, doc_id % 5 AS k, CASE doc_id % 5 WHEN 0 THEN DATE '1929-07-07' WHEN 1 THEN DATE '1930-04-28' WHEN 3 THEN DATE '1930-02-16' END AS day FROM named),
+v AS (SELECT *, CASE WHEN year IS NULL OR abs(year(day) - year) <= 2 THEN day END AS found FROM d), p AS (SELECT conv_id AS doc_id, max(turn + 1) AS n_pages FROM conversations GROUP BY 1)
+SELECT issue, year, CASE WHEN found IS NOT NULL THEN CASE k WHEN 0 THEN '7. Juli 1929' WHEN 1 THEN '28. April 1930' WHEN 3 THEN '16. Februar 1930' END END AS date, strftime(found, '%Y-%m-%d') AS date_iso,
+CASE WHEN found IS NOT NULL THEN ['Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag','Sonntag'][isodow(found)] WHEN k = 0 THEN 'Sonntag' WHEN k = 2 THEN 'Samstag' END AS weekday, n_pages,
+[5, 4, 2, 3, 4][k + 1] AS n_raw_tokens, [5, 4, 2, 3, 4][k + 1] AS n_tokens, doc_id, CASE WHEN issue <> 0 THEN year % 7 + issue / 4 END AS cer, CASE WHEN issue <> 0 AND year IS NOT NULL THEN issue::DOUBLE END AS wer FROM v LEFT JOIN p USING (doc_id)"""
 SQL["slice_policies"] = f"""WITH d AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN {SLICE} END AS s FROM documents) SELECT 'keep_null' AS policy, s::VARCHAR AS slice, count(*) AS n FROM d GROUP BY 2
 UNION ALL SELECT 'default', coalesce(s, 1929)::VARCHAR, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'label', coalesce(s::VARCHAR, 'unbekannt'), count(*) FROM d GROUP BY 2 UNION ALL SELECT 'drop', s::VARCHAR, count(*) FROM d WHERE s IS NOT NULL GROUP BY 2"""
-SQL["date_extract"] = "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS date_iso FROM orders"
-SQL["weekday"] = "SELECT ['Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag','Sonntag'][isodow(o_orderdate)] AS weekday, count(*) AS n FROM orders GROUP BY 1"
+DAYS = "['Montag','Dienstag','Mittwoch','Donnerstag','Freitag','Samstag','Sonntag']"
+SQL["date_extract"] = f"""WITH o AS (SELECT o_orderkey, (o_orderdate::DATE - INTERVAL 66 YEAR)::DATE AS day, o_orderkey % 8 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k < 6 THEN strftime(day, '%Y-%m-%d') END AS date_iso, CASE WHEN k < 6 THEN {DAYS}[isodow(day)] WHEN k = 6 THEN 'Samstag' END AS weekday FROM o"""
+SQL["weekday"] = f"SELECT {DAYS}[isodow((o_orderdate::DATE - INTERVAL 66 YEAR)::DATE)] AS weekday, count(*) AS n FROM orders GROUP BY 1"
 SQL["metadata_join"] = """WITH q AS (SELECT y AS year, i AS issue, y % 7 + i / 4 AS cer, i::DOUBLE AS wer FROM range(1990, 2010) a(y), range(4) b(i)), o AS (SELECT o_orderkey, year(o_orderdate)::INT AS year, (o_custkey % 5)::INT AS issue FROM orders)
 SELECT o_orderkey, o.year, o.issue, cer, wer FROM o LEFT JOIN q ON q.year = o.year AND q.issue = o.issue AND o.issue <> 0"""
 SQL["tiered_join"] = f"""WITH d AS (SELECT 'ausgabe-nummer-' || doc_id || CASE WHEN doc_id % 4 = 0 THEN '-2' ELSE '' END AS doc_id, {SLICE} AS year FROM documents),
@@ -304,3 +323,22 @@ SQL["explore_share_map"] = f"WITH x AS ({SQL['topic_shares']}) SELECT topic, any
 SQL["freq_first_seen"] = f"""WITH {TOKENS}, c AS (SELECT token, count(*) AS abs, min(struct_pack(d := doc_id, p := pos)) AS f FROM tok GROUP BY 1)
 SELECT row_number() OVER (ORDER BY abs DESC, f) AS rank, token, abs FROM c QUALIFY rank <= 200"""
 SQL["overview_report"] = f"""WITH {OVERVIEW} SELECT slice AS Jahrgang, format('{{:,}}', n_tokens) AS Tokens, format('{{:,}}', n_types) AS Typen, printf('%.1f', n_tokens / n_docs) AS "je Dokument" FROM sizes JOIN types USING (slice)"""
+
+SQL["pattern_citations"] = r"""WITH p(pattern, r) AS (VALUES ('thing', '(?i)thing[a-z]*'), ('ver', '(?i) ver[a-z]*')), m AS (SELECT doc_id, (1929 + doc_id % 3)::INT AS slice, pattern, text, regexp_extract_all(text, r) AS m, regexp_split_to_array(text, r) AS b FROM documents, p),
+h AS (SELECT doc_id, slice, pattern, text, unnest(m) AS match, unnest(list_slice(b, 1, len(m))) AS b, generate_subscripts(m, 1) AS i FROM m),
+e AS (SELECT *, sum(length(b) + length(match)) OVER (PARTITION BY doc_id, pattern ORDER BY i) AS e FROM h),
+w AS (SELECT doc_id, slice, pattern, (e - length(match))::INT AS start, e::INT AS "end", match, list_filter(regexp_split_to_array(left(text, (e - length(match))::BIGINT), '\s+'), lambda x: x <> '') AS l, list_filter(regexp_split_to_array(substr(text, (e + 1)::BIGINT), '\s+'), lambda x: x <> '') AS r FROM e)
+SELECT doc_id, slice, pattern, start, "end", match, trim(array_to_string(list_slice(l, greatest(len(l) - 14, 1), len(l)), ' ') || ' [TREFFER] ' || match || ' [/TREFFER] ' || array_to_string(list_slice(r, 1, 15), ' ')) AS context FROM w"""
+
+SQL["report_seeds"] = f"WITH {GRID} SELECT slice, row_number() OVER (PARTITION BY slice ORDER BY per_million DESC, term) AS rank, term, category, abs, round(per_million, 1) AS per_million FROM grid QUALIFY rank <= 3"
+SQL["report_quotations"] = f"""WITH {KWIC}, c AS (SELECT slice, doc_id, pos_in_doc, target, doc_id || ': ' || (CASE WHEN pos_in_doc = 0 THEN '' ELSE "left" END) || '  [' || keyword || ']  ' || "right" AS q FROM k)
+SELECT slice, row_number() OVER (PARTITION BY slice ORDER BY doc_id, pos_in_doc, target) AS rank, CASE WHEN length(q) > 150 THEN left(q, 150) || '…' ELSE q END AS quotation FROM c QUALIFY rank <= 3"""
+SQL["csv_nations"] = "SELECT n_nationkey, n_name FROM nation"
+SQL["parquet_slices"] = f"SELECT doc_id, {SLICE} AS slice, lang FROM documents"
+SQL["text_tree"] = "SELECT n_name AS name, (1925 + n_regionkey)::VARCHAR AS folder, 'Über ' || n_name || '|end' AS text FROM nation"
+SQL["lexicon_file"] = """WITH w AS (SELECT unnest([lower(p_brand), lower(p_brand) || 's', 'x' || p_partkey % 5]) AS word, round(-(p_partkey % 7) / 4, 2) + 0.0 AS weight FROM part) SELECT word, min(weight) AS weight FROM w GROUP BY 1"""
+SQL["word_file"] = "SELECT DISTINCT lower(n_name) AS token FROM nation"
+SQL["topic_files"] = """SELECT 'doc' || n_nationkey AS doc_id, CASE WHEN n_regionkey < 4 THEN n_regionkey ELSE 0 END::INT AS topic, CASE WHEN n_regionkey = 0 THEN 0.6 ELSE 0.1 END AS topic_0, 0.0 AS topic_4,
+round(((CASE WHEN n_regionkey < 4 THEN n_regionkey ELSE 0 END) + 1) / 10, 2) AS weight, 'alpha ' || lower(r_name) AS terms FROM nation JOIN region ON r_regionkey = CASE WHEN n_regionkey < 4 THEN n_regionkey ELSE 0 END"""
+SQL["joined_pages"] = "SELECT conv_id AS doc_id, max(turn) AS n_pages, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, text)) AS text_md5 FROM conversations GROUP BY 1"
+SQL["paired_names"] = """WITH r AS (SELECT lower(r_name) AS name, r_regionkey FROM region UNION ALL SELECT lower(n_name), NULL FROM nation WHERE n_nationkey < 9) SELECT lower(n_name) AS name, n_regionkey, r_regionkey FROM nation JOIN r ON r.name = lower(n_name)"""

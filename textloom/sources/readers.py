@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.functions.text import without_comments
+from textloom.functions.text import YEAR, without_comments
 
 
 class MissingInput(FileNotFoundError):
@@ -60,7 +60,7 @@ def _without(files: DataFrame, exclude: Sequence[str]) -> DataFrame:
 def year_of_path(path: Column) -> Column:
     """The year in the parent folder's name, else in the file's name, else null."""
     folder, name = F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1)
-    year = lambda c: F.regexp_extract(c, "(192[0-9]|193[0-9])", 1).try_cast("int")
+    year = lambda c: F.regexp_extract(c, YEAR, 1).try_cast("int")
     return F.coalesce(year(folder), year(name))
 
 
