@@ -48,7 +48,8 @@ def scoped(rows: DataFrame, keys: Sequence[str], measures: Mapping[str, object],
     if scopes == "total":
         return rows.groupBy(*keys).agg(*[m.alias(n) for n, m in measures.items()]).select(F.lit(TOTAL).alias("scope"), *keys, *measures)
     by_slice = rows.groupBy(slice_column, *keys).agg(*[m.alias(n) for n, m in measures.items()])
-    slices = by_slice.where(F.col(slice_column).isNotNull()).select(F.col(slice_column).cast("string").alias("scope"), *keys, *measures)
+    # a filter on the slice would be pushed below the aggregation, and total and slices would no longer share it
+    slices = unnested(by_slice, F.array(F.col(slice_column).cast("string")), "scope", *keys, *measures).select("scope", *keys, *measures)
     if scopes == "slices":
         return slices
     total = by_slice.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in measures]).select(F.lit(TOTAL).alias("scope"), *keys, *measures)
@@ -70,10 +71,12 @@ def seed_grid(corpus_df: DataFrame, seeds: DataFrame, slices: Sequence) -> DataF
     spark = corpus_df.sparkSession
     grid = seeds.crossJoin(spark.createDataFrame([(s,) for s in slices], corpus_df.select("slice").schema))
     terms = [r["term"] for r in seeds.select("term").distinct().collect()]  # the caller's list
-    hits = corpus_df.where("slice is not null").select("slice", "n_tokens", F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
-    counts = unnested(hits, "hits", "token", "slice").groupBy("slice", "token").agg(F.count(F.lit(1)).alias("abs"))
-    sizes = hits.groupBy("slice").agg(F.sum("n_tokens").alias("total"))
-    found = counts.join(sizes, "slice").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
+    # one pass: of each document its token count, under no term, and its seeds
+    hits = F.transform(F.filter("tokens", lambda t: t.isin(terms)), lambda t: F.struct(t.alias("token"), F.lit(1).cast("long").alias("n")))
+    size = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.col("n_tokens").cast("long").alias("n")))
+    rows = unnested(corpus_df.where("slice is not null"), F.concat(size, hits), "x", "slice").groupBy("slice", F.col("x.token").alias("token")).agg(F.sum("x.n").alias("abs"))
+    total = F.max(F.when(F.col("token").isNull(), F.col("abs"))).over(Window.partitionBy("slice"))
+    found = rows.withColumn("total", total).where("token is not null").select("slice", "token", "abs", per_million(F.col("abs"), F.col("total")).alias("per_million"))
     joined = grid.join(found.withColumnRenamed("token", "term"), ["term", "slice"], "left")
     return joined.select("slice", "term", "category", F.coalesce("abs", F.lit(0)).alias("abs"), F.coalesce("per_million", F.lit(0.0)).alias("per_million"))
 
