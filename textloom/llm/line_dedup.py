@@ -182,7 +182,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
                 yield pd.DataFrame({"known": known[at], "id": ids[at], "th": ths[at], "row": row + np.arange(len(k)), "line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": digests, "bands": keys})
                 row += len(k)
 
-    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th long, row long, line int, words int, h binary, bands binary"))
+    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th long, row long, line int, words int, h binary, bands binary"), "zstd")
     distinct = materialize(
         lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id())
     )
