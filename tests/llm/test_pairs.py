@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from textloom.llm import line_dedup, ngram_join
@@ -290,3 +291,49 @@ def test_short_own_lines_outlive_a_repeated_line(spark):
     rows = [(1, line), (2, f"milk\n{line}\nbrown bread\n"), (3, f" \n{line}\n ")]
     found = {r["doc_id"]: r["text"] for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: line, 2: "milk\nbrown bread\n"}
+
+
+def test_many_distances_at_once():
+    rng = random.Random(3)
+    texts, limit = [], []
+    for n in range(240):
+        a = "".join(rng.choice("abcdefgh 漢🙂") for _ in range(rng.choice((5, 60, 64, 130, 400)) + n % 7))
+        b, k = list(a), rng.randrange(len(a) // 3 + 1)
+        if n % 3:  # edits anywhere, else the text moves, so that the way runs along the edge of the band
+            for _ in range(k):
+                b[rng.randrange(len(b))] = rng.choice("abcd ")
+        else:
+            b = b[k:] + ["x"] * k
+        texts += [a, "".join(b)] if n % 2 else ["".join(b), a]
+        exact = next(x for x in range(len(a) + 1) if line_dedup.edit_within(a, "".join(b), x))
+        limit.append(max(0, exact - n % 4 // 2) if n % 5 else len(a) // 5)
+    i = np.arange(0, len(texts), 2)
+    want = [line_dedup.edit_within(texts[x], texts[x + 1], most) for x, most in zip(i, limit, strict=True)]
+    assert 50 < sum(want) < 230
+    for few in (2, 24):
+        assert line_dedup.within_many(texts, i, i + 1, np.array(limit), few).tolist() == want
+
+
+def test_lines_that_meet_by_chance_are_compared_together(monkeypatch):
+    """300 lines of a unit with a common beginning, every tenth near the one before: no pair is worked through alone."""
+    rng = random.Random(8)
+    lexicon = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    words = [rng.choice(lexicon) for _ in range(20)]
+    lines = []
+    for n in range(300):
+        tail = [rng.choice(lexicon) for _ in range(30)]
+        lines.append(" ".join(words + tail) if n % 10 else lines[-1].replace("a", "b") + " x" if lines else "a line of its own")
+    pdf = pd.DataFrame({"unit": 1, "half": 0, "rid": range(len(lines)), "band": 0, "text": lines})
+    calls, alone = [], line_dedup.edit_within
+    monkeypatch.setattr(line_dedup, "edit_within", lambda *a: calls.append(a) or alone(*a))
+    monkeypatch.setattr(line_dedup, "line_hashes", lambda t, h: (None,) * 4 + (np.zeros((len(lines), line_dedup.BANDS * line_dedup.WIDTH), np.uint8),))
+    found = Forest(len(lines))
+    for part in line_dedup.near_edges(iter([pdf]), 0.8):
+        for a, b in zip(part["a"], part["b"], strict=True):
+            found.join(a, b)
+    brute = Forest(len(lines))
+    for i, j in combinations(range(len(lines)), 2):
+        if alone(lines[i], lines[j], int(0.2 * max(len(lines[i]), len(lines[j])) + 1e-9)):
+            brute.join(i, j)
+    assert [found.find(x) for x in range(len(lines))] == [brute.find(x) for x in range(len(lines))]
+    assert 1 < len({brute.find(x) for x in range(len(lines))}) and len(calls) < 300

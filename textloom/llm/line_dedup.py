@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, bucket_units, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot
+from .common import Forest, bucket_units, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot, whole_groups
 from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
@@ -84,18 +84,27 @@ def line_hashes(texts: list[str], hasher: WordHasher):
     return text[some], number[some], words[some], digests, bands
 
 
-def edit_within(a: str, b: str, limit: int) -> bool:
-    """Whether the edit distance is at most ``limit`` (bit-parallel, Myers 1999), common ends aside."""
-    if abs(len(a) - len(b)) > limit:
-        return False
+def without_ends(a: str, b: str, step: int = 64) -> tuple[str, str]:
+    """The texts without their common beginning and, of the rest, the common end."""
     k, n = 0, min(len(a), len(b))
+    while k + step <= n and a[k : k + step] == b[k : k + step]:
+        k += step
     while k < n and a[k] == b[k]:
         k += 1
     a, b = a[k:], b[k:]
-    k, n = 0, min(len(a), len(b))
+    k, n = 0, n - k
+    while k + step <= n and a[len(a) - k - step : len(a) - k] == b[len(b) - k - step : len(b) - k]:
+        k += step
     while k < n and a[-1 - k] == b[-1 - k]:
         k += 1
-    a, b = a[: len(a) - k], b[: len(b) - k]
+    return a[: len(a) - k], b[: len(b) - k]
+
+
+def edit_within(a: str, b: str, limit: int) -> bool:
+    """Whether the edit distance is at most ``limit`` (bit-parallel, Myers 1999), common ends aside."""
+    if abs(len(a) - len(b)) > limit:
+        return False
+    a, b = without_ends(a, b)
     if max(len(a), len(b)) <= limit:
         return True
     if not a or not b:
@@ -119,15 +128,116 @@ def edit_within(a: str, b: str, limit: int) -> bool:
     return distance <= limit
 
 
+def within_many(texts: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray, few: int = 24, lanes: int = 1 << 14, letters: int = 1 << 20) -> np.ndarray:
+    """edit_within for many pairs of texts at once: pairs of like length share a batch (see _batch_within), unless they are ``few``."""
+    out = np.zeros(len(i), dtype=bool)
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    swap = size[i] < size[j]
+    a, b = np.where(swap, j, i), np.where(swap, i, j)
+    out[limit >= size[a]] = True
+    todo = np.flatnonzero((size[a] - size[b] <= limit) & (limit < size[a]))
+    todo = todo[np.argsort(size[a[todo]], kind="stable")]
+    length, lo = size[a[todo]], 0
+    while lo < len(todo):
+        # texts are padded to the longest of their batch, which is not much longer than the shortest
+        hi = int(np.searchsorted(length, length[lo] * 1.3 + 32, "right"))
+        wide = 2 + int(2 * limit[todo[lo:hi]].max()) // 64
+        hi = min(hi, lo + max(few, min(lanes // wide, letters // int(length[hi - 1]))))
+        batch = todo[lo:hi]
+        if len(batch) < few:
+            out[batch] = [edit_within(texts[x], texts[y], int(most)) for x, y, most in zip(a[batch], b[batch], limit[batch], strict=True)]
+        else:
+            out[batch] = _batch_within([texts[x] for x in a[batch]], [texts[y] for y in b[batch]], limit[batch])
+        lo = hi
+    return out
+
+
+def _batch_within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
+    """Which edit distances are within limit (a the longer of each pair): Myers' bit vectors in blocks of 64 rows (Hyyrö 2003), all
+    pairs and blocks of a step in one numpy operation, block w one column behind block w - 1.
+
+    Both texts of a pair are padded in front by the same letters, which changes no distance, so that all ``a`` are of one length.
+    Blocks further than the largest limit from the diagonal are left out, which only alignments of more cost reach.
+    Every 32 steps the pairs go whose cells of the step, through one of which every alignment leads, are all beyond their limit.
+    """
+    pairs, n = len(a), max(map(len, a))
+    pad = np.array([n - len(x) for x in a])
+    rows = np.array([len(y) for y in b]) + pad
+    blocks, k = -(-int(rows.max()) // 64), int(limit.max()) + 1
+    code_a = np.frombuffer("".join(x.rjust(n, "\n") for x in a).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    code_b = np.frombuffer("".join("\n" * p + y for p, y in zip(pad, b, strict=True)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letters, code_b = np.unique(code_b, return_inverse=True)
+    if pairs > 1 and blocks * (len(letters) + 1) * pairs > 1 << 22:
+        half = pairs // 2
+        return np.concatenate([_batch_within(a[:half], b[:half], limit[:half]), _batch_within(a[half:], b[half:], limit[half:])])
+    code = np.minimum(np.searchsorted(letters, code_a), len(letters) - 1)
+    code = np.where(letters[code] == code_a, code, len(letters)).reshape(pairs, n)
+    own = np.repeat(np.arange(pairs), rows)
+    row = np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)
+    width = (len(letters) + 1) * pairs
+    equal = np.zeros(blocks * width, dtype=np.uint64)
+    np.bitwise_or.at(equal, (row >> 6) * width + code_b * pairs + own, np.uint64(1) << (row & 63).astype(np.uint64))
+    at = np.ascontiguousarray((code * pairs + np.arange(pairs)[:, None]).T)  # by column of the matrix
+    base = (np.arange(blocks) * width)[:, None]
+
+    w = np.arange(blocks)
+    begin, end = np.maximum(0, 64 * w - k) + w, np.minimum(n - 1, 64 * w + 63 + k) + w  # first and last step of each block
+    up, down = np.full((blocks, pairs), ~np.uint64(0)), np.zeros((blocks, pairs), dtype=np.uint64)
+    plus, minus = np.ones((blocks + 1, pairs), dtype=np.uint64), np.zeros((blocks + 1, pairs), dtype=np.uint64)  # what a block hands to the next
+    score = np.zeros((blocks, pairs), dtype=np.int64)  # distance in a block's last row
+    one, last, six = np.uint64(1), np.uint64(63), np.uint64(16)
+    alive, result, lo, hi = np.arange(pairs), np.zeros(pairs, dtype=bool), 0, 0
+    for t in range(int(end[-1]) + 1):
+        while hi < blocks and begin[hi] <= t:
+            score[hi] = 64 if not hi else score[hi - 1] - plus[hi].astype(np.int64) + minus[hi].astype(np.int64) + 64
+            if hi and begin[hi] == hi:  # starts in the first column
+                score[hi] = 64 * (hi + 1)
+            hi += 1
+        while end[lo] < t:
+            lo += 1
+        eq = equal[at[t - hi + 1 : t - lo + 1][::-1] + base[lo:hi]]
+        pv, mv, p, m = up[lo:hi], down[lo:hi], plus[lo:hi], minus[lo:hi]
+        xv = eq | mv
+        eq |= m
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        out_plus, out_minus = ph >> last, mh >> last
+        ph = ph << one | p
+        mh = mh << one | m
+        up[lo:hi] = mh | ~(xv | ph)
+        down[lo:hi] = ph & xv
+        score[lo:hi] += out_plus.view(np.int64) - out_minus.view(np.int64)
+        plus[lo + 1 : hi + 1], minus[lo + 1 : hi + 1] = out_plus, out_minus
+        plus[lo], minus[lo] = 1, 0  # above the first block distances grow by one a column at most
+        if t % 32 == 31 and t < end[-1] - 32:
+            best = np.full(len(alive), 1 << 40)
+            here, pv, mv = score[lo:hi].copy(), up[lo:hi].copy(), down[lo:hi].copy()
+            ahead = (rows[alive] - n + t - w[lo:hi, None]) - 64 * w[lo:hi, None]  # rows left less columns left, at the row before the block
+            for part in (3, 2, 1, 0):  # sixteen rows each, from below; none is lower than its last less its rises
+                rise, fall = np.bitwise_count(pv >> np.uint64(48)).astype(np.int64), np.bitwise_count(mv >> np.uint64(48)).astype(np.int64)
+                far = np.maximum(np.maximum(ahead - 16 * part - 17, 16 * part - ahead - 1), 0)
+                best = np.minimum(best, (here - rise + far).min(0))
+                here, pv, mv = here - rise + fall, pv << six, mv << six
+            keep = best <= limit[alive] + 2  # two, as an alignment may pass between the cells of two blocks
+            if keep.sum() < 0.75 * len(keep):
+                alive = alive[keep]
+                if not len(alive):
+                    return result
+                up, down, score, at = up[:, keep], down[:, keep], score[:, keep], np.ascontiguousarray(at[:, keep])
+                plus, minus = plus[:, keep], minus[:, keep]
+    # the last row lies in the last block or, with shorter b, in one before
+    final = (rows[alive] - 1) >> 6
+    spare = (63 - ((rows[alive] - 1) & 63)).astype(np.uint64)
+    cols = np.arange(len(alive))
+    over = lambda v: np.where(spare > 0, np.bitwise_count(v[final, cols] >> (np.uint64(64) - np.maximum(spare, one))), 0).astype(np.int64)
+    result[alive] = score[final, cols] - over(up) + over(down) <= limit[alive]
+    return result
+
+
 def cost_at_most(a: str, b: str, depth: int = 4, piece: int = 12) -> int:
     """An upper bound of the edit distance: common ends aside, a piece from the middle that both have parts the rest in two."""
-    k, n = 0, min(len(a), len(b))
-    while k < n and a[k] == b[k]:
-        k += 1
-    j, n = 0, n - k
-    while j < n and a[-1 - j] == b[-1 - j]:
-        j += 1
-    a, b = a[k : len(a) - j], b[k : len(b) - j]
+    a, b = without_ends(a, b)
     if depth and len(a) > 2 * piece and len(b) > piece:
         for mid in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
             lo = mid - piece // 2
@@ -151,6 +261,103 @@ def may_be_within(counts: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.nd
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
+class Undecided:
+    """Pairs of lines that bounds don't decide, gathered over many units so that their distances are found many at once."""
+
+    def __init__(self):
+        self.parts, self.texts, self.held = [], {}, 0
+
+    def add(self, rid: np.ndarray, texts: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray, forest: Forest) -> None:
+        """Pairs of a part's lines; of what the part's forest joins the lines of these pairs are told."""
+        used = np.unique(np.concatenate([i, j]))
+        for k in used.tolist():
+            if (name := int(rid[k])) not in self.texts:
+                self.texts[name] = texts[k]
+                self.held += len(texts[k])
+        order = np.argsort(j, kind="stable")
+        turn = np.empty(len(j), dtype=np.int64)  # which of its second line's pairs a pair is
+        bounds = group_bounds(j[order])
+        turn[order] = np.arange(len(j)) - np.repeat(bounds[:-1], np.diff(bounds))
+        root = np.fromiter(map(forest.find, used.tolist()), dtype=np.int64, count=len(used))
+        self.parts.append((rid[i], rid[j], limit, turn, rid[used], rid[root]))
+        self.held += 32 * len(i)
+
+    def settle(self) -> pd.DataFrame:
+        """(a, b) of the near ones. A line meets one line at first, then ever more, so that few pairs already joined are compared."""
+        first, second, limit, turn, known, root = map(np.concatenate, zip(*self.parts, strict=True))
+        names, at = np.unique(np.concatenate([first, second, known, root]), return_inverse=True)
+        x, y, known, root = np.split(at, np.cumsum([len(first), len(second), len(known)]))
+        texts = [self.texts.get(n, "") for n in names.tolist()]
+        self.parts, self.texts, self.held = [], {}, 0
+        forest = Forest(len(names))
+        for p, q in zip(known.tolist(), root.tolist(), strict=True):
+            forest.join(p, q)
+        done = 0
+        while len(x):
+            done, now = 4 * done + 1, turn <= 4 * done
+            apart = now & np.fromiter((forest.find(p) != forest.find(q) for p, q in zip(x.tolist(), y.tolist(), strict=True)), dtype=bool, count=len(x))
+            p, q = x[apart], y[apart]
+            near = within_many(texts, p, q, limit[apart])
+            for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
+                forest.join(u, v)
+            x, y, limit, turn = x[~now], y[~now], limit[~now], turn[~now]
+        return forest.stars(names)
+
+
+def near_edges(frames, similarity: float, letters: int = 1 << 21, pending: int = 1 << 23):
+    """Links (a, b) that tie near lines of a unit together, from rows (unit, half, rid, band, text) sorted by unit. ``letters``
+    bounds what is looked at together, whole units apart; ``pending`` the letters of undecided lines."""
+    undecided = Undecided()
+    for whole in whole_groups(frames, "unit", 2048):
+        heads = group_bounds(whole["unit"].to_numpy())
+        before = np.r_[0, np.cumsum(whole["text"].str.len().to_numpy())][heads]
+        lo = 0
+        while lo < len(heads) - 1:
+            hi = max(lo + 1, int(np.searchsorted(before, before[lo] + letters, "right")) - 1)
+            yield near_part(whole.iloc[heads[lo] : heads[hi]], similarity, undecided)
+            lo = hi
+            if undecided.held > pending:
+                yield undecided.settle()
+    if undecided.parts:
+        yield undecided.settle()
+
+
+def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.DataFrame:
+    """Links of the pairs that bounds decide; the others go to ``undecided``."""
+    bounds, half = group_bounds(pdf["unit"].to_numpy()), pdf["half"].to_numpy()
+    text = pdf["text"].tolist()
+    size, band = np.fromiter(map(len, text), dtype=np.int64, count=len(text)), pdf["band"].to_numpy()
+    bands = line_hashes(["\n".join(text)], WordHasher())[4].reshape(len(text), BANDS, WIDTH)
+    keys = np.zeros((len(text), BANDS, 8), dtype=np.uint8)
+    keys[:, :, :WIDTH] = bands
+    keys = keys.view(np.uint64)[:, :, 0]
+    rid, first, node = np.unique(pdf["rid"].to_numpy(), return_index=True, return_inverse=True)
+    forest, counts, left = Forest(len(rid)), pair_counts(text, size), []
+    for i, j in group_pairs(bounds):
+        longest = np.maximum(size[i], size[j])
+        limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
+        near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
+        i, j, limit = i[near], j[near], limit[near]
+        near = np.argmax(keys[i] == keys[j], axis=1) == band[i]  # a pair is looked at in the first band it meets in
+        i, j, limit = i[near], j[near], limit[near]
+        near = may_be_within(counts, i, j, limit)
+        i, j, limit = i[near], j[near], limit[near]
+        open_ = np.zeros(len(i), dtype=bool)
+        for k, (x, y, p, q, most) in enumerate(zip(i.tolist(), j.tolist(), node[i].tolist(), node[j].tolist(), limit.tolist(), strict=True)):
+            if forest.find(p) != forest.find(q):
+                if cost_at_most(text[x], text[y]) <= most:
+                    forest.join(p, q)
+                else:
+                    open_[k] = True
+        left.append((node[i[open_]], node[j[open_]], limit[open_]))
+    if left:
+        i, j, limit = map(np.concatenate, zip(*left, strict=True))
+        apart = np.fromiter((forest.find(p) != forest.find(q) for p, q in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
+        if apart.any():
+            undecided.add(rid, [text[k] for k in first], i[apart], j[apart], limit[apart], forest)
+    return forest.stars(rid)
+
+
 def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, short: bool = False) -> DataFrame:
     """One row per line of ``min_words`` words or more: key, text_hash, line_no (from 0), n_words, keep_key, keep_line_no, n_lines, kept.
 
@@ -184,7 +391,8 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
 
     lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th long, row long, line int, words int, h binary, bands binary"), "zstd")
     distinct = materialize(
-        lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id())
+        lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()),
+        "zstd",
     )
     keys = F.explode(F.array(*[F.xxhash64(F.substring("bands", WIDTH * k + 1, WIDTH)).bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(k)) for k in range(BANDS)]))
     units = bucket_units(distinct.where("bands is not null").select("rid", keys.alias("block")), "block", "rid", block)
@@ -215,29 +423,11 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     found_lines = wanted.join(flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit"), ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
     sent = named_units.join(found_lines.dropDuplicates(["rid"]), "rid")
 
-    def verify(pdf: pd.DataFrame):
-        bounds, rid, half = group_bounds(pdf["unit"].to_numpy()), pdf["rid"].to_numpy(), pdf["half"].to_numpy()
-        text = pdf["text"].tolist()
-        size, band = np.fromiter(map(len, text), dtype=np.int64, count=len(text)), pdf["band"].to_numpy()
-        bands = line_hashes(["\n".join(text)], WordHasher())[4].reshape(len(text), BANDS, WIDTH)
-        keys = np.zeros((len(text), BANDS, 8), dtype=np.uint8)
-        keys[:, :, :WIDTH] = bands
-        keys = keys.view(np.uint64)[:, :, 0]
-        forest, counts = Forest(len(pdf)), pair_counts(text, size)
-        for i, j in group_pairs(bounds):
-            longest = np.maximum(size[i], size[j])
-            limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
-            near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
-            i, j, limit = i[near], j[near], limit[near]
-            near = np.argmax(keys[i] == keys[j], axis=1) == band[i]  # a pair is looked at in the first band it meets in
-            i, j, limit = i[near], j[near], limit[near]
-            near = may_be_within(counts, i, j, limit)
-            for x, y, most in zip(i[near].tolist(), j[near].tolist(), limit[near].tolist(), strict=True):
-                if forest.find(x) != forest.find(y) and (cost_at_most(text[x], text[y]) <= most or edit_within(text[x], text[y], most)):
-                    forest.join(x, y)
-        yield forest.stars(rid)
-
-    roots = components(map_whole_groups(sent, "unit", verify, "a long, b long", 256))
+    def verify(frames):
+        yield from near_edges(frames, similarity)
+
+    edges = sent.repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
+    roots = components(edges)
     named = distinct.select("h", "first", "n", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
     classes = materialize(named.join(kept, "root").select("h", "keep", "lines", "n"))
