@@ -87,3 +87,29 @@ def test_ones_may_be_either_letter():
     found = toxicity._automaton(dict.fromkeys(toxicity.SEEDS, 4.0), ())
     assert toxicity.density("c10wn 5tup1d", found) == pytest.approx(toxicity.density("clown stupid", found))
     assert toxicity.density("clown stupid", found) > 0
+
+
+def test_quality_learns_from_every_label(spark):
+    """20,000 documents, of which those far back in the order of the hash of ids are few and alone show what a bar means."""
+    from pyspark.sql import functions as F
+
+    base = spark.range(20_000).select(F.col("id").alias("doc_id")).withColumn("late", F.expr("row_number() over (order by xxhash64(doc_id), doc_id) > 19000"))
+    docs = base.select("doc_id", F.when(F.col("late") & (F.col("doc_id") % 2 == 0), F.lit("some plain words | and a bar")).when(F.col("doc_id") % 2 == 0, F.lit("LOUD WORDS !!!")).otherwise(F.lit("some plain words and no bar")).alias("text"))
+    labels = base.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    model = quality.fit(docs, labels)
+    low, high = model.score(np.array([quality.features("some plain words | and a bar"), quality.features("some plain words and no bar")]))
+    assert low < 0.7 <= high
+
+
+def test_all_pairs_are_fitted(spark):
+    from textloom.llm.quality import _expand, fit_all
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, len(quality.FEATURES)))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    model = fit_all(spark.createDataFrame([(bytearray(a.tobytes()), int(b)) for a, b in zip(x, y, strict=True)], "f binary, label int"))
+    z = _expand((x - x.mean(0)) / x.std(0))
+    difference = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    gradient = -(difference.T @ (1 / (1 + np.exp(difference @ model.weights)))) / len(difference) + 1e-4 * model.weights
+    assert np.abs(gradient).max() < 1e-3
+    assert model.quantile == pytest.approx((z @ model.weights < model.threshold).mean(), abs=1e-9)
