@@ -337,3 +337,62 @@ def test_lines_that_meet_by_chance_are_compared_together(monkeypatch):
             brute.join(i, j)
     assert [found.find(x) for x in range(len(lines))] == [brute.find(x) for x in range(len(lines))]
     assert 1 < len({brute.find(x) for x in range(len(lines))}) and len(calls) < 300
+
+
+def near_family(n, rng, words=40):
+    """Distinct lines of which all are near the first."""
+    line = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(6)) for _ in range(words)]
+    return [" ".join([*line, f"{k:b}".replace("0", "x").replace("1", "y")]) for k in range(n)]
+
+
+def test_links_of_a_large_group_grow_with_its_lines(spark, monkeypatch):
+    """A line of a large group, or a guest of its blocks, has a link per band at most, not one for every block that its block meets."""
+    sent, settle = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda edges: sent.append(edges.count()) or settle(edges))
+    monkeypatch.setattr(line_dedup.near_edges, "__defaults__", (1 << 12, 1 << 23))  # letters looked at together: a few units
+    lines = near_family(1200, random.Random(2), 12)
+    found = line_dedup.report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(2), block=10).collect()
+    assert sum(r["kept"] for r in found) == 1 and {r["n_lines"] for r in found} == {1200}
+    assert sum(sent) <= 2 * line_dedup.BANDS * 1200
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Near lines in common buckets larger than a block, tied by a few links only, and lines that only meet there: as all pairs say."""
+    rng = random.Random(6)
+    common = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60))
+    lines = near_family(60, rng)
+    for _ in range(40):  # chains: each line is near the next, far from those after it
+        tail = "".join(rng.choice("abcdefgh ") for _ in range(110))
+        lines += [f"{common} {tail}"]
+        for _ in range(3):
+            at = rng.randrange(len(tail) - 60)
+            tail = tail[:at] + "".join(rng.choice("ijklmnop ") for _ in range(55)) + tail[at + 55 :]
+            lines += [f"{common} {tail}"]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for similarity in (0.88, 0.92):
+        forest = Forest(len(lines))
+        clean = [line_dedup.normalised(x) for x in lines]
+        for i, j in combinations(range(len(lines)), 2):
+            if line_dedup.edit_within(clean[i], clean[j], int((1 - similarity) * max(len(clean[i]), len(clean[j])) + 1e-9)):
+                forest.join(i, j)
+        at = {(i, 0): forest.find(i) for i in range(len(lines))}
+        found = {(r["doc_id"], r["line_no"]): r["keep_doc_id"] for r in line_dedup.report(df, similarity=similarity, block=8).collect()}
+        assert found == at and 2 < len(set(at.values())) < 200
+
+
+def test_lines_of_different_roots_meet_in_one_unit():
+    rng = np.random.default_rng(4)
+    for n, roots in ((50, 1), (90, 4), (90, 90), (200, 30)):
+        root = np.minimum(rng.geometric(0.3, n), roots)
+        pdf = pd.DataFrame({"key": 7, "rid": np.arange(n), "band": 0, "root": root if roots < 90 else np.arange(n)})
+        met = set()
+        for unit in (u for part in line_dedup.cross_rows(pdf, 10, 64) for _, u in part.groupby("unit")):
+            i, j = np.triu_indices(len(unit), 1)
+            own = line_dedup.own_pairs(unit["half"].to_numpy(), i, j)
+            pairs = [tuple(sorted(x)) for x in zip(unit["rid"].to_numpy()[i[own]].tolist(), unit["rid"].to_numpy()[j[own]].tolist(), strict=True)]
+            assert not met & set(pairs)
+            met |= set(pairs)
+        root = pdf["root"].tolist()
+        assert {(i, j) for i, j in combinations(range(n), 2) if root[i] != root[j]} <= met and (roots > 1 or not met)

@@ -18,13 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, bucket_units, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot, whole_groups
+from .common import Forest, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot, whole_groups
 from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
 BANDS, ROWS, WIDTH = 20, 3, 5
 #: Buckets of the bit table that says which texts may have wanted lines.
 BITS = 1 << 20
+#: Members of a large bucket that all its blocks hold, and the half of their rows outside their own block.
+ANCHORS, GUEST = 16, 3
 ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -265,10 +267,10 @@ class Undecided:
     """Pairs of lines that bounds don't decide, gathered over many units so that their distances are found many at once."""
 
     def __init__(self):
-        self.parts, self.texts, self.held = [], {}, 0
+        self.parts, self.texts, self.held, self.group = [], {}, 0, {}
 
-    def add(self, rid: np.ndarray, texts: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray, forest: Forest) -> None:
-        """Pairs of a part's lines; of what the part's forest joins the lines of these pairs are told."""
+    def add(self, rid: np.ndarray, texts: list[str], i: np.ndarray, j: np.ndarray, limit: np.ndarray, forest: Forest, group: np.ndarray) -> None:
+        """Pairs of a part's lines; of what the part's forest joins the lines of these pairs are told. ``group`` as in _between."""
         used = np.unique(np.concatenate([i, j]))
         for k in used.tolist():
             if (name := int(rid[k])) not in self.texts:
@@ -280,6 +282,8 @@ class Undecided:
         turn[order] = np.arange(len(j)) - np.repeat(bounds[:-1], np.diff(bounds))
         root = np.fromiter(map(forest.find, used.tolist()), dtype=np.int64, count=len(used))
         self.parts.append((rid[i], rid[j], limit, turn, rid[used], rid[root]))
+        told = np.concatenate([used, root])
+        self.group.update(zip(rid[told].tolist(), group[told].tolist(), strict=True))
         self.held += 32 * len(i)
 
     def settle(self) -> pd.DataFrame:
@@ -288,7 +292,8 @@ class Undecided:
         names, at = np.unique(np.concatenate([first, second, known, root]), return_inverse=True)
         x, y, known, root = np.split(at, np.cumsum([len(first), len(second), len(known)]))
         texts = [self.texts.get(n, "") for n in names.tolist()]
-        self.parts, self.texts, self.held = [], {}, 0
+        group = np.fromiter((self.group[n] for n in names.tolist()), dtype=np.int64, count=len(names))
+        self.parts, self.texts, self.held, self.group = [], {}, 0, {}
         forest = Forest(len(names))
         for p, q in zip(known.tolist(), root.tolist(), strict=True):
             forest.join(p, q)
@@ -301,12 +306,20 @@ class Undecided:
             for u, v in zip(p[near].tolist(), q[near].tolist(), strict=True):
                 forest.join(u, v)
             x, y, limit, turn = x[~now], y[~now], limit[~now], turn[~now]
-        return forest.stars(names)
+        return _between(forest, names, group)
+
+
+def _between(forest: Forest, names: np.ndarray, group: np.ndarray) -> pd.DataFrame:
+    """The forest's trees as links between ``group``: a line's own name or the root of lines it is already joined to."""
+    links = forest.stars(np.arange(len(names)))
+    a, b = group[links["a"].to_numpy()], group[links["b"].to_numpy()]
+    return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
 
 
 def near_edges(frames, similarity: float, letters: int = 1 << 21, pending: int = 1 << 23):
     """Links (a, b) that tie near lines of a unit together, from rows (unit, half, rid, band, text) sorted by unit. ``letters``
-    bounds what is looked at together, whole units apart; ``pending`` the letters of undecided lines."""
+    bounds what is looked at together, whole units apart; ``pending`` the letters of undecided lines. With a column root, lines of one
+    root count as joined, and links are those between roots."""
     undecided = Undecided()
     for whole in whole_groups(frames, "unit", 2048):
         heads = group_bounds(whole["unit"].to_numpy())
@@ -332,13 +345,19 @@ def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.
     keys[:, :, :WIDTH] = bands
     keys = keys.view(np.uint64)[:, :, 0]
     rid, first, node = np.unique(pdf["rid"].to_numpy(), return_index=True, return_inverse=True)
-    forest, counts, left = Forest(len(rid)), pair_counts(text, size), []
+    forest, counts, left, group = Forest(len(rid)), pair_counts(text, size), [], rid
+    if "root" in pdf.columns:
+        group = pdf["root"].to_numpy()[first]
+        order = np.argsort(group, kind="stable")
+        for k in np.flatnonzero(group[order][1:] == group[order][:-1]).tolist():
+            forest.join(int(order[k]), int(order[k + 1]))
     for i, j in group_pairs(bounds):
         longest = np.maximum(size[i], size[j])
         limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
         near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
         i, j, limit = i[near], j[near], limit[near]
-        near = np.argmax(keys[i] == keys[j], axis=1) == band[i]  # a pair is looked at in the first band it meets in
+        # a pair is looked at in the first band it meets in, but for guests: which blocks they visit differs by band
+        near = (np.argmax(keys[i] == keys[j], axis=1) == band[i]) | (half[i] == GUEST) | (half[j] == GUEST)
         i, j, limit = i[near], j[near], limit[near]
         near = may_be_within(counts, i, j, limit)
         i, j, limit = i[near], j[near], limit[near]
@@ -354,8 +373,114 @@ def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.
         i, j, limit = map(np.concatenate, zip(*left, strict=True))
         apart = np.fromiter((forest.find(p) != forest.find(q) for p, q in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
         if apart.any():
-            undecided.add(rid, [text[k] for k in first], i[apart], j[apart], limit[apart], forest)
-    return forest.stars(rid)
+            undecided.add(rid, [text[k] for k in first], i[apart], j[apart], limit[apart], forest, group)
+    return _between(forest, rid, group)
+
+
+def key_blobs(distinct: DataFrame, held: int = 1 << 17) -> DataFrame:
+    """The band keys (40 bits and the band) and rids of all lines in byte strings, dealt by ranges of the keys: a row for a part's keys
+    of up to ``held`` lines, so that not every key is a row."""
+    rows = distinct.where("bands is not null").select("rid", "bands")
+    parts = min(1 << 12, max(1 << 4, rows.count() * BANDS >> 16))
+
+    def blobs(rid: np.ndarray, bands: list[bytes]) -> pd.DataFrame:
+        key = np.zeros((len(rid), BANDS, 8), dtype=np.uint8)
+        key[:, :, :WIDTH] = np.frombuffer(b"".join(bands), dtype=np.uint8).reshape(len(rid), BANDS, WIDTH)
+        key[:, :, WIDTH] = np.arange(BANDS)
+        key, rid = key.view("<u8").reshape(-1), np.repeat(rid.view(np.uint64), BANDS)
+        part = ((key >> np.uint64(8) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        key, rid, cut = key[order], rid[order], group_bounds(part[order])
+        columns = {"key_low": key.astype(np.uint32), "key_high": (key >> np.uint64(32)).astype(np.uint16), "rid_low": rid.astype(np.uint32), "rid_high": (rid >> np.uint64(32)).astype(np.uint32)}
+        return pd.DataFrame({"part": part[order][cut[:-1]].astype(np.int32)} | {k: [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for k, v in columns.items()})
+
+    def pack(frames):
+        rid, bands, n = [], [], 0
+        for pdf in frames:
+            rid.append(pdf["rid"].to_numpy())
+            bands += pdf["bands"].tolist()
+            if len(bands) >= held:
+                yield blobs(np.concatenate(rid), bands)
+                rid, bands = [], []
+        if bands:
+            yield blobs(np.concatenate(rid), bands)
+
+    return rows.mapInPandas(pack, "part int, key_low binary, key_high binary, rid_low binary, rid_high binary")
+
+
+def bucket_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Units (unit, half, rid, band, key) of the buckets of two lines or more in rows of key_blobs that hold whole buckets.
+
+    A bucket of at most ``limit`` lines is one unit, named after its members, so that those of several bands with the same members
+    are one. A larger one is dealt into blocks by hash, each with the bucket's ANCHORS as guests, so that most near lines are joined by
+    rows that grow with the bucket, not with its square; the rest of its pairs is left to cross_rows. key is -1 where none are left."""
+    joined = lambda name, kind: np.frombuffer(b"".join(pdf[name]), dtype=kind).astype(np.uint64)
+    key = joined("key_high", "<u2") << np.uint64(32) | joined("key_low", "<u4")
+    rid = joined("rid_high", "<u4") << np.uint64(32) | joined("rid_low", "<u4")
+    order = np.argsort(key, kind="stable")
+    key, rid = key[order], rid[order]
+    bounds = group_bounds(key)
+    size = np.diff(bounds)
+    each = np.repeat(size, size)
+    few = (each >= 2) & (each <= limit)
+    out = []
+    with np.errstate(over="ignore"):
+        if few.any():
+            k, r = key[few], rid[few]
+            cut = group_bounds(k)
+            name = mix64(np.add.reduceat(mix64(mix64(r)), cut[:-1]))
+            out.append((np.repeat(name, np.diff(cut)), np.zeros(len(r), np.int32), r, k, np.full(len(r), -1, np.int64)))
+        for lo, hi in zip(bounds[:-1][size > limit], bounds[1:][size > limit], strict=True):
+            r, blocks = rid[lo:hi], -(-(hi - lo) // limit)
+            spread = mix64(r ^ np.uint64(0x9E3779B97F4A7C15))
+            block = (spread % np.uint64(blocks)).astype(np.int64)
+            anchors = np.argsort(spread, kind="stable")[:ANCHORS]
+            guest, at = np.repeat(anchors, blocks), np.tile(np.arange(blocks), len(anchors))
+            guest, at = guest[block[guest] != at], at[block[guest] != at]
+            half = np.r_[np.zeros(len(r), np.int32), np.full(len(guest), GUEST, np.int32)]
+            name = mix64(mix64(key[lo : lo + 1]) + np.r_[block, at].astype(np.uint64))
+            rows = np.r_[r, r[guest]]
+            out.append((name, half, rows, np.full(len(rows), key[lo]), np.full(len(rows), int(key[lo]), np.int64)))
+    if not out:
+        return pd.DataFrame({"unit": [], "half": [], "rid": [], "band": [], "key": []}).astype("int64")
+    unit, half, rid, key, large = map(np.concatenate, zip(*out, strict=True))
+    return pd.DataFrame({"unit": unit.view(np.int64), "half": half, "rid": rid.view(np.int64), "band": (key >> np.uint64(8 * WIDTH)).astype(np.int32), "key": large})
+
+
+def cross_rows(pdf: pd.DataFrame, limit: int, rows: int = 1 << 17):
+    """Units (unit, half, rid, band, root) of whole buckets (key, rid, band, root) in which all pairs of lines of different roots meet.
+    Blocks of ``limit`` lines are cut in the order of the roots, large roots apart; two blocks of one and the same root don't meet."""
+    rid, root, band, key = (pdf[c].to_numpy() for c in ("rid", "root", "band", "key"))
+    held, n = [], 0
+    bounds = group_bounds(key)
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        _, own, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
+        order = np.lexsort((rid[lo:hi], own, -count[own]))
+        own = own[order]
+        starts, at = [], 0
+        while at < len(own):
+            starts.append(at)
+            end = at + int(np.argmin(np.r_[own[at:] == own[at], False])) if count[own[at]] > limit // 2 else len(own)
+            at = min(at + limit, end)
+        ends = [*starts[1:], len(own)]
+        pure = [int(own[a]) if (own[a:b] == own[a]).all() else -1 for a, b in zip(starts, ends, strict=True)]
+        member = lo + order
+        for x in range(len(starts)):
+            for y in range(x, len(starts)):
+                if pure[x] >= 0 and pure[x] == pure[y]:
+                    continue
+                one, two = member[starts[x] : ends[x]], member[starts[y] : ends[y]] if y > x else member[:0]
+                who = np.r_[one, two]
+                with np.errstate(over="ignore"):
+                    name = mix64(mix64(key[lo : lo + 1].view(np.uint64)) + np.uint64(x << 32 | y)).view(np.int64)
+                half = np.r_[np.full(len(one), int(y > x), np.int32), np.full(len(two), 2, np.int32)]
+                held.append(pd.DataFrame({"unit": np.repeat(name, len(who)), "half": half, "rid": rid[who], "band": band[who], "root": root[who]}))
+                n += len(who)
+                if n >= rows:
+                    yield pd.concat(held)
+                    held, n = [], 0
+    if held:
+        yield pd.concat(held)
 
 
 def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, block: int = 300, short: bool = False) -> DataFrame:
@@ -394,18 +519,12 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()),
         "zstd",
     )
-    keys = F.explode(F.array(*[F.xxhash64(F.substring("bands", WIDTH * k + 1, WIDTH)).bitwiseAND(F.lit(~31)).bitwiseOR(F.lit(k)) for k in range(BANDS)]))
-    units = bucket_units(distinct.where("bands is not null").select("rid", keys.alias("block")), "block", "rid", block)
-
-    def name(pdf: pd.DataFrame):
-        """Units named after their members, so that those of several bands with the same members are one, of the first such band."""
-        rid, half, bounds = pdf["rid"].to_numpy(), pdf["half"].to_numpy(), group_bounds(pdf["unit"].to_numpy())
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(mix64(mix64(rid.view(np.uint64)) + half.astype(np.uint64)), bounds[:-1])
-        yield pd.DataFrame({"unit": np.repeat(mix64(sums).view(np.int64), np.diff(bounds)), "half": half.astype(np.int32), "rid": rid, "band": pdf["band"]})
-
-    met = units.select("unit", "half", "rid", F.col("block").bitwiseAND(F.lit(31)).cast("int").alias("band"))
-    named_units = materialize(map_whole_groups(met, "unit", name, "unit long, half int, rid long, band int").groupBy("unit", "half", "rid").agg(F.min("band").alias("band")))
+
+    def deal(pdf: pd.DataFrame):
+        yield bucket_rows(pdf, block)
+
+    met = map_whole_groups(key_blobs(distinct), "part", deal, "unit long, half int, rid long, band int, key long", 1)
+    named_units = materialize(met.groupBy("unit", "half", "rid").agg(F.min("band").alias("band"), F.max("key").alias("key")))
     wanted = named_units.select("rid").distinct().join(distinct.select("rid", "first"), "rid").groupBy("first.known", "first.id", "first.th").agg(F.collect_list("rid").alias("rids"), F.collect_list("first.line").alias("at"))
 
     def cut(frames):
@@ -421,13 +540,23 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     bit = F.pmod("th", F.lit(BITS))
     some = named_units.select("rid").distinct().join(distinct.select("rid", "first.th"), "rid").select(bit.alias("_bit")).distinct()
     found_lines = wanted.join(flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit"), ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
-    sent = named_units.join(found_lines.dropDuplicates(["rid"]), "rid")
+    wanted_lines = materialize(found_lines.dropDuplicates(["rid"]), "zstd")
 
     def verify(frames):
         yield from near_edges(frames, similarity)
 
-    edges = sent.repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
-    roots = components(edges)
+    def links(units: DataFrame) -> DataFrame:
+        return units.join(wanted_lines, "rid").repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
+
+    roots = components(links(named_units.drop("key")))
+    members = named_units.where((F.col("key") >= 0) & (F.col("half") != GUEST)).select("key", "rid", "band")
+    if not members.isEmpty():  # large buckets: pairs of their lines that are not joined yet and were in no common block
+        placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        cross = materialize(map_whole_groups(placed, "key", lambda pdf: cross_rows(pdf, block), "unit long, half int, rid long, band int, root long"))
+        further = components(links(cross)).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        # a line without a link in its blocks is its own root
+        every = roots.unionByName(further.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
+        roots = every.join(further, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
     named = distinct.select("h", "first", "n", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
     classes = materialize(named.join(kept, "root").select("h", "keep", "lines", "n"))
