@@ -382,17 +382,19 @@ def test_large_buckets_lose_no_link(spark):
         assert found == at and 2 < len(set(at.values())) < 200
 
 
-def test_lines_of_different_roots_meet_in_one_unit():
+def test_lines_of_different_roots_and_like_length_meet_in_one_unit():
     rng = np.random.default_rng(4)
     for n, roots in ((50, 1), (90, 4), (90, 90), (200, 30)):
-        root = np.minimum(rng.geometric(0.3, n), roots)
-        pdf = pd.DataFrame({"key": 7, "rid": np.arange(n), "band": 0, "root": root if roots < 90 else np.arange(n)})
+        root = np.arange(n) if roots == n else np.minimum(rng.geometric(0.3, n), roots)
+        size = rng.integers(30, 400, n)
+        pdf = pd.DataFrame({"key": 7, "rid": np.arange(n), "band": 0, "root": root, "size": size})
         met = set()
-        for unit in (u for part in line_dedup.cross_rows(pdf, 10, 64) for _, u in part.groupby("unit")):
+        for unit in (u for part in line_dedup.cross_rows(pdf, 10, 0.8, 64) for _, u in part.groupby("unit")):
             i, j = np.triu_indices(len(unit), 1)
             own = line_dedup.own_pairs(unit["half"].to_numpy(), i, j)
             pairs = [tuple(sorted(x)) for x in zip(unit["rid"].to_numpy()[i[own]].tolist(), unit["rid"].to_numpy()[j[own]].tolist(), strict=True)]
             assert not met & set(pairs)
             met |= set(pairs)
-        root = pdf["root"].tolist()
-        assert {(i, j) for i, j in combinations(range(n), 2) if root[i] != root[j]} <= met and (roots > 1 or not met)
+        like = lambda i, j: abs(int(size[i]) - int(size[j])) <= 0.2 * max(size[i], size[j]) + 1e-9
+        assert {(i, j) for i, j in combinations(range(n), 2) if root[i] != root[j] and like(i, j)} <= met
+        assert len(met) < (0.65 if roots > 1 else 0.01) * n * (n - 1) / 2

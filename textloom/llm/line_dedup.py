@@ -447,21 +447,23 @@ def bucket_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     return pd.DataFrame({"unit": unit.view(np.int64), "half": half, "rid": rid.view(np.int64), "band": (key >> np.uint64(8 * WIDTH)).astype(np.int32), "key": large})
 
 
-def cross_rows(pdf: pd.DataFrame, limit: int, rows: int = 1 << 17):
-    """Units (unit, half, rid, band, root) of whole buckets (key, rid, band, root) in which all pairs of lines of different roots meet.
-    Blocks of ``limit`` lines are cut in the order of the roots, large roots apart; two blocks of one and the same root don't meet."""
+def cross_rows(pdf: pd.DataFrame, limit: int, similarity: float, rows: int = 1 << 17):
+    """Units (unit, half, rid, band, root) of whole buckets (key, rid, band, root, size) in which all pairs of lines meet that are of
+    different roots and not too unlike in length (size) to be near. Blocks of ``limit`` lines are cut in the order of length, large
+    roots apart; two blocks of one and the same root don't meet, nor do blocks of which all lines are too unlike in length."""
     rid, root, band, key = (pdf[c].to_numpy() for c in ("rid", "root", "band", "key"))
+    size = pdf["size"].to_numpy()
     held, n = [], 0
     bounds = group_bounds(key)
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         _, own, count = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
-        order = np.lexsort((rid[lo:hi], own, -count[own]))
-        own = own[order]
+        apart = np.where(count[own] > limit // 2, own, len(count))
+        order = np.lexsort((rid[lo:hi], size[lo:hi], apart))
+        own, apart, long = own[order], apart[order], size[lo:hi][order]
         starts, at = [], 0
         while at < len(own):
             starts.append(at)
-            end = at + int(np.argmin(np.r_[own[at:] == own[at], False])) if count[own[at]] > limit // 2 else len(own)
-            at = min(at + limit, end)
+            at = min(at + limit, int(np.searchsorted(apart, apart[at], "right")))
         ends = [*starts[1:], len(own)]
         pure = [int(own[a]) if (own[a:b] == own[a]).all() else -1 for a, b in zip(starts, ends, strict=True)]
         member = lo + order
@@ -469,6 +471,9 @@ def cross_rows(pdf: pd.DataFrame, limit: int, rows: int = 1 << 17):
             for y in range(x, len(starts)):
                 if pure[x] >= 0 and pure[x] == pure[y]:
                     continue
+                shorter, longer = sorted((x, y), key=lambda k: long[starts[k]])
+                if similarity * long[starts[longer]] - 1e-6 > long[ends[shorter] - 1]:
+                    continue
                 one, two = member[starts[x] : ends[x]], member[starts[y] : ends[y]] if y > x else member[:0]
                 who = np.r_[one, two]
                 with np.errstate(over="ignore"):
@@ -551,8 +556,9 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     roots = components(links(named_units.drop("key")))
     members = named_units.where((F.col("key") >= 0) & (F.col("half") != GUEST)).select("key", "rid", "band")
     if not members.isEmpty():  # large buckets: pairs of their lines that are not joined yet and were in no common block
-        placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        cross = materialize(map_whole_groups(placed, "key", lambda pdf: cross_rows(pdf, block), "unit long, half int, rid long, band int, root long"))
+        sized = members.join(wanted_lines.select("rid", F.char_length("text").alias("size")), "rid")
+        placed = sized.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+        cross = materialize(map_whole_groups(placed, "key", lambda pdf: cross_rows(pdf, block, similarity), "unit long, half int, rid long, band int, root long"))
         further = components(links(cross)).select(F.col("node").alias("root"), F.col("root").alias("least"))
         # a line without a link in its blocks is its own root
         every = roots.unionByName(further.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
