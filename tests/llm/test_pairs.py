@@ -2,13 +2,14 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from textloom.llm import line_dedup, ngram_join
-from textloom.llm.common import Forest, binomial_tail_below, bucket_units, components
+from textloom.llm.common import Forest, binomial_tail_below, bucket_units, components, scratch_dir
 from textloom.llm.queries import op5_line_dedup
 from textloom.llm.shingles import WordHasher, exact_sets, words_of
 
@@ -382,6 +383,18 @@ def test_large_buckets_lose_no_link(spark):
         assert found == at and 2 < len(set(at.values())) < 200
 
 
+def test_tables_that_no_result_needs_are_deleted(spark):
+    """Beside the lines and their classes nothing stays in the shared folder, with large buckets or without, and the result can be read."""
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    lines = near_family(40, random.Random(7), 12)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for block in (10, 300):
+        before = set(folder.glob("textloom-*"))
+        found = line_dedup.report(df, block=block)
+        assert len(set(folder.glob("textloom-*")) - before) == 2
+        assert [r["n_lines"] for r in found.collect()] == [40] * 40
+
+
 def test_lines_of_different_roots_and_like_length_meet_in_one_unit():
     rng = np.random.default_rng(4)
     for n, roots in ((50, 1), (90, 4), (90, 90), (200, 30)):

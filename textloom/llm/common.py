@@ -96,6 +96,11 @@ def drop_scratch(*tables: DataFrame) -> None:
             _delete(spark, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished queries go when the driver's garbage is collected, which may be never while a step runs: collect it."""
+    spark._jvm.System.gc()
+
+
 def repeatable(df: DataFrame) -> DataFrame:
     """df itself where its rows come from files in the same order each time; else written first, so that what reads it twice, or a
     task that runs again after a lost executor, sees the same rows in the same places."""

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, spot, whole_groups
+from .common import Forest, components, drop_scratch, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, release_shuffles, spot, whole_groups
 from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
@@ -524,12 +524,14 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()),
         "zstd",
     )
+    release_shuffles(docs.sparkSession)
 
     def deal(pdf: pd.DataFrame):
         yield bucket_rows(pdf, block)
 
     met = map_whole_groups(key_blobs(distinct), "part", deal, "unit long, half int, rid long, band int, key long", 1)
     named_units = materialize(met.groupBy("unit", "half", "rid").agg(F.min("band").alias("band"), F.max("key").alias("key")))
+    release_shuffles(docs.sparkSession)
     wanted = named_units.select("rid").distinct().join(distinct.select("rid", "first"), "rid").groupBy("first.known", "first.id", "first.th").agg(F.collect_list("rid").alias("rids"), F.collect_list("first.line").alias("at"))
 
     def cut(frames):
@@ -546,6 +548,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     some = named_units.select("rid").distinct().join(distinct.select("rid", "first.th"), "rid").select(bit.alias("_bit")).distinct()
     found_lines = wanted.join(flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit"), ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
     wanted_lines = materialize(found_lines.dropDuplicates(["rid"]), "zstd")
+    release_shuffles(docs.sparkSession)
 
     def verify(frames):
         yield from near_edges(frames, similarity)
@@ -553,12 +556,14 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     def links(units: DataFrame) -> DataFrame:
         return units.join(wanted_lines, "rid").repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
 
+    scratch = [distinct, named_units, wanted_lines]  # nothing reads them once there are classes
     roots = components(links(named_units.drop("key")))
     members = named_units.where((F.col("key") >= 0) & (F.col("half") != GUEST)).select("key", "rid", "band")
     if not members.isEmpty():  # large buckets: pairs of their lines that are not joined yet and were in no common block
         sized = members.join(wanted_lines.select("rid", F.char_length("text").alias("size")), "rid")
         placed = sized.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
         cross = materialize(map_whole_groups(placed, "key", lambda pdf: cross_rows(pdf, block, similarity), "unit long, half int, rid long, band int, root long"))
+        scratch.append(cross)
         further = components(links(cross)).select(F.col("node").alias("root"), F.col("root").alias("least"))
         # a line without a link in its blocks is its own root
         every = roots.unionByName(further.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
@@ -566,6 +571,8 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     named = distinct.select("h", "first", "n", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
     classes = materialize(named.join(kept, "root").select("h", "keep", "lines", "n"))
+    drop_scratch(*scratch, roots)
+    release_shuffles(docs.sparkSession)
     found = join_hot(lines.drop("bands"), classes, "h", "n")
     return found.select(
         F.struct("known", "id").alias("key"),
