@@ -1,5 +1,6 @@
 """N-gram join and line deduplication against brute force."""
 
+import hashlib
 import random
 from itertools import combinations
 from pathlib import Path
@@ -207,6 +208,13 @@ def test_line_hashes_follow_the_words():
     assert digests[0] == digests[2] != digests[1] == digests[3] and (bands[:2] == bands[2:]).all()
 
 
+def test_digests_are_those_of_normalised_lines():
+    text = "  One,  two;\tthree 漢字 \n\n \x1f \r\nß  9 \u00a0 x\n!!\nend -"
+    _, _, _, digests, _ = line_dedup.line_hashes([text, "", "a\n b  c "], WordHasher())
+    lines = [line_dedup.normalised(x) for x in text.split("\n") + ["", "a", " b  c "]]
+    assert digests == [hashlib.md5(x.encode()).digest() for x in lines if x]
+
+
 def thue_morse(n):
     return "".join("ab"[k.bit_count() & 1] for k in range(n))
 
@@ -340,6 +348,52 @@ def test_lines_that_meet_by_chance_are_compared_together(monkeypatch):
     assert 1 < len({brute.find(x) for x in range(len(lines))}) and len(calls) < 300
 
 
+def test_halves_leave_no_near_pair_out():
+    rng = random.Random(12)
+    texts, limit = [], []
+    for n in range(300):
+        a = "".join(rng.choice("abcdé 漢") for _ in range(rng.choice((0, 3, 40, 64, 65, 200, 700)) + n % 5))
+        b, k = list(a), rng.randrange(len(a) // 4 + 1)
+        if n % 3:
+            for _ in range(k):
+                at = rng.randrange(len(b) + 1)
+                b[at : at + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        else:  # the middle moves as far as it can
+            b = b[k:] if n % 2 else ["x"] * k + b
+        texts += [a, "".join(b)]
+        limit.append(next(x for x in range(len(a) + len(b) + 1) if line_dedup.edit_within(a, "".join(b), x)))
+    size, i, limit = np.array(list(map(len, texts))), np.arange(0, len(texts), 2), np.array(limit)
+    for cells in (8, 64):
+        assert line_dedup.halves_may_be_within(texts, size, i, i + 1, limit, cells).all()
+        assert line_dedup.halves_may_be_within(texts, size, i + 1, i, limit, cells, chunk=7).all()
+
+
+def test_lines_with_other_halves_are_not_compared(monkeypatch):
+    """Lines of the same pairs of letters in another order: bounds tell them apart, no distance is computed."""
+    rng = random.Random(13)
+    lines = []
+    for _ in range(20):
+        one, two = (" ".join("".join(rng.choice(a) for _ in range(6)) for _ in range(30)) for a in ("abcdefgh", "rstuvwxy"))
+        lines += [f"{one} {two}", f"{two} {one}"]
+    pdf = pd.DataFrame({"unit": np.repeat(range(20), 2), "half": 0, "rid": range(len(lines)), "band": 0, "text": lines})
+    calls, many = [], line_dedup.within_many
+    monkeypatch.setattr(line_dedup, "within_many", lambda *a: calls.append(a) or many(*a))
+    monkeypatch.setattr(line_dedup, "line_hashes", lambda t, h: (None,) * 4 + (np.zeros((len(lines), line_dedup.BANDS * line_dedup.WIDTH), np.uint8),))
+    assert sum(map(len, line_dedup.near_edges(iter([pdf]), 0.8))) == 0 and not calls
+
+
+def test_units_with_the_same_least_line_are_side_by_side():
+    """Buckets of like members, and another: the names of the first differ, but not in the bits by which they are dealt out."""
+    buckets = [(1, [7, 9, 11]), (2, [7, 9]), (3, [7, 9, 11, 30]), (4, [9, 11]), (5, [7, 9])]
+    key, rid = (np.array(x, dtype=np.uint64) for x in zip(*[(k << 40 | k, r) for k, members in buckets for r in members], strict=True))
+    row = {"part": 0, "key_low": key.astype(np.uint32).tobytes(), "key_high": (key >> np.uint64(32)).astype(np.uint16).tobytes()}
+    row |= {"rid_low": rid.astype(np.uint32).tobytes(), "rid_high": (rid >> np.uint64(32)).astype(np.uint32).tobytes()}
+    found = line_dedup.bucket_rows(pd.DataFrame([row]), 300)
+    names = {k: tuple(sorted(g["rid"])) for k, g in found.drop_duplicates(["unit", "rid"]).groupby("unit")}
+    assert sorted(names.values()) == [(7, 9), (7, 9, 11), (7, 9, 11, 30), (9, 11)]
+    assert len({k >> (64 - line_dedup.FAMILY) for k, m in names.items() if m[0] == 7}) == 1
+
+
 def near_family(n, rng, words=40):
     """Distinct lines of which all are near the first."""
     line = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(6)) for _ in range(words)]

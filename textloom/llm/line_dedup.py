@@ -25,6 +25,8 @@ from .shingles import WordHasher, mix64, text_groups
 BANDS, ROWS, WIDTH = 20, 3, 5
 #: Buckets of the bit table that says which texts may have wanted lines.
 BITS = 1 << 20
+#: Bits of a unit's name by which units are dealt out.
+FAMILY = 24
 #: Members of a large bucket that all its blocks hold, and the half of their rows outside their own block.
 ANCHORS, GUEST = 16, 3
 ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -81,7 +83,9 @@ def line_hashes(texts: list[str], hasher: WordHasher):
     text = np.repeat(np.arange(len(texts)), lines)
     number = np.arange(total) - np.repeat(np.cumsum(lines) - lines, lines)
     some = np.flatnonzero(words)
-    digests = [hashlib.md5(b" ".join(w)).digest() for x in raw.split(b"\n") if (w := x.split())]
+    kept = data != 32  # of spaces one between two words of a line
+    kept[stop[:-1][line[1:] == line[:-1]]] = True
+    digests = [hashlib.md5(x).digest() for x in data[kept].tobytes().split(b"\n") if x]
     bands = line_bands(hasher(data, start, stop), first[some], words[some]) if len(some) else np.zeros((0, BANDS * WIDTH), np.uint8)
     return text[some], number[some], words[some], digests, bands
 
@@ -168,12 +172,15 @@ def _batch_within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
     blocks, k = -(-int(rows.max()) // 64), int(limit.max()) + 1
     code_a = np.frombuffer("".join(x.rjust(n, "\n") for x in a).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     code_b = np.frombuffer("".join("\n" * p + y for p, y in zip(pad, b, strict=True)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters, code_b = np.unique(code_b, return_inverse=True)
+    rank = np.zeros(1 + int(max(code_a.max(), code_b.max())), dtype=np.int64)
+    rank[code_b] = 1
+    letters = np.flatnonzero(rank)
     if pairs > 1 and blocks * (len(letters) + 1) * pairs > 1 << 22:
         half = pairs // 2
         return np.concatenate([_batch_within(a[:half], b[:half], limit[:half]), _batch_within(a[half:], b[half:], limit[half:])])
-    code = np.minimum(np.searchsorted(letters, code_a), len(letters) - 1)
-    code = np.where(letters[code] == code_a, code, len(letters)).reshape(pairs, n)
+    rank[:] = len(letters)
+    rank[letters] = np.arange(len(letters))
+    code, code_b = rank[code_a].reshape(pairs, n), rank[code_b]
     own = np.repeat(np.arange(pairs), rows)
     row = np.arange(len(own)) - np.repeat(np.cumsum(rows) - rows, rows)
     width = (len(letters) + 1) * pairs
@@ -258,11 +265,55 @@ def pair_counts(texts: list[str], size: np.ndarray, buckets: int = 256) -> np.nd
 
 
 def may_be_within(counts: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray, chunk: int = 8192) -> np.ndarray:
-    """Which pairs may have an edit distance within limit: an edit changes at most two pairs of characters on each side."""
-    parts = [np.abs(counts[i[lo : lo + chunk]] - counts[j[lo : lo + chunk]]).sum(1, dtype=np.int64) <= 4 * limit[lo : lo + chunk] for lo in range(0, len(i), chunk)]
+    """Which pairs may have an edit distance within limit: an edit takes at most two pairs of characters away and brings at most two,
+    and of what is taken and what is brought the larger is half of the sum and of the difference."""
+    total, parts = counts.sum(1, dtype=np.int64), []
+    for lo in range(0, len(i), chunk):
+        x, y = i[lo : lo + chunk], j[lo : lo + chunk]
+        parts.append(np.abs(counts[x] - counts[y]).sum(1, dtype=np.int64) + np.abs(total[x] - total[y]) <= 4 * limit[lo : lo + chunk])
     return np.concatenate(parts) if parts else np.zeros(0, dtype=bool)
 
 
+def letter_steps(texts: list[str], size: np.ndarray, step: np.ndarray, cells: int, buckets: int) -> np.ndarray:
+    """How often each bucket's letters occur in each text's first 0, 1, ... ``cells`` steps of so many letters (cut to int16)."""
+    out = np.zeros((len(texts), cells + 1, buckets), dtype=np.int16)
+    for lo in range(0, len(texts), 512):
+        some, n = texts[lo : lo + 512], size[lo : lo + 512]
+        code = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype=np.uint32) % buckets
+        row = np.repeat(np.arange(len(some)), n)
+        cell = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) // step[lo : lo + 512][row]
+        counts = np.bincount((row * cells + cell) * buckets + code, minlength=len(some) * cells * buckets)
+        np.cumsum(counts.reshape(len(some), cells, buckets), axis=1, out=out[lo : lo + 512, 1:], dtype=np.int16)
+    return out
+
+
+def halves_may_be_within(texts: list[str], size: np.ndarray, i: np.ndarray, j: np.ndarray, limit: np.ndarray, cells: int = 64, buckets: int = 32, chunk: int = 4096) -> np.ndarray:
+    """Which pairs may have an edit distance within limit by the letters of their halves: an alignment takes the first half of one
+    text to some beginning of the other, at most limit letters longer or shorter, and the rest to the rest. Beginnings are looked at
+    in steps; of one letter more or less the bound changes by two at most. Nothing is said of texts of more than 32,000 letters."""
+    out = np.ones(len(i), dtype=bool)
+    todo = np.flatnonzero(np.maximum(size[i], size[j]) <= 32_000)
+    for part in (todo[lo : lo + chunk] for lo in range(0, len(todo), chunk)):
+        used, at = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+        x, y, most = at[: len(part)], at[len(part) :], limit[part]
+        n = size[used]
+        step = np.maximum(1, -(-n // cells))
+        seen = letter_steps([texts[k] for k in used.tolist()], n, step, cells, buckets)
+        middle = np.minimum(n, cells // 2 * step)[x]
+        first, rest = seen[x, cells // 2], seen[x, cells] - seen[y, cells]
+        low, high = np.maximum(0, (middle - most) // step[y]), np.minimum(cells, -(-(middle + most) // step[y]))
+        best = np.full(len(part), 1 << 40)
+        for g in range(int(low.min()), int(high.max()) + 1):
+            now = np.flatnonzero((low <= g) & (g <= high))
+            one = first[now] - seen[y[now], g]
+            more = middle[now] - np.minimum(n[y[now]], g * step[y[now]])
+            two, other = rest[now] - one, n[x[now]] - n[y[now]] - more
+            cost = np.abs(one).sum(1, dtype=np.int64) + np.abs(more) + np.abs(two).sum(1, dtype=np.int64) + np.abs(other)
+            best[now] = np.minimum(best[now], cost // 2)
+        out[part] = best - step[y] // 2 * 2 <= most
+    return out
+
+
 class Undecided:
     """Pairs of lines that bounds don't decide, gathered over many units so that their distances are found many at once."""
 
@@ -337,14 +388,14 @@ def near_edges(frames, similarity: float, letters: int = 1 << 21, pending: int =
 
 def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.DataFrame:
     """Links of the pairs that bounds decide; the others go to ``undecided``."""
-    bounds, half = group_bounds(pdf["unit"].to_numpy()), pdf["half"].to_numpy()
-    text = pdf["text"].tolist()
-    size, band = np.fromiter(map(len, text), dtype=np.int64, count=len(text)), pdf["band"].to_numpy()
+    bounds, half, band = group_bounds(pdf["unit"].to_numpy()), pdf["half"].to_numpy(), pdf["band"].to_numpy()
+    rid, first, node = np.unique(pdf["rid"].to_numpy(), return_index=True, return_inverse=True)
+    text = pdf["text"].iloc[first].tolist()
+    size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
     bands = line_hashes(["\n".join(text)], WordHasher())[4].reshape(len(text), BANDS, WIDTH)
     keys = np.zeros((len(text), BANDS, 8), dtype=np.uint8)
     keys[:, :, :WIDTH] = bands
     keys = keys.view(np.uint64)[:, :, 0]
-    rid, first, node = np.unique(pdf["rid"].to_numpy(), return_index=True, return_inverse=True)
     forest, counts, left, group = Forest(len(rid)), pair_counts(text, size), [], rid
     if "root" in pdf.columns:
         group = pdf["root"].to_numpy()[first]
@@ -352,28 +403,32 @@ def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.
         for k in np.flatnonzero(group[order][1:] == group[order][:-1]).tolist():
             forest.join(int(order[k]), int(order[k + 1]))
     for i, j in group_pairs(bounds):
+        guest = (half[i] == GUEST) | (half[j] == GUEST)
+        own, at, i, j = own_pairs(half, i, j), band[i], node[i], node[j]
         longest = np.maximum(size[i], size[j])
         limit = ((1 - similarity) * longest + 1e-9).astype(np.int64)
-        near = own_pairs(half, i, j) & (longest - np.minimum(size[i], size[j]) <= limit)
-        i, j, limit = i[near], j[near], limit[near]
+        near = np.flatnonzero(own & (longest - np.minimum(size[i], size[j]) <= limit))
+        i, j, limit, guest, at = i[near], j[near], limit[near], guest[near], at[near]
         # a pair is looked at in the first band it meets in, but for guests: which blocks they visit differs by band
-        near = (np.argmax(keys[i] == keys[j], axis=1) == band[i]) | (half[i] == GUEST) | (half[j] == GUEST)
+        near = (np.argmax(keys[i] == keys[j], axis=1) == at) | guest
         i, j, limit = i[near], j[near], limit[near]
         near = may_be_within(counts, i, j, limit)
         i, j, limit = i[near], j[near], limit[near]
+        near = halves_may_be_within(text, size, i, j, limit)
+        i, j, limit = i[near], j[near], limit[near]
         open_ = np.zeros(len(i), dtype=bool)
-        for k, (x, y, p, q, most) in enumerate(zip(i.tolist(), j.tolist(), node[i].tolist(), node[j].tolist(), limit.tolist(), strict=True)):
+        for k, (p, q, most) in enumerate(zip(i.tolist(), j.tolist(), limit.tolist(), strict=True)):
             if forest.find(p) != forest.find(q):
-                if cost_at_most(text[x], text[y]) <= most:
+                if cost_at_most(text[p], text[q]) <= most:
                     forest.join(p, q)
                 else:
                     open_[k] = True
-        left.append((node[i[open_]], node[j[open_]], limit[open_]))
+        left.append((i[open_], j[open_], limit[open_]))
     if left:
         i, j, limit = map(np.concatenate, zip(*left, strict=True))
         apart = np.fromiter((forest.find(p) != forest.find(q) for p, q in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
         if apart.any():
-            undecided.add(rid, [text[k] for k in first], i[apart], j[apart], limit[apart], forest, group)
+            undecided.add(rid, text, i[apart], j[apart], limit[apart], forest, group)
     return _between(forest, rid, group)
 
 
@@ -412,7 +467,7 @@ def bucket_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
     """Units (unit, half, rid, band, key) of the buckets of two lines or more in rows of key_blobs that hold whole buckets.
 
     A bucket of at most ``limit`` lines is one unit, named after its members, so that those of several bands with the same members
-    are one. A larger one is dealt into blocks by hash, each with the bucket's ANCHORS as guests, so that most near lines are joined by
+    are one; the name begins with FAMILY bits of the least, so that units of like members come to one task, side by side. A larger one is dealt into blocks by hash, each with the bucket's ANCHORS as guests, so that most near lines are joined by
     rows that grow with the bucket, not with its square; the rest of its pairs is left to cross_rows. key is -1 where none are left."""
     joined = lambda name, kind: np.frombuffer(b"".join(pdf[name]), dtype=kind).astype(np.uint64)
     key = joined("key_high", "<u2") << np.uint64(32) | joined("key_low", "<u4")
@@ -428,7 +483,8 @@ def bucket_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
         if few.any():
             k, r = key[few], rid[few]
             cut = group_bounds(k)
-            name = mix64(np.add.reduceat(mix64(mix64(r)), cut[:-1]))
+            rest = np.uint64(64 - FAMILY)
+            name = mix64(np.minimum.reduceat(r, cut[:-1])) >> rest << rest | mix64(np.add.reduceat(mix64(mix64(r)), cut[:-1])) >> np.uint64(FAMILY)
             out.append((np.repeat(name, np.diff(cut)), np.zeros(len(r), np.int32), r, k, np.full(len(r), -1, np.int64)))
         for lo, hi in zip(bounds[:-1][size > limit], bounds[1:][size > limit], strict=True):
             r, blocks = rid[lo:hi], -(-(hi - lo) // limit)
@@ -554,7 +610,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         yield from near_edges(frames, similarity)
 
     def links(units: DataFrame) -> DataFrame:
-        return units.join(wanted_lines, "rid").repartition("unit").sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
+        return units.join(wanted_lines, "rid").repartition(F.shiftright("unit", 64 - FAMILY)).sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
 
     scratch = [distinct, named_units, wanted_lines]  # nothing reads them once there are classes
     roots = components(links(named_units.drop("key")))
