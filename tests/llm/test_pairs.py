@@ -465,3 +465,46 @@ def test_lines_of_different_roots_and_like_length_meet_in_one_unit():
         like = lambda i, j: abs(int(size[i]) - int(size[j])) <= 0.2 * max(size[i], size[j]) + 1e-9
         assert {(i, j) for i, j in combinations(range(n), 2) if root[i] != root[j] and like(i, j)} <= met
         assert len(met) < (0.65 if roots > 1 else 0.01) * n * (n - 1) / 2
+
+
+def test_dear_bounds_are_for_pairs_left_over(monkeypatch):
+    """All lines of a unit are near the first, so none of their 780 pairs is left for the bound by halves."""
+    lines = near_family(40, random.Random(15), 12)
+    pdf = pd.DataFrame({"unit": 1, "half": 0, "rid": range(40), "band": 0, "text": lines})
+    asked, halves = [], line_dedup.halves_may_be_within
+    monkeypatch.setattr(line_dedup, "halves_may_be_within", lambda *a: asked.append(len(a[2])) or halves(*a))
+    monkeypatch.setattr(line_dedup, "line_hashes", lambda t, h: (None,) * 4 + (np.zeros((40, line_dedup.BANDS * line_dedup.WIDTH), np.uint8),))
+    links = pd.concat(line_dedup.near_edges(iter([pdf]), 0.8))
+    assert len(links) == 39 and sum(asked) < 100
+
+
+def test_long_near_texts_need_no_distance():
+    rng = random.Random(16)
+    words = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(3, 9))) for _ in range(1500)]
+    a, b = " ".join(words), " ".join(w if k % 12 else "new" for k, w in enumerate(words))
+    assert edit(a[:900], b[:900]) <= line_dedup.cost_at_most(a[:900], b[:900])
+    assert line_dedup.cost_at_most(a, b) <= 0.2 * len(a)
+
+
+def test_lines_of_chunks_find_their_groups():
+    """Two chunks with lines in common: each line is told the first occurrence and the count of its group, all by way of byte strings."""
+    rng = np.random.default_rng(17)
+    pieces, rows = [], []
+    for base, n in ((0, 90), (1 << 36, 70)):
+        known, ids, th, line, words = rng.integers(0, 2, n), rng.integers(-3, 3, n), rng.integers(0, 2, n), rng.integers(0, 3, n).astype(np.int32), np.full(n, 7)
+        ids, text = np.where(known, ids, 0), rng.integers(0, 60, n)
+        h = np.array([np.frombuffer(hashlib.md5(str(t).encode()).digest(), "<u8") for t in text])
+        bands = np.repeat(text[:, None], line_dedup.BANDS * line_dedup.WIDTH, 1).astype(np.uint8)
+        pieces.append(line_dedup.line_pieces(base, known, ids, th, line, words, h, bands, 5))
+        rows += zip(known.tolist(), ids.tolist(), line.tolist(), th.tolist(), (base + np.arange(n)).tolist(), text.tolist(), strict=True)
+    pieces = pd.concat(pieces)
+    distinct = pd.concat(line_dedup.distinct_lines(pieces[pieces["own"] == 0].sort_values("part", kind="stable")))
+    assert sum(distinct["lines"]) == len({r[-1] for r in rows})
+    first = {t: min(r[:5] for r in rows if r[-1] == t) for t in {r[-1] for r in rows}}
+    count = {t: sum(r[-1] == t for r in rows) for t in first}
+    told = pd.concat(line_dedup.replies(iter([distinct.assign(picks=None)])))
+    own = pieces[pieces["own"] == 1][["chunk", "known", "id", "th", "line", "words", "local"]]
+    found = pd.concat(line_dedup.answered(pd.concat([own, told]).sort_values("chunk", kind="stable")))
+    assert len(found) == len(rows)
+    for got, r in zip(found.itertuples(), rows, strict=True):
+        assert (got.keep_known, got.keep_id, got.keep_line, got.lines, got.kept) == (*first[r[-1]][:3], count[r[-1]], first[r[-1]][4] == r[4])

@@ -86,6 +86,18 @@ def materialize(df: DataFrame, codec: str = "none", batch: int = 2000) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, column: str, values: tuple[int, ...], codec: str = "none") -> list[DataFrame]:
+    """materialize() with a table for each value of ``column``, which they lack, so that each can be dropped by itself."""
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    with arrow_rows(spark, 2000):
+        df.write.option("compression", codec).partitionBy(column).parquet(path)
+    for value in values:  # a value without rows has no folder
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)
+    return [spark.read.schema(df.drop(column).schema).parquet(f"{path}/{column}={value}") for value in values]
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete the files of materialised tables that nothing reads any more."""
     for df in tables:

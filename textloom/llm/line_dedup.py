@@ -18,17 +18,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, components, drop_scratch, from_spot, group_bounds, group_pairs, join_hot, map_whole_groups, materialize, own_pairs, release_shuffles, spot, whole_groups
+from .common import Forest, components, drop_scratch, from_spot, group_bounds, group_pairs, map_whole_groups, materialize, materialize_by, own_pairs, release_shuffles, spot, whole_groups
 from .shingles import WordHasher, mix64, text_groups
 
 #: Bands, MinHash values of a band, and bytes of a band's key.
 BANDS, ROWS, WIDTH = 20, 3, 5
 #: Buckets of the bit table that says which texts may have wanted lines.
 BITS = 1 << 20
+#: Ranges of digests by which lines are dealt out (a power of two), and lines of a task that are dealt together.
+RANGES, HELD = 1 << 10, 1 << 17
 #: Bits of a unit's name by which units are dealt out.
 FAMILY = 24
 #: Members of a large bucket that all its blocks hold, and the half of their rows outside their own block.
 ANCHORS, GUEST = 16, 3
+#: Columns of a line in byte strings (see line_pieces), and their kinds.
+KINDS = {"known": "u1", "id": "<i8", "th": "<i8", "line": "<i4", "words": "<i4", "local": "<i4", "h": "<u8", "n": "<i8", "at": "<i4", "has": "u1", "bands": "u1"}
 ODD = np.random.default_rng(11).integers(0, 1 << 31, (BANDS, ROWS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -93,14 +97,16 @@ def line_hashes(texts: list[str], hasher: WordHasher):
 def without_ends(a: str, b: str, step: int = 64) -> tuple[str, str]:
     """The texts without their common beginning and, of the rest, the common end."""
     k, n = 0, min(len(a), len(b))
-    while k + step <= n and a[k : k + step] == b[k : k + step]:
-        k += step
+    for size in (step, 8):
+        while k + size <= n and a[k : k + size] == b[k : k + size]:
+            k += size
     while k < n and a[k] == b[k]:
         k += 1
     a, b = a[k:], b[k:]
     k, n = 0, n - k
-    while k + step <= n and a[len(a) - k - step : len(a) - k] == b[len(b) - k - step : len(b) - k]:
-        k += step
+    for size in (step, 8):
+        while k + size <= n and a[len(a) - k - size : len(a) - k] == b[len(b) - k - size : len(b) - k]:
+            k += size
     while k < n and a[-1 - k] == b[-1 - k]:
         k += 1
     return a[: len(a) - k], b[: len(b) - k]
@@ -244,14 +250,23 @@ def _batch_within(a: list[str], b: list[str], limit: np.ndarray) -> np.ndarray:
     return result
 
 
-def cost_at_most(a: str, b: str, depth: int = 4, piece: int = 12) -> int:
-    """An upper bound of the edit distance: common ends aside, a piece from the middle that both have parts the rest in two."""
+def cost_at_most(a: str, b: str, most: int = 1 << 60, depth: int = 16, pieces: tuple[int, ...] = (12, 6)) -> int:
+    """An upper bound of the edit distance: common ends aside, a piece from the middle that both have parts the rest in two. Nothing is
+    looked for that can't bring it to ``most``."""
     a, b = without_ends(a, b)
-    if depth and len(a) > 2 * piece and len(b) > piece:
-        for mid in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
-            lo = mid - piece // 2
-            if (at := b.find(a[lo : lo + piece])) >= 0:
-                return cost_at_most(a[:lo], b[:at], depth - 1) + cost_at_most(a[lo + piece :], b[at + piece :], depth - 1)
+    for piece in pieces if depth else ():
+        if len(a) > 2 * piece and len(b) > piece:
+            for mid in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+                lo = mid - piece // 2
+                shift = 32 + abs(len(a) - len(b)) + len(a) // 32  # not far from its own place, if it is there
+                at = b.find(a[lo : lo + piece], max(0, lo - shift), lo + shift + piece)
+                at = b.find(a[lo : lo + piece]) if at < 0 else at
+                if at < 0 or abs(lo - at) + abs(len(a) - lo - len(b) + at) > most:
+                    continue
+                first = cost_at_most(a[:lo], b[:at], most, depth - 1, pieces)
+                if first > most:
+                    return first + max(len(a) - lo, len(b) - at) - piece
+                return first + cost_at_most(a[lo + piece :], b[at + piece :], most - first, depth - 1, pieces)
     return max(len(a), len(b))
 
 
@@ -414,12 +429,10 @@ def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.
         i, j, limit = i[near], j[near], limit[near]
         near = may_be_within(counts, i, j, limit)
         i, j, limit = i[near], j[near], limit[near]
-        near = halves_may_be_within(text, size, i, j, limit)
-        i, j, limit = i[near], j[near], limit[near]
         open_ = np.zeros(len(i), dtype=bool)
         for k, (p, q, most) in enumerate(zip(i.tolist(), j.tolist(), limit.tolist(), strict=True)):
             if forest.find(p) != forest.find(q):
-                if cost_at_most(text[p], text[q]) <= most:
+                if cost_at_most(text[p], text[q], most) <= most:
                     forest.join(p, q)
                 else:
                     open_[k] = True
@@ -427,44 +440,215 @@ def near_part(pdf: pd.DataFrame, similarity: float, undecided: Undecided) -> pd.
     if left:
         i, j, limit = map(np.concatenate, zip(*left, strict=True))
         apart = np.fromiter((forest.find(p) != forest.find(q) for p, q in zip(i.tolist(), j.tolist(), strict=True)), dtype=bool, count=len(i))
-        if apart.any():
-            undecided.add(rid, text, i[apart], j[apart], limit[apart], forest, group)
+        i, j, limit = i[apart], j[apart], limit[apart]
+        near = halves_may_be_within(text, size, i, j, limit)  # the dearest bound, so only for pairs not joined by others
+        if near.any():
+            undecided.add(rid, text, i[near], j[near], limit[near], forest, group)
     return _between(forest, rid, group)
 
 
+def bytes_of(name: str, values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values, dtype=KINDS[name]).tobytes()
+
+
+def column(pdf: pd.DataFrame, name: str) -> np.ndarray:
+    """The values of a column of byte strings, one row's after the other's."""
+    return np.frombuffer(b"".join(pdf[name]), dtype=KINDS[name])
+
+
+def line_pieces(base: int, known: np.ndarray, ids: np.ndarray, th: np.ndarray, line: np.ndarray, words: np.ndarray, h: np.ndarray, bands: np.ndarray, min_words: int) -> pd.DataFrame:
+    """Lines of one task, numbered from ``base`` on, in byte strings: a row of own = 1 with all lines, and one for each range of digests
+    with the distinct ones: digest, first occurrence (known, id, th, line, at: its number less base), count n, and keys of bands if has.
+    local names a line's place among the distinct, which are sorted by digest; a range's begin at start."""
+    order = np.lexsort((th, line, ids, known, h[:, 1], h[:, 0]))
+    new = np.r_[True, (h[order][1:] != h[order][:-1]).any(1)]
+    first, n = order[new], np.diff(np.r_[np.flatnonzero(new), len(order)])
+    local = np.empty(len(order), dtype=np.int32)
+    local[order] = np.cumsum(new) - 1
+    rows = [{"own": 1, "part": -1, "chunk": base, "start": 0, "known": bytes_of("known", known), "id": bytes_of("id", ids), "th": bytes_of("th", th), "line": bytes_of("line", line), "words": bytes_of("words", words), "local": bytes_of("local", local)}]
+    h, has = h[first], words[first] >= min_words
+    part = (h[:, 0] // np.uint64((1 << 64) // RANGES)).astype(np.int64)
+    values = {"known": known[first], "id": ids[first], "th": th[first], "line": line[first], "h": h, "n": n, "at": first, "has": has}
+    bands, before = bands[first[has]], np.r_[0, np.cumsum(has)]
+    cut = group_bounds(part)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        row = {"own": 0, "part": int(part[lo]), "chunk": base, "start": lo} | {k: bytes_of(k, v[lo:hi]) for k, v in values.items()}
+        rows.append(row | {"bands": bytes_of("bands", bands[before[lo] : before[hi]])})
+    return pd.DataFrame(rows, columns=["part", "chunk", "start", *KINDS, "own"])
+
+
+def distinct_lines(pdf: pd.DataFrame):
+    """For each range of digests (part) a row with its distinct lines of all chunks: first occurrence (at in its chunk ``from``), count,
+    keys of bands; and for the reply, chunk by chunk (chunks, start, many), the place of each of the chunk's lines (local). A line's rid
+    is its place, and the range from 32 bits on."""
+    cut = group_bounds(pdf["part"].to_numpy())
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        some = pdf.iloc[lo:hi]
+        h, known, ids, th, line, at, n, has = (column(some, k) for k in ("h", "known", "id", "th", "line", "at", "n", "has"))
+        h, many = h.reshape(-1, 2), some["known"].str.len().to_numpy()
+        chunk = np.repeat(some["chunk"].to_numpy(), many)
+        order = np.lexsort((chunk + at, th, line, ids, known, h[:, 1], h[:, 0]))
+        new = np.r_[True, (h[order][1:] != h[order][:-1]).any(1)]
+        first = order[new]
+        local = np.empty(len(order), dtype=np.int32)
+        local[order] = np.cumsum(new) - 1
+        bands = column(some, "bands").reshape(-1, BANDS * WIDTH)[(np.cumsum(has) - 1)[first[has[first] > 0]]]
+        values = {"known": known[first], "id": ids[first], "th": th[first], "line": line[first], "n": np.add.reduceat(n[order], np.flatnonzero(new)), "at": at[first], "has": has[first], "bands": bands, "local": local}
+        row = {"part": some["part"].iloc[0], "lines": int(has[first].sum())} | {k: bytes_of(k, v) for k, v in values.items()}
+        row |= {"from": bytes_of("id", chunk[first]), "chunks": bytes_of("id", some["chunk"]), "start": bytes_of("at", some["start"]), "many": bytes_of("at", many)}
+        yield pd.DataFrame([row])
+
+
+DISTINCT = "part long, lines long, known binary, id binary, th binary, line binary, n binary, at binary, has binary, bands binary, local binary, from binary, chunks binary, start binary, many binary"
+
+
+def picked(frames, columns: list[str], fields: list[str]):
+    """For rows of distinct_lines with a list ``picks`` of structs (rid and ``fields``): (rid, fields and ``columns`` of the lines)."""
+    for pdf in frames:
+        for _, row in pdf.iterrows():
+            rid = np.array([x["rid"] for x in row["picks"]], dtype=np.int64)
+            out = {"rid": rid} | {f: [x[f] for x in row["picks"]] for f in fields}
+            yield pd.DataFrame(out | {c: np.frombuffer(row[c], dtype=KINDS["id" if c == "from" else c])[rid & 0xFFFFFFFF] for c in columns}).astype({"known": bool})
+
+
+def spot_places(th: np.ndarray, line: np.ndarray, size: int) -> np.ndarray:
+    """The bits, of 8 * ``size``, of lines of texts."""
+    with np.errstate(over="ignore"):
+        return mix64(th.astype(np.int64).view(np.uint64) + mix64(line.astype(np.uint64) + np.uint64(1))) & np.uint64(8 * size - 1)
+
+
+def spot_bits(spots: DataFrame, most: int = 1 << 24):
+    """A broadcast bit table of the lines (th, line), about a bit in 32 set, of at most ``most`` bytes; its slots of 8 KB are filled by tasks."""
+    size = 1 << min(most.bit_length() - 1, max(13, (4 * spots.count()).bit_length()))
+
+    def slots(frames):
+        for pdf in frames:
+            place = np.unique(spot_places(pdf["th"].to_numpy(), pdf["line"].to_numpy(), size))
+            slot, low = (place >> np.uint64(16)).astype(np.int32), place.astype(np.uint16)
+            cut = group_bounds(slot)
+            yield pd.DataFrame({"slot": slot[cut[:-1]], "low": [low[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]})
+
+    def filled(pdf):
+        cut = group_bounds(pdf["slot"].to_numpy())
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            bits = np.zeros(1 << 16, dtype=np.uint8)
+            bits[np.frombuffer(b"".join(pdf["low"].iloc[lo:hi]), dtype=np.uint16)] = 1
+            yield pd.DataFrame({"slot": [pdf["slot"].iloc[lo]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    table = np.zeros((size >> 13, 1 << 13), dtype=np.uint8)
+    for row in map_whole_groups(spots.select("th", "line").mapInPandas(slots, "slot int, low binary"), "slot", filled, "slot int, bits binary", 1).collect():
+        table[row["slot"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return spots.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def lines_at(pdf: pd.DataFrame, bits: bytes) -> pd.DataFrame:
+    """The normalised lines (known, id, th, line, text) of texts that are in the bit table, others by chance."""
+    table, texts = np.frombuffer(bits, dtype=np.uint8), pdf["text"].tolist()
+    many = np.fromiter((t.count("\n") + 1 for t in texts), dtype=np.int64, count=len(texts))
+    owner = np.repeat(np.arange(len(texts)), many)
+    line = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    place = spot_places(pdf["th"].to_numpy()[owner], line, len(table))
+    hit = np.flatnonzero(table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+    owner, line, found, last = owner[hit], line[hit], [], -1
+    for k, n in zip(owner.tolist(), line.tolist(), strict=True):
+        if k != last:
+            own, last = texts[k].split("\n"), k
+        found.append(normalised(own[n]))
+    return pd.DataFrame({c: pdf[c].to_numpy()[owner] for c in ("known", "id", "th")} | {"line": line.astype(np.int32), "text": found})
+
+
+def replies(frames):
+    """For rows of distinct_lines with ``picks`` (rid, keep: known, id, line, row, and lines of the line's group) of the lines that are near others:
+    for each chunk, in byte strings, what its lines (local) of groups of two lines or more have to know."""
+    for pdf in frames:
+        for _, row in pdf.iterrows():
+            get = lambda name, kind=None: np.frombuffer(row[name], dtype=KINDS[kind or name])  # noqa: E731, B023
+            keep = {"known": get("known").copy(), "id": get("id").copy(), "line": get("line").copy(), "row": get("from", "id") + get("at"), "n": get("n").copy()}
+            if row["picks"] is not None and len(row["picks"]):
+                where = np.array([x["rid"] for x in row["picks"]], dtype=np.int64) & 0xFFFFFFFF
+                for name, source in (("known", "known"), ("id", "id"), ("line", "line"), ("row", "row"), ("n", "lines")):
+                    keep[name][where] = [x[source] for x in row["picks"]]
+            local, many, begin = get("local"), get("many", "at"), get("start", "at")
+            cut = np.r_[0, np.cumsum(many)]
+            out = []
+            for chunk, start, lo, hi in zip(get("chunks", "id").tolist(), begin.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                here = local[lo:hi]
+                more = np.flatnonzero(keep["n"][here] > 1)
+                if len(more):
+                    to = here[more]
+                    out.append({"chunk": chunk, "local": bytes_of("local", start + more), "keep_known": bytes_of("known", keep["known"][to]), "keep_id": bytes_of("id", keep["id"][to]), "keep_line": bytes_of("line", keep["line"][to]), "keep_row": bytes_of("id", keep["row"][to]), "lines": bytes_of("n", keep["n"][to])})
+            if out:
+                yield pd.DataFrame(out)
+
+
+def answered(pdf: pd.DataFrame, rows: int = 1 << 15):
+    """The lines of whole chunks, one row each, from their rows of line_pieces and replies; without a reply a line is a group of its own."""
+    cut = group_bounds(pdf["chunk"].to_numpy())
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        some = pdf.iloc[lo:hi]
+        own, told = some[some["words"].notna()], some[some["words"].isna()]
+        known, ids, th, line, words, local = (column(own, k) for k in ("known", "id", "th", "line", "words", "local"))
+        row = int(own["chunk"].iloc[0]) + np.arange(len(local))
+        at = np.full(int(local.max()) + 1, -1)
+        to = column(told, "local")
+        at[to] = np.arange(len(to))
+        at = at[local]
+        joined = lambda name, kind: np.r_[np.frombuffer(b"".join(told[name]), dtype=KINDS[kind]), np.zeros(1, KINDS[kind])][at]  # noqa: E731, B023
+        alone = at < 0
+        out = pd.DataFrame({
+            "known": known > 0, "id": ids, "th": th, "line": line, "words": words,
+            "keep_known": np.where(alone, known, joined("keep_known", "known")) > 0, "keep_id": np.where(alone, ids, joined("keep_id", "id")),
+            "keep_line": np.where(alone, line, joined("keep_line", "line")), "lines": np.where(alone, 1, joined("lines", "n")),
+            "kept": alone | (joined("keep_row", "id") == row),
+        })
+        for a in range(0, len(out), rows):
+            yield out.iloc[a : a + rows]
+
+
 def key_blobs(distinct: DataFrame, held: int = 1 << 17) -> DataFrame:
     """The band keys (40 bits and the band) and rids of all lines in byte strings, dealt by ranges of the keys: a row for a part's keys
-    of up to ``held`` lines, so that not every key is a row."""
-    rows = distinct.where("bands is not null").select("rid", "bands")
-    parts = min(1 << 12, max(1 << 4, rows.count() * BANDS >> 16))
+    of up to ``held`` lines, so that not every key is a row. Bytes that a part's keys or neighbouring lines have in common lie together."""
+    lines = distinct.agg(F.sum("lines")).first()[0] or 0
+    parts = min(1 << 12, max(1 << 4, lines * BANDS >> 16))
 
-    def blobs(rid: np.ndarray, bands: list[bytes]) -> pd.DataFrame:
+    def blobs(rid: np.ndarray, bands: np.ndarray) -> pd.DataFrame:
         key = np.zeros((len(rid), BANDS, 8), dtype=np.uint8)
-        key[:, :, :WIDTH] = np.frombuffer(b"".join(bands), dtype=np.uint8).reshape(len(rid), BANDS, WIDTH)
+        key[:, :, :WIDTH] = bands.reshape(len(rid), BANDS, WIDTH)
         key[:, :, WIDTH] = np.arange(BANDS)
         key, rid = key.view("<u8").reshape(-1), np.repeat(rid.view(np.uint64), BANDS)
         part = ((key >> np.uint64(8) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
         order = np.argsort(part, kind="stable")
         key, rid, cut = key[order], rid[order], group_bounds(part[order])
-        columns = {"key_low": key.astype(np.uint32), "key_high": (key >> np.uint64(32)).astype(np.uint16), "rid_low": rid.astype(np.uint32), "rid_high": (rid >> np.uint64(32)).astype(np.uint32)}
+        columns = {"low": key.astype(np.uint32), "top": (key >> np.uint64(32)).astype(np.uint8), "band": (key >> np.uint64(40)).astype(np.uint8)}
+        columns |= {"rid_0": rid.astype(np.uint16), "rid_16": (rid >> np.uint64(16)).astype(np.uint16), "rid_high": (rid >> np.uint64(32)).astype(np.uint32)}
         return pd.DataFrame({"part": part[order][cut[:-1]].astype(np.int32)} | {k: [v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for k, v in columns.items()})
 
     def pack(frames):
         rid, bands, n = [], [], 0
         for pdf in frames:
-            rid.append(pdf["rid"].to_numpy())
-            bands += pdf["bands"].tolist()
-            if len(bands) >= held:
-                yield blobs(np.concatenate(rid), bands)
-                rid, bands = [], []
-        if bands:
-            yield blobs(np.concatenate(rid), bands)
+            for part, has, keys in zip(pdf["part"], pdf["has"], pdf["bands"], strict=True):
+                rid.append((int(part) << 32) + np.flatnonzero(np.frombuffer(has, dtype=np.uint8)))
+                bands.append(np.frombuffer(keys, dtype=np.uint8))
+                n += len(rid[-1])
+                if n >= held:
+                    yield blobs(np.concatenate(rid), np.concatenate(bands))
+                    rid, bands, n = [], [], 0
+        if n:
+            yield blobs(np.concatenate(rid), np.concatenate(bands))
 
-    return rows.mapInPandas(pack, "part int, key_low binary, key_high binary, rid_low binary, rid_high binary")
+    return distinct.select("part", "has", "bands").mapInPandas(pack, "part int, low binary, top binary, band binary, rid_0 binary, rid_16 binary, rid_high binary")
+
+
+def whole_keys(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of key_blobs as one of bucket_rows."""
+    joined = lambda name, kind: np.frombuffer(b"".join(pdf[name]), dtype=kind)
+    high = joined("top", "u1") | joined("band", "u1").astype(np.uint16) << np.uint16(8)
+    low = joined("rid_0", "<u2") | joined("rid_16", "<u2").astype(np.uint32) << np.uint32(16)
+    return pd.DataFrame([{"key_low": b"".join(pdf["low"]), "key_high": high.tobytes(), "rid_low": low.tobytes(), "rid_high": b"".join(pdf["rid_high"])}])
 
 
 def bucket_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Units (unit, half, rid, band, key) of the buckets of two lines or more in rows of key_blobs that hold whole buckets.
+    """Units (unit, half, rid, band, key) of the buckets of two lines or more in rows of whole_keys that hold whole buckets.
 
     A bucket of at most ``limit`` lines is one unit, named after its members, so that those of several bands with the same members
     are one; the name begins with FAMILY bits of the least, so that units of like members come to one task, side by side. A larger one is dealt into blocks by hash, each with the bucket's ANCHORS as guests, so that most near lines are joined by
@@ -558,52 +742,58 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     def lines_of(frames):
         from pyspark import TaskContext
 
-        hasher, row, seen = WordHasher(), TaskContext.get().partitionId() << 36, set()
+        hasher, base, held, n = WordHasher(), TaskContext.get().partitionId() << 36, [], 0
         for pdf in frames:
             texts, known, ids, ths = pdf["text"].tolist(), pdf["known"].to_numpy(), pdf["id"].to_numpy(), pdf["th"].to_numpy()
             for lo, hi in text_groups(texts):
                 text, number, words, digests, bands = line_hashes(texts[lo:hi], hasher)
                 k = np.flatnonzero(words >= (1 if short else min_words))
-                digests = [digests[x] for x in k]
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                keys = []  # those of a line's first occurrence are enough
-                for d, x, n in zip(digests, bands[k], words[k].tolist(), strict=True):
-                    keys.append(x.tobytes() if n >= min_words and d not in seen else None)
-                    seen.add(d)
-                at = text[k] + lo
-                yield pd.DataFrame({"known": known[at], "id": ids[at], "th": ths[at], "row": row + np.arange(len(k)), "line": number[k].astype(np.int32), "words": words[k].astype(np.int32), "h": digests, "bands": keys})
-                row += len(k)
-
-    lines = materialize(flat.mapInPandas(lines_of, "known boolean, id long, th long, row long, line int, words int, h binary, bands binary"), "zstd")
-    distinct = materialize(
-        lines.groupBy("h").agg(F.first("bands", ignorenulls=True).alias("bands"), F.min(F.struct("known", "id", "line", "th", "row")).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("rid", F.monotonically_increasing_id()),
-        "zstd",
-    )
+                if not len(k):
+                    continue
+                at, digests = text[k] + lo, np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
+                held.append((known[at], ids[at], ths[at], number[k], words[k], digests[k], bands[k]))
+                n += len(k)
+                if n >= HELD:
+                    yield line_pieces(base, *map(np.concatenate, zip(*held, strict=True)), min_words)
+                    base, held, n = base + n, [], 0
+        if n:
+            yield line_pieces(base, *map(np.concatenate, zip(*held, strict=True)), min_words)
+
+    pieces = flat.mapInPandas(lines_of, "part long, chunk long, start int, " + "".join(f"{k} binary, " for k in KINDS) + "own int")
+    lines, dealt = materialize_by(pieces, "own", (1, 0), "zstd")
+    found_in = dealt.drop("words", "local")
+    distinct = materialize(map_whole_groups(found_in, "part", distinct_lines, DISTINCT, 1), "zstd")
+    drop_scratch(dealt)
     release_shuffles(docs.sparkSession)
 
     def deal(pdf: pd.DataFrame):
-        yield bucket_rows(pdf, block)
+        yield bucket_rows(whole_keys(pdf), block)
 
     met = map_whole_groups(key_blobs(distinct), "part", deal, "unit long, half int, rid long, band int, key long", 1)
     named_units = materialize(met.groupBy("unit", "half", "rid").agg(F.min("band").alias("band"), F.max("key").alias("key")))
     release_shuffles(docs.sparkSession)
-    wanted = named_units.select("rid").distinct().join(distinct.select("rid", "first"), "rid").groupBy("first.known", "first.id", "first.th").agg(F.collect_list("rid").alias("rids"), F.collect_list("first.line").alias("at"))
+
+    def picks(rids: DataFrame, columns: list[str], *fields: str) -> DataFrame:
+        """Rows of the wanted lines of ``distinct`` with their rids."""
+        by_part = rids.groupBy(F.shiftright("rid", 32).alias("part")).agg(F.collect_list(F.struct("rid", *fields)).alias("picks"))
+        kinds = {"known": "boolean", "line": "int", "at": "int"}
+        schema = ", ".join(["rid long", *(f"{f} long" for f in fields), *(f"`{c}` {kinds.get(c, 'long')}" for c in columns)])
+        return by_part.join(distinct.select("part", *columns), "part").mapInPandas(lambda frames: picked(frames, columns, list(fields)), schema)
+
+    spots = materialize(picks(named_units.select("rid").distinct(), ["known", "id", "th", "line"]), "zstd")
+    # bit tables of bounded size: most texts without wanted lines don't come to Python, most other lines aren't shuffled
+    bit = F.pmod("th", F.lit(BITS))
+    some = spots.select(bit.alias("_bit")).distinct()
+    bits = spot_bits(spots)
 
     def cut(frames):
-        """The wanted lines of a document, split once."""
         for pdf in frames:
-            out = []
-            for text, rids, at in zip(pdf["text"], pdf["rids"], pdf["at"], strict=True):
-                lines = text.split("\n")
-                out += [(r, normalised(lines[k])) for r, k in zip(rids, at, strict=True)]
-            yield pd.DataFrame(out, columns=["rid", "text"])
+            yield lines_at(pdf, bits.value)
 
-    # a bit table of bounded size keeps most texts without wanted lines out of the shuffle
-    bit = F.pmod("th", F.lit(BITS))
-    some = named_units.select("rid").distinct().join(distinct.select("rid", "first.th"), "rid").select(bit.alias("_bit")).distinct()
-    found_lines = wanted.join(flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit"), ["known", "id", "th"]).select("rids", "at", "text").mapInPandas(cut, "rid long, text string")
-    wanted_lines = materialize(found_lines.dropDuplicates(["rid"]), "zstd")
+    texts = flat.withColumn("_bit", bit).join(F.broadcast(some), "_bit", "left_semi").drop("_bit")
+    found_lines = texts.mapInPandas(cut, "known boolean, id long, th long, line int, text string").join(spots, ["known", "id", "th", "line"])
+    wanted_lines = materialize(found_lines.select("rid", "text").dropDuplicates(["rid"]), "zstd")
+    bits.unpersist()
     release_shuffles(docs.sparkSession)
 
     def verify(frames):
@@ -612,7 +802,7 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
     def links(units: DataFrame) -> DataFrame:
         return units.join(wanted_lines, "rid").repartition(F.shiftright("unit", 64 - FAMILY)).sortWithinPartitions("unit").mapInPandas(verify, "a long, b long")
 
-    scratch = [distinct, named_units, wanted_lines]  # nothing reads them once there are classes
+    scratch = [distinct, named_units, spots, wanted_lines]  # nothing reads them once there are classes
     roots = components(links(named_units.drop("key")))
     members = named_units.where((F.col("key") >= 0) & (F.col("half") != GUEST)).select("key", "rid", "band")
     if not members.isEmpty():  # large buckets: pairs of their lines that are not joined yet and were in no common block
@@ -624,21 +814,25 @@ def near_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = 5, blo
         # a line without a link in its blocks is its own root
         every = roots.unionByName(further.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti"))
         roots = every.join(further, "root", "left").select("node", F.coalesce("least", "root").alias("root"))
-    named = distinct.select("h", "first", "n", "rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    kept = named.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
-    classes = materialize(named.join(kept, "root").select("h", "keep", "lines", "n"))
-    drop_scratch(*scratch, roots)
+    linked = picks(roots.select(F.col("node").alias("rid"), "root"), ["known", "id", "th", "line", "at", "from", "n"], "root")
+    linked = materialize(linked.select("rid", "root", F.struct("known", "id", "line", "th", (F.col("from") + F.col("at")).alias("row")).alias("first"), "n"))
+    kept = linked.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("lines"))
+    told = linked.select("rid", "root").join(kept, "root").select(F.shiftright("rid", 32).alias("part"), F.struct("rid", "keep.known", "keep.id", "keep.line", "keep.row", "lines").alias("pick"))
+    asked = distinct.drop("lines", "has", "bands", "th").join(told.groupBy("part").agg(F.collect_list("pick").alias("picks")), "part", "left")
+    answers = materialize(asked.mapInPandas(replies, "chunk long, local binary, keep_known binary, keep_id binary, keep_line binary, keep_row binary, lines binary"), "zstd")
+    drop_scratch(*scratch, linked, roots)
     release_shuffles(docs.sparkSession)
-    found = join_hot(lines.drop("bands"), classes, "h", "n")
+    both = lines.select("chunk", "known", "id", "th", "line", "words", "local").unionByName(answers, allowMissingColumns=True)
+    found = map_whole_groups(both, "chunk", answered, "known boolean, id long, th long, line int, words int, keep_known boolean, keep_id long, keep_line int, lines long, kept boolean", 1)
     return found.select(
         F.struct("known", "id").alias("key"),
         F.col("th").alias("text_hash"),
         F.col("line").alias("line_no"),
         F.col("words").alias("n_words"),
-        F.struct("keep.known", "keep.id").alias("keep_key"),
-        F.col("keep.line").alias("keep_line_no"),
+        F.struct(F.col("keep_known").alias("known"), F.col("keep_id").alias("id")).alias("keep_key"),
+        F.col("keep_line").alias("keep_line_no"),
         F.col("lines").alias("n_lines"),
-        (F.col("keep.row") == F.col("row")).alias("kept"),
+        "kept",
     )
 
 
