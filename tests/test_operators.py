@@ -280,3 +280,36 @@ def test_plugins_load_a_model_and_may_skip(docs):
     tagged = plugins.tagged(docs, lambda: None, lambda _, t: [{"text": w, "lemma": w.strip("."), "pos": None, "is_stop": w == "da."} for w in t.split()])
     rows = {r["doc_id"]: r for r in plugins.lemma_corpus(tagged.where("text is not null") if "text" in tagged.columns else tagged, 3).collect()}
     assert rows[5]["tokens"] == ["eins", "ist", "zwei", "folgt", "drei", "vier"] and rows[5]["n_raw_tokens"] == 8
+
+
+def test_phrase_scores_in_small_units(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from textloom.operators import tfidf
+
+    monkeypatch.setattr(tfidf, "UNIT_BYTES", 300)
+    monkeypatch.setattr(tfidf, "WINDOWS_AT_ONCE", 3)
+    rng = random.Random(5)
+    made = [(i, 1929 + i % 2 if i % 9 else None, " ".join(rng.choice(["der", "und", "The,", "an-den", "auf", "Haus", "weg", "--", "x"]) for _ in range(rng.randrange(40)))) for i in range(40)] + [(50, 1929, None), (51, 1929, "der der")]
+    df = spark.createDataFrame(made, "doc_id long, slice int, text string")
+    query = tfidf.phrase_scores(df, r"(?iU)the|der", 4, ("und",), k=50)
+    held = []
+    for _, part, text in made:
+        parts = (text or "").split()
+        for i, t in enumerate(parts):
+            if part and t.strip(",").lower() in ("the", "der"):
+                w = [x for x in re.findall(r"\w+", " ".join(parts[max(0, i - 4) : i + 5]).lower()) if x != "und"]
+                held.append((part, Counter([" ".join(w[j : j + n]) for n in (2, 3) for j in range(len(w) - n + 1)])))
+    df_, sums, n = Counter(t for _, c in held for t in c), Counter(), Counter(p for p, _ in held)
+    for part, c in held:
+        w = {t: (1 + math.log(k)) * (math.log((1 + len(held)) / (1 + df_[t])) + 1) for t, k in c.items() if 3 <= df_[t] <= 0.85 * len(held)}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        for t, x in w.items():
+            sums[part, t] += x / norm
+    expected = {}
+    for part in n:
+        ranked = sorted((-round(s / n[part], 5), t) for (p, t), s in sums.items() if p == part)[:50]
+        expected |= {(part, r + 1): (t, -s) for r, (s, t) in enumerate(ranked)}
+    assert {(r["slice"], r["rank"]): (r["term"], r["score"]) for r in query.collect()} == expected and len(expected) > 50
