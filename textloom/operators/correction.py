@@ -41,6 +41,7 @@ def error_rates(pairs: DataFrame, rules: Sequence[tuple[str, str, str]]) -> Data
     rates = fixed.select("name", *[f(F.col("reference"), F.col(c)).alias(f"{n}_{c}") for n, f in (("cer", edit_rate), ("wer", token_edit_rate)) for c in ("before", "after")])
     columns = ["name", "cer_before", "cer_after", "cer_delta", "wer_before", "wer_after", "wer_delta"]
     made = rates.withColumn("cer_delta", F.round(F.col("cer_after") - F.col("cer_before"), 2)).withColumn("wer_delta", F.round(F.col("wer_after") - F.col("wer_before"), 2)).select(*columns)
+    made = made.repartition("name")  # rates are found once: rows and their means read the same exchange
     mean = made.agg(F.format_string("DURCHSCHNITT (%d)", F.count(F.lit(1))).alias("name"), *[F.round(F.avg(c), 2).alias(c) for c in columns[1:]])
     return made.unionByName(mean)
 
