@@ -313,3 +313,27 @@ def test_phrase_scores_in_small_units(spark, monkeypatch):
         ranked = sorted((-round(s / n[part], 5), t) for (p, t), s in sums.items() if p == part)[:50]
         expected |= {(part, r + 1): (t, -s) for r, (s, t) in enumerate(ranked)}
     assert {(r["slice"], r["rank"]): (r["term"], r["score"]) for r in query.collect()} == expected and len(expected) > 50
+
+
+def test_ngrams_in_small_parts(spark, monkeypatch):
+    import random
+    from collections import Counter
+
+    monkeypatch.setattr(ngrams, "TOKENS_AT_ONCE", 7)
+    rng = random.Random(4)
+    made = [(i, rng.choice([1929, 1930, None]), [rng.choice("abcde") for _ in range(rng.randrange(12))] if i != 5 else None) for i in range(60)]
+    df = spark.createDataFrame(made, "doc_id long, slice int, tokens array<string>").withColumn("n_tokens", F.coalesce(F.size("tokens"), F.lit(0)))
+    for seeds in (None, ["a", "c"]):
+        expected = Counter()
+        for _, part, t in made:
+            for n in (1, 2, 3):
+                for j in range(len(t or []) - n + 1):
+                    if seeds is None or set(t[j : j + n]) & set(seeds):
+                        for scope in {"gesamt", str(part)} - {"None"}:
+                            expected[scope, n, " ".join(t[j : j + n])] += 1
+        counts = ngrams.ngram_counts(df, (1, 2, 3), seeds=seeds)
+        assert {(r["scope"], r["n"], r["ngram"]): r["abs"] for r in counts.collect()} == expected
+        top = ngrams.top_ngrams(counts, 4).collect()
+        for scope, n in {(s, n) for s, n, _ in expected}:
+            best = sorted(((-c, g) for (s, m, g), c in expected.items() if (s, m) == (scope, n)))[:4]
+            assert sorted((r["rank"], -r["abs"], r["ngram"]) for r in top if (r["scope"], r["n"]) == (scope, n)) == [(k + 1, *x) for k, x in enumerate(best)]
