@@ -22,7 +22,9 @@ def weights(rows: DataFrame, key: str | Sequence[str], terms: str, min_df: int =
     """(key, term, weight) of rows (key, terms array<string>); a key may have several columns. max_df is a share of the rows; documents without any term of the
     vocabulary have no rows."""
     keys = [key] if isinstance(key, str) else list(key)
-    counts = unnested(rows, terms, "term", *keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # dealt by key as whole arrays: counts and norms are then found where the arrays lie
+    dealt = rows.select(*keys, terms).repartition(*keys)
+    counts = unnested(dealt, terms, "term", *keys).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
     size = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).crossJoin(size)
     vocabulary = df.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
@@ -32,7 +34,6 @@ def weights(rows: DataFrame, key: str | Sequence[str], terms: str, min_df: int =
     small = F.broadcast if max_features is not None and max_features <= 20_000 else lambda x: x  # its size is then bounded
     tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
     raw = counts.join(small(vocabulary.select("term", idf)), "term").withColumn("w", tf * F.col("idf"))
-    # a document's terms come together once: a window over the exchange that the sums need
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
     return raw.select(*keys, "term", F.round(F.col("w") / norm, decimals).alias("weight"))
 
