@@ -337,3 +337,35 @@ def test_ngrams_in_small_parts(spark, monkeypatch):
         for scope, n in {(s, n) for s, n, _ in expected}:
             best = sorted(((-c, g) for (s, m, g), c in expected.items() if (s, m) == (scope, n)))[:4]
             assert sorted((r["rank"], -r["abs"], r["ngram"]) for r in top if (r["scope"], r["n"]) == (scope, n)) == [(k + 1, *x) for k, x in enumerate(best)]
+
+
+def test_nmf_equals_dense_updates_in_small_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(topics, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((12, 6)) < 0.6, rng.random((12, 6)), 0)
+    x[:, 0] += 0.1
+    rows = [(i, f"t{j}", float(x[i, j])) for i in range(12) for j in range(6) if x[i, j]]
+    found = topics.nmf(spark.createDataFrame(rows, "doc_id long, term string, weight double"), k=2, rounds=5, tolerance=-1.0)
+    h, losses = np.random.default_rng(42).random((2, 6)) + 0.1, []
+    for _ in range(5):
+        w = np.full((12, 2), 0.5)
+        for _ in range(20):
+            w *= (x @ h.T) / (w @ (h @ h.T) + topics.EPSILON)
+        losses.append(((x - w @ h) ** 2).sum())
+        top, gram = w.T @ x, w.T @ w
+        for _ in range(5):
+            h = h * top / (gram @ h + topics.EPSILON)
+    assert found.losses == pytest.approx(losses) and np.allclose(found.components, h)
+    assert found.shares.count() == 12
+
+
+def test_tfidf_deals_once_by_key(spark):
+    from textloom.operators import tfidf
+
+    df = spark.createDataFrame([(i, ["a", "b", "b", f"c{i % 2}"]) for i in range(8)] + [(0, ["a"])], "doc_id long, tokens array<string>")
+    made = tfidf.weights(df, "doc_id", "tokens", min_df=1, max_df=2.0)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, term|Exchange hashpartitioning\(doc_id#\d+L,? ?\d*\), ENSURE", plan)) == 0
+    assert made.where("doc_id = 0").count() == 3

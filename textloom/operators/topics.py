@@ -6,7 +6,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from textloom.functions.stats import jaccard
 from textloom.operators.frequency import top_k
 
 EPSILON = 1e-10
+BLOCK = 4096
 
 
 @dataclass
@@ -32,57 +34,71 @@ def nmf(weights: DataFrame, key: str = "doc_id", k: int = 7, rounds: int = 30, s
     row is fitted to the topics and its part of W'A and W'W is summed by k x V entries, so the driver sees k * V + k * k numbers.
     Deterministic for a seed. shares has (key, topic_0, ...), not scaled.
     """
-    rows = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
     terms = [r["term"] for r in weights.select("term").distinct().orderBy("term").collect()]
-    index = {t: i for i, t in enumerate(terms)}
+    index, kind = {t: i for i, t in enumerate(terms)}, weights.schema[key].dataType.simpleString()
     rng = np.random.default_rng(seed)
     h = rng.random((k, len(terms))) + 0.1
-    rows = rows.persist()
-
-    def fitted(pdf: pd.DataFrame, h: np.ndarray) -> tuple[np.ndarray, list, list]:
-        gram, places, values, w = h @ h.T, [], [], np.full((len(pdf), k), 1.0 / k)
-        for r, x in enumerate(pdf["x"]):
-            places.append(np.array([index[e["term"]] for e in x]))
-            values.append(np.array([e["weight"] for e in x]))
-            b = h[:, places[-1]] @ values[-1]
-            for _ in range(4 * inner):
-                w[r] *= b / (w[r] @ gram + EPSILON)
-        return w, places, values
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch["x"]
+            pairs, offsets = x.flatten(), pa.array(np.concatenate(([0], np.cumsum(pc.list_value_length(x).to_numpy()))), pa.int32())
+            coded = pairs.field("term").dictionary_encode()
+            numbers = np.array([index[t] for t in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(offsets, pa.array(numbers)), pa.ListArray.from_arrays(offsets, pairs.field("weight"))], [key, "i", "v"])
+
+    grouped = weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("x"))
+    rows = grouped.mapInArrow(numbered, f"{key} {kind}, i array<int>, v array<double>").persist()
+
+    def fitted(batch: pa.RecordBatch, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Shares, the products with the topics they are fitted to, and each entry's row, term and value."""
+        n, lengths = batch.num_rows, pc.list_value_length(batch["i"]).to_numpy()
+        row, places, values = np.repeat(np.arange(n), lengths), batch["i"].flatten().to_numpy(), batch["v"].flatten().to_numpy()
+        gram, w = h @ h.T, np.full((n, k), 1.0 / k)
+        b = np.stack([np.bincount(row, h[t][places] * values, n) for t in range(k)], axis=1)
+        for _ in range(4 * inner):
+            w *= b / (w @ gram + EPSILON)
+        return w, b, row, places, values
 
     losses: list[float] = []
     for _ in range(rounds):
         now = h
 
-        def sums(frames: Iterator[pd.DataFrame], now=now):
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             numerator, inner_gram, loss = np.zeros_like(now), np.zeros((k, k)), 0.0
-            for pdf in frames:
-                w, places, values = fitted(pdf, now)
-                for r, (p, v) in enumerate(zip(places, values, strict=True)):
-                    numerator[:, p] += np.outer(w[r], v)
-                    approx = w[r] @ now
-                    loss += (approx @ approx) - 2 * (approx[p] @ v) + v @ v
-                inner_gram += w.T @ w
-            yield pd.DataFrame({"kind": [0, 1, 2], "v": [numerator.ravel(), inner_gram.ravel(), np.array([loss])]})
-
-        parts = rows.select("x").mapInPandas(sums, "kind int, v array<double>")
-        # summed entry by entry, so no partition's block comes to the driver
-        total = parts.select("kind", F.posexplode("v").alias("i", "v")).groupBy("kind", "i").agg(F.sum("v").alias("v")).toPandas().sort_values(["kind", "i"])
-        block = {kind: g["v"].to_numpy() for kind, g in total.groupby("kind")}
-        losses.append(float(block[2][0]))
+            for batch in batches:
+                w, b, row, places, values = fitted(batch, now)
+                for t in range(k):
+                    numerator[t] += np.bincount(places, w[:, t][row] * values, now.shape[1])
+                gram = w.T @ w
+                inner_gram += gram
+                loss += (gram * (now @ now.T)).sum() - 2 * (w * b).sum() + values @ values
+            every = np.concatenate((numerator.ravel(), inner_gram.ravel(), [loss]))
+            blocks = [every[i : i + BLOCK] for i in range(0, len(every), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.list_(pa.float64()))], ["block", "v"])
+
+        def added(table: pa.Table) -> pa.Table:
+            v = table["v"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(axis=0)
+            return pa.table({"block": table["block"][:1], "v": pa.array([v], pa.list_(pa.float64()))})
+
+        # summed block by block, so no partition's sums come to the driver
+        parts = rows.select("i", "v").mapInArrow(sums, "block int, v array<double>")
+        total = parts.groupBy("block").applyInArrow(added, "block int, v array<double>").collect()
+        every = np.concatenate([r["v"] for r in sorted(total, key=lambda r: r["block"])])
+        losses.append(float(every[-1]))
         if len(losses) > 1 and losses[-2] - losses[-1] < tolerance * losses[0]:
             break
-        numerator, gram = block[0].reshape(h.shape), block[1].reshape(k, k)
+        numerator, gram = every[: h.size].reshape(h.shape), every[h.size : -1].reshape(k, k)
         for _ in range(inner):
             h = h * numerator / (gram @ h + EPSILON)
     last = h
 
-    def share_rows(frames):
-        for pdf in frames:
-            w, *_ = fitted(pdf, last)
-            yield pd.concat([pdf[[key]].reset_index(drop=True), pd.DataFrame(w, columns=[f"topic_{t}" for t in range(k)])], axis=1)
+    def share_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = fitted(batch, last)[0]
+            yield pa.RecordBatch.from_arrays([batch[key], *[pa.array(w[:, t]) for t in range(k)]], [key, *[f"topic_{t}" for t in range(k)]])
 
-    kind = weights.schema[key].dataType.simpleString()
-    shares = rows.mapInPandas(share_rows, f"{key} {kind}, " + ", ".join(f"topic_{t} double" for t in range(k)))
+    shares = rows.mapInArrow(share_rows, f"{key} {kind}, " + ", ".join(f"topic_{t} double" for t in range(k)))
     return Topics(terms, h, losses, shares)
 
 
