@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.joins import small
 from textloom.functions.stats import jaccard
+from textloom.functions.text import unnested
 from textloom.operators.frequency import top_k
 
 EPSILON = 1e-10
@@ -114,13 +115,20 @@ def topic_terms(topics: Topics, spark, n: int = 15, seeds: Sequence[str] = ()) -
 def lda(corpus_df: DataFrame, k: int = 5, rounds: int = 30, vocabulary: int = 3000, min_df: int = 3, max_df: float = 0.9, n_terms: int = 15, seed: int = 42, optimizer: str = "online") -> tuple[DataFrame, DataFrame]:
     """(topic, rank, term, weight) and (doc_id, slice, topic_0, ...), by Spark's LDA on counted tokens."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
     rows = corpus_df.where("n_tokens > 0")
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=max_df if max_df < 1 else float(2**53)).fit(rows)
-    counted = counter.transform(rows)
+    # counted as rows: CountVectorizer's own fit keeps all tokens as objects, and which of equally frequent words it takes is left open
+    most = max_df * rows.count() if max_df < 1 else float(2**53)
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("t"), F.lit(1).alias("d")))
+    each = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("t"), F.lit(0).alias("d"))), once)
+    counts = unnested(rows, each, "x").groupBy("x.t").agg(F.count_if(F.col("x.d") == 0).alias("n"), F.sum("x.d").alias("df"))
+    best = counts.where((F.col("df") >= min_df) & (F.col("df") <= most)).orderBy(F.desc("n"), "t").limit(vocabulary).collect()
+    counter = CountVectorizerModel.from_vocabulary([r["t"] for r in best], inputCol="tokens", outputCol="features")
+    counted = counter.transform(rows).select("doc_id", "slice", "features").persist()  # each round reads the counts, not the texts
     model = LDA(k=k, maxIter=rounds, seed=seed, optimizer=optimizer, featuresCol="features").fit(counted)
+    counted.unpersist()
     words = F.lit(counter.vocabulary)
     described = model.describeTopics(n_terms).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("r", "x"))
     terms = described.select("topic", (F.col("r") + 1).alias("rank"), F.element_at(words, F.col("x.termIndices") + 1).alias("term"), F.col("x.termWeights").alias("weight"))
