@@ -369,3 +369,25 @@ def test_tfidf_deals_once_by_key(spark):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"Exchange hashpartitioning\(doc_id#\d+L, term|Exchange hashpartitioning\(doc_id#\d+L,? ?\d*\), ENSURE", plan)) == 0
     assert made.where("doc_id = 0").count() == 3
+
+
+def test_lda_takes_words_in_a_total_order(spark):
+    rows = [(i, 1929, ["b", "a", "often", "often", f"w{i % 2}"][: 4 + i % 3], 4) for i in range(12)] + [(20, 1929, ["rare"] * 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, slice int, tokens array<string>, n_tokens int")
+    kept = set(spark.sparkContext._jsc.getPersistentRDDs())
+    terms, shares = topics.lda(df, k=2, rounds=2, vocabulary=3, min_df=2, max_df=0.95, n_terms=3)
+    assert {r["term"] for r in terms.collect()} == {"often", "a", "b"} and shares.count() == 13
+    assert {r["term"] for r in topics.lda(df, k=2, rounds=2, vocabulary=3, min_df=2, max_df=0.5, n_terms=3)[0].collect()} == {"w0", "w1"}
+    assert set(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
+
+
+def test_lemmas_from_a_dictionary_or_a_join(spark, docs, monkeypatch):
+    from textloom.operators import corpus as module
+
+    lemmas = spark.createDataFrame([("b", "x"), ("B", "Y"), ("ist", "sein"), ("da", None), (None, "z")], "form string, lemma string")
+    made = lambda: {r["doc_id"]: (r["tokens"], r["n_tokens"]) for r in corpus(docs.unionByName(docs.where("doc_id = 2").withColumn("doc_id", F.lit(9))), lemmas=lemmas).collect()}
+    assert "Exchange" not in corpus(docs, lemmas=lemmas)._jdf.queryExecution().executedPlan().toString()
+    few = made()
+    monkeypatch.setattr(module, "MOST_ROWS", 1)
+    assert made() == few and few[2] == few[9] == (["a", "x", "a", "x", "a"], 5) and few[4] == few[7] == ([], 0)
+    assert few[5][0] == ["eins", "sein", "da", "zwei", "folgt", "drei", "kam", "vier"]

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import YEAR, as_column, unnested_at, word_tokens
+from textloom.functions.joins import MOST_ROWS
+from textloom.functions.text import YEAR, as_column, unnested, unnested_at, word_tokens
 
 
 def year_from_name(name: Column | str) -> Column:
@@ -39,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
 def corpus(docs: DataFrame, stopwords: Sequence[str] = (), min_length: int = 1, letters_only: bool = False, lemmas: DataFrame | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id, slice, tokens (kept), n_tokens, n_raw_tokens from docs (doc_id, slice, text).
 
-    lemmas, if given, is (form, lemma): forms are replaced before filtering, by a join on tokens in which a document's order is kept.
+    lemmas, if given, is (form, lemma): forms are replaced before filtering, and a document's order is kept.
     """
     raw = word_tokens("text") if pattern is None else word_tokens("text", pattern)
     rows = docs.select("doc_id", "slice", raw.alias("tokens")).withColumn("n_raw_tokens", F.size("tokens"))
@@ -58,14 +62,35 @@ def corpus(docs: DataFrame, stopwords: Sequence[str] = (), min_length: int = 1,
 
 
 def lemmatized(rows: DataFrame, lemmas: DataFrame) -> DataFrame:
-    """tokens with each form replaced by its lemma where there is one. Tokens travel by form; a token list comes back in order by
-    its hashes, so equal lists (copies) are looked up together and nothing depends on the order of rows."""
+    """tokens with each form replaced by its lemma where there is one. Up to MOST_ROWS forms are a dictionary in every task, and no
+    token travels. Of more forms, those a token list holds come back to it with their lemmas, by the list's hashes; equal lists
+    (copies) are looked up together."""
+    forms = lemmas.select(F.lower("form").alias("_t"), F.lower("lemma").alias("_l")).groupBy("_t").agg(F.min("_l").alias("_l")).where("_t is not null and _l is not null")
+    few = forms.limit(MOST_ROWS + 1).collect()
+    if len(few) <= MOST_ROWS:
+        known = rows.sparkSession.sparkContext.broadcast({r["_t"]: r["_l"] for r in few})
+
+        @F.arrow_udf("array<string>")
+        def replaced(tokens: pa.Array) -> pa.Array:
+            coded, table = tokens.flatten().dictionary_encode(), known.value
+            words = pa.array([table.get(w, w) for w in coded.dictionary.to_pylist()], pa.string())
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), words.take(coded.indices))
+
+        return rows.withColumn("tokens", replaced("tokens"))
     keyed = rows.withColumn("_a", F.xxhash64("tokens")).withColumn("_b", F.xxhash64(F.lit(1), "tokens"))
-    forms = lemmas.select(F.lower("form").alias("_t"), F.lower("lemma").alias("_l")).groupBy("_t").agg(F.min("_l").alias("_l"))
-    tokens = unnested_at(keyed, "tokens", "_p", "_t", "_a", "_b").join(forms, "_t", "left")
-    back = tokens.groupBy("_a", "_b").agg(F.array_sort(F.collect_set(F.struct("_p", F.coalesce("_l", "_t").alias("_l")))).alias("_x"))
-    joined = keyed.join(back, ["_a", "_b"], "left")
-    return joined.withColumn("tokens", F.coalesce(F.transform("_x", lambda x: x["_l"]), F.array().cast("array<string>"))).drop("_x", "_a", "_b")
+    found = unnested(keyed, F.array_distinct("tokens"), "_t", "_a", "_b").join(forms, "_t")
+    back = found.groupBy("_a", "_b").agg(F.map_from_entries(F.collect_set(F.struct("_t", "_l"))).alias("_x"))
+
+    @F.arrow_udf("array<string>")
+    def looked_up(tokens: pa.Array, lemma: pa.Array) -> pa.Array:
+        made = []
+        for t, x in zip(tokens, lemma, strict=True):
+            table = dict(x.as_py() or ())
+            made.append([table.get(w, w) for w in t.as_py() or ()])
+        return pa.array(made, pa.list_(pa.string()))
+
+    return keyed.join(back, ["_a", "_b"], "left").withColumn("tokens", looked_up("tokens", "_x")).drop("_x", "_a", "_b")
 
 
 def token_rows(corpus_df: DataFrame, *keys: str) -> DataFrame:
