@@ -391,3 +391,24 @@ def test_lemmas_from_a_dictionary_or_a_join(spark, docs, monkeypatch):
     monkeypatch.setattr(module, "MOST_ROWS", 1)
     assert made() == few and few[2] == few[9] == (["a", "x", "a", "x", "a"], 5) and few[4] == few[7] == ([], 0)
     assert few[5][0] == ["eins", "sein", "da", "zwei", "folgt", "drei", "kam", "vier"]
+
+
+def test_pages_in_one_row_and_as_character_rows(spark):
+    import random
+
+    rng = random.Random(6)
+    chars = [("f", p, c, rng.choice([9.0, 20.0]), rng.choice(["Serif-Bold", "Serif"]), rng.randrange(60) / 4, float(i)) for p in range(3) for i, c in enumerate("Ein langer Titel, und mehr davon")]
+    df = spark.createDataFrame(chars, "file string, page int, text string, size double, fontname string, top double, x0 double")
+    expected = set()
+    for p in range(3):
+        lines, anchor = [], None
+        for c in sorted((c for c in chars if c[1] == p), key=lambda c: (c[5], c[6])):
+            if anchor is None or abs(c[5] - anchor) > 2:
+                anchor = c[5]
+                lines.append([])
+            lines[-1].append(c)
+        expected |= {("f", p, n, "".join(c[2] for c in sorted(x, key=lambda c: c[6])).strip(" "), max(c[3] for c in x), any(c[4] == "Serif-Bold" for c in x)) for n, x in enumerate(lines)}
+    pages = df.groupBy("file", "page").agg(F.collect_list(sections.char_item()).alias("c"))
+    for made in (sections.char_lines(df), sections.page_lines(pages)):
+        assert table(made, "file", "page", "line_no", "text", "size", "bold") == expected
+    assert sections.page_lines(pages)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

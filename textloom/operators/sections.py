@@ -69,25 +69,38 @@ def name_scores(bullets: DataFrame, recognised: DataFrame, k: int = 50, weight:
 
 
 def char_lines(chars: DataFrame, gap: float = 2.0) -> DataFrame:
-    """file, page, line_no, text, size, bold from positioned characters (file, page, text, size, fontname, top, x0).
+    """file, page, line_no, text, size, bold from positioned characters (file, page, text, size, fontname, top, x0); see page_lines."""
+    return page_lines(chars.groupBy("file", "page").agg(F.collect_list(char_item()).alias("c")), gap)
+
+
+def char_item() -> Column:
+    """A character of a page, from the columns of its row."""
+    return F.struct("top", "x0", "text", "size", F.lower("fontname").contains("bold").alias("bold"))
+
+
+def page_lines(pages: DataFrame, gap: float = 2.0) -> DataFrame:
+    """file, page, line_no, text, size, bold from pages (file, page, c: array of characters, see char_item).
 
     A character more than ``gap`` below the first of its line begins a new line, so the anchor is a fold over the page's characters
-    from top to bottom; a page is one array. Characters of a line are read from left to right; size is their largest.
+    from top to bottom. Characters of a line are read from left to right; size is their largest. A page's lines are made where the
+    page lies.
     """
-    item = F.struct("top", "x0", "text", "size", F.lower("fontname").contains("bold").alias("bold"))
-    pages = chars.groupBy("file", "page").agg(F.array_sort(F.collect_list(item)).alias("c"))
-    none = F.array().cast("array<struct<line:int,x0:double,text:string,size:double,bold:boolean>>")
-    zero = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"), none.alias("out"))
+    none = F.array().cast("array<array<struct<x0:double,text:string,size:double,bold:boolean>>>")
+    line = F.array().cast("array<struct<x0:double,text:string,size:double,bold:boolean>>")
+    zero = F.struct(none.alias("done"), line.alias("line"), F.lit(None).cast("double").alias("anchor"))
 
     def step(acc, x):
-        new = acc["anchor"].isNull() | (F.abs(x["top"] - acc["anchor"]) > gap)
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        cell = F.struct(line.alias("line"), x["x0"].alias("x0"), x["text"].alias("text"), x["size"].alias("size"), x["bold"].alias("bold"))
-        return F.struct(line.alias("line"), F.when(new, x["top"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(cell)).alias("out"))
-
-    cells = unnested(pages, F.aggregate("c", zero, step, lambda a: a["out"]), "x", "file", "page").select("file", "page", "x.*")
-    grouped = cells.groupBy("file", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("t"), F.max("size").alias("size"), F.max("bold").alias("bold"))
-    return grouped.select("file", "page", F.col("line").alias("line_no"), F.trim(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("text"), "size", "bold")
+        new = F.abs(x["top"] - acc["anchor"]) > gap
+        new = acc["anchor"].isNull() | new
+        cell = F.array(F.struct(x["x0"].alias("x0"), x["text"].alias("text"), x["size"].alias("size"), x["bold"].alias("bold")))
+        over = new & (F.size(acc["line"]) > 0)
+        done = F.when(over, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(new, cell).otherwise(F.concat(acc["line"], cell)).alias("line"), F.when(new, x["top"]).otherwise(acc["anchor"]).alias("anchor"))
+
+    folded = F.aggregate(F.array_sort("c"), zero, step, lambda acc: F.when(F.size(acc["line"]) > 0, F.concat(acc["done"], F.array(acc["line"]))).otherwise(acc["done"]))
+    text = lambda x: F.trim(F.array_join(F.transform(F.array_sort(F.transform(x, lambda y: F.struct(y["x0"], y["text"]))), lambda y: y["text"]), ""))
+    made = F.transform(folded, lambda x: F.struct(text(x).alias("text"), F.array_max(F.transform(x, lambda y: y["size"])).alias("size"), F.array_max(F.transform(x, lambda y: y["bold"])).alias("bold")))
+    return unnested_at(pages, made, "line_no", "x", "file", "page").select("file", "page", "line_no", "x.*")
 
 
 NOT_HEADINGS = (r"^\d+$", r"(?i)^(seite|nr|nummer)\b", r"^\P{L}+$", r"(?i)(telefon|fernruf|postscheck)")
