@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,12 +76,28 @@ def tagged_collocations(tagged: DataFrame, prefix: str, window: int = 5, content
     the last seen in order of document and place.
     """
     word = lambda x: F.translate(F.lower(x["lemma"]), "ſ", "s")
-    rows = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), word(t).alias("w"), t["pos"].alias("p"), t["is_stop"].alias("s")))
-    base = tagged.select("doc_id", rows.alias("x"))
-    hits = unnested(base, F.filter("x", lambda r: F.startswith(r["w"], F.lit(prefix))), "h", "doc_id", "x")
-    near = hits.select("doc_id", F.explode_outer(around(F.col("x"), F.col("h.i"), window)).alias("c")).select("doc_id", F.col("c.i").alias("i"), F.regexp_replace("c.w", "[^a-zäöüß]", "").alias("collocate"), F.col("c.p").alias("p"), F.col("c.s").alias("s"))
+    rows = F.transform("tokens", lambda t: F.struct(word(t).alias("w"), t["pos"].alias("p"), t["is_stop"].alias("s")))
+    kind = tagged.schema["doc_id"].dataType.simpleString()
+
+    def around_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each token near a hit once, with the number of hits it is near to: the work grows with the tokens, not with tokens and hits."""
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch["x"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, ends = batch["x"].flatten(), np.cumsum(lengths)
+            hit = pc.fill_null(pc.starts_with(flat.field("w"), prefix), False).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc, at, before = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(hit)), np.concatenate(([0], np.cumsum(hit)))
+            begin, end = (ends - lengths)[doc], ends[doc]
+            n = before[np.minimum(at + window + 1, end)] - before[np.maximum(at - window, begin)] - hit
+            near = pa.array(np.flatnonzero(n))
+            columns = [batch["doc_id"].take(pa.array(doc[n > 0])), pa.array((at - begin)[n > 0].astype(np.int32)), *[flat.field(f).take(near) for f in "wps"], pa.array(n[n > 0])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "i", "w", "p", "s", "n"])
+
+    found = tagged.select("doc_id", rows.alias("x")).mapInArrow(around_hits, f"doc_id {kind}, i int, w string, p string, s boolean, n long")
+    near = found.select("doc_id", "i", F.regexp_replace("w", "[^a-zäöüß]", "").alias("collocate"), "p", "s", "n")
     kept = near.where((F.col("p").isNull() | F.col("p").isin(list(content))) & ~F.coalesce("s", F.lit(False)) & (F.col("collocate") != "") & ~F.startswith("collocate", F.lit(prefix)))
-    counts = kept.groupBy("collocate").agg(F.count(F.lit(1)).alias("n"), F.max_by("p", F.struct("doc_id", "i")).alias("pos_tag"))
+    counts = kept.groupBy("collocate").agg(F.sum("n").alias("n"), F.max_by("p", F.struct("doc_id", "i")).alias("pos_tag"))
+    # a step that no column is pruned through: the counts and their sum then read the same exchange, so texts are tagged once
+    counts = counts.mapInArrow(lambda batches: batches, counts.schema)
     best = counts.crossJoin(counts.agg(F.sum("n").alias("all"))).orderBy(F.desc("n"), "collocate").limit(k).withColumn("_one", F.lit(1))
     return top_k(best, k, ["_one"], [F.desc("n"), "collocate"]).select("rank", "collocate", "pos_tag", "n", F.round(F.col("n") / F.col("all") * 100, 2).alias("share"))
 
