@@ -412,3 +412,33 @@ def test_pages_in_one_row_and_as_character_rows(spark):
     for made in (sections.char_lines(df), sections.page_lines(pages)):
         assert table(made, "file", "page", "line_no", "text", "size", "bold") == expected
     assert sections.page_lines(pages)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_tagged_collocates_count_every_window(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    made = [(i, [(w, w, rng.choice(["NOUN", None, "DET"]), w == "und") for w in rng.choices(["verb", "verſ", "haus", "weg", "und", "Tür"], k=rng.randrange(30))] if i else None) for i in range(20)]
+    df = spark.createDataFrame(made, "doc_id long, tokens array<struct<text: string, lemma: string, pos: string, is_stop: boolean>>")
+    n, last = Counter(), {}
+    for _, tokens in made:
+        for i, t in enumerate(tokens or []):
+            if t[0].startswith("ver"):
+                for j in range(max(0, i - 3), min(len(tokens), i + 4)):
+                    w, p = tokens[j][0].lower(), tokens[j][2]
+                    if j != i and p != "DET" and w != "und" and not w.startswith("ver"):
+                        n[w] += 1
+        last |= {t[0].lower(): t[2] for i, t in enumerate(tokens or []) if t[2] != "DET" and any(tokens[j][0].startswith("ver") for j in range(max(0, i - 3), min(len(tokens), i + 4)) if j != i)}
+    found = collocations.tagged_collocations(df, "ver", window=3, k=9)
+    assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["collocate"], r["n"]) for r in found.orderBy("rank").collect()] == sorted(n.items(), key=lambda x: (-x[1], x[0]))
+    assert {r["collocate"]: r["pos_tag"] for r in found.collect()} == {w: last[w] for w in n}
+
+
+def test_citations_leave_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(kwic, "CITATIONS_AT_ONCE", 3)
+    df = spark.createDataFrame([(1, 1929, "a thing " * 10), (2, None, None), (3, 1930, "no"), (4, None, "Things")], "doc_id long, slice int, text string")
+    rows = kwic.citations(df, [("t", "thing[a-z]*")], 2).collect()
+    assert [(r["doc_id"], r["slice"], r["match"]) for r in rows] == [(1, 1929, "thing")] * 10 + [(4, None, "Things")]
+    assert rows[0]["context"] == "a [TREFFER] thing [/TREFFER] a thing" and rows[9]["context"] == "thing a [TREFFER] thing [/TREFFER]"

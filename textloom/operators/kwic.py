@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,7 @@ def kwic_sheets(hits: DataFrame, targets: Sequence[str], slices: Sequence) -> di
 
 
 CITATION = "doc_id long, slice int, pattern string, start int, end int, match string, context string"
+CITATIONS_AT_ONCE = 1000
 
 
 def citations(docs: DataFrame, patterns: Sequence[tuple[str, str]], words: int = 15) -> DataFrame:
@@ -69,26 +71,37 @@ def citations(docs: DataFrame, patterns: Sequence[tuple[str, str]], words: int =
     """
     marks = list(patterns)
 
-    def run(frames: Iterator[pd.DataFrame]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
         from bisect import bisect_left, bisect_right
 
         compiled, word = [(label, re.compile(p, re.IGNORECASE)) for label, p in marks], re.compile(r"\S+")
-        for pdf in frames:
-            out = []
-            for doc, part, text in zip(pdf["doc_id"], pdf["slice"], pdf["text"], strict=True):
-                spans = [m.span() for m in word.finditer(text)]
-                starts, ends = [a for a, _ in spans], [b for _, b in spans]
-                for label, pattern in compiled:
-                    for m in pattern.finditer(text):
-                        before, after = bisect_left(starts, m.start()), bisect_right(ends, m.end())
-                        left = " ".join(text[a : min(b, m.start())] for a, b in spans[max(0, before - words) : before])
-                        right = " ".join(text[max(a, m.end()) : b] for a, b in spans[after : after + words])
-                        out.append((doc, part, label, m.start(), m.end(), m[0], f"{left} [TREFFER] {m[0]} [/TREFFER] {right}".strip()))
-            yield pd.DataFrame(out, columns=["doc_id", "slice", "pattern", "start", "end", "match", "context"])
+        schema = pa.schema([("doc_id", pa.int64()), ("slice", pa.int32()), ("pattern", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string()), ("context", pa.string())])
+        full = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        out = []
+        for batch in batches:
+            # texts become strings one at a time, and only those with a match are parted into words
+            for doc, part, value in zip(batch["doc_id"], batch["slice"], batch["text"], strict=True):
+                text = value.as_py()
+                found = [(label, m) for label, pattern in compiled for m in pattern.finditer(text)]
+                if not found:
+                    continue
+                doc, part = doc.as_py(), part.as_py()
+                spans = array("q", [x for m in word.finditer(text) for x in m.span()])
+                starts, ends = spans[::2], spans[1::2]
+                for label, m in found:
+                    before, after = bisect_left(starts, m.start()), bisect_right(ends, m.end())
+                    left = " ".join(text[starts[k] : min(ends[k], m.start())] for k in range(max(0, before - words), before))
+                    right = " ".join(text[max(starts[k], m.end()) : ends[k]] for k in range(after, min(len(ends), after + words)))
+                    out.append((doc, part, label, m.start(), m.end(), m[0], f"{left} [TREFFER] {m[0]} [/TREFFER] {right}".strip()))
+                    if len(out) == CITATIONS_AT_ONCE:
+                        yield full(out)
+                        out = []
+        if out:
+            yield full(out)
 
     ready = docs.select(F.col("doc_id").cast("long"), F.col("slice").cast("int"), F.coalesce("text", F.lit("")).alias("text"))
-    return ready.mapInPandas(run, CITATION)
+    return ready.mapInArrow(run, CITATION)
 
 
 def shortened(hits: DataFrame, column: str, n: int) -> DataFrame:
